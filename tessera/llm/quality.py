@@ -17,8 +17,8 @@ MIN_WORDS = 10
 MOST_REPEATED = 20  # percent
 #: Components of the vector, quantiles of chi-square with that many degrees of freedom: 0.5, 0.975 and the cutoff's 0.9999.
 P, MEDIAN, WEIGHED, CUTOFF = 5, 4.3515, 12.8325, 25.745
-#: Least standard deviation of a component: many components are zero in most documents.
-FLOOR = 0.05
+#: Least standard deviation of each component: most are zero in most documents, and one line that repeats is no fault.
+FLOORS = (0.05, 0.05, 0.05, 0.15, 0.15)
 #: Groups with fewer rows are judged with their language, languages with fewer with all rows.
 LEAST_ROWS = 50
 STEPS = 3
@@ -93,10 +93,10 @@ def _added() -> list[Column]:
 
 
 def _estimate(sums: DataFrame, keys: list[str], scale: Column) -> DataFrame:
-    """Mean and the Cholesky factor of scale * covariance + FLOOR^2, from counts, sums and products."""
+    """Mean and the Cholesky factor of scale * covariance + FLOORS^2, from counts, sums and products."""
     n = F.col("_t_n")
     df = sums.withColumns({M[i]: F.col(f"_t_s{i}") / n for i in range(P)})
-    df = df.withColumns({f"_t_c{i}{j}": scale * (F.col(f"_t_q{i}{j}") / n - F.col(M[i]) * F.col(M[j])) + (FLOOR**2 if i == j else 0) for i, j in PAIRS})
+    df = df.withColumns({f"_t_c{i}{j}": scale * (F.col(f"_t_q{i}{j}") / n - F.col(M[i]) * F.col(M[j])) + (FLOORS[i] ** 2 if i == j else 0) for i, j in PAIRS})
     return _factor(df, keys)
 
 
@@ -106,7 +106,7 @@ def _factor(df: DataFrame, keys: list[str]) -> DataFrame:
         rest = F.col(f"_t_c{i}{j}")
         for k in range(j):
             rest = rest - F.col(f"_t_l{i}{k}") * F.col(f"_t_l{j}{k}")
-        df = df.withColumn(f"_t_l{i}{j}", F.sqrt(F.greatest(rest, F.lit(FLOOR**2 / 100))) if i == j else rest / F.col(f"_t_l{j}{j}"))
+        df = df.withColumn(f"_t_l{i}{j}", F.sqrt(F.greatest(rest, F.lit(min(FLOORS) ** 2 / 100))) if i == j else rest / F.col(f"_t_l{j}{j}"))
     det = sum((F.log(F.col(f"_t_l{i}{i}")) for i in range(P)), F.lit(0.0))
     return df.select(*keys, *M, *(f"_t_l{i}{j}" for i, j in PAIRS), det.alias("_t_det"))
 
@@ -135,7 +135,7 @@ def _medians(rows: DataFrame) -> DataFrame:
     apart = long.join(med, ["_t_g", "_t_i"]).withColumn("_t_v", F.abs(F.col("_t_v") - F.col("_t_med")))
     both = med.join(middle(apart, "_t_mad"), ["_t_g", "_t_i"])
     wide = both.groupBy("_t_g").agg(*(F.max(F.when(F.col("_t_i") == i, F.col("_t_med"))).alias(M[i]) for i in range(P)), *(F.max(F.when(F.col("_t_i") == i, 1.4826 * F.col("_t_mad"))).alias(f"_t_d{i}") for i in range(P)))
-    wide = wide.withColumns({f"_t_c{i}{j}": F.col(f"_t_d{i}") * F.col(f"_t_d{i}") + FLOOR**2 if i == j else F.lit(0.0) for i, j in PAIRS})
+    wide = wide.withColumns({f"_t_c{i}{j}": F.col(f"_t_d{i}") * F.col(f"_t_d{i}") + FLOORS[i] ** 2 if i == j else F.lit(0.0) for i, j in PAIRS})
     return _factor(wide.withColumn("_t_start", F.lit(0)), ["_t_g", "_t_start"])
 
 

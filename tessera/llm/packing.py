@@ -7,7 +7,11 @@ pieces are dealt to the plan's places by their rank within their length.
 
 from __future__ import annotations
 
+import re
+import sys
 import zlib
+from array import array
+from bisect import bisect_left, insort
 from collections import Counter
 
 import numpy as np
@@ -20,8 +24,8 @@ from .common import staged, text_of
 
 CAPACITY = 4096
 END_ID = 1
-#: Words whose ids a task remembers (about 150 bytes each).
-CACHE = 300_000
+#: Runs, and words, whose ids a task remembers (some 200 bytes each).
+CACHE = 500_000
 #: Rows of a group whose ranks one task counts.
 RANK_ROWS = 50_000
 #: Nodes that the search may visit; the best-fit incumbent is the answer when they are used up.
@@ -32,51 +36,83 @@ Pattern = tuple[tuple[int, int], ...]  # (length, how many), longest first
 
 # --- tokens -------------------------------------------------------------------------------------------------------
 
-_words: dict[str, dict[bytes, np.ndarray]] = {}
-_tokenizers: dict = {}
+#: How the vocabulary splits a text of white space, ASCII and the usual letters and signs of Latin-1, lower-cased; and what
+#: else a text may hold.
+RUN = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\\sa-z0-9ß-öø-ÿ]+")
+OTHER = re.compile("[^\\x09-\\x0d\\x20-\\x7eÀ-ÿ¡-§©«¬®°±¶·»¿]|<\\|")
 
 
-def encode(texts: list[str], tokenizer_file: str) -> list[np.ndarray]:
-    """Ids of each text. The vocabulary drops white space and never crosses it, so words are encoded once and remembered."""
-    if tokenizer_file not in _tokenizers:
+class Runs(dict):
+    """run -> its ids as little-endian unsigned 32-bit numbers, found when first asked for."""
+
+    def __init__(self, ids_of):
+        super().__init__()
+        self.ids_of = ids_of
+
+    def __missing__(self, run):
+        if len(self) >= CACHE:
+            self.clear()
+        ids = self[run] = array("I", self.ids_of(run)).tobytes()
+        return ids
+
+
+class Encoder:
+    """A tokenizer of tokenizers that lower-cases, drops white space and never crosses it: runs that it splits a text into
+    are encoded once and remembered. What holds characters beyond RUN's goes to the whole tokenizer word by word."""
+
+    def __init__(self, file: str):
         from tokenizers import Tokenizer
 
-        _tokenizers[tokenizer_file] = Tokenizer.from_file(tokenizer_file)
-    t, known = _tokenizers[tokenizer_file], _words.setdefault(tokenizer_file, {})
-    split = [x.encode("utf-8", "replace").split() for x in texts]
-    new = list({w for words in split for w in words if w not in known})
-    if len(known) + len(new) > CACHE:
-        known.clear()
-        new = list({w for words in split for w in words})
-    for i in range(0, len(new), 10_000):
-        part = new[i : i + 10_000]
-        known.update(zip(part, (np.array(e.ids, "<u4") for e in t.encode_batch([w.decode() for w in part], add_special_tokens=False)), strict=True))
-    none = np.zeros(0, "<u4")
-    return [np.concatenate([known[w] for w in words]) if words else none for words in split]
-
-
-def token_pieces(docs: DataFrame, tokenizer_file: str, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """A row per piece: id, piece, start, length, ids (array). A document's ids end with END_ID; only a document longer
-    than the capacity is cut. A null text counts as empty: it has the one id END_ID."""
+        whole = Tokenizer.from_file(file)
+        model = whole.model
+        # Byte-level vocabularies write a byte as its own character if that prints, and as one from 256 on else.
+        plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        chars = {b: b for b in plain} | {b: 256 + k for k, b in enumerate(b for b in range(256) if b not in set(plain))}
+        self.runs = Runs(lambda run: [t.id for t in model.tokenize(run if run.isascii() else run.encode().decode("latin-1").translate(chars))])
+        self.words = Runs(lambda word: whole.encode(word, add_special_tokens=False).ids)
+
+    def encode(self, text: str) -> bytes:
+        if not OTHER.search(text):
+            return b"".join(map(self.runs.__getitem__, RUN.findall(text.lower())))
+        words = (w.decode() for w in text.encode("utf-8", "replace").split())
+        return b"".join(self.words[w] if OTHER.search(w) else self.encode(w) for w in words)
+
+
+_encoders: dict[str, Encoder] = {}
+
+
+def encode(texts: list[str], tokenizer_file: str) -> list[bytes]:
+    """Ids of each text, as little-endian unsigned 32-bit numbers."""
+    if tokenizer_file not in _encoders:
+        _encoders[tokenizer_file] = Encoder(tokenizer_file)
+    return [_encoders[tokenizer_file].encode(x) for x in texts]
+
+
+def token_pieces(docs: DataFrame, tokenizer_file: str, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = True) -> DataFrame:
+    """A row per piece: id, piece, start, length, ids_crc32 (of the ids as little-endian unsigned 32-bit numbers) and ids
+    (an array, if asked for). A document's ids end with END_ID; only a document longer than the capacity is cut. A null
+    text counts as empty: it has the one id END_ID."""
     id_type = docs.schema[id_col].dataType
+    end = END_ID.to_bytes(4, "little")
 
     def run(batches):
         for b in batches:
             for i in range(0, b.num_rows, 256):
                 part = b.slice(i, 256)
-                which, piece, start, ids = [], [], [], []
+                rows, ids = [], []
                 for k, x in enumerate(encode(part.column(1).to_pylist(), tokenizer_file)):
-                    x = np.append(x, np.array([END_ID], "<u4"))
-                    for p, at in enumerate(range(0, len(x), capacity)):
-                        which.append(k)
-                        piece.append(p)
-                        start.append(at)
-                        ids.append(x[at : at + capacity])
-                lengths = np.array([len(x) for x in ids], np.int64)
-                values = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(lengths)), pa.int32()), pa.array(np.concatenate(ids).view("<i4"), pa.int32()))
-                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(which)), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(lengths), values], [id_col, "piece", "start", "length", "ids"])
+                    x += end
+                    for p, at in enumerate(range(0, len(x), 4 * capacity)):
+                        ids.append(x[at : at + 4 * capacity])
+                        rows.append((k, p, at // 4, len(ids[-1]) // 4, zlib.crc32(ids[-1])))
+                which, *numbers = (pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True))
+                if with_ids:
+                    ends = np.append(0, np.cumsum([len(x) // 4 for x in ids]))
+                    numbers.append(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(ids), "<i4"), pa.int32())))
+                yield pa.RecordBatch.from_arrays([part.column(0).take(which), *numbers], [id_col, "piece", "start", "length", "ids_crc32", "ids"][: len(numbers) + 1])
 
-    return docs.select(id_col, text_of(text_col).alias("_t_text")).mapInArrow(run, f"`{id_col}` {id_type.simpleString()}, piece int, start long, length long, ids array<int>")
+    fields = f"`{id_col}` {id_type.simpleString()}, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids
+    return docs.select(id_col, text_of(text_col).alias("_t_text")).mapInArrow(run, fields)
 
 
 # --- the plan -----------------------------------------------------------------------------------------------------
@@ -84,47 +120,50 @@ def token_pieces(docs: DataFrame, tokenizer_file: str, capacity: int = CAPACITY,
 
 def best_fit(counts: dict[int, int], capacity: int) -> list[tuple[Pattern, int]]:
     """Best-fit decreasing over a histogram: (pattern, number of bins). Bins that are alike are filled together."""
-    groups: list[list] = []  # [room, pattern as a list, bins]
+    rooms: list[int] = []  # of open bins, in order
+    open_: dict[int, list[list]] = {}  # room -> [pattern, bins]
     for length in sorted(counts, reverse=True):
-        left = counts[length]
-        groups.sort(key=lambda g: g[0])
-        made = []
-        for g in groups:
-            if not left:
-                break
-            k = g[0] // length
-            if not k:
-                continue
-            bins = min(g[2], left // k)
-            if bins:
-                made.append([g[0] - k * length, [*g[1], (length, k)], bins])
-                g[2] -= bins
-                left -= bins * k
-            if left and left < k and g[2]:
-                made.append([g[0] - left * length, [*g[1], (length, left)], 1])
-                g[2] -= 1
-                left = 0
-        if left:
-            k = capacity // length
-            if left // k:
-                made.append([capacity - k * length, [(length, k)], left // k])
-            if left % k:
-                made.append([capacity - left % k * length, [(length, left % k)], 1])
-        groups = [g for g in groups if g[2]] + made
-    return [(tuple(p), n) for _, p, n in groups]
+        left, made, i = counts[length], [], bisect_left(rooms, length)
+        while left and i < len(rooms):
+            room = rooms[i]
+            k, group = room // length, open_[room]
+            while left and group:
+                pattern, bins = group.pop()
+                if n := min(bins, left // k):
+                    made.append((room - k * length, (*pattern, (length, k)), n))
+                    left, bins = left - n * k, bins - n
+                if left and bins:  # fewer than fill a bin
+                    made.append((room - left * length, (*pattern, (length, left)), 1))
+                    left, bins = 0, bins - 1
+                if bins:
+                    group.append([pattern, bins])
+            if not group:
+                del open_[room], rooms[i]
+        k = capacity // length
+        if left // k:
+            made.append((capacity - k * length, ((length, k),), left // k))
+        if left % k:
+            made.append((capacity - left % k * length, ((length, left % k),), 1))
+        for room, pattern, n in made:
+            if room not in open_:
+                insort(rooms, room)
+                open_[room] = []
+            open_[room].append([pattern, n])
+    return [(p, n) for group in open_.values() for p, n in group]
 
 
 def lower_bound(counts: dict[int, int], capacity: int) -> int:
     """Martello and Toth's L2: items over half a bin sit alone, and lengths that fit beside none add up."""
-    best = -(-sum(k * n for k, n in counts.items()) // capacity)
-    lengths = sorted(counts)
-    for low in [0, *[x for x in lengths if 2 * x <= capacity]]:
-        big = sum(n for x, n in counts.items() if x > capacity - low)
-        mid = [(x, n) for x, n in counts.items() if capacity - low >= x > capacity / 2]
-        small = sum(x * n for x, n in counts.items() if low <= x <= capacity / 2)
-        room = sum((capacity - x) * n for x, n in mid)
-        best = max(best, big + sum(n for _, n in mid) + max(0, -(-(small - room) // capacity)))
-    return best
+    x = np.array(sorted(counts), np.int64)
+    n = np.array([counts[k] for k in x.tolist()], np.int64)
+    items, sums = np.append(0, np.cumsum(n)), np.append(0, np.cumsum(n * x))
+    half = np.searchsorted(x, capacity / 2, side="right")  # lengths from here on are over half
+    low = np.append(0, x[:half])
+    high = np.maximum(np.searchsorted(x, capacity - low, side="right"), half)  # and from here on fit beside none from low on
+    big, mid = items[-1] - items[high], items[high] - items[half]
+    room = mid * capacity - (sums[high] - sums[half])
+    small = sums[half] - sums[np.searchsorted(x, low, side="left")]
+    return int((big + mid + np.maximum(0, -(-(small - room) // capacity))).max())
 
 
 def fillings(counts: dict[int, int], capacity: int, most: int = 32) -> list[Pattern]:
@@ -213,8 +252,6 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY, nodes: int = NODES) -
                 if best_n == bound or left_nodes < 0:
                     return
 
-    import sys
-
     old = sys.getrecursionlimit()
     sys.setrecursionlimit(max(old, 20_000))
     try:
@@ -273,12 +310,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, keys: tuple[str, ...] = ("
 def packed_documents(docs: DataFrame, tokenizer_file: str, capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:
     """Documents as packed pieces: doc_id, piece, start, length, ids_crc32, sequence_id, offset (and ids, if asked for)."""
 
-    @F.pandas_udf("long")
-    def crc(ids: pd.Series) -> pd.Series:
-        return pd.Series([zlib.crc32(np.asarray(x, "<i4").tobytes()) for x in ids], dtype="int64")
-
-    pieces = token_pieces(docs, tokenizer_file, capacity).withColumn("ids_crc32", crc("ids"))
-    return pack(staged(pieces if with_ids else pieces.drop("ids"), "pieces"), capacity)
+    return pack(staged(token_pieces(docs, tokenizer_file, capacity, with_ids=with_ids), "pieces"), capacity)
 
 
 def op1_pack(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,10 +8,9 @@ pieces are dealt to the plan's places by their rank within their length.
 from __future__ import annotations
 
 import re
-import sys
 import zlib
 from array import array
-from bisect import bisect_left, insort
+from bisect import bisect_left, bisect_right, insort
 from collections import Counter
 
 import numpy as np
@@ -28,8 +27,8 @@ END_ID = 1
 CACHE = 500_000
 #: Rows of a group whose ranks one task counts.
 RANK_ROWS = 50_000
-#: Nodes that the search may visit; the best-fit incumbent is the answer when they are used up.
-NODES = 20_000
+#: Nodes that the search may visit, the incumbent being the answer when they are used up; nodes to a best-fit completion.
+NODES, BEST_FIT_EVERY = 5_000, 100
 
 Pattern = tuple[tuple[int, int], ...]  # (length, how many), longest first
 
@@ -166,40 +165,42 @@ def lower_bound(counts: dict[int, int], capacity: int) -> int:
     return int((big + mid + np.maximum(0, -(-(small - room) // capacity))).max())
 
 
-def fillings(counts: dict[int, int], capacity: int, most: int = 32) -> list[Pattern]:
+def fillings(counts: dict[int, int], capacity: int, most: int = 16) -> list[Pattern]:
     """Undominated fillings around the largest item, least waste first.
 
     One is dominated if an item of it can be replaced by a larger item, left over, that still fits (Martello and Toth);
     a filling to which a left-over item can be added is dominated too.
     """
-    largest = max(counts)
-    rest = {**counts, largest: counts[largest] - 1}
-    lengths = [x for x in sorted(rest, reverse=True) if rest[x]]
+    rising = sorted(counts)
+    largest = rising[-1]
+    rest = lambda x: counts[x] - (x == largest)
     found: list[tuple[int, Pattern]] = []
     steps = 0
 
-    def grow(i: int, room: int, taken: list[tuple[int, int]]):
+    def undominated(room: int, used: dict[int, int]) -> bool:
+        left = lambda y: rest(y) > used.get(y, 0)
+        if any(left(y) for y in rising[: bisect_right(rising, room)]):
+            return False
+        return not any(left(y) for x in used for y in rising[bisect_right(rising, x) : bisect_right(rising, x + room)])
+
+    def grow(i: int, room: int, taken: Pattern) -> None:
+        """i: number of lengths below that may be used."""
         nonlocal steps
         steps += 1
-        while i < len(lengths) and lengths[i] > room:
-            i += 1
-        if i == len(lengths) or steps > 50 * most:
-            used = dict(taken)
-            if any(x <= room and rest[x] > used.get(x, 0) for x in lengths):
-                return
-            if any(rest[y] > used.get(y, 0) and x < y <= x + room for x in used for y in lengths):
-                return
-            found.append((room, tuple(taken)))
+        i = bisect_right(rising, room, 0, i)
+        if i == 0 or room == 0:
+            if undominated(room, dict(taken)):
+                found.append((room, taken))
             return
-        x = lengths[i]
-        for k in range(min(rest[x], room // x), -1, -1):
-            if len(found) >= most and found[-1][0] == 0:
+        x = rising[i - 1]
+        for k in range(min(rest(x), room // x), -1, -1):
+            grow(i - 1, room - k * x, (*taken, (x, k)) if k else taken)
+            if steps > 20 * most or len(found) >= most:
                 return
-            grow(i + 1, room - k * x, [*taken, (x, k)] if k else taken)
 
-    grow(0, capacity - largest, [])
+    grow(len(rising), capacity - largest, ())
     out = []
-    for _, p in sorted(found, key=lambda f: f[0])[:most]:
+    for _, p in sorted(found, key=lambda f: f[0]):
         c = Counter({largest: 1})
         for x, k in p:
             c[x] += k
@@ -211,8 +212,9 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY, nodes: int = NODES) -
     """Bins for a histogram {length: items}, as (pattern, number of bins).
 
     The best-fit plan is the first incumbent. If it has more bins than the lower bound, bin completion branches over the
-    undominated fillings around the largest item (used for as many bins at once as the counts allow), prunes a node
-    whose waste shows that it can't beat the incumbent, and completes nodes by best fit for new incumbents.
+    undominated fillings around the largest item (used for as many bins at once as the counts allow, or once), prunes a
+    node whose waste shows that it can't beat the incumbent, and completes nodes by best fit for new incumbents. The
+    search holds one set of counts, which it takes from and gives back to.
     """
     counts = {k: n for k, n in counts.items() if n}
     if not counts:
@@ -223,42 +225,41 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY, nodes: int = NODES) -
         return alone
     total = sum(k * n for k, n in counts.items())
     best, bound = best_fit(counts, capacity), lower_bound(counts, capacity)
-    best_n = sum(n for _, n in best)
-    left_nodes = nodes
+    best_n, n_done, waste, path = sum(n for _, n in best), 0, 0, []
+    now = dict(counts)
 
-    def search(now: dict[int, int], done: list[tuple[Pattern, int]], n_done: int, waste: int):
-        nonlocal best, best_n, left_nodes
-        left_nodes -= 1
-        if best_n == bound or left_nodes < 0:
-            return
-        if not now:
-            if n_done < best_n:
-                best, best_n = done, n_done
-            return
-        rest = best_fit(now, capacity)
-        if n_done + sum(n for _, n in rest) < best_n:
-            best, best_n = [*done, *rest], n_done + sum(n for _, n in rest)
+    def children():
         for p in fillings(now, capacity):
-            most = min(now[x] // k for x, k in p)
-            room = capacity - sum(x * k for x, k in p)
+            most, room = min(now[x] // k for x, k in p), capacity - sum(x * k for x, k in p)
             for bins in dict.fromkeys((most, 1)):
-                wasted = waste + room * bins
-                if -(-(total + wasted) // capacity) >= best_n or n_done + bins >= best_n:
-                    continue
-                after = dict(now)
+                yield p, bins, room * bins
+
+    stack = [iter(list(children()))] if best_n > bound else []
+    while stack and nodes > 0 and best_n > bound:
+        step = next(stack[-1], None)
+        if step is None:
+            stack.pop()
+            if path:
+                p, bins, wasted = path.pop()
+                n_done, waste = n_done - bins, waste - wasted
                 for x, k in p:
-                    after[x] -= k * bins
-                search({x: n for x, n in after.items() if n}, [*done, (p, bins)], n_done + bins, wasted)
-                if best_n == bound or left_nodes < 0:
-                    return
-
-    old = sys.getrecursionlimit()
-    sys.setrecursionlimit(max(old, 20_000))
-    try:
-        if best_n > bound:
-            search(counts, [], 0, 0)
-    finally:
-        sys.setrecursionlimit(old)
+                    now[x] = now.get(x, 0) + k * bins
+            continue
+        p, bins, wasted = step
+        if -(-(total + waste + wasted) // capacity) >= best_n or n_done + bins >= best_n:
+            continue
+        nodes -= 1
+        path.append(step)
+        n_done, waste = n_done + bins, waste + wasted
+        for x, k in p:
+            now[x] -= k * bins
+            if not now[x]:
+                del now[x]
+        rest = best_fit(now, capacity) if now and nodes % BEST_FIT_EVERY == 0 else []
+        if (not now or rest) and n_done + sum(n for _, n in rest) < best_n:
+            best = [(q, n) for q, n, _ in path] + rest
+            best_n = sum(n for _, n in best)
+        stack.append(iter(list(children()) if now else []))
     return alone + best
 
 

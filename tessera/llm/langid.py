@@ -65,7 +65,7 @@ class Model:
     def __init__(self, langs: list[str], pieces: list[str], probs: np.ndarray):
         self.langs, self.pieces, self.id = langs, pieces, uuid.uuid4().hex
         n = len(langs)
-        self.probs = np.concatenate([probs.reshape(-1, n), np.full((1, n), UNKNOWN), np.zeros((1, n))])
+        self.probs = np.concatenate([probs.reshape(len(pieces), n), np.full((1, n), UNKNOWN), np.zeros((1, n))])
         self.longest = max(map(len, pieces), default=1)
 
     def __getstate__(self):

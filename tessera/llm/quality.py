@@ -170,11 +170,10 @@ def judge(docs: DataFrame, lang_col: str = "lang", source_col: str = "source", t
     than LEAST_ROWS such rows are judged with their language, and such languages with all rows. Repeated rows count
     each; an empty table gives an empty result.
     """
-    own = [c for c in docs.columns if c != text_col]
     names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+    own = [c for c in docs.columns if c not in (text_col, *names, "base_failed", "distance", "kept")]
     counted = with_statistics(docs.drop(*names, "base_failed", "distance", "kept"), text_col)
     base = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words"))
-    own = [c for c in own if c in counted.columns]
     counted = counted.select(*own, *names, base.alias("base_failed"), *(v.alias(x) for v, x in zip(vector(), X, strict=True)))
     counted = staged(counted, "statistics")
     good = counted.filter("not base_failed")

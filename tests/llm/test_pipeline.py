@@ -1,0 +1,32 @@
+import re
+from collections import Counter
+
+import duckdb
+
+import corpus_pipeline
+from tests.llm.test_dedup_and_simhash import components, fingerprint, normal
+
+SF = "/root/testdata/sf0.001"
+
+
+def test_stages_are_brute_force(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    steps = {}
+    for name, stage in corpus_pipeline.STAGES:
+        path = corpus_pipeline.new_folder(spark, name)
+        stage(spark, docs, SF).write.parquet(path)
+        docs = spark.read.parquet(path)
+        steps[name] = docs.toPandas()
+    whole = duckdb.sql(f"SELECT * FROM '{SF}/documents.parquet'").df()
+    assert list(steps["mix"].columns) == list(whole.columns)
+    assert set(steps["language"].doc_id) == {r.doc_id for r in whole.itertuples() if r.text and re.search(r"[^\W\d_]", r.text)}
+    first = {}
+    for r in steps["language"].sort_values("doc_id").itertuples():
+        first.setdefault(normal(r.text), r.doc_id)
+    assert sorted(steps["exact"].doc_id) == sorted(first.values())
+    rows = steps["exact"].sort_values("doc_id").reset_index()
+    roots = components([fingerprint(t) for t in rows.text])
+    assert sorted(steps["near"].doc_id) == sorted({rows.doc_id[k] for k in roots})
+    assert set(steps["mix"].doc_id) <= set(steps["near"].doc_id) and max(Counter(steps["mix"].doc_id).values()) <= 3
+    assert (Counter(steps["pack"][steps["pack"].piece == 0].doc_id)) == Counter(steps["mix"].doc_id)
+    assert steps["pack"].groupby("sequence_id").length.sum().max() <= 4096

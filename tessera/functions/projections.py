@@ -85,9 +85,9 @@ def _phi_of_q(s, e, q, steps: int = 14):
     for _ in range(steps):
         if isinstance(phi, float) and change == 0.0:
             break
-        c = cos(phi)
-        w = 1 - e2 * sin(phi) * sin(phi)
-        step = w * w * div(1.0, 2 * c) * (q / (1 - e2) - sin(phi) / w + ln((1 - e * sin(phi)) / (1 + e * sin(phi))) / (2 * e))
+        c, sp = s.let(cos(phi)), s.let(sin(phi))
+        w = s.let(1 - e2 * sp * sp)
+        step = w * w * div(1.0, 2 * c) * (q / (1 - e2) - sp / w + s.let(ln((1 - e * sp) / (1 + e * sp))) / (2 * e))
         d = s.let(where(absolute(change) < eps, 0.0, where(c < eps, sign(q) * pi / 2 - phi, step)))
         ended = c < eps
         phi = s.let(phi + d)

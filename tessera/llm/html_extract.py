@@ -176,6 +176,19 @@ def _commas(node: Node) -> int:
     return n
 
 
+def _promoted(best: Node) -> Node:
+    """The article that the best container is a part of, or else the main element: a long section does not outdo the
+    article around it."""
+    up, main = best, None
+    while up is not None:
+        if up.tag == "article" and _density(up) < 0.5:
+            return up
+        if up.tag == "main" and _density(up) < 0.5:
+            main = up
+        up = up.parent
+    return main or best
+
+
 def _density(n: Node) -> float:
     return n.linked / n.chars if n.chars else 0.0
 
@@ -216,6 +229,7 @@ def main_text(page: str) -> str:
     if not scored:  # nothing reads like prose: all that is left of the page
         return "\n\n".join(_blocks([root]))
     best = max(scored, key=lambda n: n.points * (1 - _density(n)))
+    best = _promoted(best)
     if best.parent is None or best.tag in ("html", "body"):
         return "\n\n".join(_blocks([best]))
     least, kept = max(10.0, SHARE * best.points * (1 - _density(best))), []

@@ -128,6 +128,7 @@ PROSE = "This is a long sentence of the article, with commas, and more of them,
         (f"<body><nav><a href=x>Menu</a></nav><article><h1>Title</h1><p>{PROSE}<p>{PROSE}&lt;b&gt; caf&eacute;</article><footer>foot</footer>", f"Title\n\n{PROSE.strip()}\n\n{PROSE}<b> café"),
         (f"<div class='sidebar'><p>{PROSE * 3}</p></div><div id=main><p>{PROSE}</p><p>Short one.</p><script>var a='<p>x</p>'</script><form><p>{PROSE}</p></form><div class=\"comments\"><p>{PROSE}</p></div></div>", f"{PROSE.strip()}\n\nShort one."),
         (f"<div><p>{PROSE}<br>next   line\n here<!-- <p>no</p> --></p><ul><li>one<li>two</ul></div>", f"{PROSE}next line here\n\none\n\ntwo"),
+        (f"<main><article><section><p>{PROSE * 9}</p></section><section><p>Short.</p></section></article><div class='related-posts'><p>{PROSE}</p></div></main>", f"{(PROSE * 9).strip()}\n\nShort."),
         (f"<article><p>{PROSE}</p><aside>aside</aside><div role=complementary>{PROSE}</div><p hidden>no</p><style>p{{}}</style><p>End.</p></article></b></div><p>", f"{PROSE.strip()}\n\nEnd."),
     ],
 )

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,6 +25,12 @@ def locations(spark: SparkSession, g: GridDef, shift: tuple[float, float] = (0.0
     return found.select("row", "col", known("lat").alias("lat"), known("lon").alias("lon"))
 
 
+def all_locations(spark: SparkSession, grids: dict[str, GridDef]) -> DataFrame:
+    """The locations of several grids: grid, row, col, lat, lon."""
+    parts = [locations(spark, g).select(F.lit(name).alias("grid"), "row", "col", "lat", "lon") for name, g in grids.items()]
+    return reduce(DataFrame.unionByName, parts)
+
+
 def without_fill(raster: DataFrame, fill: float | None) -> DataFrame:
     """Cells with a value that is not the fill value."""
     out = raster.filter(F.col("value").isNotNull())

@@ -128,6 +128,15 @@ def every_nth(points: DataFrame, n: int, least: int = 10) -> DataFrame:
     return points.withColumns({"_n": size, "_last": last}).filter((F.col("_n") <= least) | (F.col("pos") % n == 0) | (F.col("pos") == F.col("_last"))).drop("_n", "_last")
 
 
+def prepare(points: DataFrame, ranks: list[int] | None = None, box: tuple[float, float, float, float] | None = None, nth: int = 1) -> DataFrame:
+    """An import of raw segments (seg, pos, lat, lon, rank): those of the ranks whose bounds meet the box (south, north,
+    west, east), every nth point of them, cut at the date line. seg, part, pos, lat, lon."""
+    points = points if ranks is None else points.filter(F.col("rank").isin(ranks))
+    points = points.select("seg", "pos", "lat", "lon")
+    points = points if box is None else clip([points], *box).drop("source")
+    return split_at_date_line(every_nth(points, nth) if nth > 1 else points)
+
+
 def _around(lat0: float, lon0: float, lat: float, lon: float) -> tuple[float, float]:
     """x, y in km on an equal-area map around (lat0, lon0)."""
     p0, p, dl = math.radians(lat0), math.radians(lat), math.radians(lon - lon0)

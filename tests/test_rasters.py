@@ -212,6 +212,7 @@ def test_cells_and_locations(spark):
     rows = cells.locations(spark, WIDE, undefined=-999.0).collect()
     assert len(rows) == WIDE.n_cells and [(r["row"], r["col"]) for r in rows[:10]] == [(0, j) for j in range(9)] + [(1, 0)]
     assert sum(r["lat"] == -999.0 for r in rows) == sum(not T.place_geo(WIDE, float(j), float(i))[2] for i in range(5) for j in range(9))
+    assert cells.all_locations(spark, {"a": WIDE, "b": FINE}).groupBy("grid").count().collect() != [] and cells.all_locations(spark, {"a": WIDE, "b": FINE}).count() == WIDE.n_cells + FINE.n_cells
     filled = cells.filled(spark.createDataFrame([(0, 0, 1.0), (0, 1, None)], "row int, col int, value double"), WIDE, -1.0)
     assert filled.count() == 45 and filled.filter("value = -1").count() == 44
 
@@ -276,6 +277,8 @@ def test_segments(spark):
     assert [r.lat for r in back] == [10.0 + k / 1024 for k in range(6)]
     assert vectors.thinned([0, 0, 0, 0], [0, 1, 2, 3], 1.0) == [0, 3] and vectors.thinned([0, 1, 0], [0, 1, 2], 1.0) == [0, 1, 2]
     assert vectors.thin(p, 0.01) is p
+    raw = p.withColumn("rank", F.col("seg") + 1)
+    assert vectors.prepare(raw, [1]).select("seg").distinct().collect()[0][0] == 0 and vectors.prepare(raw, box=(0, 90, 170, -170)).filter("seg = 0").isEmpty()
 
 
 def test_chains(spark):

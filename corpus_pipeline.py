@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from tessera.llm import exact_dedup, langid, mixing, packing, simhash
-from tessera.llm.common import new_folder
+from tessera.llm.common import new_folder, restored, shielded
 
 #: A document goes if it has no letters, or if no language is more likely than all others together.
 LEAST_SCORE = 0.5
@@ -14,11 +14,9 @@ LEAST_SCORE = 0.5
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is told. The columns, lang among them, stay as they are."""
-    own = docs.columns
     model = langid.fit(docs.filter(~langid.held_out()), langid.default_vocabulary())
-    told = langid.predict(docs.withColumnsRenamed({c: f"_own_{c}" for c in own if c in ("lang_pred", "score")}), model)
-    told = told.filter(f"lang_pred <> 'und' and score >= {LEAST_SCORE}").drop("lang_pred", "score")
-    return told.withColumnsRenamed({f"_own_{c}": c for c in own}).select(own)
+    told = langid.predict(shielded(docs, ["lang_pred", "score"]), model)
+    return restored(told.filter(f"lang_pred <> 'und' and score >= {LEAST_SCORE}"), docs)
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

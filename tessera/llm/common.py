@@ -44,6 +44,16 @@ def text_of(col: str) -> Column:
     return F.coalesce(F.col(col).cast("string"), F.lit(""))
 
 
+def shielded(docs: DataFrame, names) -> DataFrame:
+    """docs with columns of these names renamed, so that an operator's results of those names don't replace them."""
+    return docs.withColumnsRenamed({c: f"_t_own_{c}" for c in docs.columns if c in names})
+
+
+def restored(df: DataFrame, docs: DataFrame) -> DataFrame:
+    """The columns of docs, under their names, from rows of a shielded docs."""
+    return df.select(*(F.col(f"_t_own_{c}" if f"_t_own_{c}" in df.columns else c).alias(c) for c in docs.columns))
+
+
 def n_words(text: Column) -> Column:
     """Number of ``[^\\x20\\x09-\\x0D]+`` in the text, counted by the JVM without making an array."""
     return F.length(F.regexp_replace(F.regexp_replace(text, WORD, "w"), SPACE, "")).cast("long")

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import SPACE, staged, text_of, with_group
+from .common import SPACE, restored, shielded, staged, text_of, with_group
 
 #: Bits of the first filter for each row, and the most bits of the second, which is broadcast: 2^28 are 32 MB.
 BITS_PER_ROW = 16
@@ -131,11 +131,11 @@ def judge(hashed: DataFrame, id_col: str = "doc_id") -> DataFrame:
 def kept_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs that stay, with the columns of docs. Copies go before their texts would shuffle: the winner of
     each group is looked up by text hash and id, a key that spreads a hot group over all tasks."""
-    own = docs.columns
-    maybe, once = possibly_repeated(digests(docs, id_col, text_col).withColumn("_t_sha", F.col("text_sha256")), docs.count())
-    winners = maybe.groupBy(F.col("_t_sha").alias("_t_of")).agg(F.min(id_col).alias("_t_keep"))
-    found = maybe.join(winners, (F.col("_t_sha") == F.col("_t_of")) & F.col(id_col).eqNullSafe(F.col("_t_keep")))
-    return once.select(own).unionByName(found.dropDuplicates(["_t_sha"]).select(own))
+    hashed = digests(shielded(docs, ["text_sha256"]), id_col, text_col)
+    maybe, once = possibly_repeated(hashed, docs.count())
+    winners = maybe.groupBy(F.col("text_sha256").alias("_t_of")).agg(F.min(id_col).alias("_t_keep"))
+    found = maybe.join(winners, (F.col("text_sha256") == F.col("_t_of")) & F.col(id_col).eqNullSafe(F.col("_t_keep")))
+    return restored(once, docs).unionByName(restored(found.dropDuplicates(["text_sha256"]), docs))
 
 
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

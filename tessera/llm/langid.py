@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import staged, text_of
+from .common import staged
 
 #: The words of a text; in the vocabulary a word starts with a mark.
 LETTERS = re.compile(r"[^\W\d_]+")

@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import n_words, text_of
+from .common import n_words, restored, shielded, text_of
 
 WEIGHTS = (5, 2, 1)
 MAX_EPOCHS = 3
 #: Leading hex digits of a document's draw that make the bins in which a source's words are counted (16^3 bins).
 DIGITS = 3
+RESULT = ("size", "source_size", "target", "repetitions", "taken")
 
 
 def targets(sources: DataFrame, weights: tuple[int, ...] = WEIGHTS, epochs: int = MAX_EPOCHS) -> DataFrame:
@@ -50,8 +51,7 @@ def mix_sources(docs: DataFrame, seed: int = 7, id_col: str = "doc_id", text_col
     sources is held anywhere: bins of draws are summed to find the bin in which a source's target falls, and only that
     bin's rows (a 4096th) are ordered.
     """
-    result = ("size", "source_size", "target", "repetitions", "taken")
-    docs = docs.drop(*result)
+    docs = docs.drop(*RESULT)
     own = docs.columns
     drawn = docs.withColumns({"size": n_words(text_of(text_col)), "_t_draw": draw(id_col, seed)}).withColumn("_t_bin", F.conv(F.substring("_t_draw", 1, DIGITS), 16, 10).cast("int"))
     bins = drawn.groupBy(F.col(source_col).alias("source"), "_t_bin").agg(F.sum("size").alias("_t_words")).persist()
@@ -77,13 +77,13 @@ def mix_sources(docs: DataFrame, seed: int = 7, id_col: str = "doc_id", text_col
     before = F.col("_t_before") + F.coalesce(F.sum("size").over(ordered), F.lit(0))
     open_ = of.filter("_t_bin = _t_cut").withColumn("_t_more", (before + F.col("size") / 2 <= F.col("_t_rest")).cast("long"))
     both = sure.unionByName(open_).withColumn("repetitions", F.col("_t_whole") + F.col("_t_more"))
-    return both.withColumn("taken", F.col("size") * F.col("repetitions")).select(*own, *result)
+    return both.withColumn("taken", F.col("size") * F.col("repetitions")).select(*own, *RESULT)
 
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """The mix itself: each row of docs as often as mix_sources repeats it, with the columns of docs."""
-    own = docs.columns
-    return mix_sources(docs, **options).filter("repetitions > 0").select(*own, F.explode(F.expr("sequence(1, repetitions)")).alias("_t_copy")).drop("_t_copy")
+    mixed = mix_sources(shielded(docs, RESULT), **options).filter("repetitions > 0")
+    return restored(mixed.withColumn("_t_copy", F.explode(F.expr("sequence(1, repetitions)"))), docs)
 
 
 def op8_mix(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -30,3 +30,17 @@ def test_stages_are_brute_force(spark):
     assert set(steps["mix"].doc_id) <= set(steps["near"].doc_id) and max(Counter(steps["mix"].doc_id).values()) <= 3
     assert (Counter(steps["pack"][steps["pack"].piece == 0].doc_id)) == Counter(steps["mix"].doc_id)
     assert steps["pack"].groupby("sequence_id").length.sum().max() <= 4096
+
+
+def test_stages_on_odd_rows_and_on_none(spark, docs, empty):
+    """Nulls, blanks, repeated rows and columns named as the operators' own: all but the last return the columns of documents."""
+    from pyspark.sql import functions as F
+
+    odd = docs.withColumns({"text_sha256": F.lit("own"), "lang_pred": F.lit("own"), "target": F.lit(-1), "keep_id": F.lit(-2)})
+    for now in (odd, empty):
+        for name, stage in corpus_pipeline.STAGES:
+            out = stage(spark, now, SF)
+            assert name == "pack" or out.columns == now.columns
+            assert (out.count() > 0) == (now is not empty)
+            if name != "pack" and now is odd:
+                assert out.filter("size <> 7 or text_sha256 <> 'own' or lang_pred <> 'own' or target <> -1 or keep_id <> -2 or score <> 0.5").count() == 0

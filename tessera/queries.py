@@ -275,10 +275,11 @@ _BOTH = [*looked_sql(WORLD, NORTH, True), RASTER_SQL]
 _resamp("nearest", whole_sql([*_BOTH, NEAR_SQL], NORTH, "SELECT i, j, sv AS x FROM near", "0e0"), target=NORTH, method="nearest", fill=0.0)
 _resamp("nearest_mask", whole_sql([*_BOTH, NEAR_SQL], NORTH, "SELECT i, j, CASE WHEN sv = 7 THEN 100e0 ELSE 0e0 END AS x FROM near", "0e0"), target=NORTH, method="nearest", fill=0.0, mask=7.0)
 _resamp("bilinear", stencil_sql(0, 1, LINEAR_W, f", found AS (SELECT i, j, {ROUND.format('num / w')} AS x FROM sums WHERE w <> 0) SELECT c.i AS cell_row, c.j AS cell_col, {qs('coalesce(x, 0e0)', 1.0)} AS value FROM {cells_sql(NORTH)} c LEFT JOIN found USING (i, j)", "both"), target=NORTH, method="bilinear", fill=0.0)
-_IN_COARSE = [x.replace("FROM seen WHERE", "FROM seen WHERE") for x in looked_sql(COARSE, WORLD, True)] + [f"dealt AS (SELECT i, j, v, {TRUNC.format('s + 0.5e0')} AS ti, {TRUNC.format('r + 0.5e0')} AS tj FROM seen WHERE v <> 0)"]
-_FOLD = "list_reduce(list_prepend(0e0, list(x ORDER BY i, j)), (m, y, n) -> trunc((m * (n - 2) + y) / (n - 1) + 0.5e0))"
+_IN_COARSE = [*looked_sql(COARSE, WORLD, True), f"dealt AS (SELECT i, j, v, {TRUNC.format('s + 0.5e0')} AS ti, {TRUNC.format('r + 0.5e0')} AS tj FROM seen WHERE v <> 0)"]
 _resamp("bucket_fast", whole_sql(_IN_COARSE, COARSE, f"SELECT ti AS i, tj AS j, {ROUND.format('avg(v)')} AS x FROM dealt GROUP BY ti, tj", "0e0"), target=COARSE, method="bucket", fill=0.0, exact=False)
-_resamp("bucket_exact", None, target=COARSE, method="bucket", fill=0.0)
+#: The mean of a cell rounded after each value, in row-major order; n is the number of values so far and 1 (the start).
+_FOLD = "list_reduce(list_prepend(0e0, list(v ORDER BY i, j)), lambda m, x, n: trunc((m * (n - 2) + x) / (n - 1) + 0.5e0))"
+_resamp("bucket_exact", whole_sql(_IN_COARSE, COARSE, f"SELECT ti AS i, tj AS j, {_FOLD} AS x FROM dealt GROUP BY ti, tj", "0e0"), target=COARSE, method="bucket", fill=0.0)
 _resamp("bucket_mask", whole_sql(_IN_COARSE, COARSE, f"SELECT ti AS i, tj AS j, {ROUND.format(ROUND.format('avg(CASE WHEN v = 7 THEN 10000e0 ELSE 0e0 END)') + ' / 100')} AS x FROM dealt GROUP BY ti, tj", "-1e0"), target=COARSE, method="bucket", fill=0.0, mask=7.0, exact=False)
 _SMALL = WORLD.shrink(3)
 _resamp("minification", with_sql([RASTER_SQL], f"SELECT c.i AS cell_row, c.j AS cell_col, {qs('coalesce(sv, 0e0)', 1.0)} AS value FROM {cells_sql(_SMALL)} c LEFT JOIN src ON si = CAST(trunc(3 * (c.i + 0.5e0) + 0.5e0) AS INTEGER) AND sj = CAST(trunc(3 * (c.j + 0.5e0) + 0.5e0) AS INTEGER)"), method="minification", fill=0.0, factor=3)
@@ -517,16 +518,32 @@ def chebyshev_nodes(spark, sf_dir):
     return models.chebyshev_nodes(spark.range(32).withColumnRenamed("id", "i"), "i", 32, -1.0, 3.0).select("i", q(F.col("node")).alias("node"))
 
 
-@query("map_accuracy", "SELECT 102400 AS points, 0 AS bad, TRUE AS within_a_metre")
+def _map_accuracy_sql(m: MapDef, n: int) -> str:
+    lat, lon = (f"{low!r} + {(high - low) / n!r} * ({k} + 0.5e0)" for low, high, k in ((m.south, m.north, f"(id // {n})"), (m.west, m.east, f"(id % {n})")))
+    s = Ctes("p", [f"p AS (SELECT CAST({lat} AS DOUBLE) AS lat, CAST({lon} AS DOUBLE) AS lon FROM range({n * n}) t(id))"])
+    back = T.geo_of_uv(m, s, *T.map_uv(m, s, Sql("lat"), Sql("lon")))
+    e = s.let(geodesy.arc_length(s, Sql("lat"), Sql("lon"), *back))
+    return s.query(f"CAST(count(*) AS INTEGER) AS points, CAST(count(*) FILTER ({e.sql} IS NULL) AS INTEGER) AS bad, max({e.sql}) < 1e-3 AS within_a_metre")
+
+
+@query("map_accuracy", _map_accuracy_sql(MAPS["polar_stereographic_ellipsoid"], accuracy.LATTICE))
 def map_accuracy(spark, sf_dir):
     r = accuracy.map_accuracy(spark, MAPS["polar_stereographic_ellipsoid"])
     return r.select(F.col("points").cast("int").alias("points"), F.col("bad").cast("int").alias("bad"), (F.col("max") < 1e-3).alias("within_a_metre"))
 
 
-@query("grid_accuracy", f"WITH c AS ({_LOC.query('i')}) SELECT 0 AS bad, TRUE AS exact")
+def _grid_accuracy_sql(g: GridDef) -> str:
+    s = Ctes("c0", [f"c0 AS (SELECT CAST(i AS DOUBLE) AS fi, CAST(j AS DOUBLE) AS fj FROM {cells_sql(g)})"])
+    lat, lon, ok = T.geo_of_place(g, s, Sql("fj"), Sql("fi"))
+    r, t, _ = T.grid_place(g, s, lat, lon)
+    e = s.let(T.flat_distance(r, t, Sql("fj"), Sql("fi")))
+    return s.query(f"CAST(count(*) AS INTEGER) AS points, CAST(count(*) FILTER ({e.sql} IS NULL) AS INTEGER) AS bad, max({e.sql}) < 1e-9 AS exact") + f" WHERE {ok.sql}"
+
+
+@query("grid_accuracy", _grid_accuracy_sql(NORTH))
 def grid_accuracy(spark, sf_dir):
     r = accuracy.grid_accuracy(spark, NORTH)
-    return r.select(F.col("bad").cast("int").alias("bad"), (F.col("max") < 1e-9).alias("exact"))
+    return r.select(F.col("points").cast("int").alias("points"), F.col("bad").cast("int").alias("bad"), (F.col("max") < 1e-9).alias("exact"))
 
 
 _EVENTS = """(SELECT CAST(user_id * 7919 % 179000 AS DOUBLE) / 1000e0 - 89.4863e0 AS lat, CAST((user_id * 611953 + 17) % 359000 AS DOUBLE) / 1000e0 - 179.4863e0 AS lon, 1e0 AS v FROM events)"""

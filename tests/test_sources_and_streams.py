@@ -52,7 +52,7 @@ def test_segment_file(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(segments, "SEGMENTS", 2)
     rows = [(s, k, (100 * s + k * k) / 1024, (5000 * s + 3 * k) / 1024) for s in range(5) for k in range(s + 2)]
     df = spark.createDataFrame(rows, "seg int, pos int, lat double, lon double")
-    path = segments.write_segments(df, str(tmp_path / "s.cdb"), "a coast")
+    path = segments.write_segments(df, str(tmp_path / "s.seg"), "a coast")
     assert segments.read_header(path)[1:] == (5, "a coast")
     spark.dataSource.register(segments.SegmentFile)
     back = vectors.decode(spark.read.format("segment_file").option("path", path).load())

@@ -12,6 +12,8 @@ import zlib
 from array import array
 from bisect import bisect_left, bisect_right, insort
 from collections import Counter
+from collections.abc import Callable, Iterator
+from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -165,79 +167,97 @@ def lower_bound(counts: dict[int, int], capacity: int) -> int:
     return int((big + mid + np.maximum(0, -(-(small - room) // capacity))).max())
 
 
-def fillings(counts: dict[int, int], capacity: int, most: int = 16) -> list[Pattern]:
-    """Undominated fillings around the largest item, least waste first.
+def reachable(counts: dict[int, int], capacity: int) -> list[int]:
+    """Subset sums: bit s of entry i is set if items of the i least lengths can add up to s, at most the capacity."""
+    mask, table = (1 << capacity + 1) - 1, [1]
+    for x in sorted(counts):
+        sums, left, k = table[-1], min(counts[x], capacity // x), 1
+        while left and sums != mask:
+            k = min(k, left)
+            sums |= sums << k * x & mask
+            left, k = left - k, 2 * k
+        table.append(sums)
+    return table
+
+
+def undominated(counts: dict[int, int], capacity: int, own: int) -> Iterator[Pattern | None]:
+    """All undominated fillings around an item of length ``own``, least waste first, each found without a dead end; None for
+    each dominated one that is passed over.
 
     One is dominated if an item of it can be replaced by a larger item, left over, that still fits (Martello and Toth);
     a filling to which a left-over item can be added is dominated too.
     """
-    rising = sorted(counts)
-    largest = rising[-1]
-    rest = lambda x: counts[x] - (x == largest)
-    found: list[tuple[int, Pattern]] = []
-    steps = 0
-
-    def undominated(room: int, used: dict[int, int]) -> bool:
-        left = lambda y: rest(y) > used.get(y, 0)
-        if any(left(y) for y in rising[: bisect_right(rising, room)]):
-            return False
-        return not any(left(y) for x in used for y in rising[bisect_right(rising, x) : bisect_right(rising, x + room)])
-
-    def grow(i: int, room: int, taken: Pattern) -> None:
-        """i: number of lengths below that may be used."""
-        nonlocal steps
-        steps += 1
-        i = bisect_right(rising, room, 0, i)
-        if i == 0 or room == 0:
-            if undominated(room, dict(taken)):
-                found.append((room, taken))
+    full = capacity - own
+    rest = {x: n - (x == own) for x, n in counts.items() if n > (x == own) and x <= full}
+    rising, table = sorted(rest), reachable(rest, full)
+
+    def exact(i: int, left: int) -> Iterator[Pattern]:
+        """Items of the i least lengths that add up to left, which is reachable."""
+        if not left:
+            yield ()
             return
-        x = rising[i - 1]
-        for k in range(min(rest(x), room // x), -1, -1):
-            grow(i - 1, room - k * x, (*taken, (x, k)) if k else taken)
-            if steps > 20 * most or len(found) >= most:
-                return
-
-    grow(len(rising), capacity - largest, ())
-    out = []
-    for _, p in sorted(found, key=lambda f: f[0]):
-        c = Counter({largest: 1})
-        for x, k in p:
-            c[x] += k
-        out.append(tuple(sorted(c.items(), reverse=True)))
-    return out or [((largest, 1),)]
-
-
-def plan(counts: dict[int, int], capacity: int = CAPACITY, nodes: int = NODES) -> list[tuple[Pattern, int]]:
-    """Bins for a histogram {length: items}, as (pattern, number of bins).
-
-    The best-fit plan is the first incumbent. If it has more bins than the lower bound, bin completion branches over the
-    undominated fillings around the largest item (used for as many bins at once as the counts allow, or once), prunes a
-    node whose waste shows that it can't beat the incumbent, and completes nodes by best fit for new incumbents. The
-    search holds one set of counts, which it takes from and gives back to.
-    """
-    counts = {k: n for k, n in counts.items() if n}
-    if not counts:
-        return []
-    full = counts.pop(capacity, 0)
-    alone = [(((capacity, 1),), full)] if full else []
-    if not counts:
-        return alone
+        i = bisect_right(rising, left, 0, i)
+        while i and table[i] >> left & 1:
+            i -= 1
+            x = rising[i]
+            for k in range(min(rest[x], left // x), 0, -1):
+                if table[i] >> left - k * x & 1:
+                    for taken in exact(i, left - k * x):
+                        yield ((x, k), *taken)
+
+    def dominated(room: int, taken: Pattern) -> bool:
+        used = dict(taken)
+        left = lambda y: rest[y] > used.get(y, 0)
+        if any(left(y) for y in rising[: bisect_right(rising, room)]):
+            return True
+        return any(left(y) for x in used for y in rising[bisect_right(rising, x) : bisect_right(rising, x + room)])
+
+    for total in range(full, -1, -1):
+        if table[-1] >> total & 1:
+            for taken in exact(len(rising), total):
+                if total < full and dominated(full - total, taken):
+                    yield None
+                else:
+                    yield tuple(sorted((Counter({own: 1}) + Counter(dict(taken))).items(), reverse=True))
+
+
+def fillings(counts: dict[int, int], capacity: int, own: int, most: int = 16) -> Iterator[Pattern | None]:
+    """What undominated() gives, ``most`` at a time. The table of sums is not held between two of these, but made again
+    from counts, which has to be the same whenever the next one is asked for."""
+    done = 0
+    while part := list(islice(undominated(counts, capacity, own), done, done + most)):
+        yield from part
+        done, most = done + len(part), 2 * most
+
+
+def complete(counts: dict[int, int], capacity: int, incumbent: list[tuple[Pattern, int]], bound: int, nodes: int, own: Callable[[dict[int, int]], int]) -> list[tuple[Pattern, int]]:
+    """Bin completion: branches over the undominated fillings around an item of length own(counts left), used for as many
+    bins at once as the counts allow, or once; prunes a node whose waste shows that it can't beat the incumbent, and
+    completes nodes by best fit for new incumbents (each node of up to BEST_FIT_EVERY lengths, and one in as many of the
+    others). The search holds one set of counts, which it takes from and gives back to. Any item is in some bin, so each
+    choice of it makes an exact search."""
     total = sum(k * n for k, n in counts.items())
-    best, bound = best_fit(counts, capacity), lower_bound(counts, capacity)
-    best_n, n_done, waste, path = sum(n for _, n in best), 0, 0, []
-    now = dict(counts)
+    best, best_n, n_done, waste, path, now = incumbent, sum(n for _, n in incumbent), 0, 0, [], dict(counts)
 
     def children():
-        for p in fillings(now, capacity):
+        for p in fillings(now, capacity, own(now)):
+            if p is None:
+                yield None
+                continue
             most, room = min(now[x] // k for x, k in p), capacity - sum(x * k for x, k in p)
             for bins in dict.fromkeys((most, 1)):
                 yield p, bins, room * bins
 
-    stack = [iter(list(children()))] if best_n > bound else []
+    stack = [children()]
     while stack and nodes > 0 and best_n > bound:
-        step = next(stack[-1], None)
-        if step is None:
+        step = next(stack[-1], ())
+        if step is None:  # a dominated filling
+            nodes -= 1
+            continue
+        beaten = step and (-(-(total + waste + step[2]) // capacity) >= best_n or n_done + step[1] >= best_n)
+        if beaten and step[1] > 1:
+            continue
+        if beaten or not step:  # the fillings that follow waste as much or more
             stack.pop()
             if path:
                 p, bins, wasted = path.pop()
@@ -246,8 +266,6 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY, nodes: int = NODES) -
                     now[x] = now.get(x, 0) + k * bins
             continue
         p, bins, wasted = step
-        if -(-(total + waste + wasted) // capacity) >= best_n or n_done + bins >= best_n:
-            continue
         nodes -= 1
         path.append(step)
         n_done, waste = n_done + bins, waste + wasted
@@ -255,11 +273,31 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY, nodes: int = NODES) -
             now[x] -= k * bins
             if not now[x]:
                 del now[x]
-        rest = best_fit(now, capacity) if now and nodes % BEST_FIT_EVERY == 0 else []
+        rest = best_fit(now, capacity) if now and (len(now) <= BEST_FIT_EVERY or nodes % BEST_FIT_EVERY == 0) else []
         if (not now or rest) and n_done + sum(n for _, n in rest) < best_n:
             best = [(q, n) for q, n, _ in path] + rest
             best_n = sum(n for _, n in best)
-        stack.append(iter(list(children()) if now else []))
+        stack.append(children() if now else iter(()))
+    return best
+
+
+def plan(counts: dict[int, int], capacity: int = CAPACITY, nodes: int = NODES) -> list[tuple[Pattern, int]]:
+    """Bins for a histogram {length: items}, as (pattern, number of bins).
+
+    The best-fit plan is the first incumbent. If it has more bins than the lower bound, bin completion searches around
+    the most frequent length, which keeps lengths of all sizes to the end, and then around the largest item, with half
+    of the nodes each.
+    """
+    counts = {k: n for k, n in counts.items() if n}
+    if not counts:
+        return []
+    full = counts.pop(capacity, 0)
+    alone = [(((capacity, 1),), full)] if full else []
+    if not counts:
+        return alone
+    best, bound = best_fit(counts, capacity), lower_bound(counts, capacity)
+    for own in (lambda now: max(now, key=lambda x: (now[x], x)), max):
+        best = complete(counts, capacity, best, bound, nodes // 2, own)
     return alone + best
 
 

@@ -46,6 +46,28 @@ def test_plan_is_optimal_on_small_cases():
         assert sum(n for _, n in found) == fewest(list(Counter(counts).elements()), capacity) >= packing.lower_bound(counts, capacity)
 
 
+def test_plan_of_triples_that_fill_bins():
+    rng, counts, triples = random.Random(1), Counter(), 0
+    while triples < 2000:
+        a, b = rng.randint(1000, 2040), rng.randint(1000, 2040)
+        if 1000 <= (c := 4096 - a - b) <= 2040:
+            counts.update((a, b, c))
+            triples += 1
+    found, used = packing.plan(counts), Counter()
+    for pattern, bins in found:
+        assert sum(x * k for x, k in pattern) <= 4096
+        used.update({x: k * bins for x, k in pattern})
+    assert len(counts) > 900 and used == counts
+    assert sum(n for _, n in packing.best_fit(counts, 4096)) > 2200 and sum(n for _, n in found) <= 2004
+
+
+def test_fillings_are_all_undominated_ones():
+    counts = {9: 1, 5: 2, 4: 1, 3: 2, 2: 1}
+    found = [p for p in packing.fillings(counts, 17, 9, most=1) if p]
+    assert [17 - sum(x * k for x, k in p) for p in found] == sorted(17 - sum(x * k for x, k in p) for p in found)
+    assert {((9, 1), (5, 1), (3, 1)), ((9, 1), (3, 2), (2, 1))} == set(found) and len(found) == 2
+
+
 def test_plan_does_not_grow_with_the_corpus():
     counts = {k: 10**9 // k for k in range(1, 4097)}
     found = packing.plan(counts)

@@ -1,7 +1,8 @@
 """Main text of web pages by tree scoring.
 
 Paragraphs pass points for their length and commas to their ancestors; a container's points are discounted by its link
-density, and the best container is kept with those siblings that score well or read like prose.
+density, and the best container is kept with those siblings that score well or read like prose. Elements that are not
+of the article by their tag or role are dropped first; names of classes and ids, and forms, only make candidates for it.
 """
 
 from __future__ import annotations
@@ -36,32 +37,39 @@ SPACES = re.compile(r"\s+")
 PARAGRAPH = frozenset("p pre td blockquote li dd h1 h2 h3 h4 h5 h6".split())
 #: Least characters of a scored paragraph; the share of the best score from which a sibling is kept.
 LEAST, SHARE = 25, 0.2
+#: A candidate with over this share of the page's low-link prose stays; with less than that share outside the dropped
+#: candidates, all stay.
+MOST, FEW = 0.75, 0.1
+#: What an element looks like, and what a subtree holds.
+CANDIDATE, UNWANTED = 1, 2
+TITLE, ARTICLE = 1, 2
 
 
 class Node:
-    __slots__ = ("tag", "parent", "items", "dropped", "points", "chars", "linked")
+    __slots__ = ("tag", "parent", "items", "looks", "dropped", "points", "chars", "linked")
 
-    def __init__(self, tag: str, parent: Node | None, dropped: bool = False):
-        self.tag, self.parent, self.dropped = tag, parent, dropped
+    def __init__(self, tag: str, parent: Node | None, looks: int = 0):
+        self.tag, self.parent, self.looks, self.dropped = tag, parent, looks, looks == UNWANTED
         self.items: list = []  # nodes and texts
         self.points, self.chars, self.linked = 0.0, 0, 0
 
 
-def _unwanted(tag: str, attributes: str) -> bool:
-    if tag in DROP:
-        return True
+def _looks(tag: str, attributes: str) -> int:
+    if tag in DROP and tag not in ("form", "header"):
+        return UNWANTED
+    found = CANDIDATE if tag in DROP else 0
     if not attributes or tag in ("html", "body", "article", "main"):
-        return False
+        return found
     for m in ATTRIBUTE.finditer(attributes):
         name = m[1].lower()
         value = m[2] or m[3] or m[4] or ""
-        if name in ("class", "id") and NAMES.search(value):
-            return True
-        if name == "role" and value.lower() in ROLES or name == "hidden" or (name == "aria-hidden" and value == "true"):
-            return True
-        if name == "style" and re.search(r"display\s*:\s*none", value, re.I):
-            return True
-    return False
+        if name in ("class", "id") and NAMES.search(value) or name == "role" and value.lower() == "form":
+            found = CANDIDATE
+        elif name == "role" and value.lower() in ROLES or name == "hidden" or (name == "aria-hidden" and value == "true"):
+            return UNWANTED
+        elif name == "style" and re.search(r"display\s*:\s*none", value, re.I):
+            return UNWANTED
+    return found
 
 
 def parse(page: str) -> Node:
@@ -117,7 +125,7 @@ def parse(page: str) -> Node:
                 up = up.parent
             if found:
                 now = found.parent
-        node = Node(tag, now, now.dropped or _unwanted(tag, m[5]))
+        node = Node(tag, now, _looks(tag, m[5]))
         now.items.append(node)
         if tag not in VOID and not m[5].endswith("/"):
             now = node
@@ -136,6 +144,57 @@ def _order(root: Node) -> list[Node]:
     return out
 
 
+def _choose(root: Node) -> bool:
+    """Drops the candidates that are not the article's, and says if it dropped any.
+
+    One stays if it holds the page's title (h1), its only articles or main element, or most of its low-link prose; what
+    is in it is then judged on its own. If hardly any prose and no article is left without the others, they stay too.
+    """
+    nodes = _order(root)
+    if not any(n.looks for n in nodes):
+        return False
+    inline, prose, holds = {}, {}, {}  # by node: characters and linked ones outside blocks, prose, what it holds
+    for n in reversed(nodes):  # children first
+        size, linked, text, what = 0, 0, 0, 0
+        for x in n.items:
+            if type(x) is str:
+                size += len(x.strip())
+            elif not x.dropped:
+                more = inline[x]
+                size, linked, text, what = size + more[0], linked + more[1], text + prose[x], what | holds[x]
+        if n.tag == "a":
+            linked = size
+        if n.tag in BLOCK or n is root:
+            text += size if size >= LEAST and linked < size / 2 else 0
+            size = linked = 0
+        if n.tag in ("article", "main") and text:
+            what |= ARTICLE
+        inline[n], prose[n], holds[n] = (size, linked), text, what | (TITLE if n.tag == "h1" else 0)
+    clean, todo = False, [root]  # whether an article is outside all candidates
+    while todo:
+        n = todo.pop()
+        clean = clean or n.tag in ("article", "main") and prose[n] > 0
+        todo += [x for x in n.items if type(x) is not str and not x.dropped and not x.looks]
+    dropped, left, todo = [], prose[root], [(root, False)]
+    while todo:
+        n, inside = todo.pop()
+        inside = inside or n.tag in ("article", "main")
+        for x in n.items:
+            if type(x) is str or x.dropped:
+                continue
+            title = holds[x] & TITLE and (x.tag != "header" or inside)
+            if not x.looks or title or not clean and (holds[x] & ARTICLE or prose[x] > MOST * prose[root]):
+                todo.append((x, inside))
+            else:
+                dropped.append(x)
+                left -= prose[x]
+    if left < FEW * prose[root] and not clean:
+        return False
+    for x in dropped:
+        x.dropped = True
+    return bool(dropped)
+
+
 def _score(nodes: list[Node]) -> None:
     for n in reversed(nodes):  # children first
         text = 0
@@ -221,11 +280,20 @@ def _blocks(nodes: list[Node]) -> list[str]:
     return out
 
 
-def main_text(page: str) -> str:
-    root = parse(page)
+def _scored(root: Node) -> list[Node]:
     nodes = _order(root)
     _score(nodes)
-    scored = [n for n in nodes if n.points > 0 and n.tag not in PARAGRAPH]
+    return [n for n in nodes if n.points > 0 and n.tag not in PARAGRAPH]
+
+
+def main_text(page: str) -> str:
+    root = parse(page)
+    some = _choose(root)
+    scored = _scored(root)
+    if some and not scored:  # the page with all candidates, then
+        whole = parse(page)
+        scored = _scored(whole)
+        root = whole if scored or not _blocks([root]) else root
     if not scored:  # nothing reads like prose: all that is left of the page
         return "\n\n".join(_blocks([root]))
     best = max(scored, key=lambda n: n.points * (1 - _density(n)))

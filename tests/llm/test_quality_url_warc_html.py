@@ -136,6 +136,29 @@ def test_main_text(page, text):
     assert html_extract.main_text(page) == text
 
 
+ARTICLE, TEXT = f"<h1>Title</h1><p>{PROSE}</p><p>{PROSE}</p>", f"Title\n\n{PROSE.strip()}\n\n{PROSE.strip()}"
+COMMENTS = f"<div class=comments><p>{PROSE}</p></div>"
+
+
+@pytest.mark.parametrize("name", ["elementor-widget-container", "layout has-sidebar", "no-sidebar", "page-with-header", "post comment-open"])
+@pytest.mark.parametrize("inner", ["{}", "<article>{}</article>", "<main>{}</main>"])
+def test_article_in_containers_that_look_unwanted(name, inner):
+    whole = inner.format(ARTICLE)
+    nav = "<nav><a href=x>Menu</a></nav>"
+    assert html_extract.main_text(f"<body>{nav}<div class='{name}'>{whole}{COMMENTS}</div><footer>foot</footer>") == TEXT
+    assert html_extract.main_text(f"<body><form action=x>{nav}<div id='{name}'>{whole}</div><input name=y><button>Go</button></form>") == TEXT
+
+
+def test_prose_in_containers_that_look_unwanted():
+    widgets = "".join(f"<div class=elementor-widget-container><p>{PROSE}{k}.</p></div>" for k in range(5))
+    want = "\n\n".join(f"{PROSE}{k}." for k in range(5))
+    assert html_extract.main_text(f"<body><div>{widgets}</div></body>") == want
+    assert html_extract.main_text(f"<form><p>{PROSE}</p></form><p>Short.</p>") == PROSE.strip()
+    assert html_extract.main_text("<div class=ad>Buy</div><p>Short.</p>") == "Short."
+    related = f"<div class=related-posts><article><p>{PROSE}</p></article></div>"
+    assert html_extract.main_text(f"<div><article>{ARTICLE}</article>{related}{COMMENTS}</div>") == TEXT
+
+
 def test_html_edges(spark):
     deep = "<div>" * 3000 + f"<p>{PROSE}</p>"
     rows = [(1, None, None), (2, "u", ""), (3, "u", "<p" * 50), (4, "u", deep), (4, "u", deep), (5, "u", "<script>never closed"), (6, "u", "<!-- never closed")]

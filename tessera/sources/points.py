@@ -5,6 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .files import file_size, read_range
+
+#: Bytes of binary points that a task holds at a time, and that it reads.
+BLOCK_BYTES, TASK_BYTES = 8 * 2**20, 128 * 2**20
+
 
 def parse_points(lines: DataFrame, column: str = "value", values: bool = True) -> DataFrame:
     """lat, lon (and value) of lines of white-space separated numbers. A line that can't be read is dropped."""
@@ -25,20 +30,39 @@ def stream_points(spark: SparkSession, path: str, values: bool = True) -> DataFr
 
 
 def read_binary_points(spark: SparkSession, path: str, values: bool = False) -> DataFrame:
-    """Points stored as native doubles, two (or three) each. A file is held by one task."""
+    """Points stored as native doubles, two (or three) each; a last one that is not whole is left out. Tasks read byte
+    ranges of whole points, BLOCK_BYTES at a time. Only in a store that pyarrow can't open a file is held by one task."""
     width = 24 if values else 16
     names = ["lat", "lon", "value"][: width // 8]
+    step = max(1, BLOCK_BYTES // width) * width
 
-    def run(batches):
+    def points(data: bytes):
         import numpy as np
         import pyarrow as pa
 
+        table = np.frombuffer(data[: len(data) // width * width], float).reshape(-1, width // 8)
+        return pa.RecordBatch.from_arrays([pa.array(table[:, k]) for k in range(table.shape[1])], names)
+
+    def whole(batches):
         for b in batches:
-            for data in b.column(0).to_pylist():
-                table = np.frombuffer(data[: len(data) // width * width], float).reshape(-1, width // 8)
-                yield pa.RecordBatch.from_arrays([pa.array(table[:, k]) for k in range(table.shape[1])], names)
+            yield from map(points, b.column(0).to_pylist())
 
-    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, ", ".join(f"{n} double" for n in names))
+    def ranges(batches):
+        for b in batches:
+            for name, offset, length in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                yield points(read_range(name, offset, length))
+
+    files = spark.read.format("binaryFile").load(path)
+    found = [(r["path"].removeprefix("file://").removeprefix("file:"), r["length"] // width * width) for r in files.select("path", "length").collect()]
+    fields = ", ".join(f"{n} double" for n in names)
+    try:
+        for name, _ in found:
+            file_size(name)
+    except (OSError, ValueError):
+        return files.select("content").mapInArrow(whole, fields)
+    parts = spark.createDataFrame(found, "path string, size long").filter("size > 0").select("path", "size", F.explode(F.sequence(F.lit(0), F.col("size") - 1, F.lit(step))).alias("offset"))
+    parts = parts.select("path", "offset", F.least(F.lit(step), F.col("size") - F.col("offset")).alias("length"))
+    return parts.repartition(max(1, -(-sum(n for _, n in found) // TASK_BYTES))).mapInArrow(ranges, fields)
 
 
 def point_line(lat: Column, lon: Column, value: Column, exponents: bool = False) -> Column:

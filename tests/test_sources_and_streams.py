@@ -48,6 +48,20 @@ def test_points(spark, tmp_path):
     assert sorted(map(tuple, points.read_binary_points(spark, str(tmp_path / "p.bin")).collect())) == [(1, 2), (3, 4)]
 
 
+@pytest.mark.parametrize("values", [False, True])
+def test_binary_points_by_ranges(spark, tmp_path, monkeypatch, values):
+    monkeypatch.setattr(points, "BLOCK_BYTES", 100)
+    monkeypatch.setattr(points, "TASK_BYTES", 500)
+    width, folder = 3 if values else 2, tmp_path / "some points"
+    folder.mkdir()
+    data = np.arange(100.0 * width).reshape(-1, width)
+    for name, rows, tail in (("a.bin", data[:63], b"tail"), ("b.bin", data[63:], b""), ("empty.bin", data[:0], b"")):
+        (folder / name).write_bytes(rows.tobytes() + tail)
+    df = points.read_binary_points(spark, str(folder), values)
+    assert sorted(map(tuple, df.collect())) == list(map(tuple, data.tolist()))
+    assert df.rdd.getNumPartitions() == -(-data.nbytes // 500)
+
+
 def test_segment_file(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(segments, "SEGMENTS", 2)
     rows = [(s, k, (100 * s + k * k) / 1024, (5000 * s + 3 * k) / 1024) for s in range(5) for k in range(s + 2)]

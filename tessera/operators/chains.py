@@ -17,15 +17,24 @@ def ends_of(points: DataFrame) -> DataFrame:
     return p.select("seg", F.posexplode(F.array("a", "b")).alias("end", "p")).select("seg", "end", "p.lat", "p.lon")
 
 
+def places(ends: DataFrame) -> DataFrame:
+    """The least two ends (seg, end) of different segments at each position. No other end there is anyone's nearest, or
+    can be chosen in both directions, as ties go to the least. Spark limits the ranks before it shuffles."""
+    each = ends.groupBy("lat", "lon", "seg").agg(F.min("end").alias("end"))
+    rank = F.row_number().over(Window.partitionBy("lat", "lon").orderBy("seg"))
+    return each.withColumn("_n", rank).filter("_n <= 2").select("seg", "end", "lat", "lon")
+
+
 def partners(points: DataFrame, km: float) -> DataFrame:
     """seg, end, seg2, end2: ends of different segments within km that are each other's nearest (both directions).
 
     Ends meet in cells of km height and as wide at their latitude; each end is also sent to the neighbouring cells.
+    Of ends at one position two are compared. All pairs of positions in a cell are: a crowded cell takes one task.
     """
     rows = F.floor((F.col("lat") + 90) * DEGREE_KM / km)
     wide = F.greatest(F.cos(F.radians((F.col("_r") + 0.5) * km / DEGREE_KM - 90)), F.lit(1e-3))
     cols = F.floor((F.col("lon") + 180) * wide * DEGREE_KM / km)
-    own = ends_of(points).withColumn("_r", rows)
+    own = places(ends_of(points)).withColumn("_r", rows)
     one = own.withColumn("_c", cols)
     near = own.withColumn("_r", F.explode(F.array(*(F.col("_r") + d for d in (-1, 0, 1))))).withColumn("_c", cols).withColumn("_c", F.explode(F.array(*(F.col("_c") + d for d in (-1, 0, 1)))))
     near = near.select(F.col("seg").alias("seg2"), F.col("end").alias("end2"), F.col("lat").alias("lat2"), F.col("lon").alias("lon2"), "_r", "_c")

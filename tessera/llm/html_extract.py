@@ -3,12 +3,16 @@
 Paragraphs pass points for their length and commas to their ancestors; a container's points are discounted by its link
 density, and the best container is kept with those siblings that score well or read like prose. Elements that are not
 of the article by their tag or role are dropped first; names of classes and ids, and forms, only make candidates for it.
+
+A page is read in time linear in its length: a quote counts in a tag only after an attribute's ``=``, tags match without
+backtracking, and elements are nested DEPTH deep at most (deeper ones stand side by side; no text is lost).
 """
 
 from __future__ import annotations
 
 import html as entities
 import re
+from collections import Counter
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -31,8 +35,12 @@ NAMES = re.compile(
     r"(?:^|[\s_-])(?:ad|ads|adv|advert|adverts|advertisement|advertising|adsense|banner|breadcrumbs?|comment|comments|commentlist|respond|replies|disqus|cookie|cookies|consent|gdpr|notice|notices|popup|modal|overlay|footer|header|masthead|menu|nav|navbar|navigation|newsletter|subscribe|signup|login|pager|pagination|promo|promoted|related|recommended|share|sharing|social|sidebar|sidenav|sponsor|sponsored|toolbar|widget|widgets)(?:$|[\s_-])",
     re.I,
 )
-TAG = re.compile(r"<(?:(!--)|([!?])|(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>)")
-ATTRIBUTE = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
+#: An attribute: a name, and a value in quotes or up to white space or the end of the tag. A tag, a comment, other markup.
+ATTRIBUTE = re.compile(r"""([^\s/>][^\s/>=]*+)(?:\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|((?!["'])[^\s>]*+)))?+""")
+TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*+)((?:[\s/]*+[^\s/>][^\s/>=]*+(?:\s*+=\s*+(?:"[^"]*+"|'[^']*+'|(?!["'])[^\s>]*+))?+)*+[\s/]*+)>""")
+MARKUP = re.compile(r"<(?:(!--)|[!?]|/(?![a-zA-Z])|(/?[a-zA-Z]))")
+#: Nested elements, at most.
+DEPTH = 512
 SPACES = re.compile(r"\s+")
 PARAGRAPH = frozenset("p pre td blockquote li dd h1 h2 h3 h4 h5 h6".split())
 #: Least characters of a scored paragraph; the share of the best score from which a sibling is kept.
@@ -46,12 +54,15 @@ TITLE, ARTICLE = 1, 2
 
 
 class Node:
-    __slots__ = ("tag", "parent", "items", "looks", "dropped", "points", "chars", "linked")
+    __slots__ = ("tag", "parent", "depth", "items", "looks", "dropped", "points", "chars", "linked", "own", "commas", "title", "reads")
 
     def __init__(self, tag: str, parent: Node | None, looks: int = 0):
         self.tag, self.parent, self.looks, self.dropped = tag, parent, looks, looks == UNWANTED
+        self.depth = parent.depth + 1 if parent else 0
         self.items: list = []  # nodes and texts
-        self.points, self.chars, self.linked = 0.0, 0, 0
+        self.points, self.chars, self.linked = 0.0, 0, 0  # score; characters, and those in links
+        self.own, self.commas = 0, 0  # characters and commas outside blocks below
+        self.title = self.reads = False  # whether an h1, or a paragraph that isn't empty, is in it
 
 
 def _looks(tag: str, attributes: str) -> int:
@@ -72,51 +83,61 @@ def _looks(tag: str, attributes: str) -> int:
     return found
 
 
+def _end_of_raw(page: str, tag: str, at: int) -> int:
+    """Where the end tag of an element of raw text ends, or else the page."""
+    close = re.compile(rf"</{tag}(?=[\s/>])", re.I | re.A).search(page, at)
+    end = page.find(">", close.end()) if close else -1
+    return end + 1 or len(page)
+
+
 def parse(page: str) -> Node:
     """A tree of elements. Broken markup is mended as browsers do for paragraphs, lists and tables; an end tag without
-    its start is passed over."""
+    its start is passed over; a tag that the page ends in is left out."""
     root = Node("#root", None)
     now, at, end = root, 0, len(page)
-    lower = None
+    opened: Counter = Counter()  # open elements by tag
+
+    def leave(node: Node) -> Node:
+        """Closes the elements from the innermost open one to node."""
+        up = now
+        while up is not node.parent:
+            opened[up.tag] -= 1
+            up = up.parent
+        return up
+
     while at < end:
-        m = TAG.search(page, at)
+        m = MARKUP.search(page, at)
         begin = m.start() if m else end
         if begin > at:
             now.items.append(entities.unescape(page[at:begin]) if "&" in page[at:begin] else page[at:begin])
         if not m:
             break
-        at = m.end()
-        if m[1]:
-            close = page.find("-->", begin + 4)
-            at = close + 3 if close >= 0 else end
-            continue
-        if m[2]:
-            close = page.find(">", begin)
-            at = close + 1 if close >= 0 else end
+        if not m[2]:
+            close = page.find("-->", begin + 2) + 2 if m[1] else page.find(">", begin)
+            at = close + 1 if close >= (2 if m[1] else 0) else end
             continue
-        tag = m[4].lower()
-        if m[3]:
+        m = TAG.match(page, begin)
+        if not m:  # the page ends within it
+            break
+        at, tag = m.end(), m[2].lower()
+        if m[1]:
             up = now
-            while up is not root and up.tag != tag:
+            while opened[tag] and up.tag != tag:
                 if up.tag in ("table", "article", "body") and tag not in BLOCK:
-                    up = root
                     break
                 up = up.parent
-            if up is not root:
-                now = up.parent
+            if opened[tag] and up.tag == tag:
+                now = leave(up)
             continue
         if tag in RAW:
-            lower = lower or page.lower()
-            close = lower.find(f"</{tag}", at)
-            at = page.find(">", close) + 1 if close >= 0 else end
-            at = at or end
+            at = _end_of_raw(page, tag, at)
             continue
         if tag in BLOCK:  # a block ends an open paragraph (and what is open in it)
             up = now
             while up is not root and up.tag not in BLOCK:
                 up = up.parent
             if up.tag == "p" or (up.tag[0] == "h" and up.tag[1:].isdigit() and tag[0] == "h" and tag[1:].isdigit()):
-                now = up.parent
+                now = leave(up)
         if tag in ENDS:
             up, found = now, None
             while up is not root and up.tag not in WITHIN[tag]:
@@ -124,13 +145,14 @@ def parse(page: str) -> Node:
                     found = up
                 up = up.parent
             if found:
-                now = found.parent
-        node = Node(tag, now, _looks(tag, m[5]))
+                now = leave(found)
+        if now.depth >= DEPTH:
+            now = leave(now)
+        node = Node(tag, now, _looks(tag, m[3]))
         now.items.append(node)
-        if tag not in VOID and not m[5].endswith("/"):
+        if tag not in VOID and (tag in BLOCK or not m[3].endswith("/")):  # a slash does not close an HTML block
             now = node
-        elif tag not in VOID and tag in BLOCK:
-            now = node  # a slash does not close an HTML element
+            opened[tag] += 1
     return root
 
 
@@ -154,8 +176,10 @@ def _choose(root: Node) -> bool:
     if not any(n.looks for n in nodes):
         return False
     inline, prose, holds = {}, {}, {}  # by node: characters and linked ones outside blocks, prose, what it holds
+    said: dict[Node, int] = {}  # by node: characters outside links
     for n in reversed(nodes):  # children first
         size, linked, text, what = 0, 0, 0, 0
+        said[n] = 0 if n.tag == "a" else sum(len(x.strip()) if type(x) is str else said.get(x, 0) for x in n.items)
         for x in n.items:
             if type(x) is str:
                 size += len(x.strip())
@@ -167,13 +191,13 @@ def _choose(root: Node) -> bool:
         if n.tag in BLOCK or n is root:
             text += size if size >= LEAST and linked < size / 2 else 0
             size = linked = 0
-        if n.tag in ("article", "main") and text:
+        if n.tag in ("article", "main") and said[n]:
             what |= ARTICLE
         inline[n], prose[n], holds[n] = (size, linked), text, what | (TITLE if n.tag == "h1" else 0)
     clean, todo = False, [root]  # whether an article is outside all candidates
     while todo:
         n = todo.pop()
-        clean = clean or n.tag in ("article", "main") and prose[n] > 0
+        clean = clean or n.tag in ("article", "main") and said[n] > 0
         todo += [x for x in n.items if type(x) is not str and not x.dropped and not x.looks]
     dropped, left, todo = [], prose[root], [(root, False)]
     while todo:
@@ -197,24 +221,22 @@ def _choose(root: Node) -> bool:
 
 def _score(nodes: list[Node]) -> None:
     for n in reversed(nodes):  # children first
-        text = 0
+        n.title = n.tag == "h1"
         for x in n.items:
             if type(x) is str:
-                text += len(x.strip())
+                size = len(x.strip())
+                n.chars, n.own, n.commas = n.chars + size, n.own + size, n.commas + x.count(",")
             elif not x.dropped:
-                n.chars += x.chars
-                n.linked += x.linked
-        n.chars += text
+                n.chars, n.linked = n.chars + x.chars, n.linked + x.linked
+                n.title, n.reads = n.title or x.title, n.reads or x.reads
+                if x.tag not in BLOCK:
+                    n.own, n.commas = n.own + x.own, n.commas + x.commas
+        n.reads = n.reads or (n.chars > 0 and n.tag in PARAGRAPH)
         if n.tag == "a":
             n.linked = n.chars
     for n in nodes:
-        if n.tag in PARAGRAPH or n.tag in ("div", "section", "article", "main", "body"):
-            own = [x for x in n.items if type(x) is str or x.tag not in BLOCK]
-            size = sum(len(x.strip()) if type(x) is str else 0 if x.dropped else x.chars for x in own)
-            if size < LEAST:
-                continue
-            commas = sum(x.count(",") if type(x) is str else _commas(x) for x in own if type(x) is str or not x.dropped)
-            points = 1 + commas + min(size / 100, 3)
+        if n.own >= LEAST and (n.tag in PARAGRAPH or n.tag in ("div", "section", "article", "main", "body")):
+            points = 1 + n.commas + min(n.own / 100, 3)
             share, up = 1.0, n.parent if n.tag in PARAGRAPH else n
             level = 0
             while up is not None:
@@ -224,28 +246,31 @@ def _score(nodes: list[Node]) -> None:
                 up = up.parent
 
 
-def _commas(node: Node) -> int:
-    n, todo = 0, [node]
-    while todo:
-        for x in todo.pop().items:
-            if type(x) is str:
-                n += x.count(",")
-            elif not x.dropped:
-                todo.append(x)
-    return n
-
-
-def _promoted(best: Node) -> Node:
-    """The article that the best container is a part of, or else the main element: a long section does not outdo the
-    article around it."""
-    up, main = best, None
+def _joined(best: Node) -> list[Node]:
+    """The best container and the siblings that belong to it, in page order: those with a share of its score, headings
+    and prose. Inside an article (or else the main element) the siblings of each container on the way up to it are looked
+    at too, and of an article's a paragraph in them is enough."""
+    around, up = None, best.parent
     while up is not None:
-        if up.tag == "article" and _density(up) < 0.5:
-            return up
-        if up.tag == "main" and _density(up) < 0.5:
-            main = up
+        if up.tag == "article" or (up.tag == "main" and around is None):
+            around = up
         up = up.parent
-    return main or best
+    least, kept, at = max(10.0, SHARE * best.points * (1 - _density(best))), [best], best
+    while at.parent is not None and at is not around:
+        article = around is not None and around.tag == "article"
+        before, after, passed = [], [], False
+        for x in at.parent.items:
+            if x is at:
+                passed = True
+            elif type(x) is not str and not x.dropped and x.chars:
+                low = _density(x) < 0.25
+                prose = low and (x.tag in ("h1", "h2") or x.title or (x.tag == "p" and x.chars > 80) or (article and x.reads))
+                if prose or x.points * (1 - _density(x)) >= least:
+                    (after if passed else before).append(x)
+        kept, at = before + kept + after, at.parent
+        if around is None:
+            break
+    return kept
 
 
 def _density(n: Node) -> float:
@@ -290,24 +315,17 @@ def main_text(page: str) -> str:
     root = parse(page)
     some = _choose(root)
     scored = _scored(root)
-    if some and not scored:  # the page with all candidates, then
-        whole = parse(page)
-        scored = _scored(whole)
-        root = whole if scored or not _blocks([root]) else root
+    if not scored:  # a short article, or else the page with all candidates
+        if short := [n for n in _order(root) if n.tag in ("article", "main") and n.chars and _density(n) < 0.5]:
+            return "\n\n".join(_blocks(short[:1]))
+        if some:
+            whole = parse(page)
+            scored = _scored(whole)
+            root = whole if scored or not _blocks([root]) else root
     if not scored:  # nothing reads like prose: all that is left of the page
         return "\n\n".join(_blocks([root]))
     best = max(scored, key=lambda n: n.points * (1 - _density(n)))
-    best = _promoted(best)
-    if best.parent is None or best.tag in ("html", "body"):
-        return "\n\n".join(_blocks([best]))
-    least, kept = max(10.0, SHARE * best.points * (1 - _density(best))), []
-    for x in best.parent.items:
-        if type(x) is str or x.dropped:
-            continue
-        prose = x.tag in ("p", "h1", "h2") and x.chars and _density(x) < 0.25 and (x.tag != "p" or x.chars > 80)
-        if x is best or prose or x.points * (1 - _density(x)) >= least:
-            kept.append(x)
-    return "\n\n".join(_blocks(kept))
+    return "\n\n".join(_blocks([best] if best.parent is None or best.tag in ("html", "body") else _joined(best)))
 
 
 def extract(pages: DataFrame, html_col: str = "html") -> DataFrame:

@@ -159,6 +159,70 @@ def test_prose_in_containers_that_look_unwanted():
     assert html_extract.main_text(f"<div><article>{ARTICLE}</article>{related}{COMMENTS}</div>") == TEXT
 
 
+def test_siblings_of_the_best_container():
+    """An unscored sibling goes, a short section of the same article stays, and so does a short article beside an advert."""
+    long = f"<p>{PROSE}</p>" * 5
+    want = "\n\n".join([PROSE.strip()] * 5)
+    assert html_extract.main_text(f"<main><div>{long}</div><div>Buy our product now.</div></main>") == want
+    assert html_extract.main_text(f"<article><section>{long * 4}</section><section><p>A last paragraph, a short one.</p></section><div>Buy now.</div></article>") == "\n\n".join([want] * 4) + "\n\nA last paragraph, a short one."
+    assert html_extract.main_text("<body><div class=ad>Buy this, and that, and all of those things.</div><article><h1>Title</h1><p>So.</p></article>") == "Title\n\nSo."
+
+
+@pytest.mark.parametrize("broken", ['<a "', "<a b='x", "<a ", "<a b=\"x", "<", "</", "<!--", "<!", "<script>", "<b>", "<div>", "<p>", "<a b=c/", "<i></b>"])
+def test_broken_markup_takes_linear_time(broken):
+    """200 KB of it, which takes minutes with a tag pattern that backtracks; the text before it is whole."""
+    import time
+
+    began = time.process_time()
+    assert html_extract.main_text(f"<article><p>{PROSE}</p>" + broken * (200_000 // len(broken))).startswith(PROSE.strip())
+    assert time.process_time() - began < 10
+
+
+def test_quotes_in_tags():
+    one, two = "First paragraph of the article, which is long enough.", "Second one's here, and it is long enough as well."
+    assert html_extract.main_text(f"<p title=it's>{one}</p><p>{two}</p>") == f"{one}\n\n{two}"
+    assert html_extract.main_text(f"<p title='a > b' class = \"x\" hidden2 = y/z>{one}</p><p\n>{two}</p >") == f"{one}\n\n{two}"
+    assert html_extract.main_text(f"<p a=\"never closed>{one}</p><p>{two}</p>") == f"{one}\n\n{two}"
+    assert html_extract.main_text(f"<p>{one}</p><p hidden=\"\">no, this is hidden, all of it</p><p>{two} 1 < 2 <3</p>") == f"{one}\n\n{two} 1 < 2 <3"
+
+
+def texts_of(node):
+    """Texts of a node outside blocks below it."""
+    return [y for x in node.items for y in ([x] if type(x) is str else texts_of(x) if not x.dropped and x.tag not in html_extract.BLOCK else [])]
+
+
+def scores_by_definition(nodes):
+    """Points of each container by their definition: from each paragraph a walk up to all its ancestors."""
+    points = dict.fromkeys(nodes, 0.0)
+    for n in nodes:
+        texts = texts_of(n)
+        size = sum(len(x.strip()) for x in texts)
+        if size >= 25 and (n.tag in html_extract.PARAGRAPH or n.tag in ("div", "section", "article", "main", "body")):
+            up, level = (n.parent if n.tag in html_extract.PARAGRAPH else n), 0
+            while up is not None:
+                points[up] += (1 + sum(x.count(",") for x in texts) + min(size / 100, 3)) * (1.0 if level == 0 else 0.5 if level == 1 else 1 / (3 * level))
+                up, level = up.parent, level + 1
+    return points
+
+
+def test_scores_are_brute_force(spark):
+    """Of generated trees and of pages of the test data."""
+    rng = np.random.default_rng(8)
+
+    def tree(depth):
+        if depth == 0 or rng.random() < 0.2:
+            return PROSE[: int(rng.integers(1, len(PROSE)))]
+        tag = str(rng.choice(["div", "p", "section", "a", "b", "ul", "li", "article", "span", "blockquote", "h2", "nav"]))
+        return f"<{tag}>" + "".join(tree(depth - 1) for _ in range(int(rng.integers(1, 4)))) + f"</{tag}>"
+
+    pages = [tree(7) for _ in range(50)] + [r.html for r in spark.read.parquet("/root/testdata/sf0.001/pages.parquet").collect()[:50] if r.html]
+    for page in pages:
+        nodes = html_extract._order(html_extract.parse(page))
+        html_extract._score(nodes)
+        want = scores_by_definition(nodes)
+        assert [n.points for n in nodes] == pytest.approx([want[n] for n in nodes])
+
+
 def test_html_edges(spark):
     deep = "<div>" * 3000 + f"<p>{PROSE}</p>"
     rows = [(1, None, None), (2, "u", ""), (3, "u", "<p" * 50), (4, "u", deep), (4, "u", deep), (5, "u", "<script>never closed"), (6, "u", "<!-- never closed")]

@@ -26,12 +26,12 @@ LETTERS = re.compile(r"[^\W\d_]+")
 START = "▁"
 #: Labelled documents a language that the model is fitted on, about; rounds of expectation maximisation.
 SAMPLE, ROUNDS = 2000, 2
-#: Longest word that the model is fitted on (its probability stays within doubles).
-FITTED = 32
+#: Up to this length words are fitted many at a time, as their probabilities stay within doubles; longer ones by scaling.
+PLAIN = 32
 #: Added to each expected count of a piece; probability of a character outside the vocabulary.
 SMOOTH, UNKNOWN = 0.05, 1e-7
-#: Words whose scores a task remembers; words that are scored one by one.
-CACHE, LONG = 400_000, 80
+#: Words whose scores a task remembers, and bytes of these scores, at most; longer words are scored one by one.
+CACHE, CACHE_BYTES, LONG = 400_000, 2**26, 80
 
 
 def held_out(id_col: str = "doc_id") -> Column:
@@ -122,9 +122,13 @@ class Model:
         return log
 
     def expected(self, words: list[str], counts: np.ndarray) -> np.ndarray:
-        """Expected uses of each piece in words (of up to FITTED characters), by language: forward and backward."""
+        """Expected uses of each piece in words, by language: forward and backward."""
         out = np.zeros((len(self.pieces) + 2, len(self.langs)))
         for ks in self._by_length(words):
+            if len(words[ks[0]]) > PLAIN:
+                for k in ks:
+                    self._expected_long(START + words[k], counts[k], out)
+                continue
             w, count = [START + words[k] for k in ks], counts[ks]
             ids, n, one = self._lookup(w), len(w[0]), np.ones((len(ks), len(self.langs)))
             alpha, back = [one], [0 * one] * n + [one]
@@ -140,6 +144,30 @@ class Model:
                         out[:, k] += np.bincount(ids[i, j], x[:, k], len(out))
         return out[:-2]
 
+    def _expected_long(self, w: str, count: np.ndarray, out: np.ndarray) -> None:
+        """Adds the uses in one word of any length. c[j] scales the forward sums at j to 1 in each language, so that a
+        piece from i to j weighs p / (c[i+1] ... c[j])."""
+        self._lookup([START])
+        get, unknown, n, one = self.at.get, len(self.pieces), len(w), np.ones((1, len(self.langs)))
+        c = np.ones((n + 1, len(self.langs)))
+
+        def ending(j: int) -> tuple[np.ndarray, np.ndarray]:
+            """Pieces that end at j, from the shortest on, and c[j-1], c[j-1] c[j-2], ... before each but the first."""
+            m = min(self.longest, j)
+            ids = np.array([get(w[j - k : j], unknown + (k > 1)) for k in range(1, m + 1)])
+            return ids, np.concatenate([one, np.cumprod(c[j - m + 1 : j][::-1], axis=0)])
+
+        for j in range(1, n + 1):
+            ids, scale = ending(j)
+            c[j] = np.maximum((self.probs[ids] / scale).sum(axis=0), 1e-290)
+        back = np.zeros((n + 1, len(self.langs)))
+        back[n] = 1.0
+        for j in range(n, 0, -1):
+            ids, scale = ending(j)
+            uses = self.probs[ids] / scale * (back[j] / c[j])
+            back[j - len(ids) : j][::-1] += uses
+            np.add.at(out, ids, uses * count)
+
 
 _scores: dict[str, tuple[dict[str, int], np.ndarray]] = {}
 
@@ -160,7 +188,7 @@ def fit(docs: DataFrame, model_file: str, sample: int = SAMPLE, id_col: str = "d
     def split(batches):
         for b in batches:
             for lang, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                c = Counter(w for w in words_of(text) if len(w) <= FITTED)
+                c = Counter(words_of(text))
                 if c:
                     yield pa.RecordBatch.from_arrays([pa.array([lang] * len(c)), pa.array(list(c)), pa.array(list(c.values()), pa.int64())], ["lang", "word", "n"])
 
@@ -189,7 +217,9 @@ def fit(docs: DataFrame, model_file: str, sample: int = SAMPLE, id_col: str = "d
 
 def predict(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """docs with lang_pred and score (the posterior of lang_pred at equal priors). A text without letters, or null, is
-    ``und`` with score 0; so is every text if no language was learned."""
+    ``und`` with score 0; so is every text if no language was learned. Whole texts of any length are scored; every row is
+    judged on its own, repeated ones alike, and an empty table gives an empty result. Columns named lang_pred or score
+    are replaced, others pass through."""
     sent = docs.sparkSession.sparkContext.broadcast(model)  # pieces of the vocabulary times languages
 
     @F.pandas_udf("struct<lang_pred:string,score:double>")
@@ -197,15 +227,15 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
         m = sent.value
         if m.id not in _scores:
             _scores.clear()
-            _scores[m.id] = {}, np.zeros((CACHE, len(m.langs)))
+            _scores[m.id] = {}, np.zeros((min(CACHE, CACHE_BYTES // (8 * max(1, len(m.langs)))), len(m.langs)))
         (known, scores), out = _scores[m.id], []
         for a in range(0, len(texts), 500):
             split = [words_of(x) if x else [] for x in texts.iloc[a : a + 500]]
             new = [w for w in {w for words in split for w in words} if w not in known]
-            if len(known) + len(new) > CACHE:
+            if len(known) + len(new) > len(scores):
                 known.clear()
                 new = list({w for words in split for w in words})
-            many = len(new) > CACHE  # more new words than are remembered: scores of this part only
+            many = len(new) > len(scores)  # more new words than are remembered: scores of this part only
             at, table = (known, scores) if not many else ({}, np.zeros((len(new), len(m.langs))))
             if m.langs:
                 table[len(at) : len(at) + len(new)] = m.score(new)

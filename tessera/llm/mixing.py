@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import n_words, restored, shielded, text_of
+from .common import n_words, restored, shielded, staged, text_of
 
 WEIGHTS = (5, 2, 1)
 MAX_EPOCHS = 3
@@ -20,9 +20,9 @@ def targets(sources: DataFrame, weights: tuple[int, ...] = WEIGHTS, epochs: int
     Weights repeat over the sources by code point, null last. The targets share all sizes in proportion to the weights;
     a source is clamped at ``epochs`` times its size, and the excess is shared again until no source is above its clamp.
     """
-    order = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1  # one row per source
+    order = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1  # one task: a row per source, not per document
     s = sources.withColumn("_t_w", F.element_at(F.array(*map(F.lit, weights)), (order % len(weights) + 1).cast("int")))
-    s = s.withColumn("_t_cap", F.col("source_size") * epochs).persist()
+    s = staged(s.withColumn("_t_cap", F.col("source_size") * epochs), "sources")
     level = -1.0
     while True:  # each round clamps a source at least; what stays is a few numbers
         clamped = F.col("_t_cap") <= F.lit(level) * F.col("_t_w")
@@ -45,16 +45,17 @@ def mix_sources(docs: DataFrame, seed: int = 7, id_col: str = "doc_id", text_col
     """docs with size (words), source_size, target, repetitions and taken (size times repetitions).
 
     A source gives all its documents floor(target / source_size) times, and once more those that come first in the
-    order of their draws, up to the target: the one that reaches it is taken if at least half of it is below. A null or
-    empty text has size 0, a null source is a source of its own, a source without words has target 0, and repeated rows
-    count each. Extra columns pass through; input columns named as result columns are replaced. No table but one of the
-    sources is held anywhere: bins of draws are summed to find the bin in which a source's target falls, and only that
-    bin's rows (a 4096th) are ordered.
+    order of their draws, up to the target: the one that reaches it is taken if at least half of it is below. No row is
+    repeated more than ``epochs`` times. A null or empty text has size 0, a null source is a source of its own, a source
+    without words has target 0, and repeated rows count each; an empty table gives an empty result. Extra columns pass
+    through; input columns named as result columns are replaced. Held are a row per source and 4096 bins of draws for
+    each: their words are summed to find the bin in which a source's target falls, and only its rows are ordered.
     """
     docs = docs.drop(*RESULT)
     own = docs.columns
     drawn = docs.withColumns({"size": n_words(text_of(text_col)), "_t_draw": draw(id_col, seed)}).withColumn("_t_bin", F.conv(F.substring("_t_draw", 1, DIGITS), 16, 10).cast("int"))
-    bins = drawn.groupBy(F.col(source_col).alias("source"), "_t_bin").agg(F.sum("size").alias("_t_words")).persist()
+    bins = drawn.groupBy(F.col(source_col).alias("source"), "_t_bin").agg(F.sum("size").alias("_t_words"))
+    bins = staged(bins, "bins")  # 4096 rows a source at most
     sizes = targets(bins.groupBy("source").agg(F.sum("_t_words").alias("source_size")), weights, epochs)
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0)
     sizes = sizes.withColumn("_t_whole", whole.cast("long")).withColumn("_t_rest", F.col("target") - F.col("_t_whole") * F.col("source_size"))
@@ -76,7 +77,7 @@ def mix_sources(docs: DataFrame, seed: int = 7, id_col: str = "doc_id", text_col
     ordered = Window.partitionBy("_t_source").orderBy("_t_draw", id_col, "size").rowsBetween(Window.unboundedPreceding, -1)
     before = F.col("_t_before") + F.coalesce(F.sum("size").over(ordered), F.lit(0))
     open_ = of.filter("_t_bin = _t_cut").withColumn("_t_more", (before + F.col("size") / 2 <= F.col("_t_rest")).cast("long"))
-    both = sure.unionByName(open_).withColumn("repetitions", F.col("_t_whole") + F.col("_t_more"))
+    both = sure.unionByName(open_).withColumn("repetitions", F.least(F.col("_t_whole") + F.col("_t_more"), F.lit(epochs)))
     return both.withColumn("taken", F.col("size") * F.col("repetitions")).select(*own, *RESULT)
 
 
@@ -107,5 +108,5 @@ f AS (SELECT *, CASE WHEN source_size > 0 THEN CAST(floor(target / source_size)
 o AS (SELECT d.doc_id, d.size, f.source_size, f.target, f.whole, f.target - f.whole * f.source_size AS rest,
              coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY d.draw, d.doc_id, d.size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
       FROM d JOIN f ON d.source IS NOT DISTINCT FROM f.source)
-SELECT doc_id, size, source_size, target, CAST(size * (whole + CASE WHEN before + size / 2 <= rest THEN 1 ELSE 0 END) AS BIGINT) AS taken FROM o
+SELECT doc_id, size, source_size, target, CAST(size * least(3, whole + CASE WHEN before + size / 2 <= rest THEN 1 ELSE 0 END) AS BIGINT) AS taken FROM o
 """

@@ -55,6 +55,15 @@ def test_mix(docs, rows):
     assert copies.count() == found.repetitions.sum()
 
 
+def test_no_row_exceeds_the_epochs(spark):
+    """Rows without words in a source at its clamp come first in the order of the draws now and then."""
+    rows = [(i, "w" if i % 4 == 0 else "", "small") for i in range(80)] + [(1000 + i, "a b c d e", "big") for i in range(900)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    f = mixing.mix_sources(df, weights=(1, 5)).toPandas()
+    assert (f.target[f.source == "small"] == 60).all() and f.repetitions.max() == 3
+    assert mixing.mixed_documents(df, weights=(1, 5)).groupBy("doc_id").count().agg({"count": "max"}).first()[0] == 3
+
+
 def test_mix_and_shards_of_nothing(empty):
     assert mixing.mix_sources(empty).count() == 0
     assert mixing.mixed_documents(empty).count() == 0
@@ -105,6 +114,12 @@ def test_forward_sums_all_segmentations():
                 want[pieces.index(x)] += prob(s) * counts[0]
     assert m.expected(one, counts) == pytest.approx(want / np.exp(m.score(one)[0]))
     assert m._score_long("▁" + "ab" * 30) == pytest.approx(m.score(["ab" * 30])[0])
+    for w in ("abab", "cab", "ab" * 15):
+        out = np.zeros((len(pieces) + 2, 2))
+        m._expected_long("▁" + w, counts[0], out)
+        assert out[:-2] == pytest.approx(m.expected([w], counts))
+    long = m.expected(["ab" * 3000], np.ones((1, 2)))  # a probability far below doubles
+    assert np.isfinite(long).all() and (long.T @ [len(x) for x in pieces]) == pytest.approx([6001, 6001])
 
 
 def test_predictions(spark):

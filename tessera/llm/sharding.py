@@ -5,14 +5,25 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import text_of
+from .common import staged, text_of
 
 SHARDS = 24
-#: Bytes of text in a bucket, which one task holds.
+#: Bytes of text in a bucket, which one task holds; buckets whose counts are summed by one task.
 BUCKET_BYTES = 8 * 2**20
+RUN = 4096
+
+
+def _begins(counts: DataFrame) -> DataFrame:
+    """_t_bucket and _t_begin, the rows in the buckets before it: sums of RUN buckets each, then those within one. The one
+    task that orders the sums has a row for each RUN buckets (3000 at 100 TB)."""
+    counts = staged(counts.withColumn("_t_run", F.expr(f"_t_bucket div {RUN}")), "buckets")
+    before = lambda w: F.coalesce(F.sum("count").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    runs = counts.groupBy("_t_run").agg(F.sum("count").alias("count")).select("_t_run", before(Window.orderBy("_t_run")).alias("_t_first"))
+    within = before(Window.partitionBy("_t_run").orderBy("_t_bucket"))
+    return counts.withColumn("_t_within", within).join(runs, "_t_run").select("_t_bucket", (F.col("_t_first") + F.col("_t_within")).alias("_t_begin"))
 
 
 def shuffled(docs: DataFrame, shards: int = SHARDS, seed: int = 11, id_col: str = "doc_id", text_col: str = "text", bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
@@ -20,32 +31,28 @@ def shuffled(docs: DataFrame, shards: int = SHARDS, seed: int = 11, id_col: str
 
     Pass 1 scatters records by a seeded hash of id and text into as many buckets as hold bucket_bytes each. Pass 2
     shuffles each bucket in memory. Buckets follow one another; the run of all rows is cut into shards whose row counts
-    are at most one apart, and slot is the place in the shard, from 0. Reruns agree: a bucket is sorted by id and text
-    before its seeded permutation. A null text is none (size 8); null ids and repeated rows are records like any other;
+    are at most one apart, and slot is the place in the shard, from 0. Reruns agree: a bucket is sorted by hash, id and
+    text before its seeded permutation. A null text is none (size 8); null ids and repeated rows are records like any other;
     an empty table gives an empty result. Input columns named as result columns are replaced.
 
-    The driver holds the row count of each bucket: some 10 bytes for each bucket_bytes of input.
+    A bucket's task is sent the number of rows before it; the driver holds no bucket.
     """
     docs = docs.drop("size", "shard", "slot")
     sized = docs.withColumn("size", F.octet_length(text_of(text_col)).cast("long") + 8)
-    total = sized.agg(F.sum("size")).first()[0] or 0
+    total, n = sized.agg(F.coalesce(F.sum("size"), F.lit(0)), F.count("*")).first()
     buckets = max(1, -(-total // bucket_bytes))
-    dealt = sized.withColumn("_t_hash", F.xxhash64(F.lit(seed), F.col(id_col), F.xxhash64(text_of(text_col))))
-    dealt = dealt.withColumn("_t_bucket", F.pmod(F.col("_t_hash"), F.lit(buckets)).cast("int"))
-    counts = np.zeros(buckets, np.int64)
-    for bucket, n in dealt.groupBy("_t_bucket").count().toLocalIterator():
-        counts[bucket] = n
-    begin, n = np.append(0, np.cumsum(counts)[:-1]), int(counts.sum())
+    own = F.xxhash64(text_of(text_col))
+    dealt = sized.withColumn("_t_hash", F.xxhash64(F.lit(seed), F.col(id_col), own)).withColumn("_t_text", own)
+    dealt = dealt.withColumn("_t_bucket", F.pmod(F.col("_t_hash"), F.lit(buckets)))
     each, more = divmod(n, shards)
     names = sized.columns
 
-    def permute(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+    def permute(key: tuple[pa.Scalar, ...], table: pa.Table, begins: pa.Table) -> pa.Table:
         """The bucket's rows in a fixed order, then in a Fisher-Yates permutation of it."""
-        bucket = key[0].as_py()
-        table = table.take(pc.sort_indices(table, sort_keys=[("_t_hash", "ascending"), (id_col, "ascending")]))
+        table = table.take(pc.sort_indices(table, sort_keys=[("_t_hash", "ascending"), (id_col, "ascending"), ("_t_text", "ascending")]))
         place = np.arange(table.num_rows)
-        np.random.Generator(np.random.PCG64([seed, bucket])).shuffle(place)
-        at = begin[bucket] + np.arange(table.num_rows)
+        np.random.Generator(np.random.PCG64([seed, key[0].as_py()])).shuffle(place)
+        at = begins.column("_t_begin")[0].as_py() + np.arange(table.num_rows)
         shard = np.where(at < more * (each + 1), at // (each + 1), more + (at - more * (each + 1)) // max(each, 1))
         slot = at - (shard * each + np.minimum(shard, more))
         out = table.take(pa.array(place)).select(names)
@@ -53,12 +60,15 @@ def shuffled(docs: DataFrame, shards: int = SHARDS, seed: int = 11, id_col: str
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in sized.schema.fields)
     tasks = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(buckets, 100_000))
-    return dealt.repartition(tasks, "_t_bucket").groupBy("_t_bucket").applyInArrow(permute, f"{fields}, shard int, slot long")
+    begins = _begins(dealt.groupBy("_t_bucket").count())
+    rows, starts = (x.repartition(tasks, "_t_bucket").groupBy("_t_bucket") for x in (dealt, begins))  # dealt alike: no second shuffle
+    return rows.cogroup(starts).applyInArrow(permute, f"{fields}, shard int, slot long")
 
 
 def write_shards(docs: DataFrame, path: str, **options) -> None:
-    """Writes the shuffled records under ``path``, a folder for each shard, whose files sort by their slots."""
-    shuffled(docs, **options).repartition("shard", F.floor(F.col("slot") / 100_000)).sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
+    """Writes the shuffled records under ``path``, a folder for each shard, straight from the buckets: a file's records are
+    in the order of their slots, and a bucket's records are in one shard, or in two or more where it spans their ends."""
+    shuffled(docs, **options).sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
 
 
 def op6_shard(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -83,6 +83,28 @@ def test_shards(docs, rows, bucket):
     assert place(again) == place(found)
 
 
+def test_shards_are_a_reference_permutation(spark, monkeypatch, tmp_path):
+    """The same from the definition on one machine: buckets in order, each sorted, then permuted by its generator."""
+    monkeypatch.setattr(sharding, "RUN", 3)  # several runs of buckets
+    df = spark.createDataFrame([(i, f"text {i} " * (1 + i % 7)) for i in range(500)] + [(7, "text 7 ")], "doc_id long, text string")
+    size, seed, shards = 900, 5, 6
+    hashed = df.selectExpr("*", f"xxhash64({seed}, doc_id, xxhash64(text)) AS h", "octet_length(text) + 8 AS size").toPandas()
+    buckets = -(-int(hashed["size"].sum()) // size)
+    order = []
+    for b in range(buckets):
+        part = hashed[hashed.h % buckets == b].sort_values(["h", "doc_id"])[["doc_id", "text"]].values.tolist()
+        place = np.arange(len(part))
+        np.random.Generator(np.random.PCG64([seed, b])).shuffle(place)
+        order += [tuple(part[k]) for k in place]
+    cuts = [round(x) for x in np.cumsum([0] + [len(order) // shards + (s < len(order) % shards) for s in range(shards)])]
+    want = {(s, k): order[cuts[s] + k] for s in range(shards) for k in range(cuts[s + 1] - cuts[s])}
+    got = {(r.shard, r.slot): (r.doc_id, r.text) for r in sharding.shuffled(df, shards, seed, bucket_bytes=size).collect()}
+    assert got == want
+    sharding.write_shards(df, str(tmp_path / "s"), shards=shards, seed=seed, bucket_bytes=size)
+    back = spark.read.parquet(str(tmp_path / "s"))
+    assert {(r.shard, r.slot): (r.doc_id, r.text) for r in back.collect()} == want
+
+
 def test_shuffle_moves_rows(spark):
     df = spark.range(2000).selectExpr("id AS doc_id", "'x' AS text")
     f = sharding.shuffled(df, shards=4).toPandas().sort_values(["shard", "slot"])

@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import staged
+
 #: (verdict, host, path): a rule fits its host and all subdomains where the url's path starts with the rule's.
 RULES = (
     ("allow", "com", "/"),
@@ -105,12 +107,13 @@ def judge_urls(pages: DataFrame, rules=RULES, url_col: str = "url", default: str
     lengths = sorted({len(p) for _, _, p in rules})
     parts = pages.drop("host", "path", "rule", "verdict").withColumns({"host": host_of(F.col(url_col)), "path": path_of(F.col(url_col))})
     keys = candidate_keys(F.col("host"), F.col("path"), lengths)
-    universe = parts.select("host", "path").distinct().select(F.explode(keys).alias("key")).distinct()
+    universe = staged(parts.select("host", "path").distinct().select(F.explode(keys).alias("key")).distinct(), "keys")  # each level reads it
     verdicts = sorted({v for v, _, _ in rules})
     cascades = {}
     for v in verdicts:
-        listed = spark.createDataFrame([(h + p,) for w, h, p in rules if w == v], "key string")
+        listed = spark.range(1).select(F.explode(F.array(*(F.lit(h + p) for w, h, p in rules if w == v))).alias("key"))
         cascades[v] = Cascade.build(listed, universe)
+
     def marked(k: Column) -> Column:
         verdict = F.lit(None).cast("string")
         for v in verdicts:

@@ -2,15 +2,19 @@
 
 Tasks write gzip-per-record archives to a folder that all machines share and return each record's place. The places are
 sorted by reversed-host key into compressed blocks (level 2); the first key of each block makes a sparse directory
-(level 1). A lookup binary-searches the directory, reads one block by its byte range and then the record by its own.
+(level 1), a file beside each file of blocks. A lookup binary-searches the first keys of the files, of which there are as
+many as tasks that wrote them, then the directory of one, reads a block by its byte range and then the record by its own.
 """
 
 from __future__ import annotations
 
 import bisect
 import gzip
+import hashlib
 import json
+import urllib.parse
 import zlib
+from collections.abc import Iterator
 
 import pyarrow as pa
 import pyarrow.fs as pafs
@@ -79,7 +83,7 @@ def _record(page_id, url, payload: bytes, size: int, digest: str, kind: str, ref
     body = http + payload if kind == "response" else http
     head = [("WARC-Type", kind), ("WARC-Record-ID", f"<urn:page:{'' if page_id is None else page_id}>"), ("WARC-Date", "1970-01-01T00:00:00Z")]
     if url is not None:
-        head.append(("WARC-Target-URI", json.dumps(url)[1:-1]))
+        head.append(("WARC-Target-URI", urllib.parse.quote(url, safe="%/:?#[]@!$&'()*+,;=~")))
     head += [("WARC-Payload-Digest", f"sha256:{digest}"), ("X-Payload-Length", str(size))]
     if kind == "revisit":
         head += [("WARC-Refers-To", f"<urn:page:{refers_to}>"), ("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")]
@@ -134,7 +138,11 @@ def _writer(folder: str):
 
 def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", text_col: str = "html", url_col: str = "url") -> DataFrame:
     """Writes the archives below ``folder`` and returns the index lines (a staged table). A retried task writes archives
-    of its own names; the lines of the attempt that succeeded name the archives that count."""
+    of its own names; the lines of the attempt that succeeded name the archives that count.
+
+    A null html is an empty payload, a null url has no target and the key ``)``, a null page has no number; repeated rows
+    are records each; payloads of any length are whole; an empty table writes no archive. Other columns are dropped.
+    """
     fs, path = _open(folder)
     fs.create_dir(f"{path}/archives", recursive=True)
     rows = captures(pages.select(id_col, url_col, text_col), id_col, text_col)
@@ -143,9 +151,15 @@ def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", text_
     return staged(rows.mapInArrow(_writer(f"{folder}/archives"), LINE), "places")
 
 
+def _pair(key: str, page_id) -> tuple:
+    """What the index is sorted by: the key, then the page, null first."""
+    return key, page_id is not None, page_id or 0
+
+
 def write_index(lines: DataFrame, folder: str) -> DataFrame:
-    """Level 2: lines sorted by key in compressed blocks below ``folder``. Returns level 1, the sparse directory: block
-    number, first key, file, offset, length and lines of each block, in order of the keys."""
+    """Level 2: lines sorted by key and page in compressed blocks below ``folder``; level 1: a directory file for each of
+    these files, with the first line's key, offset and length of each block. Returns a row per file, in order: part, file,
+    key and page of its first line, length of its directory, and lines."""
     fs, path = _open(folder)
     fs.create_dir(f"{path}/index", recursive=True)
 
@@ -154,17 +168,16 @@ def write_index(lines: DataFrame, folder: str) -> DataFrame:
 
         context = TaskContext.get()
         fs, path = _open(f"{folder}/index")
-        held, rows, offset, out, name = [], [], 0, None, f"part-{context.partitionId():05d}.{context.taskAttemptId()}.idx"
+        held, directory, offset, n, out, name = [], [], 0, 0, None, f"part-{context.partitionId():05d}.{context.taskAttemptId()}"
 
         def block():
-            nonlocal held, offset, out
+            nonlocal held, offset, n, out
             if out is None:
-                out = fs.open_output_stream(f"{path}/{name}")
+                out = fs.open_output_stream(f"{path}/{name}.idx")
             data = zlib.compress("\n".join(json.dumps(x, ensure_ascii=False) for x in held).encode(), 6)
             out.write(data)
-            rows.append((context.partitionId(), len(rows), held[0][0], name, offset, len(data), len(held)))
-            offset += len(data)
-            held = []
+            directory.append((held[0][0], held[0][1], offset, len(data)))
+            offset, n, held = offset + len(data), n + len(held), []
 
         for b in batches:
             for x in zip(*(c.to_pylist() for c in b.columns), strict=True):
@@ -175,71 +188,109 @@ def write_index(lines: DataFrame, folder: str) -> DataFrame:
             block()
         if out is not None:
             out.close()
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.int32(), pa.int32(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int32()), strict=True)], ["part", "block", "first_key", "file", "offset", "length", "n"])
+            data = zlib.compress(json.dumps(directory).encode(), 6)
+            with fs.open_output_stream(f"{path}/{name}.dir") as f:
+                f.write(data)
+            row = (context.partitionId(), name, directory[0][0], directory[0][1], len(data), n)
+            yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, (pa.int32(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64()), strict=True)], ["part", "file", "first_key", "first_page", "directory_length", "n"])
 
     ordered = lines.repartitionByRange("key", "page_id").sortWithinPartitions("key", "page_id")
-    return staged(ordered.mapInArrow(run, "part int, block int, first_key string, file string, offset long, length long, n int"), "directory")
+    return staged(ordered.mapInArrow(run, "part int, file string, first_key string, first_page long, directory_length long, n long"), "index")
 
 
-def _block_lines(source: Ranges, file: str, offset: int, length: int) -> list[list]:
-    return [json.loads(x) for x in zlib.decompress(source.read(file, offset, length)).decode().split("\n")]
+class Lookup:
+    """Finds records by url key. Held are a row per index file, the directory of one and the lines of one block, so
+    lookups in the order of the index read each of these once."""
 
+    def __init__(self, files: list[tuple], folder: str):
+        """files: what write_index returns, collected (a row per task that wrote the index, whatever the corpus)."""
+        self.files = sorted(tuple(f) for f in files)
+        self.firsts = [_pair(f[2], f[3]) for f in self.files]
+        self.index, self.archives = Ranges(f"{folder}/index"), Ranges(f"{folder}/archives")
+        self.directory: tuple = (None, [], [])  # file number, its blocks, the first pair of each
+        self.block: tuple = (None, [], [])  # file and block number, its lines, the pair of each
+
+    def _blocks(self, k: int) -> tuple[list, list]:
+        if self.directory[0] != k:
+            blocks = json.loads(zlib.decompress(self.index.read(f"{self.files[k][1]}.dir", 0, self.files[k][4])))
+            self.directory = k, blocks, [_pair(b[0], b[1]) for b in blocks]
+        return self.directory[1:]
+
+    def _lines(self, k: int, i: int) -> tuple[list, list]:
+        if self.block[0] != (k, i):
+            _, _, offset, length = self._blocks(k)[0][i]
+            lines = [json.loads(x) for x in zlib.decompress(self.index.read(f"{self.files[k][1]}.idx", offset, length)).decode().split("\n")]
+            self.block = (k, i), lines, [_pair(x[0], x[1]) for x in lines]
+        return self.block[1:]
+
+    def between(self, low: tuple, high: tuple) -> Iterator[list]:
+        """Index lines whose pair is from low to high, by binary search at each level; they may run over blocks and files."""
+        for k in range(max(0, bisect.bisect_left(self.firsts, low) - 1), len(self.files)):
+            if self.firsts[k] > high:
+                return
+            _, firsts = self._blocks(k)
+            for i in range(max(0, bisect.bisect_left(firsts, low) - 1), len(firsts)):
+                if firsts[i] > high:
+                    return
+                lines, pairs = self._lines(k, i)
+                yield from lines[bisect.bisect_left(pairs, low) : bisect.bisect_right(pairs, high)]
 
-def read_back(directory: DataFrame, folder: str) -> DataFrame:
-    """Every record, by way of the index: page_id, payload_bytes, payload_digest (computed from a response's payload, the
-    header's for a revisit), record_type, refers_to."""
+    def lines(self, key: str) -> list[list]:
+        """Index lines of all captures of a key."""
+        return list(self.between((key, False, 0), (key, True, float("inf"))))
 
-    def number(x: str):
-        x = x.removeprefix("<urn:page:").removesuffix(">")
-        return int(x) if x not in ("", "None") else None
+    def records(self, key: str) -> list[dict]:
+        return [parse_record(self.archives.read(*x[4:7])) for x in self.lines(key)]
 
-    def run(batches):
-        import hashlib
+    def close(self) -> None:
+        self.index.close()
+        self.archives.close()
 
-        index, archives = Ranges(f"{folder}/index"), Ranges(f"{folder}/archives")
-        for b in batches:
-            for file, offset, length in zip(*(b.column(c).to_pylist() for c in range(3)), strict=True):
-                rows = []
-                for line in sorted(_block_lines(index, file, offset, length), key=lambda x: (x[4], x[5])):
-                    r = parse_record(archives.read(*line[4:7]))
-                    f, kind = r["fields"], r["fields"]["WARC-Type"]
-                    own = kind == "response"
-                    rows.append((number(f["WARC-Record-ID"]), len(r["payload"]) if own else int(f["X-Payload-Length"]), hashlib.sha256(r["payload"]).hexdigest() if own else f["WARC-Payload-Digest"].removeprefix("sha256:"), kind, None if own else number(f["WARC-Refers-To"])))
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64()), strict=True)], ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"])
-        index.close()
-        archives.close()
 
-    tasks = max(1, int(directory.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    places = directory.select("file", "offset", "length").repartition(tasks, "file", "offset")
-    return places.mapInArrow(run, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
+def read_back(files: DataFrame, folder: str, wanted: DataFrame) -> DataFrame:
+    """Every record of the wanted (key, page_id), looked up in the index: page_id, payload_bytes, payload_digest (computed
+    from a response's payload, the header's for a revisit), record_type, refers_to.
 
+    Lookups are dealt by ranges of the index, so a hot key is dealt by its pages; each pair is looked up once, however
+    often it is wanted, and gives all its records. Null keys are looked up as any other; a pair that is not in the index
+    gives no row. Other columns of wanted are dropped.
+    """
+    held = files.collect()  # a row per task of the index
 
-class Lookup:
-    """Point lookups by url key: the sparse directory (a row for each BLOCK_LINES records) is held, blocks are read."""
+    def number(x: str):
+        x = x.removeprefix("<urn:page:").removesuffix(">")
+        return int(x) if x not in ("", "None") else None
 
-    def __init__(self, directory: DataFrame, folder: str):
-        rows = sorted(directory.collect(), key=lambda r: (r["part"], r["block"]))
-        self.rows, self.keys = rows, [r["first_key"] for r in rows]
-        self.index, self.archives = Ranges(f"{folder}/index"), Ranges(f"{folder}/archives")
+    def row(data: bytes) -> tuple:
+        r = parse_record(data)
+        f, payload = r["fields"], r["payload"]
+        if f["WARC-Type"] == "response":
+            return number(f["WARC-Record-ID"]), len(payload), hashlib.sha256(payload).hexdigest(), "response", None
+        return number(f["WARC-Record-ID"]), int(f["X-Payload-Length"]), f["WARC-Payload-Digest"].removeprefix("sha256:"), "revisit", number(f["WARC-Refers-To"])
 
-    def lines(self, key: str) -> list[list]:
-        """Index lines of the key. A key may run over several blocks."""
-        found = []
-        for i in range(max(0, bisect.bisect_left(self.keys, key) - 1), len(self.rows)):
-            if self.keys[i] > key:
-                break
-            r = self.rows[i]
-            found += [x for x in _block_lines(self.index, r["file"], r["offset"], r["length"]) if x[0] == key]
-        return found
+    def run(batches):
+        look, before = Lookup(held, folder), None
+        for b in batches:
+            found = []
+            for key, page_id in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                pair = _pair(key, page_id)
+                if pair != before:
+                    found += look.between(pair, pair)
+                before = pair
+            found.sort(key=lambda x: (x[4], x[5]))  # each archive is opened once for a batch
+            rows = [row(look.archives.read(*x[4:7])) for x in found]
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64()), strict=True)], ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"])
+        look.close()
 
-    def records(self, key: str) -> list[dict]:
-        return [parse_record(self.archives.read(*x[4:7])) for x in self.lines(key)]
+    ordered = wanted.select("key", F.col("page_id").cast("long").alias("page_id")).repartitionByRange("key", "page_id").sortWithinPartitions("key", "page_id")
+    return ordered.mapInArrow(run, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
 
 
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    folder = new_folder(spark, "warc")
-    lines = write_archives(spark.read.parquet(f"{sf_dir}/pages.parquet"), folder)
-    return read_back(write_index(lines, folder), folder)
+    folder, pages = new_folder(spark, "warc"), spark.read.parquet(f"{sf_dir}/pages.parquet")
+    files = write_index(write_archives(pages, folder), folder)
+    return read_back(files, folder, pages.select(url_key(F.col("url")).alias("key"), "page_id"))
 
 
 SQL = """

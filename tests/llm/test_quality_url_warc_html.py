@@ -53,7 +53,7 @@ def test_mahalanobis_is_numpy_s(spark):
     assert got == pytest.approx(want)
 
 
-URLS = [None, "", "no scheme", "http://", "HTTP://WWW.Example.com/en/x", "https://a.example.com/en/", "http://example.com/en?x", "http://x.net/es/1", "http://net/fr/", "http://notexample.com/en/", "http://com", "http://com/", "http://a.org/x#y", "http://b.com?q=/en/", "ftp://é.net/es/ü", "http://a//b://c.com/"]
+URLS = [None, "", "no scheme", "http://", "HTTP://WWW.Example.com/en/x", "https://a.example.com/en/", "http://example.com/en?x", "http://x.net/es/1", "http://net/fr/", "http://notexample.com/en/", "http://com", "http://com/", "http://a.org/x#y", "http://b.com?q=/en/", "ftp://é.net/es/ü", "http://a//b://c.com/", "http://x.example.com/en/" + "long/" * 3000, "http://" + "a." * 300 + "net/fr/?" + "q" * 3000]
 
 
 def judged(url):
@@ -82,39 +82,52 @@ def test_cascade_is_exact(spark):
 
 
 def test_warc_round_trip(spark, tmp_path):
-    page = "<p>é" + "x" * 200
-    rows = [(5, "http://a.org/x", page), (3, "http://b.a.org/", page), (9, None, page), (4, "http://c.com/\r\nq", "short"), (6, "u", "short"), (7, "http://a.org/x", None), (8, "", ""), (5, "http://a.org/x", page), (None, "http://z.net", page)]
+    page, huge = "<p>é" + "x" * 200, "<p>ü very long " * 200_000
+    rows = [(5, "http://a.org/x", page), (3, "http://b.a.org/", page), (9, None, page), (4, "http://c.com/\r\nq", "short"), (6, "u", "short"), (7, "http://a.org/x", None), (8, "", ""), (5, "http://a.org/x", page), (None, "http://z.net", page), (20, "http://é.org/ü x%20", huge), (21, "http://z.org/" + "long/" * 2000, huge), (22, "u", huge + "!")]
     df = spark.createDataFrame(rows, "page_id long, url string, html string").selectExpr("*", "'x' AS key", "0 AS payload")
     folder = str(tmp_path / "w")
     lines = warc.write_archives(df.repartition(3), folder)
-    directory = warc.write_index(lines, folder)
-    got = sorted(map(tuple, warc.read_back(directory, folder).collect()), key=str)
+    files = warc.write_index(lines, folder)
+    wanted = df.select(warc.url_key(df.url).alias("key"), "page_id")
+    got = sorted(map(tuple, warc.read_back(files, folder, wanted).collect()), key=str)
     sha = lambda t: hashlib.sha256((t or "").encode()).hexdigest()
-    want = [(i, len((t or "").encode()), sha(t), "revisit" if t == page and i != 3 else "response", 3 if t == page and i != 3 else None) for i, _, t in rows]
+    want = [(i, len((t or "").encode()), sha(t), "revisit" if t in (page, huge) and i not in (3, 20) else "response", None if t not in (page, huge) or i in (3, 20) else 3 if t == page else 20) for i, _, t in rows]
     assert got == sorted(want, key=str)
-    look = warc.Lookup(directory, folder)
+    look = warc.Lookup(files.collect(), folder)
     found = look.records("org,a)/x")
     assert sorted(r["fields"]["WARC-Record-ID"] for r in found) == ["<urn:page:5>", "<urn:page:5>", "<urn:page:7>"]
-    assert look.lines("org,nothing)/") == []
+    assert look.lines("org,nothing)/") == [] and look.lines("") == [] and look.lines("zzz") == []
     response = look.records("org,a,b)/")[0]
     assert response["payload"].decode() == page
+    assert look.records("com,c)/\r\nq")[0]["fields"]["WARC-Target-URI"] == "http://c.com/%0D%0Aq"
+    assert look.records("org,é)/ü x%20")[0]["fields"]["WARC-Target-URI"] == "http://%C3%A9.org/%C3%BC%20x%20"
+    nothing = spark.createDataFrame([("org,nothing)/", 5), ("org,a)/x", 6), ("org,a)/x", 7)], "key string, page_id long")
+    assert [r.page_id for r in warc.read_back(files, folder, nothing).collect()] == [7]
 
 
 def test_warc_lookup_over_blocks(spark, tmp_path, monkeypatch):
+    """Keys that run over blocks and files, one of them with most pages."""
     monkeypatch.setattr(warc, "BLOCK_LINES", 7)
     folder = str(tmp_path / "w")
-    df = spark.range(200).selectExpr("id AS page_id", "concat('http://h', id % 10, '.org/p', id % 40) AS url", "concat('text of ', id) AS html")
-    directory = warc.write_index(warc.write_archives(df, folder), folder)
-    look = warc.Lookup(directory, folder)
+    df = spark.range(300).selectExpr("id AS page_id", "if(id < 200, concat('http://h', id % 10, '.org/p', id % 40), 'http://hot.org/') AS url", "concat('text of ', id) AS html")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    files = warc.write_index(warc.write_archives(df, folder), folder)
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert files.count() > 1
+    look = warc.Lookup(files.collect(), folder)
     for k in range(0, 200, 23):
         ids = {r["fields"]["WARC-Record-ID"] for r in look.records(f"org,h{k % 10})/p{k % 40}")}
         assert ids == {f"<urn:page:{i}>" for i in range(200) if i % 10 == k % 10 and i % 40 == k % 40}
+    assert len(look.lines("org,hot)/")) == 100
+    back = warc.read_back(files, folder, df.select(warc.url_key(df.url).alias("key"), "page_id")).toPandas()
+    assert sorted(back.page_id) == list(range(300)) and (back.payload_bytes == back.page_id.map(lambda i: len(f"text of {i}"))).all()
 
 
 def test_warc_of_nothing(spark, tmp_path):
     df = spark.createDataFrame([], "page_id long, url string, html string")
     folder = str(tmp_path / "w")
-    assert warc.read_back(warc.write_index(warc.write_archives(df, folder), folder), folder).count() == 0
+    files = warc.write_index(warc.write_archives(df, folder), folder)
+    assert warc.read_back(files, folder, df.select(warc.url_key(df.url).alias("key"), "page_id")).count() == 0
 
 
 PROSE = "This is a long sentence of the article, with commas, and more of them, so that it scores well. "

@@ -31,6 +31,8 @@ CACHE = 500_000
 RANK_ROWS = 50_000
 #: Nodes that the search may visit, the incumbent being the answer when they are used up; nodes to a best-fit completion.
 NODES, BEST_FIT_EVERY = 5_000, 100
+#: Rounding functions of the lower bound.
+DUALS = 8
 
 Pattern = tuple[tuple[int, int], ...]  # (length, how many), longest first
 
@@ -164,7 +166,19 @@ def lower_bound(counts: dict[int, int], capacity: int) -> int:
     big, mid = items[-1] - items[high], items[high] - items[half]
     room = mid * capacity - (sums[high] - sums[half])
     small = sums[half] - sums[np.searchsorted(x, low, side="left")]
-    return int((big + mid + np.maximum(0, -(-(small - room) // capacity))).max())
+    return max(int((big + mid + np.maximum(0, -(-(small - room) // capacity))).max()), dual_bound(x, n, capacity))
+
+
+def dual_bound(x: np.ndarray, n: np.ndarray, capacity: int) -> int:
+    """Fekete and Schepers' bound by dual feasible functions: lengths below some e count as 0 and those that fit beside
+    none of e as a bin, then what is no whole multiple of 1 / (k + 1) of a bin is rounded down to a multiple of 1 / k."""
+    best = 0
+    for e in (0, *x[2 * x <= capacity].tolist()):
+        y = np.where(x > capacity - e, capacity, np.where(x < e, 0, x))
+        for k in range(1, DUALS + 1):
+            parts = (k + 1) * y
+            best = max(best, -(-int(n @ np.where(parts % capacity == 0, k * y, parts // capacity * capacity)) // (k * capacity)))
+    return best
 
 
 def reachable(counts: dict[int, int], capacity: int) -> list[int]:
@@ -230,14 +244,14 @@ def fillings(counts: dict[int, int], capacity: int, own: int, most: int = 16) ->
         done, most = done + len(part), 2 * most
 
 
-def complete(counts: dict[int, int], capacity: int, incumbent: list[tuple[Pattern, int]], bound: int, nodes: int, own: Callable[[dict[int, int]], int]) -> list[tuple[Pattern, int]]:
+def complete(counts: dict[int, int], capacity: int, incumbent: list[tuple[Pattern, int]], bound: int, nodes: float, own: Callable[[dict[int, int]], int]) -> list[tuple[Pattern, int]]:
     """Bin completion: branches over the undominated fillings around an item of length own(counts left), used for as many
     bins at once as the counts allow, or once; prunes a node whose waste shows that it can't beat the incumbent, and
     completes nodes by best fit for new incumbents (each node of up to BEST_FIT_EVERY lengths, and one in as many of the
     others). The search holds one set of counts, which it takes from and gives back to. Any item is in some bin, so each
     choice of it makes an exact search."""
     total = sum(k * n for k, n in counts.items())
-    best, best_n, n_done, waste, path, now = incumbent, sum(n for _, n in incumbent), 0, 0, [], dict(counts)
+    best, best_n, n_done, waste, path, now, seen = incumbent, sum(n for _, n in incumbent), 0, 0, [], dict(counts), 0
 
     def children():
         for p in fillings(now, capacity, own(now)):
@@ -249,10 +263,10 @@ def complete(counts: dict[int, int], capacity: int, incumbent: list[tuple[Patter
                 yield p, bins, room * bins
 
     stack = [children()]
-    while stack and nodes > 0 and best_n > bound:
+    while stack and seen < nodes and best_n > bound:
         step = next(stack[-1], ())
         if step is None:  # a dominated filling
-            nodes -= 1
+            seen += 1
             continue
         beaten = step and (-(-(total + waste + step[2]) // capacity) >= best_n or n_done + step[1] >= best_n)
         if beaten and step[1] > 1:
@@ -266,14 +280,14 @@ def complete(counts: dict[int, int], capacity: int, incumbent: list[tuple[Patter
                     now[x] = now.get(x, 0) + k * bins
             continue
         p, bins, wasted = step
-        nodes -= 1
+        seen += 1
         path.append(step)
         n_done, waste = n_done + bins, waste + wasted
         for x, k in p:
             now[x] -= k * bins
             if not now[x]:
                 del now[x]
-        rest = best_fit(now, capacity) if now and (len(now) <= BEST_FIT_EVERY or nodes % BEST_FIT_EVERY == 0) else []
+        rest = best_fit(now, capacity) if now and (len(now) <= BEST_FIT_EVERY or seen % BEST_FIT_EVERY == 0) else []
         if (not now or rest) and n_done + sum(n for _, n in rest) < best_n:
             best = [(q, n) for q, n, _ in path] + rest
             best_n = sum(n for _, n in best)
@@ -281,12 +295,12 @@ def complete(counts: dict[int, int], capacity: int, incumbent: list[tuple[Patter
     return best
 
 
-def plan(counts: dict[int, int], capacity: int = CAPACITY, nodes: int = NODES) -> list[tuple[Pattern, int]]:
+def plan(counts: dict[int, int], capacity: int = CAPACITY, nodes: int | None = NODES) -> list[tuple[Pattern, int]]:
     """Bins for a histogram {length: items}, as (pattern, number of bins).
 
     The best-fit plan is the first incumbent. If it has more bins than the lower bound, bin completion searches around
     the most frequent length, which keeps lengths of all sizes to the end, and then around the largest item, with half
-    of the nodes each.
+    of the nodes each. Without a number of nodes (None) the second search is exact, and takes as long as it takes.
     """
     counts = {k: n for k, n in counts.items() if n}
     if not counts:
@@ -296,8 +310,9 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY, nodes: int = NODES) -
     if not counts:
         return alone
     best, bound = best_fit(counts, capacity), lower_bound(counts, capacity)
-    for own in (lambda now: max(now, key=lambda x: (now[x], x)), max):
-        best = complete(counts, capacity, best, bound, nodes // 2, own)
+    most = (NODES // 2, float("inf")) if nodes is None else (nodes // 2, nodes // 2)
+    for own, n in zip((lambda now: max(now, key=lambda x: (now[x], x)), max), most, strict=True):
+        best = complete(counts, capacity, best, bound, n, own)
     return alone + best
 
 
@@ -347,8 +362,12 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, keys: tuple[str, ...] = ("
 
 
 def packed_documents(docs: DataFrame, tokenizer_file: str, capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:
-    """Documents as packed pieces: doc_id, piece, start, length, ids_crc32, sequence_id, offset (and ids, if asked for)."""
+    """Documents as packed pieces: doc_id, piece, start, length, ids_crc32, sequence_id, offset (and ids, if asked for).
 
+    A null or empty text is a piece of END_ID alone. Texts of any length are encoded whole and only those over the
+    capacity are cut. Repeated rows and null ids are packed each; an empty table gives an empty result; other columns,
+    whatever their names, are dropped.
+    """
     return pack(staged(token_pieces(docs, tokenizer_file, capacity, with_ids=with_ids), "pieces"), capacity)
 
 

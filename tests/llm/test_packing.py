@@ -46,6 +46,21 @@ def test_plan_is_optimal_on_small_cases():
         assert sum(n for _, n in found) == fewest(list(Counter(counts).elements()), capacity) >= packing.lower_bound(counts, capacity)
 
 
+def test_bounds_and_the_exact_way():
+    """Where items are many and the incumbent is not optimal at first, without a budget of nodes."""
+    rng, sharp = random.Random(6), 0
+    for _ in range(120):
+        capacity = rng.choice([12, 30])
+        counts = dict(Counter(rng.randint(capacity // 6, capacity * 3 // 5) for _ in range(rng.randint(6, 11))))
+        want = fewest(list(Counter(counts).elements()), capacity)
+        assert sum(n for _, n in packing.plan(counts, capacity, nodes=None)) == want
+        x = np.array(sorted(counts))
+        dual = packing.dual_bound(x, np.array([counts[k] for k in x.tolist()]), capacity)
+        assert dual <= packing.lower_bound(counts, capacity) <= want
+        sharp += packing.lower_bound(counts, capacity) == want
+    assert sharp > 100
+
+
 def test_plan_of_triples_that_fill_bins():
     rng, counts, triples = random.Random(1), Counter(), 0
     while triples < 2000:

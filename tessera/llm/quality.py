@@ -3,32 +3,54 @@
 The statistics of a document are transformed to a vector; location and scatter of each (language, source) come from the
 minimum covariance determinant, and a vector too far from them by Mahalanobis distance is rejected. DataFrame functions
 only: a concentration step is one pass that sums counts, vectors and products by group and distance bin.
+
+Estimates of a group are shrunk: PRIOR rows of its language's are added to its own, and as many of all rows' to those of a
+language. So a group of any size has its own estimates, and a small one leans on its language.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import SPACE, WORD, n_words, staged, text_of
+from .common import SPACE, WORD, n_words, staged, text_of, with_group
 
 WINDOW = 5
 MIN_WORDS = 10
 MOST_REPEATED = 20  # percent
-#: Components of the vector, quantiles of chi-square with that many degrees of freedom: 0.5, 0.975 and the cutoff's 0.9999.
-P, MEDIAN, WEIGHED, CUTOFF = 5, 4.3515, 12.8325, 25.745
+#: Components of the vector, quantiles of chi-square with that many degrees of freedom: 0.975, and the cutoff's 0.9999.
+P, WEIGHED, CUTOFF = 5, 12.8325, 25.745
 #: Least standard deviation of each component: most are zero in most documents, and one line that repeats is no fault.
 FLOORS = (0.05, 0.05, 0.05, 0.15, 0.15)
-#: Groups with fewer rows are judged with their language, languages with fewer with all rows.
-LEAST_ROWS = 50
-STEPS = 3
+#: Rows of the language's estimates that a group's are shrunk with.
+PRIOR = 50
+#: Concentration goes on until the log-determinant of no group's factor falls by as much; steps at most (some 6 are usual).
+FALL, STEPS = 0.01, 50
 #: Distance bins to a factor of e, and value bins to a unit for the medians.
 BINS = 32
 VALUE_BINS = 200
-#: Groups whose parameters (some 300 bytes each) are broadcast; with more the join may shuffle.
+#: Groups whose parameters (some 300 bytes each) are broadcast; with more only hot groups' are, and the join may shuffle.
 BROADCAST_GROUPS = 20_000
 
 
+def chi_square(x: float) -> tuple[float, float]:
+    """The distribution functions of chi-square with 5 and 7 degrees of freedom."""
+    tail = math.sqrt(2 * x / math.pi) * math.exp(-x / 2)
+    five = math.erf(math.sqrt(x / 2)) - tail * (1 + x / 3)
+    return five, five - tail * x * x / 15
+
+
+def consistency(share: float) -> float:
+    """What the covariance of the share of rows nearest to the middle is multiplied by to be that of all normal rows."""
+    low, high = 0.0, 100.0
+    for _ in range(60):
+        mid = (low + high) / 2
+        low, high = (mid, high) if chi_square(mid)[0] < share else (low, mid)
+    return share / chi_square(low)[1]
+
+
 def _count(text: Column, but: str) -> Column:
     return F.length(F.regexp_replace(text, but, "")).cast("long")
 
@@ -80,16 +102,19 @@ PAIRS = [(i, j) for i in range(P) for j in range(i + 1)]
 
 
 def _beside(rows: DataFrame, groups: DataFrame, key: str, n: int) -> DataFrame:
-    return rows.join(F.broadcast(groups) if n <= BROADCAST_GROUPS else groups, key)
+    """rows and what groups has for their key: n groups, of which each is in rows."""
+    if n <= BROADCAST_GROUPS:
+        return rows.join(F.broadcast(groups), key)
+    sizes = rows.groupBy(key).agg(F.count("*").alias("_t_rows"))
+    return with_group(rows, groups.join(sizes, key), key, "_t_rows", rows.count()).drop("_t_rows")
 
 
 def _sums() -> list[Column]:
     return [F.count("*").alias("_t_n"), *(F.sum(x).alias(f"_t_s{i}") for i, x in enumerate(X)), *(F.sum(F.col(X[i]) * F.col(X[j])).alias(f"_t_q{i}{j}") for i, j in PAIRS)]
 
 
-def _added() -> list[Column]:
-    names = ["_t_n", *(f"_t_s{i}" for i in range(P)), *(f"_t_q{i}{j}" for i, j in PAIRS)]
-    return [F.sum(x).alias(x) for x in names]
+FACTOR = [*M, *(f"_t_l{i}{j}" for i, j in PAIRS)]
+SUMS = ["_t_n", *(f"_t_s{i}" for i in range(P)), *(f"_t_q{i}{j}" for i, j in PAIRS)]
 
 
 def _estimate(sums: DataFrame, keys: list[str], scale: Column) -> DataFrame:
@@ -121,54 +146,81 @@ def _distance(rows: DataFrame) -> DataFrame:
     return rows.withColumn("_t_d2", sum((F.col(f"_t_y{i}") * F.col(f"_t_y{i}") for i in range(P)), F.lit(0.0)))
 
 
-def _medians(rows: DataFrame) -> DataFrame:
+def _medians(rows: DataFrame, n_groups: int) -> DataFrame:
     """A start: medians, and squared scaled median distances to them as a diagonal covariance."""
-    long = rows.select("_t_g", F.posexplode(F.array(*X)).alias("_t_i", "_t_v"))
 
-    def middle(values: DataFrame, name: str) -> DataFrame:
-        bins = values.groupBy("_t_g", "_t_i", F.floor(F.col("_t_v") * VALUE_BINS).alias("_t_b")).agg(F.count("*").alias("_t_k"))
+    def middle(values: list[Column], of: DataFrame, names: list[str]) -> DataFrame:
+        """The median of each value by group, a column each: the middle of the bin in which it falls."""
+        long = of.select("_t_g", F.posexplode(F.array(*values)).alias("_t_i", "_t_v"))
+        bins = long.groupBy("_t_g", "_t_i", F.floor(F.col("_t_v") * VALUE_BINS).alias("_t_b")).agg(F.count("*").alias("_t_k"))
         by = Window.partitionBy("_t_g", "_t_i")
-        run = bins.withColumns({"_t_c": F.sum("_t_k").over(by.orderBy("_t_b")), "_t_all": F.sum("_t_k").over(by)})
-        return run.filter(2 * F.col("_t_c") >= F.col("_t_all")).groupBy("_t_g", "_t_i").agg(((F.min("_t_b") + 0.5) / VALUE_BINS).alias(name))
+        run = bins.withColumns({"_t_c": F.sum("_t_k").over(by.orderBy("_t_b")), "_t_all": F.sum("_t_k").over(by)}).filter(2 * F.col("_t_c") >= F.col("_t_all"))
+        return run.groupBy("_t_g").agg(*(((F.min(F.when(F.col("_t_i") == i, F.col("_t_b"))) + 0.5) / VALUE_BINS).alias(name) for i, name in enumerate(names)))
 
-    med = middle(long, "_t_med")
-    apart = long.join(med, ["_t_g", "_t_i"]).withColumn("_t_v", F.abs(F.col("_t_v") - F.col("_t_med")))
-    both = med.join(middle(apart, "_t_mad"), ["_t_g", "_t_i"])
-    wide = both.groupBy("_t_g").agg(*(F.max(F.when(F.col("_t_i") == i, F.col("_t_med"))).alias(M[i]) for i in range(P)), *(F.max(F.when(F.col("_t_i") == i, 1.4826 * F.col("_t_mad"))).alias(f"_t_d{i}") for i in range(P)))
-    wide = wide.withColumns({f"_t_c{i}{j}": F.col(f"_t_d{i}") * F.col(f"_t_d{i}") + FLOORS[i] ** 2 if i == j else F.lit(0.0) for i, j in PAIRS})
-    return _factor(wide.withColumn("_t_start", F.lit(0)), ["_t_g", "_t_start"])
+    med = staged(middle([F.col(x) for x in X], rows, M), "medians")
+    spread = [f"_t_d{i}" for i in range(P)]
+    mad = middle([F.abs(F.col(x) - F.col(m)) for x, m in zip(X, M, strict=True)], _beside(rows, med, "_t_g", n_groups), spread)
+    diagonal = {f"_t_c{i}{j}": F.pow(1.4826 * F.col(spread[i]), 2) + FLOORS[i] ** 2 if i == j else F.lit(0.0) for i, j in PAIRS}
+    return _factor(med.join(mad, "_t_g").withColumns(diagonal).withColumn("_t_start", F.lit(0)), ["_t_g", "_t_start"])
 
 
-def robust_estimates(rows: DataFrame, n_groups: int) -> DataFrame:
-    """_t_g, mean and factor of each group by MCD: concentration steps from two starts (medians; all rows), the one of
-    least determinant, made consistent at the median and reweighted. rows: _t_g and the vector, read once a step."""
+def concentrated(rows: DataFrame, n_groups: int) -> DataFrame:
+    """Counts, sums and products of each group's half of least covariance determinant (_t_g, _t_share and SUMS).
+
+    Concentration steps from two starts (medians; all rows) until no determinant falls; of the two halves the one of the
+    least determinant is given. rows: _t_g and the vector, read once a step. Of the distance bin that the half ends in,
+    rows count in part, so that just the half is summed.
+    """
     keys = ["_t_g", "_t_start"]
+    kept = [*keys, "_t_share", *SUMS]
     everything = rows.groupBy("_t_g", F.lit(1).alias("_t_start")).agg(*_sums())
-    now = staged(_medians(rows).unionByName(_estimate(everything, keys, F.lit(1.0))), "mcd")
-    size = rows.groupBy("_t_g").agg(F.count("*").alias("_t_of"))
-    half = F.floor((F.col("_t_of") + P + 1) / 2)
+    now = staged(_medians(rows, n_groups).unionByName(_estimate(everything, keys, F.lit(1.0))), "mcd")
     by = Window.partitionBy(*keys)
+    half = F.least(F.col("_t_of"), F.floor((F.col("_t_of") + P + 1) / 2))
     for step in range(STEPS):
-        binned = _distance(_beside(rows, now, "_t_g", n_groups)).withColumn("_t_b", F.floor(F.log(F.col("_t_d2") + 1e-9) * BINS))
+        before = now.select(*keys, F.col("_t_det").alias("_t_was"))
+        binned = _distance(_beside(rows, now.select(*keys, *FACTOR), "_t_g", n_groups)).withColumn("_t_b", F.floor(F.log(F.col("_t_d2") + 1e-9) * BINS))
         bins = binned.groupBy(*keys, "_t_b").agg(*_sums())
         bins = bins.withColumns({"_t_of": F.sum("_t_n").over(by), "_t_c": F.sum("_t_n").over(by.orderBy("_t_b")) - F.col("_t_n")}).filter(F.col("_t_c") < half)
-        sums = bins.groupBy(*keys).agg(*_added(), F.max("_t_b").alias("_t_edge"))
-        last = step == STEPS - 1
-        scale = F.exp((F.col("_t_edge") + 0.5) / BINS) / MEDIAN if last else F.lit(1.0)
-        found = _estimate(sums, keys, F.least(F.greatest(scale, F.lit(1.0)), F.lit(4.0)) if last else scale)
-        now = staged(found, "mcd")
-    best = now.groupBy("_t_g").agg(F.min_by(F.struct("*"), F.struct("_t_det", "_t_start")).alias("_t_best")).select("_t_best.*")
-    near = _distance(_beside(rows, best, "_t_g", n_groups)).filter(F.col("_t_d2") <= WEIGHED)
-    return staged(_estimate(near.groupBy("_t_g").agg(*_sums()), ["_t_g"], F.lit(1.0)), "mcd")
+        part = F.least(F.lit(1.0), (half - F.col("_t_c")) / F.col("_t_n"))
+        sums = bins.withColumn("_t_part", part).groupBy(*keys).agg(F.max(half / F.col("_t_of")).alias("_t_share"), *(F.sum(F.col(x) * F.col("_t_part")).alias(x) for x in SUMS))
+        now = staged(_estimate(sums, kept, F.lit(1.0)), "mcd")
+        if step and now.join(F.broadcast(before) if n_groups <= BROADCAST_GROUPS else before, keys).filter(F.col("_t_was") - F.col("_t_det") > FALL).isEmpty():
+            break
+    least = now.groupBy("_t_g").agg(F.min_by(F.struct("*"), F.struct("_t_det", "_t_start")).alias("_t_least"))
+    return least.select("_t_least.*").select("_t_g", "_t_share", *SUMS)
+
+
+def robust_estimates(rows: DataFrame, n_groups: int) -> DataFrame:
+    """_t_pair, mean and factor of each (language, source): reweighted MCD of each, shrunk towards the language's, and
+    these towards all rows'. rows: _t_pair, _t_lang and the vector."""
+    of = rows.withColumn("_t_g", F.explode(F.array("_t_pair", "_t_lang", F.lit("all"))))
+    factors = F.array(*(F.lit(consistency(min(0.5 + k / 100, 1 - 1e-9))) for k in range(51)))
+    found = concentrated(of, n_groups)
+    first = staged(_estimate(found, ["_t_g"], F.get(factors, F.round((F.col("_t_share") - 0.5) * 100).cast("int"))), "mcd")
+    near = _distance(_beside(of, first, "_t_g", n_groups)).filter(F.col("_t_d2") <= WEIGHED)
+    sums = staged(near.groupBy("_t_g").agg(*_sums()), "mcd")
+
+    def shrunk(own: DataFrame, key: str, towards: DataFrame, on: str) -> DataFrame:
+        """own sums and PRIOR rows of those of ``towards``; a group without rows near its middle has the latter alone."""
+        there = towards.select(F.col(on).alias("_t_on"), *(F.col(x).alias(f"{x}_to") for x in SUMS))
+        both = own.join(sums.withColumnRenamed("_t_g", key), key, "left").join(there, F.col(on) == F.col("_t_on"))
+        return both.select(*own.columns, *((F.coalesce(x, F.lit(0)) + PRIOR * F.col(f"{x}_to") / F.col("_t_n_to")).alias(x) for x in SUMS))
+
+    pairs = rows.select("_t_pair", "_t_lang").distinct().withColumn("_t_all", F.lit("all"))
+    whole = sums.filter("_t_g = 'all'").withColumnRenamed("_t_g", "_t_all")
+    langs = shrunk(pairs.select("_t_lang", "_t_all").distinct(), "_t_lang", whole, "_t_all").drop("_t_all")
+    last = staged(shrunk(pairs.select("_t_pair", "_t_lang"), "_t_pair", langs, "_t_lang"), "mcd")
+    return staged(_estimate(last, ["_t_pair"], F.lit(0.975 / chi_square(WEIGHED)[1])), "mcd")
 
 
 def judge(docs: DataFrame, lang_col: str = "lang", source_col: str = "source", text_col: str = "text", cutoff: float = CUTOFF) -> DataFrame:
     """docs without text, with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, distance, kept.
 
     base_failed: fewer than 10 words, or over 20 % of them in repeated 5-word windows. The others of each (language,
-    source) are kept up to the cutoff of squared distance; null is a language and a source of its own. Groups of fewer
-    than LEAST_ROWS such rows are judged with their language, and such languages with all rows. Repeated rows count
-    each; an empty table gives an empty result.
+    source) are kept up to the cutoff of squared distance; null is a language and a source of its own, a null text has no
+    words. Repeated rows count each; whole texts of any length are counted; an empty table gives an empty result. Input
+    columns named as results are replaced, others pass through.
     """
     names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
     own = [c for c in docs.columns if c not in (text_col, *names, "base_failed", "distance", "kept")]
@@ -177,13 +229,10 @@ def judge(docs: DataFrame, lang_col: str = "lang", source_col: str = "source", t
     counted = counted.select(*own, *names, base.alias("base_failed"), *(v.alias(x) for v, x in zip(vector(), X, strict=True)))
     counted = staged(counted, "statistics")
     good = counted.filter("not base_failed")
-    pairs = good.groupBy(F.to_json(F.array(lang_col, source_col)).alias("_t_pair"), F.to_json(F.array(lang_col)).alias("_t_lang")).agg(F.count("*").alias("_t_k"))
-    pairs = pairs.withColumn("_t_l", F.sum("_t_k").over(Window.partitionBy("_t_lang")))
-    name = F.when(F.col("_t_k") >= LEAST_ROWS, F.col("_t_pair")).when(F.col("_t_l") >= LEAST_ROWS, F.col("_t_lang")).otherwise("all")
-    names_of = staged(pairs.select("_t_pair", name.alias("_t_g")), "groups")
-    n_groups = names_of.count()
-    rows = staged(_beside(good.withColumn("_t_pair", F.to_json(F.array(lang_col, source_col))), names_of, "_t_pair", n_groups).drop("_t_pair"), "vectors")
-    far = _distance(_beside(rows, robust_estimates(rows, n_groups), "_t_g", n_groups))
+    rows = staged(good.withColumns({"_t_pair": F.to_json(F.array(lang_col, source_col)), "_t_lang": F.to_json(F.array(lang_col))}), "vectors")
+    n_pairs, n_langs = rows.agg(F.count_distinct("_t_pair"), F.count_distinct("_t_lang")).first()
+    vectors = rows.select("_t_pair", "_t_lang", *X)
+    far = _distance(_beside(rows, robust_estimates(vectors, n_pairs + n_langs + 1), "_t_pair", n_pairs))
     result = [*own, *names, "base_failed"]
     judged = far.select(*result, F.col("_t_d2").alias("distance"), (F.col("_t_d2") <= cutoff).alias("kept"))
     return judged.unionByName(counted.filter("base_failed").select(*result, F.lit(None).cast("double").alias("distance"), F.lit(False).alias("kept")))

@@ -53,6 +53,71 @@ def test_mahalanobis_is_numpy_s(spark):
     assert got == pytest.approx(want)
 
 
+def reweighted(x):
+    """Sums of the rows near the middle by MCD: whole halves sorted by distance, steps from two starts to the end."""
+    floors, n, h = np.diag(np.square(quality.FLOORS)), len(x), min(len(x), (len(x) + 6) // 2)
+
+    def far(mean, cov, factor=1.0):
+        d = x - mean
+        return np.einsum("ij,jk,ik->i", d, np.linalg.inv(factor * cov + floors), d)
+
+    med = np.median(x, axis=0)
+    best = None
+    for mean, cov in ((med, np.diag(np.square(1.4826 * np.median(np.abs(x - med), axis=0)))), (x.mean(0), np.cov(x.T, bias=True))):
+        for _ in range(100):
+            half = x[np.argsort(far(mean, cov), kind="stable")[:h]]
+            mean, cov = half.mean(0), np.cov(half.T, bias=True)
+        det = np.linalg.slogdet(cov + floors)[1]
+        best = min(best or (np.inf,), (det, mean, cov), key=lambda b: b[0])
+    near = x[far(best[1], best[2], quality.consistency(min(round(h / n, 2), 1 - 1e-9))) <= quality.WEIGHED]
+    return np.array([len(near)]), near.sum(0), near.T @ near
+
+
+def test_estimates_are_brute_force_mcd(spark):
+    """Groups of several sizes, some with a third of their rows far off: the verdicts of the definition, in memory."""
+    rng = np.random.default_rng(12)
+    rows = []
+    for lang, source, n in (("a", "x", 700), ("a", "y", 90), ("a", "z", 5), ("b", "x", 300), ("b", None, 40), (None, "x", 1)):
+        v = rng.normal(size=(n, 5)) @ (rng.normal(size=(5, 5)) * 0.3) + rng.normal(size=5)
+        v[: n // 3] += rng.choice([-1, 1]) * 6
+        rows += [(f"{lang}-{source}", str(lang), *map(float, r)) for r in v]
+    df = spark.createDataFrame(rows, "_t_pair string, _t_lang string, " + ", ".join(f"{c} double" for c in quality.X))
+    got = quality._distance(df.join(quality.robust_estimates(df, 10), "_t_pair")).select("_t_pair", *quality.X, "_t_d2").toPandas()
+    x, pairs, langs = np.array([r[2:] for r in rows]), np.array([r[0] for r in rows]), np.array([r[1] for r in rows])
+    plus = lambda own, other: [a + quality.PRIOR * b / other[0] for a, b in zip(own, other, strict=True)]
+    whole = reweighted(x)
+    want = {}
+    for pair in set(pairs):
+        lang = langs[pairs == pair][0]
+        n, s, q = plus(reweighted(x[pairs == pair]), plus(reweighted(x[langs == lang]), whole))
+        mean = s / n
+        cov = (q / n - np.outer(mean, mean)) * 0.975 / quality.chi_square(quality.WEIGHED)[1] + np.diag(np.square(quality.FLOORS))
+        for r in x[pairs == pair]:
+            want[pair, tuple(np.round(r, 9))] = (r - mean) @ np.linalg.inv(cov) @ (r - mean)
+    a = got["_t_d2"].to_numpy()
+    b = np.array([want[r[0], tuple(np.round(r[1:6], 9))] for r in got.itertuples(index=False)])
+    assert np.mean((a <= quality.CUTOFF) == (b <= quality.CUTOFF)) > 0.985 and np.median(np.abs(a / b - 1)) < 0.05
+    assert 0.1 < np.mean(a > quality.CUTOFF) < 0.4
+
+
+def test_consistency_factors():
+    """Against a sample of normal rows: the covariance of the inner part, times the factor, is that of all."""
+    x = np.random.default_rng(0).normal(size=(400_000, 5))
+    order = np.argsort((x * x).sum(1))
+    for share in (0.5, 0.6, 0.9):
+        inner = x[order[: int(share * len(x))]]
+        assert quality.consistency(share) * inner.var() == pytest.approx(1, abs=0.01)
+
+
+def test_many_groups_join_without_one_task(spark, monkeypatch):
+    df = spark.range(500).selectExpr("CASE WHEN id % 2 = 0 THEN 'hot' ELSE concat('g', id % 50) END AS g", "id")
+    groups = df.groupBy("g").agg({"id": "max"}).withColumnRenamed("max(id)", "m")
+    want = sorted(map(tuple, quality._beside(df, groups, "g", 5).collect()))
+    monkeypatch.setattr(quality, "BROADCAST_GROUPS", 3)
+    monkeypatch.setattr("tessera.llm.common.HOT_GROUPS", 100)
+    assert sorted(map(tuple, quality._beside(df, groups, "g", 5).collect())) == want
+
+
 URLS = [None, "", "no scheme", "http://", "HTTP://WWW.Example.com/en/x", "https://a.example.com/en/", "http://example.com/en?x", "http://x.net/es/1", "http://net/fr/", "http://notexample.com/en/", "http://com", "http://com/", "http://a.org/x#y", "http://b.com?q=/en/", "ftp://é.net/es/ü", "http://a//b://c.com/", "http://x.example.com/en/" + "long/" * 3000, "http://" + "a." * 300 + "net/fr/?" + "q" * 3000]
 
 

@@ -14,11 +14,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import SPACE, restored, shielded, staged, text_of, with_group
+from .filters import built, size_for, split, spots, tester
 
-#: Bits of the first filter for each row, and the most bits of the second, which is broadcast: 2^28 are 32 MB.
+#: Bits of the first filter for each row.
 BITS_PER_ROW = 16
-MAX_BITS = 2**28
-BLOCK = 2**16
 
 
 def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -26,12 +25,6 @@ def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return docs.withColumn("text_sha256", F.sha2(F.regexp_replace(text_of(text_col), SPACE, " ").cast("binary"), 256))
 
 
-def _spots(h: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    u = h.view(np.uint64) if h.dtype == np.int64 else h
-    m = np.uint64(bits - 1)
-    return (u & m).astype(np.int64), ((u >> np.uint64(29)) * np.uint64(0x9E3779B1) & m).astype(np.int64)
-
-
 def _task_hashes(segments: int):
     def run(batches):
         found = [np.asarray(b.column(0)) for b in batches]
@@ -52,7 +45,7 @@ def _segment(bits: int):
         for b in table.to_batches():
             h, group = np.unique(np.asarray(b.column("h")), return_inverse=True)
             twice = np.bincount(group, np.asarray(b.column("twice").to_numpy(zero_copy_only=False), float)) > 0
-            one, two = _spots(h, bits)
+            one, two = spots(h, bits)
             hit = (seen[one] & seen[two]) | twice | (np.bincount(group) > 1)
             seen[one] = seen[two] = True
             out.append(h[hit])
@@ -62,47 +55,17 @@ def _segment(bits: int):
 
 
 def repeated_filter(hashes: DataFrame, n_rows: int) -> np.ndarray:
-    """Pass 1 over a column of 64-bit hashes: the second filter, packed, of at most MAX_BITS bits."""
+    """Pass 1 over a column of 64-bit hashes: the second filter, packed, of at most filters.MAX_BITS bits."""
     segments = int(2 ** np.clip(np.ceil(np.log2(max(1, n_rows) / 50_000)), 4, 16))
     bits = int(2 ** np.ceil(np.log2(max(1024, BITS_PER_ROW * n_rows / segments))))
-    out_bits = int(min(MAX_BITS, 2 ** np.ceil(np.log2(max(BLOCK, 8 * n_rows)))))
-
-    def folded(batches):
-        """A task's part of the second filter, as its set bits."""
-        hits = [np.frombuffer(x, np.int64) for b in batches for x in b.column(0).to_pylist()]
-        if hits:
-            spots = np.unique(np.concatenate(_spots(np.concatenate(hits), out_bits)))
-            yield pa.RecordBatch.from_arrays([pa.array((spots // BLOCK).astype(np.int32)), pa.array((spots % BLOCK).astype(np.int32))], ["block", "bit"])
-
-    def packed(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        block = np.zeros(BLOCK, bool)
-        block[np.asarray(table.column("bit"))] = True
-        return pa.table({"block": pa.array([key[0].as_py()], pa.int32()), "bits": pa.array([np.packbits(block).tobytes()], pa.binary())})
-
     dealt = hashes.mapInArrow(_task_hashes(segments), "segment int, h long, twice boolean")
-    spots = dealt.groupBy("segment").applyInArrow(_segment(bits), "hashes binary").mapInArrow(folded, "block int, bit int")
-    out = np.zeros((out_bits // BLOCK, BLOCK // 8), np.uint8)
-    for block, found in spots.groupBy("block").applyInArrow(packed, "block int, bits binary").collect():  # out_bits / 8 bytes at most
-        out[block] = np.frombuffer(found, np.uint8)
-    return out.ravel()
-
-
-def possibly_repeated(docs: DataFrame, n_rows: int) -> tuple[DataFrame, DataFrame]:
-    """docs (with text_sha256) split into rows that may be repeated and rows that surely are not."""
-    spark = docs.sparkSession
-    hashed = docs.withColumn("_t_h", F.xxhash64("text_sha256"))
-    bits = repeated_filter(hashed.select("_t_h"), n_rows)
-    sent = spark.sparkContext.broadcast(bits)
-    n_bits = len(bits) * 8
-
-    @F.pandas_udf("boolean")
-    def maybe(h):
-        table = sent.value
-        hit = np.ones(len(h), bool)
-        for spot in _spots(h.to_numpy(np.int64), n_bits):
-            hit &= (table[spot >> 3] >> (7 - (spot & 7)).astype(np.uint8) & 1).astype(bool)
-        return h.__class__(hit)
+    return built(dealt.groupBy("segment").applyInArrow(_segment(bits), "hashes binary"), size_for(n_rows))
 
+
+def possibly_repeated(hashed: DataFrame, n_rows: int) -> tuple[DataFrame, DataFrame]:
+    """Rows (with text_sha256) that may be repeated, and rows that surely are not."""
+    hashed = hashed.withColumn("_t_h", F.xxhash64("text_sha256"))
+    maybe = tester(hashed.sparkSession, repeated_filter(hashed.select("_t_h"), n_rows))
     marked = hashed.withColumn("_t_maybe", maybe("_t_h")).drop("_t_h")
     return marked.filter("_t_maybe").drop("_t_maybe"), marked.filter("not _t_maybe").drop("_t_maybe")
 
@@ -129,13 +92,26 @@ def judge(hashed: DataFrame, id_col: str = "doc_id") -> DataFrame:
 
 
 def kept_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs that stay, with the columns of docs. Copies go before their texts would shuffle: the winner of
-    each group is looked up by text hash and id, a key that spreads a hot group over all tasks."""
-    hashed = digests(shielded(docs, ["text_sha256"]), id_col, text_col)
-    maybe, once = possibly_repeated(hashed, docs.count())
-    winners = maybe.groupBy(F.col("text_sha256").alias("_t_of")).agg(F.min(id_col).alias("_t_keep"))
-    found = maybe.join(winners, (F.col("text_sha256") == F.col("_t_of")) & F.col(id_col).eqNullSafe(F.col("_t_keep")))
-    return restored(once, docs).unionByName(restored(found.dropDuplicates(["text_sha256"]), docs))
+    """The rows of docs that stay, with the columns of docs: one for each text, that with the smallest id (a null id sorts
+    last). Null texts count as empty; of rows that repeat text and id one stays; an empty table gives an empty result.
+
+    Texts are hashed once and judged by their hashes. Then docs is read again: rows whose id is not in a filter of the ids
+    that lose or repeat pass straight through, without hashing or a shuffle; only the others are looked up.
+    """
+    hashed = staged(digests(shielded(docs, ["text_sha256"]).select(id_col, text_col), id_col, text_col).select(id_col, "text_sha256"), "digests")
+    n_rows = hashed.count()
+    maybe, _ = possibly_repeated(hashed, n_rows)
+    each = maybe.groupBy("text_sha256", id_col).agg(F.count("*").alias("_t_n"))  # a hot text is dealt by its ids
+    first = each.groupBy(F.col("text_sha256").alias("_t_of")).agg(F.min(id_col).alias("_t_keep"), F.count("*").alias("_t_ids"))
+    some = first.filter("_t_ids > 1").select("_t_of", "_t_keep", "_t_ids")
+    judged = with_group(each.withColumnRenamed("text_sha256", "_t_of"), some, "_t_of", "_t_ids", n_rows)
+    loses = F.col("_t_ids").isNotNull() & ~F.col(id_col).eqNullSafe(F.col("_t_keep"))
+    found = staged(judged.select(F.col(id_col).alias("_t_id"), F.col("_t_of"), loses.alias("_t_loses"), "_t_n").filter("_t_loses or _t_n > 1"), "losers")
+    looked, passed = split(docs, F.xxhash64(id_col), found.select(F.xxhash64("_t_id")))
+    looked = digests(shielded(looked, ["text_sha256"]), id_col, text_col)
+    looked = looked.join(found, (F.col("text_sha256") == F.col("_t_of")) & F.col(id_col).eqNullSafe(F.col("_t_id")), "left")
+    stay = looked.filter(F.col("_t_loses").isNull()).unionByName(looked.filter("not _t_loses").dropDuplicates(["text_sha256", id_col]))
+    return passed.unionByName(restored(stay, docs))
 
 
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

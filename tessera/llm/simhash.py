@@ -4,7 +4,8 @@ Two fingerprints that differ in at most R bits share a variant within R/2 bits o
 such a variant differ in at most R bits. So every distinct fingerprint emits its ball of variants, equal variants meet,
 and a star from the first fingerprint at a variant gives all links without pairs. The 2081 variants of a fingerprint
 (R = 4) are sent in bundles: a variant's top KEY_BITS bits are the shuffle key, a fingerprint goes once to each key that
-one of its variants has (79 keys for 12 bits), and the task that owns the key makes the rest of each variant.
+one of its variants has (79 keys for 12 bits), and the task that owns the key makes the rest of each variant. Keys that
+would get too many fingerprints are counted first and made of 12 more bits.
 """
 
 from __future__ import annotations
@@ -16,12 +17,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import staged, text_of, with_group
+from .common import HOT_GROUPS, staged, text_of, with_group
+from .filters import split
 
 SEED = 42
 #: Variants that a task holds at a time (32 MB), and rows of a task of the variants' shuffle.
 VARIANTS = 4_000_000
 TASK_ROWS = 500_000
+#: Bits that a hot key has more.
+MORE_BITS = 12
 
 
 def fingerprint(text: str, words: int = 4) -> int:
@@ -120,42 +124,71 @@ def _forest(links: np.ndarray) -> np.ndarray:
     return links[keep]
 
 
-def _emit(key_bits: int, flips: int):
+def _emit(key_bits: int, flips: int, hot: frozenset[int] = frozenset()):
+    """(key, more, fp, rep) for each key of a variant; ``more`` is -1, or the next bits of a hot key's variants."""
+
+    def batch(key, more, fp, rep):
+        return pa.RecordBatch.from_arrays([pa.array(key.astype(np.int32)), pa.array(more.astype(np.int32)), pa.array(fp), pa.array(rep)], ["key", "more", "fp", "rep"])
+
     def run(batches):
-        ms = masks(key_bits, flips)
+        ms, warm = masks(key_bits, flips), np.array(sorted(hot), np.uint64)
+        used = _popcount(ms)
         for b in batches:
             for i in range(0, b.num_rows, 20_000):
                 fp, rep = (np.asarray(b.column(c))[i : i + 20_000] for c in (0, 1))
                 top = fp.view(np.uint64) >> np.uint64(64 - key_bits)
-                yield pa.RecordBatch.from_arrays([pa.array((top[:, None] ^ ms[None, :]).ravel().astype(np.int32)), pa.array(np.repeat(fp, len(ms))), pa.array(np.repeat(rep, len(ms)))], ["key", "fp", "rep"])
+                key, left = (top[:, None] ^ ms[None, :]).ravel(), np.tile(flips - used, len(fp))
+                fp, rep = np.repeat(fp, len(ms)), np.repeat(rep, len(ms))
+                is_hot = np.isin(key, warm)
+                yield batch(key[~is_hot], np.full((~is_hot).sum(), -1), fp[~is_hot], rep[~is_hot])
+                for r in np.unique(left[is_hot]):
+                    of = is_hot & (left == r)
+                    nexts = masks(MORE_BITS, int(r))
+                    own = (fp[of].view(np.uint64) >> np.uint64(64 - key_bits - MORE_BITS)) & np.uint64(2**MORE_BITS - 1)
+                    yield batch(np.repeat(key[of], len(nexts)), (own[:, None] ^ nexts[None, :]).ravel(), np.repeat(fp[of], len(nexts)), np.repeat(rep[of], len(nexts)))
 
     return run
 
 
 def _collide(key_bits: int, radius: int):
-    def run(batches):
-        found = list(batches)
-        if not found:
-            return
-        t = pa.Table.from_batches(found)
-        key, fp, rep = (np.asarray(t.column(c).combine_chunks() if t.num_rows else t.column(c)) for c in range(3))
-        order = np.argsort(key, kind="stable")
-        key, fp, rep = key[order].astype(np.uint64), fp[order].view(np.uint64), rep[order]
-        free = 64 - key_bits
+    """Links among the fingerprints of each key, from the rows of a task."""
+
+    def met(key, bits, fp, links):
+        """Adds links (row numbers) of rows sorted by key, whose keys are prefixes of so many bits."""
+        free = 64 - bits
         flips = radius // 2 - _popcount((fp >> np.uint64(free)) ^ key)
         values = (key << np.uint64(free)) | (fp & np.uint64(2**free - 1))
         sizes = np.array([len(masks(free, r)) for r in range(radius // 2 + 1)])[flips]
         ends = np.append(np.flatnonzero(key[1:] != key[:-1]) + 1, len(key))
-        sums, links, begin, last = np.append(0, np.cumsum(sizes)), [], 0, 0
+        sums, begin, last = np.append(0, np.cumsum(sizes)), 0, 0
         for end in ends.tolist():  # whole keys, as many as may be held at a time
             if sums[end] - sums[begin] > VARIANTS and last > begin:
                 _meet(values[begin:last], np.arange(begin, last), flips[begin:last], free, links)
                 begin = last
             last = end
         _meet(values[begin:last], np.arange(begin, last), flips[begin:last], free, links)
-        if not links:
+
+    def run(batches):
+        found = [b for b in batches if b.num_rows]
+        if not found:
+            return
+        t = pa.Table.from_batches(found)
+        key, more, fp, rep = (np.asarray(t.column(c).combine_chunks()) for c in range(4))
+        pairs = []
+        for longer in (False, True):
+            of = np.flatnonzero((more >= 0) == longer)
+            if not len(of):
+                continue
+            prefix = key[of].astype(np.uint64)
+            if longer:
+                prefix = (prefix << np.uint64(MORE_BITS)) | more[of].astype(np.uint64)
+            of = of[np.argsort(prefix, kind="stable")]
+            links: list = []
+            met(np.sort(prefix, kind="stable"), key_bits + MORE_BITS * longer, fp[of].view(np.uint64), links)
+            pairs += [of[x] for x in links]
+        if not pairs:
             return
-        pairs = np.concatenate(links)
+        pairs, fp = np.concatenate(pairs), fp.view(np.uint64)
         pairs = pairs[np.bitwise_count(fp[pairs[:, 0]] ^ fp[pairs[:, 1]]) <= radius]  # verification
         ids = np.unique(rep, return_inverse=True)
         pairs = _forest(np.unique(ids[1][pairs], axis=0))
@@ -165,34 +198,48 @@ def _collide(key_bits: int, radius: int):
     return run
 
 
+def _hot_keys(prints: DataFrame, key_bits: int, flips: int, limit: int) -> frozenset[int]:
+    """Keys that more than ``limit`` fingerprints would be sent to. Their own keys are counted, not what is sent."""
+    top = F.shiftrightunsigned("fp", 64 - key_bits).cast("int")
+    tops = prints.groupBy(top.alias("top")).agg(F.count("*").alias("n"))
+    ms = F.array(*(F.lit(int(m)).cast("int") for m in masks(key_bits, flips)))
+    keys = tops.select(F.explode(F.transform(ms, lambda m: m.bitwiseXOR(F.col("top")))).alias("key"), "n").groupBy("key").agg(F.sum("n").alias("n"))
+    return frozenset(r[0] for r in keys.filter(F.col("n") > limit).select("key").collect())
+
+
 def links(prints: DataFrame, n: int, radius: int = 4) -> DataFrame:
     """Links (a, b) of ids that connect what is within ``radius`` (even) bits: prints has distinct fp (long) and rep (long).
 
-    Each task gives a forest of the links it has found, so there are fewer links than rows sent.
+    Each task gives a forest of the links it has found, so there are fewer links than rows sent. A key with more than
+    TASK_ROWS fingerprints and a thousandth of all that are sent is hot (there are a thousand such keys at most).
     """
+    flips = radius // 2
     key_bits = int(max(12, np.ceil(np.log2(max(1, 2081 * n / 8e6)))))
-    sent = n * len(masks(key_bits, radius // 2))
+    sent = n * len(masks(key_bits, flips))
+    hot = _hot_keys(prints, key_bits, flips, max(TASK_ROWS, sent // HOT_GROUPS))
     tasks = max(int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-sent // TASK_ROWS))
-    return prints.select("fp", "rep").mapInArrow(_emit(key_bits, radius // 2), "key int, fp long, rep long").repartition(tasks, "key").mapInArrow(_collide(key_bits, radius), "a long, b long")
+    return prints.select("fp", "rep").mapInArrow(_emit(key_bits, flips, hot), "key int, more int, fp long, rep long").repartition(tasks, "key", "more").mapInArrow(_collide(key_bits, radius), "a long, b long")
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(id, root): the smallest id reachable over edges (a, b), for ids with an edge. Alternating large and small stars."""
+    """(id, root): the smallest id reachable over edges (a, b), for ids with an edge. Alternating large and small stars;
+    what is looked up for an id with many edges is broadcast (with_group), so that no task gets all of them."""
     edges = edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     edges, before = staged(edges, "links"), None
-    while True:
+    counted = lambda: tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
+    now = counted()
+    while now != before:
+        before = now
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = both.filter("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))  # to larger neighbours
-        large = large.unionByName(low.filter("m < a").select("a", F.col("m").alias("b"))).filter("a <> b").distinct()
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least, "a").filter("b > m").select(F.col("b").alias("a"), F.col("m").alias("b"))  # to smaller ones
+        low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"), F.count("*").alias("n"))
+        large = with_group(both.filter("b > a"), low, "a", "n", 2 * now[0]).select(F.col("b").alias("a"), F.col("m").alias("b"))  # to larger neighbours
+        large = staged(large.unionByName(low.filter("m < a").select("a", F.col("m").alias("b"))).filter("a <> b").distinct(), "links")
+        least = large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n"))
+        small = with_group(large, least, "a", "n", 2 * now[0]).filter("b > m").select(F.col("b").alias("a"), F.col("m").alias("b"))  # to smaller ones
         small = small.unionByName(least.select("a", F.col("m").alias("b"))).distinct()
         edges = staged(small, "links")
-        now = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
-        if now == before:
-            return edges.select(F.col("a").alias("id"), F.col("b").alias("root"))
-        before = now
+        now = counted()
+    return edges.select(F.col("a").alias("id"), F.col("b").alias("root"))
 
 
 def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 4) -> DataFrame:
@@ -210,13 +257,21 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def kept_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row of docs for each component: that with the smallest id (rows without an id stay). Texts don't shuffle
-    unless the list of ids to keep has to: it is joined to docs by id. Of rows that repeat id and text one stays."""
-    found = near_components(docs, id_col, text_col)
-    keep = found.filter(F.col(id_col) == F.col("component_id")).select(F.col(id_col).alias("_t_id")).distinct()
-    own = docs.columns
-    stay = docs.join(keep, F.col(id_col) == F.col("_t_id"), "left_semi").withColumn("_t_h", F.xxhash64(text_col)).dropDuplicates([id_col, "_t_h"])
-    return stay.select(own).unionByName(docs.filter(F.col(id_col).isNull()))
+    """Of each component the rows of docs with its smallest id; of rows that repeat id and text one. Rows without an id
+    stay. A null text counts as empty; an empty table gives an empty result.
+
+    Texts shuffle only where they may go: rows whose id is not in a filter of the ids that lose or repeat pass straight
+    through, and the fingerprints of the others are made again and looked up.
+    """
+    found = near_components(docs, id_col, text_col).filter(F.col(id_col).isNotNull())
+    each = found.groupBy(F.col(id_col).alias("_t_id"), F.col("fp").alias("_t_of")).agg(F.count("*").alias("_t_n"), F.min("component_id").alias("_t_root"))
+    each = each.withColumn("_t_loses", F.col("_t_id") != F.col("_t_root"))
+    gone = staged(each.filter("_t_loses or _t_n > 1").select("_t_id", "_t_of", "_t_loses"), "losers")
+    looked, passed = split(docs, F.xxhash64(id_col), gone.select(F.xxhash64("_t_id")))
+    looked = with_fingerprint(looked, text_col, "_t_fp").withColumn("_t_h", F.sha2(text_of(text_col), 256))
+    looked = looked.join(gone, (F.col(id_col) == F.col("_t_id")) & (F.col("_t_fp") == F.col("_t_of")), "left")
+    stay = looked.filter(F.col("_t_loses").isNull()).unionByName(looked.filter("not _t_loses").dropDuplicates([id_col, "_t_h"]))
+    return passed.unionByName(stay.select(docs.columns))
 
 
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

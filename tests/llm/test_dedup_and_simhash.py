@@ -32,8 +32,22 @@ def test_exact_dedup_is_brute_force(docs, rows):
 def test_exact_dedup_keeps_first_documents(docs, rows):
     kept = exact_dedup.kept_documents(docs)
     assert kept.columns == docs.columns
-    texts = [normal(r.text) for r in kept.collect()]
-    assert sorted(texts) == sorted({normal(r[1]) for r in rows})
+    found = sorted((normal(r.text), r.doc_id is None, r.doc_id) for r in kept.collect())
+    first = {}
+    for r in sorted(rows, key=lambda r: (r[0] is None, r[0])):
+        first.setdefault(normal(r[1]), r[0])
+    assert found == sorted((t, i is None, i) for t, i in first.items())
+
+
+def test_rows_that_repeat_ids(spark):
+    """One id with several texts, one text with several ids, and rows repeated whole, of both and of null ids."""
+    a, b = " ".join(f"alpha{i}" for i in range(40)), " ".join(f"beta{i}" for i in range(40))
+    rows = [(1, a), (1, b), (1, a), (2, a), (2, "other text"), (3, b), (3, b), (None, a), (None, "of none"), (None, "of none"), (4, None), (5, ""), (5, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    kept = sorted(((r.doc_id, r.text) for r in exact_dedup.kept_documents(df).collect()), key=str)
+    assert kept == sorted([(1, a), (1, b), (2, "other text"), (None, "of none"), (4, None)], key=str)
+    near = sorted(((r.doc_id, r.text) for r in simhash.kept_documents(df).collect()), key=str)
+    assert near == sorted([(1, a), (1, b), (2, "other text"), (4, None), (None, a), (None, "of none"), (None, "of none")], key=str)
 
 
 def test_empty_tables(empty):
@@ -50,7 +64,7 @@ def test_filters_lose_no_repeat(spark):
     h = spark.createDataFrame([(v,) for v in values], "h long").repartition(5)
     bits = exact_dedup.repeated_filter(h, len(values))
     hit = np.ones(len(values), bool)
-    for s in exact_dedup._spots(np.array(values, np.int64), len(bits) * 8):
+    for s in exact_dedup.spots(np.array(values, np.int64), len(bits) * 8):
         hit &= (bits[s >> 3] >> (7 - (s & 7)).astype(np.uint8) & 1).astype(bool)
     counts = {v: values.count(v) for v in set(values)}
     assert all(hit[i] for i, v in enumerate(values) if counts[v] > 1)
@@ -111,11 +125,31 @@ def test_links_lose_nothing(spark, monkeypatch):
     monkeypatch.setattr(simhash, "VARIANTS", 3000)
     fp = np.array(prints, np.uint64)
     key_bits = 12
-    emitted = list(simhash._emit(key_bits, 2)([__import__("pyarrow").RecordBatch.from_arrays([fp.view(np.int64), np.arange(len(fp))], ["fp", "rep"])]))
-    pairs = {(a, b) for out in simhash._collide(key_bits, 4)(emitted) for a, b in zip(*(c.to_pylist() for c in out.columns), strict=True)}
-    assert all(bin(prints[a] ^ prints[b]).count("1") <= 4 for a, b in pairs)
-    df = spark.createDataFrame(list(pairs), "a long, b long")
-    got = {r.id: r.root for r in simhash.components(df).collect()}
+    some = frozenset((np.unique(fp >> np.uint64(52))[::3]).tolist())  # these keys get more bits
+    for hot in (frozenset(), some, frozenset(range(4096))):
+        emitted = list(simhash._emit(key_bits, 2, hot)([__import__("pyarrow").RecordBatch.from_arrays([fp.view(np.int64), np.arange(len(fp))], ["fp", "rep"])]))
+        pairs = {(a, b) for out in simhash._collide(key_bits, 4)(emitted) for a, b in zip(*(c.to_pylist() for c in out.columns), strict=True)}
+        assert all(bin(prints[a] ^ prints[b]).count("1") <= 4 for a, b in pairs)
+        df = spark.createDataFrame(list(pairs), "a long, b long")
+        got = {r.id: r.root for r in simhash.components(df).collect()}
+        assert [got.get(i, i) for i in range(len(prints))] == components(prints)
+
+
+def test_hot_keys(spark, monkeypatch):
+    """A cluster in which most fingerprints share their top bits: its keys are found, and the links are the same."""
+    rng = random.Random(9)
+    prints = sorted({(0xABC << 52) | rng.getrandbits(52) for _ in range(150)} | {rng.getrandbits(64) for _ in range(50)})
+    prints = sorted({*prints, *(x ^ 0b11 << rng.randrange(62) for x in prints[:60])})
+    signed = lambda x: x - (1 << 64) * (x >> 63)
+    df = spark.createDataFrame([(signed(x), i) for i, x in enumerate(prints)], "fp long, rep long")
+    sent = {}
+    for x in prints:
+        for m in simhash.masks(12, 2).tolist():
+            sent[(x >> 52) ^ m] = sent.get((x >> 52) ^ m, 0) + 1
+    assert simhash._hot_keys(df, 12, 2, 100) == {k for k, n in sent.items() if n > 100} != set()
+    monkeypatch.setattr(simhash, "TASK_ROWS", 100)
+    monkeypatch.setattr(simhash, "HOT_GROUPS", 10**6)
+    got = {r.id: r.root for r in simhash.components(simhash.links(df, len(prints))).collect()}
     assert [got.get(i, i) for i in range(len(prints))] == components(prints)
 
 

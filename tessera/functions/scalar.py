@@ -266,8 +266,18 @@ class Now:
         return x
 
 
+#: Steps in one generated method: the JVM compiles methods of up to 8,000 bytes of code only, and interprets longer ones.
+SPAN = 8
+
+
+def apart(x: Column) -> Column:
+    """x, by a function over arrays: Spark generates no joint method across it, so the method before it ends here."""
+    return F.get(F.transform(F.array(x), lambda v: v), 0)
+
+
 class Steps:
-    """Steps of a formula on a DataFrame: each is a column, so that later steps refer to it instead of repeating it."""
+    """Steps of a formula on a DataFrame: each is a column, so that later steps refer to it instead of repeating it. Every
+    SPAN steps a generated method ends."""
 
     def __init__(self, df, prefix: str = "_s"):
         self.df, self.prefix, self.n = df, prefix, 0
@@ -280,7 +290,7 @@ class Steps:
         while name in self.df.columns:
             self.n += 1
             name = f"{self.prefix}{self.n}"
-        self.df = self.df.withColumn(name, x)
+        self.df = self.df.withColumn(name, x if self.n % SPAN else apart(x))
         return F.col(name)
 
 

@@ -2,11 +2,14 @@ import math
 
 import pytest
 
+from tessera.functions import projections
 from tessera.functions.scalar import Now
 from tessera.operators import transform as T
 from tessera.plans.definitions import GridDef, MapDef, standard_name
 from tessera.plans.labels import Label
 
+from .goldens import DEFINITIONS, POINTS
+
 CLARKE = "Map Equatorial Radius: 6378206.4\nMap Eccentricity: 0.0822719\n"
 
 
@@ -90,6 +93,65 @@ def test_published_examples(case):
     assert T.geo_of_xy(m, Now(), *got) == pytest.approx((lat, lon), abs=1e-5)
 
 
+@pytest.fixture(scope="module")
+def computed(tmp_path_factory):
+    """The map, or grid, of each definition of goldens."""
+    folder = tmp_path_factory.mktemp("definitions")
+    for name, (kind, text) in DEFINITIONS.items():
+        (folder / f"{name}.{kind}").write_text(text)
+    return {name: (MapDef if kind == "mpp" else GridDef).load(f"{name}.{kind}", str(folder)) for name, (kind, _) in DEFINITIONS.items()}
+
+
+@pytest.mark.parametrize("case", POINTS, ids=lambda c: f"{c[0]}-{c[1]}-{c[2][0]}")
+def test_computed_points(case, computed):
+    name, direction, given, want = case
+    d = computed[name]
+    kind, way = direction.split()
+    m = d if isinstance(d, MapDef) else d.map
+    if kind == "xy":
+        got = (T.map_xy if way == "forward" else T.geo_of_xy)(m, Now(), *given)
+    else:
+        got = (T.grid_place if way == "forward" else T.geo_of_place)(d, Now(), *given)[:2]
+    assert got == pytest.approx(want, abs=6e-7)
+
+
+def test_quirks():
+    """Deviations of results from the textbook, one by one (QUIRKS)."""
+    plain, moved = (MapDef("Integerized Sinusoidal", false_easting=e, false_northing=n) for e, n in ((0, 0), (1000.0, -500.0)))
+    x, y = T.map_xy(plain, Now(), 40.0, 20.0)
+    assert T.map_xy(moved, Now(), 40.0, 20.0) == pytest.approx((x + 2000.0, y - 1000.0))  # twice
+    assert T.geo_of_xy(moved, Now(), x + 2000.0, y - 1000.0) == pytest.approx((40.0, 20.0))
+    sphere = MapDef("Cylindrical Equal-Area", lat0=0, lon0=0)
+    assert T.map_xy(sphere, Now(), 0.0, 10.0) == pytest.approx(T.map_xy(sphere.changed(lat1=30.0), Now(), 0.0, 10.0))
+    ellipsoid = MapDef("Cylindrical Equal-Area Ellipsoid", lat0=0, lon0=0)
+    assert T.map_xy(ellipsoid, Now(), 0.0, 10.0) == pytest.approx(T.map_xy(ellipsoid.changed(lat1=999.0), Now(), 0.0, 10.0))
+    assert T.map_xy(ellipsoid, Now(), 0.0, 10.0)[0] != pytest.approx(T.map_xy(ellipsoid.changed(lat1=30.0), Now(), 0.0, 10.0)[0])
+    goode = MapDef("Goode Homolosine", lat0=0, lon0=0)
+    assert T.map_xy(goode, Now(), 50.0, 20.0) == T.map_xy(goode.changed(lon0=90.0), Now(), 50.0, 20.0)
+
+
+@pytest.mark.parametrize("e", [0.01, 0.0822719, 0.3, 0.8])
+def test_latitudes_solve_their_equations(e):
+    """Residuals of the inverse formulas, whatever the way to the solution."""
+    for k in range(-899, 900, 7):
+        phi = math.radians(k / 10)
+        q = projections._q(e, math.sin(phi))
+        assert projections._phi_of_q(Now(), e, q) == pytest.approx(phi, abs=2e-9 if abs(k) < 880 else 2e-6)
+    conic = MapDef("Lambert Conic Conformal Ellipsoid", lat0=33, lat1=45, lon0=-96, center_lat=23, center_lon=-96, eccentricity=e)
+    for lat in range(-70, 90, 5):
+        assert T.geo_of_xy(conic, Now(), *T.map_xy(conic, Now(), float(lat), -60.0)) == pytest.approx((lat, -60.0), abs=1e-8)
+
+
+def test_homolosine_solves_its_equation():
+    for delta in (1e-8, 1e-6, 1e-4, 0.003, 0.01, 0.03, 0.1, 0.3, 0.6, 0.86):
+        v = projections._from_pole(Now(), delta)
+        size = math.pi * 2 * math.sin(delta / 2) ** 2
+        left = v - math.sin(v) if v > 0.05 else v**3 / 6 - v**5 / 120 + v**7 / 5040
+        assert left == pytest.approx(size, rel=1e-9)
+    goode = MapDef("Goode Homolosine", lat0=0, lon0=0)
+    assert math.isnan(T.map_xy(goode, Now(), 90.0, 20.0)[0]) and not math.isnan(T.map_xy(goode, Now(), 89.999999, 20.0)[0])
+
+
 def test_series_constants():
     label = EXAMPLES[7][0].replace("Map Eccentricity: 0.0822719", "Map Eccentricity Squared: 0.00676866")
     assert T.map_xy(MapDef.parse(label), Now(), 40.5, -73.5)[1] == pytest.approx(4484124.4561541, abs=5e-7)

@@ -26,7 +26,7 @@ from .common import staged, text_of
 CAPACITY = 4096
 END_ID = 1
 #: Runs, and words, whose ids a task remembers (some 200 bytes each).
-CACHE = 500_000
+CACHE = 200_000
 #: Rows of a group whose ranks one task counts.
 RANK_ROWS = 50_000
 #: Nodes that the search may visit, the incumbent being the answer when they are used up; nodes to a best-fit completion.

@@ -21,8 +21,8 @@ from .common import HOT_GROUPS, staged, text_of, with_group
 from .filters import split
 
 SEED = 42
-#: Variants that a task holds at a time (32 MB), and rows of a task of the variants' shuffle.
-VARIANTS = 4_000_000
+#: Variants that a task holds at a time (8 MB, and some such arrays), and rows of a task of the variants' shuffle.
+VARIANTS = 1_000_000
 TASK_ROWS = 500_000
 #: Bits that a hot key has more.
 MORE_BITS = 12
@@ -261,14 +261,14 @@ def kept_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     stay. A null text counts as empty; an empty table gives an empty result.
 
     Texts shuffle only where they may go: rows whose id is not in a filter of the ids that lose or repeat pass straight
-    through, and the fingerprints of the others are made again and looked up.
+    through; the others are staged, so that a task has one Python worker, fingerprinted again and looked up.
     """
     found = near_components(docs, id_col, text_col).filter(F.col(id_col).isNotNull())
     each = found.groupBy(F.col(id_col).alias("_t_id"), F.col("fp").alias("_t_of")).agg(F.count("*").alias("_t_n"), F.min("component_id").alias("_t_root"))
     each = each.withColumn("_t_loses", F.col("_t_id") != F.col("_t_root"))
     gone = staged(each.filter("_t_loses or _t_n > 1").select("_t_id", "_t_of", "_t_loses"), "losers")
     looked, passed = split(docs, F.xxhash64(id_col), gone.select(F.xxhash64("_t_id")))
-    looked = with_fingerprint(looked, text_col, "_t_fp").withColumn("_t_h", F.sha2(text_of(text_col), 256))
+    looked = with_fingerprint(staged(looked, "looked"), text_col, "_t_fp").withColumn("_t_h", F.sha2(text_of(text_col), 256))
     looked = looked.join(gone, (F.col(id_col) == F.col("_t_id")) & (F.col("_t_fp") == F.col("_t_of")), "left")
     stay = looked.filter(F.col("_t_loses").isNull()).unionByName(looked.filter("not _t_loses").dropDuplicates([id_col, "_t_h"]))
     return passed.unionByName(stay.select(docs.columns))

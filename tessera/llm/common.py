@@ -20,10 +20,13 @@ HOT_GROUPS = 1000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir; a local one only where it is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, one of the machine's in local
+    mode (tests), and an error on a cluster."""
     sc = spark.sparkContext
     found = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that all machines share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="tessera-"))
         found = sc.getCheckpointDir()
     return found

@@ -8,8 +8,11 @@ from pyspark.sql import DataFrame
 
 
 def settled(df: DataFrame) -> DataFrame:
-    """df, written to the checkpoint folder that the session names (a local one where it names none, as in tests)."""
+    """df, written to the checkpoint folder that the session names. Where it names none, to one of the machine's in local
+    mode (tests); on a cluster that is an error."""
     sc = df.sparkSession.sparkContext
     if not sc.getCheckpointDir():
+        if not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that all machines share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="tessera-"))
     return df.checkpoint()

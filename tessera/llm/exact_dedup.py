@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import SPACE, restored, shielded, staged, text_of, with_group
-from .filters import built, size_for, split, spots, tester
+from .filters import bits_of, folded, size_for, split, spots, tester
 
 #: Bits of the first filter for each row.
 BITS_PER_ROW = 16
@@ -36,8 +36,8 @@ def _task_hashes(segments: int):
     return run
 
 
-def _segment(bits: int):
-    """The hashes of a segment that the first filter has met before, or that one task had twice."""
+def _segment(bits: int, second: int):
+    """Bits of the second filter: those of a segment's hashes that the first has met before, or that one task had twice."""
 
     def run(table: pa.Table) -> pa.Table:
         seen = np.zeros(bits, bool)
@@ -49,7 +49,7 @@ def _segment(bits: int):
             hit = (seen[one] & seen[two]) | twice | (np.bincount(group) > 1)
             seen[one] = seen[two] = True
             out.append(h[hit])
-        return pa.table({"hashes": pa.array([np.unique(np.concatenate(out)).tobytes()], pa.binary())})
+        return bits_of(np.unique(np.concatenate(out)), second)
 
     return run
 
@@ -59,7 +59,8 @@ def repeated_filter(hashes: DataFrame, n_rows: int) -> np.ndarray:
     segments = int(2 ** np.clip(np.ceil(np.log2(max(1, n_rows) / 50_000)), 4, 16))
     bits = int(2 ** np.ceil(np.log2(max(1024, BITS_PER_ROW * n_rows / segments))))
     dealt = hashes.mapInArrow(_task_hashes(segments), "segment int, h long, twice boolean")
-    return built(dealt.groupBy("segment").applyInArrow(_segment(bits), "hashes binary"), size_for(n_rows))
+    second = size_for(n_rows)
+    return folded(dealt.groupBy("segment").applyInArrow(_segment(bits, second), "block int, bit int"), second)
 
 
 def possibly_repeated(hashed: DataFrame, n_rows: int) -> tuple[DataFrame, DataFrame]:

@@ -24,17 +24,14 @@ def size_for(n: int) -> int:
     return int(min(MAX_BITS, 2 ** np.ceil(np.log2(max(BLOCK, 8 * n)))))
 
 
-def built(hashes: DataFrame, bits: int) -> np.ndarray:
-    """The packed filter of a column that holds 64-bit hashes, as a long or as many in a binary. bits / 8 bytes come to
-    the driver."""
+def bits_of(h: np.ndarray, bits: int) -> pa.Table:
+    """The set bits of a filter that holds these hashes."""
+    where = np.unique(np.concatenate(spots(h, bits)))
+    return pa.table({"block": (where // BLOCK).astype(np.int32), "bit": (where % BLOCK).astype(np.int32)})
 
-    def folded(batches):
-        """A task's part of the filter, as its set bits."""
-        for b in batches:
-            column = b.column(0)
-            hits = np.frombuffer(b"".join(column.to_pylist()), np.int64) if pa.types.is_binary(column.type) else np.asarray(column)
-            where = np.unique(np.concatenate(spots(hits, bits)))
-            yield pa.RecordBatch.from_arrays([pa.array((where // BLOCK).astype(np.int32)), pa.array((where % BLOCK).astype(np.int32))], ["block", "bit"])
+
+def folded(found: DataFrame, bits: int) -> np.ndarray:
+    """The packed filter of (block, bit) rows. bits / 8 bytes come to the driver."""
 
     def packed(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         block = np.zeros(BLOCK, bool)
@@ -42,11 +39,21 @@ def built(hashes: DataFrame, bits: int) -> np.ndarray:
         return pa.table({"block": pa.array([key[0].as_py()], pa.int32()), "bits": pa.array([np.packbits(block).tobytes()], pa.binary())})
 
     out = np.zeros((bits // BLOCK, BLOCK // 8), np.uint8)
-    for block, found in hashes.mapInArrow(folded, "block int, bit int").groupBy("block").applyInArrow(packed, "block int, bits binary").collect():
-        out[block] = np.frombuffer(found, np.uint8)
+    for block, row in found.groupBy("block").applyInArrow(packed, "block int, bits binary").collect():
+        out[block] = np.frombuffer(row, np.uint8)
     return out.ravel()
 
 
+def built(hashes: DataFrame, bits: int) -> np.ndarray:
+    """The packed filter of a column of 64-bit hashes."""
+
+    def each(batches):
+        for b in batches:
+            yield from bits_of(np.asarray(b.column(0)), bits).to_batches()
+
+    return folded(hashes.mapInArrow(each, "block int, bit int"), bits)
+
+
 def tester(spark, packed: np.ndarray):
     """A function of a column of hashes: whether each may be in the filter."""
     sent, bits = spark.sparkContext.broadcast(packed), len(packed) * 8

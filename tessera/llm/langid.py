@@ -12,6 +12,7 @@ import re
 import unicodedata
 import uuid
 from collections import Counter
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -30,8 +31,9 @@ SAMPLE, ROUNDS = 2000, 2
 PLAIN = 32
 #: Added to each expected count of a piece; probability of a character outside the vocabulary.
 SMOOTH, UNKNOWN = 0.05, 1e-7
-#: Words whose scores a task remembers, and bytes of these scores, at most; longer words are scored one by one.
-CACHE, CACHE_BYTES, LONG = 400_000, 2**26, 80
+#: Words whose scores a task remembers (some 150 bytes each), and bytes of these scores, at most; longer words are scored
+#: one by one.
+CACHE, CACHE_BYTES, LONG = 100_000, 2**25, 80
 
 
 def held_out(id_col: str = "doc_id") -> Column:
@@ -169,9 +171,6 @@ class Model:
             np.add.at(out, ids, uses * count)
 
 
-_scores: dict[str, tuple[dict[str, int], np.ndarray]] = {}
-
-
 def fit(docs: DataFrame, model_file: str, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
     """A model of the languages of docs, from about ``sample`` (a documented bound) labelled documents of each, drawn by
     a hash of the id. The driver holds a number for each piece and language."""
@@ -223,32 +222,31 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     sent = docs.sparkSession.sparkContext.broadcast(model)  # pieces of the vocabulary times languages
 
     @F.pandas_udf("struct<lang_pred:string,score:double>")
-    def language(texts: pd.Series) -> pd.DataFrame:
+    def language(series: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         m = sent.value
-        if m.id not in _scores:
-            _scores.clear()
-            _scores[m.id] = {}, np.zeros((min(CACHE, CACHE_BYTES // (8 * max(1, len(m.langs)))), len(m.langs)))
-        (known, scores), out = _scores[m.id], []
-        for a in range(0, len(texts), 500):
-            split = [words_of(x) if x else [] for x in texts.iloc[a : a + 500]]
-            new = [w for w in {w for words in split for w in words} if w not in known]
-            if len(known) + len(new) > len(scores):
-                known.clear()
-                new = list({w for words in split for w in words})
-            many = len(new) > len(scores)  # more new words than are remembered: scores of this part only
-            at, table = (known, scores) if not many else ({}, np.zeros((len(new), len(m.langs))))
-            if m.langs:
-                table[len(at) : len(at) + len(new)] = m.score(new)
-            at.update({w: len(at) + k for k, w in enumerate(new)})
-            for words in split:
-                if not m.langs or not words or not has_letter(words):
-                    out.append(("und", 0.0))
-                    continue
-                total = table[[at[w] for w in words]].sum(axis=0)
-                p = np.exp(total - total.max())
-                i = int(p.argmax())
-                out.append((m.langs[i], float(p[i] / p.sum())))
-        return pd.DataFrame(out, columns=["lang_pred", "score"])
+        known, scores = {}, np.zeros((min(CACHE, CACHE_BYTES // (8 * max(1, len(m.langs)))), len(m.langs)))  # goes with the task
+        for texts in series:
+            out = []
+            for a in range(0, len(texts), 500):
+                split = [words_of(x) if x else [] for x in texts.iloc[a : a + 500]]
+                new = [w for w in {w for words in split for w in words} if w not in known]
+                if len(known) + len(new) > len(scores):
+                    known.clear()
+                    new = list({w for words in split for w in words})
+                many = len(new) > len(scores)  # more new words than are remembered: scores of this part only
+                at, table = (known, scores) if not many else ({}, np.zeros((len(new), len(m.langs))))
+                if m.langs:
+                    table[len(at) : len(at) + len(new)] = m.score(new)
+                at.update({w: len(at) + k for k, w in enumerate(new)})
+                for words in split:
+                    if not m.langs or not words or not has_letter(words):
+                        out.append(("und", 0.0))
+                        continue
+                    total = table[[at[w] for w in words]].sum(axis=0)
+                    p = np.exp(total - total.max())
+                    i = int(p.argmax())
+                    out.append((m.langs[i], float(p[i] / p.sum())))
+            yield pd.DataFrame(out, columns=["lang_pred", "score"])
 
     return docs.drop("lang_pred", "score").withColumn("_t_l", language(F.col(text_col))).select("*", "_t_l.lang_pred", "_t_l.score").drop("_t_l")
 

@@ -26,7 +26,7 @@ from .common import staged, text_of
 CAPACITY = 4096
 END_ID = 1
 #: Runs, and words, whose ids a task remembers (some 200 bytes each).
-CACHE = 200_000
+CACHE = 100_000
 #: Rows of a group whose ranks one task counts.
 RANK_ROWS = 50_000
 #: Nodes that the search may visit, the incumbent being the answer when they are used up; nodes to a best-fit completion.
@@ -91,6 +91,13 @@ def encode(texts: list[str], tokenizer_file: str) -> list[bytes]:
     return [_encoders[tokenizer_file].encode(x) for x in texts]
 
 
+def forget() -> None:
+    """At the end of a task: its worker may serve other operators next."""
+    for e in _encoders.values():
+        e.runs.clear()
+        e.words.clear()
+
+
 def token_pieces(docs: DataFrame, tokenizer_file: str, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = True) -> DataFrame:
     """A row per piece: id, piece, start, length, ids_crc32 (of the ids as little-endian unsigned 32-bit numbers) and ids
     (an array, if asked for). A document's ids end with END_ID; only a document longer than the capacity is cut. A null
@@ -113,6 +120,7 @@ def token_pieces(docs: DataFrame, tokenizer_file: str, capacity: int = CAPACITY,
                     ends = np.append(0, np.cumsum([len(x) // 4 for x in ids]))
                     numbers.append(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(ids), "<i4"), pa.int32())))
                 yield pa.RecordBatch.from_arrays([part.column(0).take(which), *numbers], [id_col, "piece", "start", "length", "ids_crc32", "ids"][: len(numbers) + 1])
+        forget()
 
     fields = f"`{id_col}` {id_type.simpleString()}, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids
     return docs.select(id_col, text_of(text_col).alias("_t_text")).mapInArrow(run, fields)

@@ -21,8 +21,8 @@ from .common import HOT_GROUPS, staged, text_of, with_group
 from .filters import split
 
 SEED = 42
-#: Variants that a task holds at a time (8 MB, and some such arrays), and rows of a task of the variants' shuffle.
-VARIANTS = 1_000_000
+#: Variants that a task holds at a time (4 MB, and some such arrays), and rows of a task of the variants' shuffle.
+VARIANTS = 500_000
 TASK_ROWS = 500_000
 #: Bits that a hot key has more.
 MORE_BITS = 12

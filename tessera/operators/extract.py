@@ -16,7 +16,8 @@ METHODS = ("nearest", "average", "bilinear", "cubic", "distance")
 
 
 def extract(points: DataFrame, raster: DataFrame, g: GridDef, key: list[str], method: str = "nearest", radius: float = 1.0, power: float = 2.0, fill: float | None = None, low: float | None = None, high: float | None = None, lat="lat", lon="lon") -> DataFrame:
-    """points with value (NULL, or the fill value, off the grid or without samples) and n samples. ``key`` names a point.
+    """points with value (NULL, or the fill value, off the grid or without samples) and n samples. Points are told
+    apart by ``key`` and place; equal ones get equal results.
 
     Samples below ``low``, above ``high`` or (nearest) equal to the fill value don't count. A point at a sample's place
     takes that sample with method ``distance``.
@@ -30,7 +31,8 @@ def extract(points: DataFrame, raster: DataFrame, g: GridDef, key: list[str], me
     good = good & (value != fill) if fill is not None and method == "nearest" else good
     raster = raster.filter(good).select("row", "col", value.cast("double").alias("_v"))
     points = points.drop("value", "n")
-    placed = only(with_place(points.select(*key, lat, lon), g, lat, lon, ("r", "s", "_on")), "_on", ["r", "s"]).select(*key, "r", "s")
+    key = list(dict.fromkeys([*key, lat, lon]))
+    placed = only(with_place(points.select(*key).distinct(), g, lat, lon, ("r", "s", "_on")), "_on", ["r", "s"]).select(*key, "r", "s")
     kind = {"nearest": NEAREST, "bilinear": LINEAR, "cubic": CUBIC}.get(method, method)
     each = gathered(placed, raster, kind, key, width=max(1, math.ceil(radius)), radius=radius, power=power)
     if method == "average":

@@ -88,12 +88,12 @@ def choose_method(source: GridDef, target: GridDef, same_map: bool, mask: bool)
     return "bucket" if cell_scale(target) / cell_scale(source) > 2 else "bilinear"
 
 
-def resamp(raster: DataFrame, source: GridDef, target: GridDef | None = None, method: str | None = None, fill: float | None = None, mask: float | None = None, factor: int = 1, exact: bool = True) -> DataFrame:
+def resamp(raster: DataFrame, source: GridDef, target: GridDef | None = None, method: str | None = None, fill: float | None = None, mask: float | None = None, factor: int = 1, exact: bool = False) -> DataFrame:
     """row, col, value on the target (or the source shrunk by ``factor``).
 
     bucket, bilinear and reduction round their values. ``mask``: percentages of cells with that value (100 or 0 for
-    nearest and minification). bucket with ``exact`` rounds the running mean after each source cell in row-major order;
-    without, it rounds the mean once, which needs no ordered collection of a cell's values.
+    nearest and minification). bucket rounds a cell's mean once, from sums; with ``exact`` it rounds the running mean
+    after each source cell in row-major order, for which a target cell's values are held as one array.
     """
     same = target is None
     target = source.shrink(factor) if same else target

@@ -3,16 +3,27 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def settled(df: DataFrame) -> DataFrame:
-    """df, written to the checkpoint folder that the session names. Where it names none, to one of the machine's in local
-    mode (tests); on a cluster that is an error."""
-    sc = df.sparkSession.sparkContext
+def shared_dir(spark: SparkSession) -> str:
+    """The checkpoint folder that the session names. Where it names none, one of the machine's in local mode (tests); on a
+    cluster that is an error."""
+    sc = spark.sparkContext
     if not sc.getCheckpointDir():
         if not sc.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir has to name a folder that all machines share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="tessera-"))
+    return sc.getCheckpointDir()
+
+
+def new_folder(spark: SparkSession, name: str) -> str:
+    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """df, written to the shared folder, which cuts its lineage."""
+    shared_dir(df.sparkSession)
     return df.checkpoint()

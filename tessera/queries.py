@@ -6,6 +6,8 @@ alike, and results are rounded to whole numbers of a small unit, because sines d
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -15,6 +17,9 @@ from .functions.scalar import Ctes, Sql, Steps, both, finite, where
 from .operators import accuracy, cells, extract, gridding, models, resample, vectors
 from .operators import transform as T
 from .plans.definitions import GridDef, MapDef
+from .plans.state import new_folder
+from .sources import points as point_files
+from .sources import raster as raster_files
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -279,7 +284,7 @@ _IN_COARSE = [*looked_sql(COARSE, WORLD, True), f"dealt AS (SELECT i, j, v, {TRU
 _resamp("bucket_fast", whole_sql(_IN_COARSE, COARSE, f"SELECT ti AS i, tj AS j, {ROUND.format('avg(v)')} AS x FROM dealt GROUP BY ti, tj", "0e0"), target=COARSE, method="bucket", fill=0.0, exact=False)
 #: The mean of a cell rounded after each value, in row-major order; n is the number of values so far and 1 (the start).
 _FOLD = "list_reduce(list_prepend(0e0, list(v ORDER BY i, j)), lambda m, x, n: trunc((m * (n - 2) + x) / (n - 1) + 0.5e0))"
-_resamp("bucket_exact", whole_sql(_IN_COARSE, COARSE, f"SELECT ti AS i, tj AS j, {_FOLD} AS x FROM dealt GROUP BY ti, tj", "0e0"), target=COARSE, method="bucket", fill=0.0)
+_resamp("bucket_exact", whole_sql(_IN_COARSE, COARSE, f"SELECT ti AS i, tj AS j, {_FOLD} AS x FROM dealt GROUP BY ti, tj", "0e0"), target=COARSE, method="bucket", fill=0.0, exact=True)
 _resamp("bucket_mask", whole_sql(_IN_COARSE, COARSE, f"SELECT ti AS i, tj AS j, {ROUND.format(ROUND.format('avg(CASE WHEN v = 7 THEN 10000e0 ELSE 0e0 END)') + ' / 100')} AS x FROM dealt GROUP BY ti, tj", "-1e0"), target=COARSE, method="bucket", fill=0.0, mask=7.0, exact=False)
 _SMALL = WORLD.shrink(3)
 _resamp("minification", with_sql([RASTER_SQL], f"SELECT c.i AS cell_row, c.j AS cell_col, {qs('coalesce(sv, 0e0)', 1.0)} AS value FROM {cells_sql(_SMALL)} c LEFT JOIN src ON si = CAST(trunc(3 * (c.i + 0.5e0) + 0.5e0) AS INTEGER) AND sj = CAST(trunc(3 * (c.j + 0.5e0) + 0.5e0) AS INTEGER)"), method="minification", fill=0.0, factor=3)
@@ -396,6 +401,37 @@ def grid_locations(spark, sf_dir):
     return df.select(F.col("row").alias("cell_row"), F.col("col").alias("cell_col"), q(F.col("lat")).alias("lat_q"), q(F.col("lon")).alias("lon_q"))
 
 
+# --- files: written to the shared folder and read again -------------------------------------------------------------
+
+
+@query("file_point_text", f"SELECT {qs('lat')} AS lat_q, {qs('lon')} AS lon_q, {qs('v', 1e-4)} AS value FROM {POINTS}")
+def file_point_text(spark, sf_dir):
+    """Six decimals of each number."""
+    path = new_folder(spark, "points")
+    point_files.write_points(points(spark, sf_dir).withColumnRenamed("v", "value"), path)
+    return point_files.read_points(spark, path).select(q(F.col("lat")).alias("lat_q"), q(F.col("lon")).alias("lon_q"), q(F.col("value"), 1e-4).alias("value"))
+
+
+@query("file_point_binary", f"SELECT lat, lon, v AS value FROM {POINTS}")
+def file_point_binary(spark, sf_dir):
+    path = new_folder(spark, "points")
+    point_files.write_binary_points(points(spark, sf_dir).withColumnRenamed("v", "value"), path, values=True)
+    return point_files.read_binary_points(spark, path, values=True)
+
+
+@query("file_raster", f"SELECT CAST((l_orderkey * 31 + l_linenumber) % {WORLD.rows} AS INTEGER) AS cell_row, CAST((l_partkey * 17 + l_suppkey) % {WORLD.cols} AS INTEGER) AS cell_col, CAST(sum(l_linenumber) AS DOUBLE) AS value FROM lineitem GROUP BY 1, 2")
+def file_raster(spark, sf_dir):
+    """Sums of lines by cell, in files of 64 rows."""
+    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    at = {"row": (F.col("l_orderkey") * 31 + F.col("l_linenumber")) % WORLD.rows, "col": (F.col("l_partkey") * 17 + F.col("l_suppkey")) % WORLD.cols}
+    table = lines.groupBy(*(c.cast("int").alias(n) for n, c in at.items())).agg(F.sum("l_linenumber").cast("double").alias("value"))
+    files = raster_files.write_flat(table, WORLD, new_folder(spark, "raster"), "f8", fill=-1.0, rows_per_file=64)
+    spark.dataSource.register(raster_files.FlatRaster)
+    read = lambda f: spark.read.format("flat_raster").options(path=f, cols=WORLD.cols, dtype="f8", fill=-1.0).load()
+    whole = reduce(DataFrame.unionByName, (read(f).withColumn("row", F.col("row") + 64 * k) for k, f in enumerate(files)))
+    return whole.filter("value is not null").select(F.col("row").alias("cell_row"), F.col("col").alias("cell_col"), "value")
+
+
 # --- segments -------------------------------------------------------------------------------------------------------
 
 #: A segment for each order: its lines are points, some 2^-10 degrees apart.
@@ -465,7 +501,21 @@ def segment_strokes(spark, sf_dir):
     return df.select("seg", "pos", *(q(F.col(c)).alias(c) for c in ("x1", "y1", "x2", "y2")))
 
 
-@query("segment_split")
+_SPLIT_SQL = with_sql(
+    [
+        SEG_SQL,
+        "m AS (SELECT seg, pos, lat, lon - first(lon) OVER (PARTITION BY seg ORDER BY pos) + 179.5e0 + pos * 0.3e0 AS lon FROM s)",
+        "w AS (SELECT seg, pos, lat, CASE WHEN lon > 180 THEN lon - 360 ELSE lon END AS lon FROM m)",
+        "p AS (SELECT *, lag(lat) OVER (PARTITION BY seg ORDER BY pos) AS lat1, lag(lon) OVER (PARTITION BY seg ORDER BY pos) AS lon1 FROM w)",
+        "c AS (SELECT *, CASE WHEN abs(lon - lon1) > 180 THEN 1 ELSE 0 END AS cut, CASE WHEN lon1 > 0 THEN 180e0 ELSE -180e0 END AS side FROM p)",
+        "d AS (SELECT *, sum(cut) OVER (PARTITION BY seg ORDER BY pos) AS part, lat1 + (side - lon1) / (lon + 2e0 * side - lon1) * (lat - lat1) AS mid FROM c)",
+        "k AS (SELECT seg, part, pos, 2 AS o, lat, lon FROM d UNION ALL SELECT seg, part - 1, pos, 0, mid, side FROM d WHERE cut = 1 UNION ALL SELECT seg, part, pos, 1, mid, -side FROM d WHERE cut = 1)",
+    ],
+    "SELECT seg, CAST(part AS BIGINT) AS part, CAST(row_number() OVER (PARTITION BY seg, part ORDER BY pos, o) - 1 AS INTEGER) AS pos, lat, lon FROM k",
+)
+
+
+@query("segment_split", _SPLIT_SQL)
 def segment_split(spark, sf_dir):
     """Segments moved so that many cross the date line."""
     p = segments(spark, sf_dir)
@@ -532,6 +582,20 @@ def map_accuracy(spark, sf_dir):
     return r.select(F.col("points").cast("int").alias("points"), F.col("bad").cast("int").alias("bad"), (F.col("max") < 1e-3).alias("within_a_metre"))
 
 
+@query("map_accuracy_values")
+def map_accuracy_values(spark, sf_dir):
+    """Errors in kilometres; they are sums of last bits, which differ between engines."""
+    names = ("azimuthal_equal_area_polar", "mollweide", "polar_stereographic", "sinusoidal", "lambert_conic_conformal_ellipsoid", "transverse_mercator")
+    return reduce(DataFrame.unionByName, (accuracy.map_accuracy(spark, MAPS[n]).select(F.lit(n).alias("map"), "points", "bad", "avg", "sd", "max", "at.lat", "at.lon") for n in names))
+
+
+@query("grid_accuracy_values")
+def grid_accuracy_values(spark, sf_dir):
+    """Errors in cells."""
+    grids = {"north": NORTH, "coarse": COARSE, "world": WORLD}
+    return reduce(DataFrame.unionByName, (accuracy.grid_accuracy(spark, g).select(F.lit(n).alias("grid"), "points", "bad", "avg", "sd", "max", "at.row", "at.col") for n, g in grids.items()))
+
+
 def _grid_accuracy_sql(g: GridDef) -> str:
     s = Ctes("c0", [f"c0 AS (SELECT CAST(i AS DOUBLE) AS fi, CAST(j AS DOUBLE) AS fj FROM {cells_sql(g)})"])
     lat, lon, ok = T.geo_of_place(g, s, Sql("fj"), Sql("fi"))

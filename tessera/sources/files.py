@@ -30,8 +30,9 @@ def read_range(path: str, offset: int = 0, length: int | None = None) -> bytes:
 def create(path: str, data: bytes) -> None:
     """Writes a file under a name of its own and then gives it its name, so that a retried task never leaves half of one."""
     store, p = _at(path)
-    store.create_dir(p.rpartition("/")[0], recursive=True)
-    part = f"{p}.{uuid.uuid4().hex}.part"
+    folder, _, name = p.rpartition("/")
+    store.create_dir(folder, recursive=True)
+    part = f"{folder}/_{name}.{uuid.uuid4().hex}.part"  # a name that readers of the folder pass over
     with store.open_output_stream(part) as f:
         f.write(data)
     store.move(part, p)

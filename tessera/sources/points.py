@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .files import file_size, read_range
+from .files import create, file_size, read_range
 
 #: Bytes of binary points that a task holds at a time, and that it reads.
 BLOCK_BYTES, TASK_BYTES = 8 * 2**20, 128 * 2**20
@@ -65,6 +65,35 @@ def read_binary_points(spark: SparkSession, path: str, values: bool = False) ->
     return parts.repartition(max(1, -(-sum(n for _, n in found) // TASK_BYTES))).mapInArrow(ranges, fields)
 
 
+def write_binary_points(points: DataFrame, path: str, values: bool = False) -> None:
+    """Native doubles, two (or three) a point, in files below ``path``: one for each task, or for each TASK_BYTES of it.
+    Points that lack a number are left out."""
+    names = ["lat", "lon", "value"][: 3 if values else 2]
+
+    def write(batches):
+        import numpy as np
+        import pyarrow as pa
+        from pyspark import TaskContext
+
+        task, held, size, files = TaskContext.get().partitionId(), [], 0, 0
+
+        def put():
+            create(f"{path.rstrip('/')}/points-{task:06d}-{files:06d}.bin", b"".join(held))
+            return pa.RecordBatch.from_arrays([pa.array([size])], ["bytes"])
+
+        for b in batches:
+            held.append(np.stack([np.asarray(c) for c in b.columns], 1).tobytes())
+            size += len(held[-1])
+            if size >= TASK_BYTES:
+                yield put()
+                held, size, files = [], 0, files + 1
+        if size:
+            yield put()
+
+    whole = points.select(*(F.col(n).cast("double").alias(n) for n in names)).dropna()
+    whole.mapInArrow(write, "bytes long").write.format("noop").mode("overwrite").save()
+
+
 def point_line(lat: Column, lon: Column, value: Column, exponents: bool = False) -> Column:
     """A point as a line of text: six decimals, or 15.8 exponents."""
     return F.format_string(" ".join(["%15.8e" if exponents else "%f"] * 3), lat.cast("double"), lon.cast("double"), value.cast("double"))

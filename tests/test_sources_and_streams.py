@@ -62,6 +62,21 @@ def test_binary_points_by_ranges(spark, tmp_path, monkeypatch, values):
     assert df.rdd.getNumPartitions() == -(-data.nbytes // 500)
 
 
+@pytest.mark.parametrize("values", [False, True])
+def test_write_binary_points(spark, tmp_path, monkeypatch, values):
+    monkeypatch.setattr(points, "TASK_BYTES", 1)  # a file for each batch
+    width = 3 if values else 2
+    rows = [(k / 8, -k / 4, float(k)) for k in range(500)]
+    df = spark.createDataFrame([*rows, (None, 1.0, 1.0)], "lat double, lon double, value double").repartition(3)
+    points.write_binary_points(df, str(tmp_path / "out"), values)
+    monkeypatch.undo()
+    files = sorted((tmp_path / "out").iterdir())
+    assert len(files) >= 3 and sum(f.stat().st_size for f in files) == 500 * 8 * width
+    assert sorted(map(tuple, points.read_binary_points(spark, str(tmp_path / "out"), values).collect())) == [r[:width] for r in rows]
+    points.write_binary_points(df.limit(0), str(tmp_path / "none"), values)
+    assert not (tmp_path / "none").exists()
+
+
 def test_segment_file(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(segments, "SEGMENTS", 2)
     rows = [(s, k, (100 * s + k * k) / 1024, (5000 * s + 3 * k) / 1024) for s in range(5) for k in range(s + 2)]

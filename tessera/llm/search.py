@@ -24,36 +24,37 @@ from .common import new_folder, staged, text_of
 TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 TERM_BYTES = rb"[0-9a-z\x80-\xff]+"
 #: Occurrences of terms in a segment. Buckets of terms; a bucket of as many tasks' segments is in one file.
-SEGMENT = 400_000
+SEGMENT = 2_000_000
 BUCKETS, TASKS = 128, 64
 #: Bytes of item terms that are broadcast at once; more are searched in blocks of items.
 BLOCK_BYTES = 16_000_000
 #: The term of the rows that list all documents of a segment that hold a term at all.
 ALL = ""
+#: Lists of one length in a row: place of a document in the segment, its id, occurrences in it, its terms with repeats.
+PLACE = ("at", "id", "tf", "n")
 
 
 def _segments(size: int):
-    """Rows (segment, term, n_docs, n_terms, places) of batches (id, text in bytes)."""
+    """Rows (segment, term, n_docs, n_terms and PLACE) of batches (id, text in bytes)."""
     find = re.compile(TERM_BYTES).findall
 
     def run(batches):
         task, made = TaskContext.get().partitionId() << 32, 0
-        ids, counts, terms = [], [], []
+        ids, texts, held = [], [], 0
 
         def cut() -> pa.RecordBatch:
-            words = pa.array(terms, pa.binary()).dictionary_encode()
-            n = np.array(counts, np.int64)
+            words = pa.concat_arrays(texts).dictionary_encode()
+            n = np.array([len(x) for x in texts])
             at = np.repeat(np.arange(len(n)), n)
             key, tf = np.unique(np.asarray(words.indices, np.int64) * len(n) + at, return_counts=True)
             code, at = key // len(n), key % len(n)
-            starts = np.searchsorted(code, np.arange(len(words.dictionary) + 1))
+            starts = np.append(np.searchsorted(code, np.arange(len(words.dictionary) + 1)), len(code) + len(n))
             at, tf = np.concatenate([at, np.arange(len(n))]), np.concatenate([tf, n])  # a last list, of all
-            starts = np.append(starts, len(at))
-            places = pa.StructArray.from_arrays([pa.array(at, pa.int32()), pa.concat_arrays(ids).take(pa.array(at)), pa.array(tf, pa.int64()), pa.array(n[at])], ["at", "id", "tf", "n"])
+            lists = [pa.array(at, pa.int32()), pa.concat_arrays(ids).take(pa.array(at)), pa.array(tf, pa.int32()), pa.array(n[at], pa.int32())]
             term = pa.concat_arrays([words.dictionary, pa.array([ALL.encode()], pa.binary())])
-            sums = np.add.reduceat(tf, starts[:-1])
-            columns = [pa.array(np.full(len(term), task | made)), term, pa.array(np.diff(starts)), pa.array(sums), pa.ListArray.from_arrays(pa.array(starts, pa.int32()), places)]
-            return pa.RecordBatch.from_arrays(columns, ["segment", "term", "n_docs", "n_terms", "places"])
+            columns = [pa.array(np.full(len(term), task | made)), term, pa.array(np.diff(starts)), pa.array(np.add.reduceat(tf, starts[:-1]))]
+            columns += [pa.ListArray.from_arrays(pa.array(starts, pa.int32()), x) for x in lists]
+            return pa.RecordBatch.from_arrays(columns, ["segment", "term", "n_docs", "n_terms", *PLACE])
 
         for b in batches:
             for i, text in enumerate(b.column(1)):
@@ -61,28 +62,28 @@ def _segments(size: int):
                 if not found:
                     continue
                 ids.append(b.column(0).slice(i, 1))
-                counts.append(len(found))
-                terms += found
-                if len(terms) >= size:
+                texts.append(pa.array(found, pa.binary()))
+                held += len(found)
+                if held >= size:
                     yield cut()
                     made += 1
-                    ids, counts, terms = [], [], []
-        if terms:
+                    ids, texts, held = [], [], 0
+        if texts:
             yield cut()
 
     return run
 
 
 def postings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", segment: int = SEGMENT) -> DataFrame:
-    """The index: segment, bucket, term, n_docs and n_terms (documents and occurrences in the list), places (at: place of the
-    document's row in the segment, id, tf, n: its terms with repeats).
+    """The index: segment, bucket, term, n_docs and n_terms (documents and occurrences in the lists), and the lists of PLACE.
 
     Every row of docs is a document, repeated rows too. Whole texts of any length are read; null and empty texts, and those
     without a term, are in no list. The rows of the term ALL (which no text has) list every document of the segment.
     """
     kind = docs.schema[id_col].dataType
-    place = T.StructType().add("at", "integer").add("id", kind).add("tf", "long").add("n", "long")
-    schema = T.StructType().add("segment", "long").add("term", "binary").add("n_docs", "long").add("n_terms", "long").add("places", T.ArrayType(place))
+    schema = T.StructType().add("segment", "long").add("term", "binary").add("n_docs", "long").add("n_terms", "long")
+    for name in PLACE:
+        schema = schema.add(name, T.ArrayType(kind if name == "id" else T.IntegerType()))
     found = docs.select(F.col(id_col).alias("id"), text_of(text_col).cast("binary").alias("text")).mapInArrow(_segments(segment), schema)
     return found.withColumn("term", F.col("term").cast("string")).withColumn("bucket", _bucket())
 
@@ -116,10 +117,10 @@ def _scored(index: DataFrame, terms: DataFrame, n_docs: int, n_terms: int, small
     df = near.select("term", "n_docs").join(held(terms.select("term").distinct()), "term", "left_semi").groupBy("term").agg(F.sum("n_docs").alias("df"))
     weight = F.floor(1000 * F.log((2 * F.lit(n_docs) + 2).cast("double") / (2 * F.col("df") + 1))).cast("long")
     weighed = staged(terms.join(held(df) if small else df, "term").select("item", "term", (F.col("times") * weight).alias("weight")).filter("weight > 0"), "weights")
-    lists = near.select("segment", "term", "places").join(held(weighed.select("term").distinct()), "term", "left_semi")
+    lists = near.select("segment", "term", *PLACE).join(held(weighed.select("term").distinct()), "term", "left_semi")
     n = int(index.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    each = lists.repartition(n, "segment").select("segment", "term", F.inline("places"))
-    part = F.expr(f"1000000000 * tf div (1000 * tf + 12 * (100 - 25 + 25 * n * {n_docs}L div {max(1, n_terms)}L))")
+    each = lists.repartition(n, "segment").select("segment", "term", F.inline(F.arrays_zip(*PLACE)))
+    part = F.expr(f"1000000000L * tf div (1000L * tf + 12 * (100 - 25 + 25L * n * {n_docs}L div {max(1, n_terms)}L))")
     each = each.select("segment", "at", "id", "term", part.alias("part"))
     sums = each.join(held(weighed), "term").groupBy("segment", "at", "item").agg(F.sum(F.col("weight") * F.col("part")).alias("score"), F.first("id").alias("id"))
     return sums.filter("score > 0")

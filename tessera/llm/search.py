@@ -13,6 +13,7 @@ import re
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -30,8 +31,8 @@ BUCKETS, TASKS = 128, 64
 BLOCK_BYTES = 16_000_000
 #: The term of the rows that list all documents of a segment that hold a term at all.
 ALL = ""
-#: Lists of one length in a row: place of a document in the segment, its id, occurrences in it, its terms with repeats.
-PLACE = ("at", "id", "tf", "n")
+#: Lists of one length in a row: place of a document in the segment (by id), occurrences in it, its terms with repeats.
+PLACE = ("at", "tf", "n")
 
 
 def _segments(size: int):
@@ -43,18 +44,24 @@ def _segments(size: int):
         ids, texts, held = [], [], 0
 
         def cut() -> pa.RecordBatch:
-            words = pa.concat_arrays(texts).dictionary_encode()
-            n = np.array([len(x) for x in texts])
+            known = pa.concat_arrays(ids)
+            order = pc.sort_indices(known)  # nulls last
+            known = known.take(order)
+            each = [texts[i] for i in order.to_pylist()]
+            words = pa.concat_arrays(each).dictionary_encode()
+            n = np.array([len(x) for x in each])
             at = np.repeat(np.arange(len(n)), n)
             key, tf = np.unique(np.asarray(words.indices, np.int64) * len(n) + at, return_counts=True)
             code, at = key // len(n), key % len(n)
             starts = np.append(np.searchsorted(code, np.arange(len(words.dictionary) + 1)), len(code) + len(n))
             at, tf = np.concatenate([at, np.arange(len(n))]), np.concatenate([tf, n])  # a last list, of all
-            lists = [pa.array(at, pa.int32()), pa.concat_arrays(ids).take(pa.array(at)), pa.array(tf, pa.int32()), pa.array(n[at], pa.int32())]
+            lists = [pa.array(x, pa.int32()) for x in (at, tf, n[at])]
             term = pa.concat_arrays([words.dictionary, pa.array([ALL.encode()], pa.binary())])
             columns = [pa.array(np.full(len(term), task | made)), term, pa.array(np.diff(starts)), pa.array(np.add.reduceat(tf, starts[:-1]))]
             columns += [pa.ListArray.from_arrays(pa.array(starts, pa.int32()), x) for x in lists]
-            return pa.RecordBatch.from_arrays(columns, ["segment", "term", "n_docs", "n_terms", *PLACE])
+            last = pa.array(np.arange(len(term)) < len(term) - 1)
+            columns.append(pa.ListArray.from_arrays(pa.array(np.append(np.zeros(len(term), np.int32), len(n)), pa.int32()), known, mask=last))
+            return pa.RecordBatch.from_arrays(columns, ["segment", "term", "n_docs", "n_terms", *PLACE, "ids"])
 
         for b in batches:
             for i, text in enumerate(b.column(1)):
@@ -75,15 +82,16 @@ def _segments(size: int):
 
 
 def postings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", segment: int = SEGMENT) -> DataFrame:
-    """The index: segment, bucket, term, n_docs and n_terms (documents and occurrences in the lists), and the lists of PLACE.
+    """The index: segment, bucket, term, n_docs and n_terms (documents and occurrences in the lists), the lists of PLACE, and
+    ids (of a segment's documents by place; in rows of the term ALL only).
 
     Every row of docs is a document, repeated rows too. Whole texts of any length are read; null and empty texts, and those
     without a term, are in no list. The rows of the term ALL (which no text has) list every document of the segment.
     """
     kind = docs.schema[id_col].dataType
     schema = T.StructType().add("segment", "long").add("term", "binary").add("n_docs", "long").add("n_terms", "long")
-    for name in PLACE:
-        schema = schema.add(name, T.ArrayType(kind if name == "id" else T.IntegerType()))
+    for name in (*PLACE, "ids"):
+        schema = schema.add(name, T.ArrayType(kind if name == "ids" else T.IntegerType()))
     found = docs.select(F.col(id_col).alias("id"), text_of(text_col).cast("binary").alias("text")).mapInArrow(_segments(segment), schema)
     return found.withColumn("term", F.col("term").cast("string")).withColumn("bucket", _bucket())
 
@@ -110,7 +118,7 @@ def terms_of(items: DataFrame, item_col: str = "item_id", text_col: str = "text"
 
 
 def _scored(index: DataFrame, terms: DataFrame, n_docs: int, n_terms: int, small: bool) -> DataFrame:
-    """segment, at, id, item and score above 0 of each match of a document and an item. terms: item, term, times."""
+    """segment, at, item and score above 0 of each match of a document and an item. terms: item, term, times."""
     held = F.broadcast if small else lambda df: df
     wanted = [r[0] for r in terms.select(_bucket()).distinct().collect()]  # BUCKETS at most
     near = index.filter(F.col("bucket").isin(wanted) & (F.col("term") != ALL)) if wanted else index.limit(0)
@@ -121,8 +129,8 @@ def _scored(index: DataFrame, terms: DataFrame, n_docs: int, n_terms: int, small
     n = int(index.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     each = lists.repartition(n, "segment").select("segment", "term", F.inline(F.arrays_zip(*PLACE)))
     part = F.expr(f"1000000000L * tf div (1000L * tf + 12 * (100 - 25 + 25L * n * {n_docs}L div {max(1, n_terms)}L))")
-    each = each.select("segment", "at", "id", "term", part.alias("part"))
-    sums = each.join(held(weighed), "term").groupBy("segment", "at", "item").agg(F.sum(F.col("weight") * F.col("part")).alias("score"), F.first("id").alias("id"))
+    each = each.select("segment", "at", "term", part.alias("part"))
+    sums = each.join(held(weighed), "term").groupBy("segment", "at", "item").agg(F.sum(F.col("weight") * F.col("part")).alias("score"))
     return sums.filter("score > 0")
 
 
@@ -143,11 +151,14 @@ def search(items: DataFrame, index: DataFrame, k: int = 20, item_col: str = "ite
     best = []
     for b in sorted(sizes) or [0]:
         scores = _scored(index, terms.filter(F.col("block") == b).drop("block"), n_docs, n_terms, sizes.get(b, 0) <= 2 * block)
-        by = Window.partitionBy("item").orderBy(F.desc("score"), F.asc_nulls_last("id"), "segment", "at")
-        best.append(scores.withColumn("rank", F.row_number().over(by)).filter(F.col("rank") <= k))
+        by = Window.partitionBy("segment", "item").orderBy(F.desc("score"), "at")  # in a segment, places are in the order of ids
+        best.append(scores.withColumn("rank", F.row_number().over(by)).filter(F.col("rank") <= k).drop("rank"))
     out = best[0]
     for more in best[1:]:
         out = out.unionByName(more)
+    docs = index.filter(F.col("term") == ALL).select("segment", F.posexplode("ids").alias("at", "id"))
+    by = Window.partitionBy("item").orderBy(F.desc("score"), F.asc_nulls_last("id"), "segment", "at")
+    out = out.join(docs, ["segment", "at"]).withColumn("rank", F.row_number().over(by)).filter(F.col("rank") <= k)
     return out.select(F.col("item").alias(item_col), "rank", F.col("id").alias(id_col), "score")
 
 

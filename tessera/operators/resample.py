@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import math
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.definitions import GridDef
 from .cells import CUBIC, LINEAR, NEAREST, filled, gathered, grid_cells, on_grid, rounded, seen, sent, truncated, without_fill
+from .folds import folded
 
 REGRID = ("nearest", "bilinear", "cubic", "bucket", "max", "idw")
 RESAMP = ("nearest", "bucket", "bilinear", "minification", "reduction")
@@ -88,12 +90,37 @@ def choose_method(source: GridDef, target: GridDef, same_map: bool, mask: bool)
     return "bucket" if cell_scale(target) / cell_scale(source) > 2 else "bilinear"
 
 
+class RunningMean:
+    """A fold over values by target cell: the mean so far, rounded half up by truncation after each value."""
+
+    def __init__(self):
+        self.cell, self.mean, self.n = None, 0.0, 0
+
+    def _made(self, out: list) -> pa.RecordBatch:
+        kinds = (pa.int32(), pa.int32(), pa.float64())
+        return pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate(kinds)], ["row", "col", "value"])
+
+    def rows(self, batch, new):
+        out: list = []
+        for row, col, value, first in zip(*(batch.column(c).to_pylist() for c in ("row", "col", "value")), new.tolist(), strict=True):
+            if first:
+                if self.cell:
+                    out.append((*self.cell, self.mean))
+                self.cell, self.mean, self.n = (row, col), 0.0, 0
+            self.mean = float(math.trunc((self.mean * self.n + value) / (self.n + 1) + 0.5))
+            self.n += 1
+        return self._made(out)
+
+    def end(self):
+        return self._made([(*self.cell, self.mean)] if self.cell else [])
+
+
 def resamp(raster: DataFrame, source: GridDef, target: GridDef | None = None, method: str | None = None, fill: float | None = None, mask: float | None = None, factor: int = 1, exact: bool = False) -> DataFrame:
     """row, col, value on the target (or the source shrunk by ``factor``).
 
     bucket, bilinear and reduction round their values. ``mask``: percentages of cells with that value (100 or 0 for
     nearest and minification). bucket rounds a cell's mean once, from sums; with ``exact`` it rounds the running mean
-    after each source cell in row-major order, for which a target cell's values are held as one array.
+    after each source cell in row-major order: an ordered fold that streams the cells of a target cell.
     """
     same = target is None
     target = source.shrink(factor) if same else target
@@ -124,10 +151,7 @@ def resamp(raster: DataFrame, source: GridDef, target: GridDef | None = None, me
         raise ValueError(f"unknown method {method}")
     each = sent(raster, source, target, in_target=True).withColumns({"row": rounded(F.col("s")), "col": rounded(F.col("r"))}).filter(on_grid(target, F.col("row"), F.col("col")))
     if exact:
-        ordered = F.array_sort(F.collect_list(F.struct("i", "j", "value")))
-        step = lambda a, x: F.struct(rounded((a["m"] * a["n"] + x["value"]) / (a["n"] + 1)).cast("double").alias("m"), (a["n"] + 1).alias("n"))
-        mean = F.aggregate(ordered, F.struct(F.lit(0.0).alias("m"), F.lit(0).alias("n")), step, lambda a: a["m"])
-        out = each.groupBy("row", "col").agg(mean.alias("value"))
+        out = folded(each.select("row", "col", "i", "j", "value"), ["row", "col"], ["i", "j"], RunningMean, "row int, col int, value double")
     else:
         out = each.groupBy("row", "col").agg(rounded(F.avg("value")).cast("double").alias("value"))
     if mask is not None:

@@ -7,15 +7,17 @@ from __future__ import annotations
 
 import math
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ..functions.geodesy import RADIUS_KM
 from ..functions.scalar import normal_lon
 from ..plans.definitions import GridDef, MapDef
 from .cells import rounded
 from .chains import chain
+from .folds import folded
 from .transform import only, with_place, with_uv, within
 
 UNIT = 1024.0
@@ -145,44 +147,67 @@ def _around(lat0: float, lon0: float, lat: float, lon: float) -> tuple[float, fl
     return k * math.cos(p) * math.sin(dl), k * (math.cos(p0) * math.sin(p) - math.sin(p0) * math.cos(p) * math.cos(dl))
 
 
-def thinned(lat: list[float], lon: list[float], unit: float) -> list[int]:
-    """Numbers of the points to keep: the ends, and those off the line from the last kept one to the next point by a
-    unit, or by half of one if they lie two units away, measured on a map around the last kept point."""
-    keep, n = [0], len(lat)
-    if n < 3:
-        return list(range(n))
-    for k in range(1, n - 1):
-        at = keep[-1]
-        x, y = _around(lat[at], lon[at], lat[k], lon[k])
-        nx, ny = _around(lat[at], lon[at], lat[k + 1], lon[k + 1])
-        long = math.hypot(nx, ny)
-        off = abs(x * ny - y * nx) / long if long else 0.0
-        if off >= unit or (math.hypot(x, y) >= 2 * unit and off > unit / 2):
-            keep.append(k)
-    return [*keep, n - 1]
+def _off(lat0: float, lon0: float, lat: float, lon: float, lat2: float, lon2: float, unit: float) -> bool:
+    """Whether a point is off the line from the last kept point to the next point by a unit, or by half of one if it lies two
+    units away, measured on a map around the last kept point."""
+    x, y = _around(lat0, lon0, lat, lon)
+    nx, ny = _around(lat0, lon0, lat2, lon2)
+    long = math.hypot(nx, ny)
+    off = abs(x * ny - y * nx) / long if long else 0.0
+    return off >= unit or (math.hypot(x, y) >= 2 * unit and off > unit / 2)
+
+
+class Thinning:
+    """A fold over points of segments: the ends stay, and the points that are off the line. The state is the last kept point,
+    and one point that waits for the next to be judged by."""
+
+    def __init__(self, unit: float, kind: pa.DataType):
+        self.unit, self.kind = unit, kind
+        self.seg, self.kept, self.waits, self.pos = None, None, None, 0
+
+    def _keep(self, out: list, point: tuple) -> None:
+        out.append((self.seg, self.pos, *point))
+        self.kept, self.pos = point, self.pos + 1
+
+    def _made(self, out: list) -> pa.RecordBatch:
+        kinds = (self.kind, pa.int32(), pa.float64(), pa.float64())
+        return pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate(kinds)], ["seg", "pos", "lat", "lon"])
+
+    def rows(self, batch, new):
+        out: list = []
+        for seg, lat, lon, first in zip(*(batch.column(c).to_pylist() for c in ("seg", "lat", "lon")), new.tolist(), strict=True):
+            point = (lat, lon)
+            if first:
+                if self.waits:
+                    self._keep(out, self.waits)
+                self.seg, self.pos, self.waits = seg, 0, None
+                self._keep(out, point)
+            else:
+                if self.waits and _off(*self.kept, *self.waits, *point, self.unit):
+                    self._keep(out, self.waits)
+                self.waits = point
+        return self._made(out)
+
+    def end(self):
+        out: list = []
+        if self.waits:
+            self._keep(out, self.waits)
+        return self._made(out)
 
 
 def thin(points: DataFrame, km: float) -> DataFrame:
-    """Segments simplified to a tolerance; below 0.09 km they stay as they are. A segment is held as a whole."""
+    """Segments simplified to a tolerance: seg, pos (from 0), lat, lon; below 0.09 km they stay as they are. Points are streamed in
+    order, so a segment of any length passes in constant memory; it is one task's, as each point depends on the one kept."""
     if km < 0.09:
         return points
-
-    @F.pandas_udf("array<int>")
-    def kept(lat: pd.Series, lon: pd.Series) -> pd.Series:
-        return pd.Series([thinned(a.tolist(), b.tolist(), km / 3) for a, b in zip(lat, lon, strict=True)])
-
-    whole = points.groupBy("seg").agg(F.array_sort(F.collect_list(F.struct("pos", "lat", "lon"))).alias("_p"))
-    whole = whole.select("seg", "_p", kept(F.col("_p.lat"), F.col("_p.lon")).alias("_k"))
-    each = whole.select("seg", "_p", F.posexplode("_k").alias("pos", "_i")).withColumn("_q", F.get("_p", F.col("_i")))
-    return each.select("seg", "pos", "_q.lat", "_q.lon")
+    kind = points.schema["seg"].dataType
+    return folded(points.select("seg", "pos", "lat", "lon"), ["seg"], ["pos", "lat", "lon"], lambda: Thinning(km / 3, to_arrow_type(kind)), f"seg {kind.simpleString()}, pos int, lat double, lon double")
 
 
 def join_ends(points: DataFrame, km: float) -> DataFrame:
     """Segments chained where their ends lie within ``km``: seg (of the chain's first segment), pos, lat, lon, from_seg.
 
-    Ends are dealt to cells of a local lattice, and only ends in neighbouring cells are compared (an equi-join). Every
-    end takes its nearest partner if both choose each other, so that chains need no order of the segments; a chain is
-    followed by pointer doubling. Nothing is joined across the date line.
+    Greedy, in the order of seg (whole numbers): see chains.chain.
     """
     return chain(points, km)
 

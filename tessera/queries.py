@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from .functions import geodesy
 from .functions.projections import forward_xy, inverse_xy
 from .functions.scalar import Ctes, Sql, Steps, both, finite, where
-from .operators import accuracy, cells, extract, gridding, models, resample, vectors
+from .operators import accuracy, cells, extract, gridding, models, regions, resample, vectors
 from .operators import transform as T
 from .plans.definitions import GridDef, MapDef
 from .plans.state import new_folder
@@ -523,14 +523,62 @@ def segment_split(spark, sf_dir):
     return vectors.split_at_date_line(moved.withColumn("lon", F.when(F.col("lon") > 180, F.col("lon") - 360).otherwise(F.col("lon"))))
 
 
-@query("segment_thin")
+def _thin_sql(km: float) -> str:
+    """The rule as a recursion along each segment: the last kept point and the next point judge the one between."""
+    unit = km / 3
+    place = lambda a, b: f"cos(radians({a})) * sin(radians({b} - klon)) AS {{0}}_e, cos(radians(klat)) * sin(radians({a})) - sin(radians(klat)) * cos(radians({a})) * cos(radians({b} - klon)) AS {{0}}_n, sqrt(2 / (1 + sin(radians(klat)) * sin(radians({a})) + cos(radians(klat)) * cos(radians({a})) * cos(radians({b} - klon)))) * {geodesy.RADIUS_KM!r} AS {{0}}_k"
+    return f"""WITH RECURSIVE {SEG_SQL},
+p AS (SELECT seg, row_number() OVER (PARTITION BY seg ORDER BY pos, lat, lon) AS k, lat, lon, lead(lat) OVER (PARTITION BY seg ORDER BY pos, lat, lon) AS nlat, lead(lon) OVER (PARTITION BY seg ORDER BY pos, lat, lon) AS nlon FROM s),
+r AS (SELECT seg, k, lat, lon, lat AS klat, lon AS klon, TRUE AS keep FROM p WHERE k = 1
+ UNION ALL SELECT seg, k, lat, lon, CASE WHEN kept THEN lat ELSE klat END, CASE WHEN kept THEN lon ELSE klon END, kept FROM (
+  SELECT *, nlat IS NULL OR off >= {unit!r} OR (far >= {2 * unit!r} AND off > {unit / 2!r}) AS kept FROM (
+   SELECT *, abs(p_e * p_k * q_n * q_k - p_n * p_k * q_e * q_k) / nullif(sqrt(q_e * q_k * q_e * q_k + q_n * q_k * q_n * q_k), 0) AS off, sqrt(p_e * p_e + p_n * p_n) * p_k AS far FROM (
+    SELECT p.*, klat, klon, {place("p.lat", "p.lon").format("p")}, {place("p.nlat", "p.nlon").format("q")} FROM r JOIN p ON p.seg = r.seg AND p.k = r.k + 1))))
+SELECT seg, CAST(row_number() OVER (PARTITION BY seg ORDER BY k) - 1 AS INTEGER) AS pos, lat, lon FROM r WHERE coalesce(keep, FALSE)"""
+
+
+@query("segment_thin", _thin_sql(30.0))
 def segment_thin(spark, sf_dir):
     return vectors.thin(segments(spark, sf_dir), 30.0)
 
 
+def coast(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Segments that meet: 32 orders in a row lie around one place, each line within some 8 km of it."""
+    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet").groupBy(F.col("l_orderkey").alias("seg"), F.col("l_linenumber").alias("pos")).agg(F.min("l_partkey").alias("a"), F.min("l_suppkey").alias("b"))
+    place = F.expr("seg div 32")
+    lat, lon = place * 7919 % 150000 - 75000 + F.col("a") % 79, place * 611953 % 340000 - 170000 + (F.col("b") * 7 + F.col("pos") * 13) % 83
+    return lines.select("seg", "pos", (lat / 1024.0).alias("lat"), (lon / 1024.0).alias("lon"))
+
+
 @query("segment_join")
 def segment_join(spark, sf_dir):
-    return vectors.join_ends(segments(spark, sf_dir), 5.0)
+    """Greedy, in the order of segments: tested against the plain sequential rule over all of the smallest tables."""
+    return vectors.join_ends(coast(spark, sf_dir), 2.0)
+
+
+#: A quadrangle around each supplier's place, some 1 to 12 degrees high; every third has a reflex corner.
+_CORNERS = ("place_lat + h, place_lon - w", "place_lat + h, place_lon + w", "place_lat - h, place_lon + w", "place_lat - CASE WHEN s_suppkey % 3 = 0 THEN -h / 2e0 ELSE h END, place_lon - CASE WHEN s_suppkey % 3 = 0 THEN -w / 2e0 ELSE w END")
+_REGIONS = "SELECT s_suppkey, CAST(s_suppkey * 7919 % 140000 AS DOUBLE) / 1000e0 - 70e0 AS place_lat, CAST(s_suppkey * 611953 % 320000 AS DOUBLE) / 1000e0 - 160e0 AS place_lon, CAST(1 + s_suppkey % 12 AS DOUBLE) / 2e0 AS h, CAST(1 + s_suppkey % 17 AS DOUBLE) AS w FROM supplier"
+_PLACES = "SELECT c_custkey, CAST(c_custkey * 104729 % 179000 AS DOUBLE) / 1000e0 - 89.4863e0 AS lat, CAST(c_custkey * 7907 % 359000 AS DOUBLE) / 1000e0 - 179.4863e0 AS lon FROM customer"
+_PLUMB = lambda a, b: f"[cos(radians({a})) * cos(radians({b})), cos(radians({a})) * sin(radians({b})), sin(radians({a}))]"
+
+
+def _region_sql() -> str:
+    corner = [_PLUMB(*c.split(", ")) for c in _CORNERS]
+    det = lambda p, a, b: f"({p}[1] * ({a}[2] * {b}[3] - {a}[3] * {b}[2]) + {p}[2] * ({a}[3] * {b}[1] - {a}[1] * {b}[3]) + {p}[3] * ({a}[1] * {b}[2] - {a}[2] * {b}[1]))"
+    inner = lambda *c: "(" + " AND ".join(f"{det('p', a, b)} < 2.220446049250313e-15" for a, b in zip([c[-1], *c[:-1]], c, strict=True)) + ")"
+    return f"""WITH r AS (SELECT s_suppkey, {", ".join(f"{v} AS c{k}" for k, v in enumerate(corner))} FROM ({_REGIONS})), c AS (SELECT c_custkey, {_PLUMB("lat", "lon")} AS p FROM ({_PLACES}))
+SELECT c_custkey, s_suppkey FROM c, r WHERE CASE WHEN s_suppkey % 3 = 0 THEN {inner("c3", "c0", "c1")} OR {inner("c3", "c1", "c2")} ELSE {inner("c0", "c1", "c2", "c3")} END"""
+
+
+@query("points_in_regions", _region_sql())
+def points_in_regions(spark, sf_dir):
+    """Customers in quadrangles around suppliers."""
+    for t in ("supplier", "customer"):
+        spark.read.parquet(f"{sf_dir}/{t}.parquet").createOrReplaceTempView(f"_tessera_{t}")
+    of = lambda sql, t: spark.sql(sql.replace(f"FROM {t}", f"FROM _tessera_{t}").replace("e0", "D"))
+    quads = of(_REGIONS, "supplier").select("s_suppkey", F.expr("array(" + ", ".join("named_struct('lat', {}, 'lon', {})".format(*c.replace("e0", "D").split(", ")) for c in _CORNERS) + ")").alias("corners"))
+    return regions.points_in_regions(of(_PLACES, "customer"), quads, "s_suppkey").select("c_custkey", "s_suppkey")
 
 
 @query("graticule", f"WITH p AS (SELECT 'lat' || a AS seg, CAST(b AS INTEGER) AS pos, a * 30e0 AS lat, -180e0 + b AS lon FROM range(4) x(a), range(361) y(b)), m AS (SELECT 'lon' || a AS seg, CAST(b AS INTEGER) AS pos, CAST(b AS DOUBLE) AS lat, -180e0 + 30e0 * a AS lon FROM range(13) x(a), range(91) y(b)) SELECT seg, pos, {qs('lat')} AS lat_q, {qs('lon')} AS lon_q FROM (FROM p UNION ALL FROM m)")

@@ -1,0 +1,160 @@
+import math
+import random
+
+import numpy as np
+import pytest
+
+from tessera import queries
+from tessera.operators import chains, regions, resample, vectors
+
+SF = "/root/testdata/sf0.001"
+
+
+def greedy(segs: dict, km: float) -> dict:
+    """The rule as it stands: seg -> points in, chain -> (point, seg) out."""
+    left, out = dict(segs), {}
+    for h in sorted(segs):
+        if h not in left:
+            continue
+        line = [(p, h) for p in left.pop(h)]
+        while True:
+            best = None
+            for c in sorted(left):
+                for way, (mine, its) in enumerate(((0, 0), (0, -1), (-1, 0), (-1, -1))):
+                    d = chains.distance(*line[mine][0], *left[c][its], km)
+                    if d < math.inf and (best is None or (d, c, way) < best[:3]):
+                        best = (d, c, way, mine, its)
+            if not best:
+                break
+            _, c, _, mine, its = best
+            if mine == 0:
+                line.reverse()
+            new = [(p, c) for p in left.pop(c)]
+            line += new[::-1] if its else new
+        out[h] = line
+    return out
+
+
+def chained(points, km, limit):
+    rows, segs, got = points.orderBy("seg", "pos").collect(), {}, {}
+    for r in rows:
+        segs.setdefault(r.seg, []).append((r.lat, r.lon))
+    for r in chains.chain(points, km, limit).orderBy("seg", "pos").collect():
+        got.setdefault(r.seg, []).append(((r.lat, r.lon), r.from_seg))
+        assert r.pos == len(got[r.seg]) - 1
+    return segs, got
+
+
+def test_join_is_the_sequential_rule_on_a_whole_table(spark):
+    segs, got = chained(queries.coast(spark, SF), 2.0, chains.LIMIT)
+    assert got == greedy(segs, 2.0)
+    assert len(segs) > len(got) > 1 and max(len({s for _, s in c}) for c in got.values()) > 3
+
+
+@pytest.mark.parametrize("limit", [1000, 4])
+def test_join_of_crowded_ends_in_tasks_and_in_rounds(spark, limit):
+    """Ends of one place, single points, backward pieces; at limit 4 larger components take a step a round."""
+    rng, rows = random.Random(3), []
+    for seg in range(26 if limit > 4 else 12):
+        a, b = 60 + rng.randint(0, 4) * 0.05, 20 + rng.randint(0, 3) * 0.1
+        rows += [(seg, k, a + k * 0.03 * rng.random(), b + k * 0.05 * rng.random()) for k in range(rng.randint(1, 4))]
+    points = spark.createDataFrame(rows, "seg int, pos int, lat double, lon double").repartition(3)
+    segs, got = chained(points, 4.0, limit)
+    assert got == greedy(segs, 4.0) and len(got) < len(segs)
+
+
+def test_join_of_nothing(spark):
+    assert chains.chain(spark.createDataFrame([], "seg int, pos int, lat double, lon double"), 5.0).count() == 0
+
+
+def thinned(points: list, unit: float) -> list:
+    keep = [points[0]]
+    for k in range(1, len(points) - 1):
+        if vectors._off(*keep[-1], *points[k], *points[k + 1], unit):
+            keep.append(points[k])
+    return keep + points[-1:] * (len(points) > 1)
+
+
+def test_thinning_streams_a_segment_longer_than_its_batches(spark):
+    """One segment of a hundred batches, between short ones; no group is held as an array."""
+    rng = random.Random(1)
+    lat, lon, rows = 10.0, 20.0, [(1, k, float(k % 2), 5.0 + k) for k in range(9)] + [(3, 0, 1.0, 1.0), (4, 0, 1.0, 1.0), (4, 1, 1.0, 2.0), (None, 0, 5.0, 5.0), (None, 1, 5.0, 6.0)]
+    for k in range(10_000):
+        lat, lon = lat + rng.uniform(-0.01, 0.012), lon + rng.uniform(-0.01, 0.012)
+        rows.append((2, k, lat, lon))
+    df = spark.createDataFrame(rows, "seg int, pos int, lat double, lon double").repartition(5)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 100)
+    try:
+        out = vectors.thin(df, 3.0)
+        got = {}
+        for r in out.orderBy("seg", "pos").collect():
+            got.setdefault(r.seg, []).append((r.lat, r.lon))
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    want = {}
+    for seg, _, a, b in sorted(rows, key=lambda r: (r[0] is None, r[0], r[1])):
+        want.setdefault(seg, []).append((a, b))
+    assert got == {s: thinned(p, 1.0) for s, p in want.items()}
+    assert "Window" not in (plan := out._jdf.queryExecution().toString()) and "collect_list" not in plan
+    assert vectors.thin(df, 0.01) is df and vectors.thin(df.limit(0), 3.0).count() == 0
+
+
+def test_running_mean_over_a_long_group(spark):
+    from tessera.plans.definitions import GridDef, MapDef
+
+    plate = MapDef("Cylindrical Equidistant", lat0=0, lon0=0, south=-1, north=1, west=-1, east=1)
+    fine = GridDef(plate, 120, 120, 1.0, None, 59.5, 59.5)
+    coarse = GridDef(plate, 1, 1, 1 / 240, None, 0.0, 0.0)
+    rng = np.random.default_rng(0)
+    v = rng.integers(1, 200, (120, 120))
+    raster = spark.createDataFrame([(i, j, float(v[i, j])) for i in range(120) for j in range(120)], "row int, col int, value double").repartition(4)
+    got = resample.resamp(raster, fine, coarse, "bucket", fill=0.0, exact=True).collect()
+    seen = {(r.i, r.j) for r in __import__("tessera.operators.cells", fromlist=["sent"]).sent(raster, fine, coarse, in_target=True).select("i", "j").collect()}
+    mean = 0.0
+    for n, (i, j) in enumerate(sorted(seen)):
+        mean = math.trunc((mean * n + v[i, j]) / (n + 1) + 0.5)
+    assert len(seen) > 5000 and [r.value for r in got] == [mean]
+
+
+def plumb(lat, lon):
+    a, b = math.radians(lat), math.radians(lon)
+    return np.array([math.cos(a) * math.cos(b), math.cos(a) * math.sin(b), math.sin(a)])
+
+
+def brute(point, corners):
+    turn = lambda p, q, r: (lambda v: 0 if abs(v) < regions.TINY else v)(float(np.dot(p, np.cross(q, r))))
+    p, c = plumb(*point), [plumb(*x) for x in corners]
+    convex = lambda c: all(turn(p, c[k - 1], c[k]) <= 0 for k in range(len(c)))
+    if len(c) == 4:
+        for k in (1, 2, 3, 0):
+            if turn(c[k - 1], c[k], c[(k + 1) % 4]) > 0:
+                return convex([c[k], c[(k + 1) % 4], c[(k + 2) % 4]]) or convex([c[k], c[(k + 2) % 4], c[k - 1]])
+    return convex(c)
+
+
+def test_points_in_regions_are_brute_force(spark):
+    """Small and large regions, over the poles and the date line, reflex, with corners and edges as points, copies and nulls."""
+    rng = random.Random(2)
+    shapes = {}
+    for k in range(40):
+        lat, lon, h, w = rng.uniform(-80, 80), rng.uniform(-180, 180), rng.choice([0.01, 1, 8, 30]), rng.choice([0.02, 2, 20, 40])
+        box = [(lat + h, lon - w), (lat + h, lon + w), (lat - h, lon + w), (lat - h, lon - w)]
+        box = [(max(-89.0, min(89.0, a)), b) for a, b in box]
+        if k % 3 == 0:
+            box[3] = (lat + h / 3, lon + w / 3)
+        shapes[k] = box
+    shapes[40] = [(70.0, b) for b in (0.0, -90.0, 180.0, 90.0)][::-1][::-1]
+    shapes[41] = [(-80.0, b) for b in (0.0, 120.0, -120.0)]
+    shapes[42] = [(10.0, 10.0), (10.0, 10.0), (0.0, 20.0), (0.0, 0.0)]
+    places = [(rng.uniform(-90, 90), rng.uniform(-180, 180)) for _ in range(700)] + [c for s in shapes.values() for c in s] + [(90.0, 0.0), (-90.0, 77.0), (0.0, 180.0), (0.0, -180.0)]
+    places += [(s[0][0] + rng.uniform(-2, 2), s[0][1] + rng.uniform(-3, 3)) for s in shapes.values() for _ in range(12) if abs(s[0][0]) < 87]
+    rows = [(i, a, b, "own") for i, (a, b) in enumerate(places)]
+    points = spark.createDataFrame([*rows, rows[0], (-1, None, 1.0, "own"), (-2, 1.0, None, "own"), (-3, 95.0, 1.0, "own")], "id int, lat double, lon double, region string")
+    quads = spark.createDataFrame([*((k, s) for k, s in shapes.items()), (99, [(1.0, 1.0), (2.0, 2.0)]), (98, None), (97, [(1.0, None), (2.0, 2.0), (3.0, 1.0)])], "region int, corners array<struct<lat:double,lon:double>>")
+    got = sorted((r.id, r.region) for r in regions.points_in_regions(points, quads).collect())
+    want = sorted((i, k) for i, a, b, _ in [*rows, rows[0]] for k, s in shapes.items() if brute((a, b), s))
+    sure = lambda pairs: [(i, k) for i, k in pairs if places[i] not in shapes[k]]  # noqa: E731  a corner is on an edge up to its last bit
+    assert sure(got) == sure(want) and len(want) > 300
+    cells = regions.covering(regions.pieces(quads, "region", "corners")).groupBy("region").count().collect()
+    assert max(r["count"] for r in cells) < 1500
+    assert regions.points_in_regions(points.limit(0), quads).count() == 0 and regions.points_in_regions(points, quads.limit(0)).count() == 0

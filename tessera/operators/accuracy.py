@@ -29,26 +29,27 @@ def _summary(errors: DataFrame, where: list[str]) -> DataFrame:
     )
 
 
-def map_errors(spark: SparkSession, m: MapDef, n: int = LATTICE) -> DataFrame:
-    """lat, lon and err (km along the great circle) of each lattice point within the map."""
-    there = with_uv(filter_within(lattice(spark, m, n), m), m)
+def map_errors(spark: SparkSession, m: MapDef, n: int = LATTICE, points: DataFrame | None = None) -> DataFrame:
+    """lat, lon and err (km along the great circle) of each point (lat, lon) within the map, or else of a lattice of n x n."""
+    there = with_uv(filter_within(lattice(spark, m, n) if points is None else points.select("lat", "lon"), m), m)
     back = with_geo_of_uv(there, m, out=("lat2", "lon2"))
     s = Steps(back)
     e = arc_length(s, F.col("lat"), F.col("lon"), F.col("lat2"), F.col("lon2"))
-    return s.df.select("id", "lat", "lon", e.alias("err"))
+    return s.df.select("lat", "lon", e.alias("err"))
 
 
-def map_accuracy(spark: SparkSession, m: MapDef, n: int = LATTICE) -> DataFrame:
+def map_accuracy(spark: SparkSession, m: MapDef, n: int = LATTICE, points: DataFrame | None = None) -> DataFrame:
     """points, bad, avg, sd, max and where the largest error is."""
-    return _summary(map_errors(spark, m, n), ["lat", "lon"])
+    return _summary(map_errors(spark, m, n, points), ["lat", "lon"])
 
 
-def grid_errors(spark: SparkSession, g: GridDef) -> DataFrame:
-    """row, col and err (cells) of each cell whose centre is within the map."""
-    there = only(with_geo(grid_cells(spark, g), g), "in_map", ["lat", "lon"])
+def grid_errors(spark: SparkSession, g: GridDef, raster: DataFrame | None = None) -> DataFrame:
+    """row, col and err (cells) of each of the raster's cells, or else of all, whose centre is within the map."""
+    cells = grid_cells(spark, g) if raster is None else raster.select("row", "col")
+    there = only(with_geo(cells, g), "in_map", ["lat", "lon"])
     back = with_place(there, g, out=("c2", "r2", "_on"))
     return back.select("row", "col", F.sqrt((F.col("c2") - F.col("col")) * (F.col("c2") - F.col("col")) + (F.col("r2") - F.col("row")) * (F.col("r2") - F.col("row"))).alias("err"))
 
 
-def grid_accuracy(spark: SparkSession, g: GridDef) -> DataFrame:
-    return _summary(grid_errors(spark, g), ["row", "col"])
+def grid_accuracy(spark: SparkSession, g: GridDef, raster: DataFrame | None = None) -> DataFrame:
+    return _summary(grid_errors(spark, g, raster), ["row", "col"])

@@ -77,8 +77,9 @@ def test_polynomial(df: DataFrame, p: Polynomial, x: str, z: str, y: str | None
     return s.select("n", "sse", (1 - F.try_divide("sse", "_t")).alias("r2"), (1 - F.try_divide("sse", "_tf")).alias("r2_fitted"))
 
 
-def chebyshev_nodes(df: DataFrame, index: str, n: int, low: float = -1.0, high: float = 1.0) -> DataFrame:
-    """df with node: the Chebyshev node of each index from 0."""
+def chebyshev_nodes(df: DataFrame, index: str, n, low=-1.0, high=1.0) -> DataFrame:
+    """df with node: the Chebyshev node of each index from 0, of n over an interval (numbers or Columns)."""
+    n, low, high = (v if isinstance(v, Column) else F.lit(v) for v in (n, low, high))
     c = F.cos((2 * F.col(index) + 1) * F.lit(PI) / (2 * n))
     return df.withColumn("node", (low + high) / 2 + (high - low) / 2 * c)
 

@@ -212,14 +212,23 @@ def join_ends(points: DataFrame, km: float) -> DataFrame:
     return chain(points, km)
 
 
-def graticule(spark: SparkSession, m: MapDef, step: float = 1.0) -> DataFrame:
-    """Points of parallels and meridians at the map's intervals: seg, pos, lat, lon, each ``step`` degrees apart."""
-    east = m.east + (360 if m.straddles else 0)
+def graticules(sheets: DataFrame, id_col: str, step: float = 1.0) -> DataFrame:
+    """Points of parallels and meridians of each sheet (id_col, south, north, west, east, lat_interval, lon_interval; east may be
+    over 180): id_col, seg, pos, lat, lon, each ``step`` degrees apart. Nothing comes of a sheet with a null."""
+
+    def lines(kind: str, low: str, high: str, every: str, begin: str, end: str, fixed: str, moving: str) -> DataFrame:
+        known = sheets.dropna(subset=[low, high, every, begin, end])
+        count = F.floor((F.col(high) - F.col(low)) / F.col(every)).cast("int")
+        ids = known.withColumn("_k", F.explode(F.sequence(F.lit(0), count)))
+        each = ids.withColumn("pos", F.explode(F.sequence(F.lit(0), F.floor((F.col(end) - F.col(begin)) / step).cast("int"))))
+        each = each.withColumns({fixed: F.col(low) + F.col("_k") * F.col(every), moving: F.col(begin) + F.col("pos") * step, "seg": F.concat(F.lit(kind), F.col("_k").cast("string"))})
+        return each.select(id_col, "seg", "pos", F.col("lat").cast("double").alias("lat"), normal_lon(F.col("lon").cast("double")).alias("lon"))
 
-    def lines(kind: str, low: float, high: float, every: float, begin: float, end: float, fixed: str, moving: str) -> DataFrame:
-        count, n = int((high - low) / every) + 1, int((end - begin) / step) + 1
-        ids = spark.range(count).select(F.concat(F.lit(kind), F.col("id").cast("string")).alias("seg"), (low + F.col("id") * every).alias(fixed))
-        return ids.select("*", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("pos")).withColumn(moving, begin + F.col("pos") * step).select("seg", "pos", "lat", normal_lon(F.col("lon")).alias("lon"))
+    return lines("lat", "south", "north", "lat_interval", "west", "east", "lat", "lon").unionByName(lines("lon", "west", "east", "lon_interval", "south", "north", "lon", "lat"))
 
-    return lines("lat", m.south, m.north, m.lat_interval, m.west, east, "lat", "lon").unionByName(lines("lon", m.west, east, m.lon_interval, m.south, m.north, "lon", "lat"))
 
+def graticule(spark: SparkSession, m: MapDef, step: float = 1.0) -> DataFrame:
+    """The graticule of a map at its intervals: seg, pos, lat, lon."""
+    row = (m.south, m.north, m.west, m.east + (360 if m.straddles else 0), m.lat_interval, m.lon_interval)
+    sheet = spark.createDataFrame([tuple(map(float, row))], "south double, north double, west double, east double, lat_interval double, lon_interval double")
+    return graticules(sheet.withColumn("_sheet", F.lit(0)), "_sheet", step).drop("_sheet")

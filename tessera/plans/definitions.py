@@ -268,6 +268,10 @@ class GridDef:
         """Sizes, origin and scale divided by a factor; the origin without a half-cell correction."""
         return replace(self, cols=self.cols // factor, rows=self.rows // factor, origin_col=self.origin_col / factor, origin_row=self.origin_row / factor, cols_per_unit=self.cols_per_unit / factor, rows_per_unit=self.rows_per_unit / factor)
 
+    def zoom(self, factor: int) -> GridDef:
+        """Each cell cut into factor x factor cells; the area stays."""
+        return replace(self, cols=self.cols * factor, rows=self.rows * factor, origin_col=(self.origin_col + 0.5) * factor - 0.5, origin_row=(self.origin_row + 0.5) * factor - 0.5, cols_per_unit=self.cols_per_unit * factor, rows_per_unit=self.rows_per_unit * factor)
+
     def describe(self) -> dict:
         return {**{k: v for k, v in self.__dict__.items() if k != "map"}, **self.map.describe()}
 

@@ -6,6 +6,7 @@ alike, and results are rounded to whole numbers of a small unit, because sines d
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -178,28 +179,59 @@ def lat_lon_text(spark, sf_dir):
 # --- rasters --------------------------------------------------------------------------------------------------------
 
 
-def raster(spark: SparkSession, g: GridDef, step: int = 251) -> DataFrame:
-    """A test raster; cells whose value is 0 are fill."""
-    return cells.grid_cells(spark, g).withColumn("value", ((F.col("row") * 31 + F.col("col") * 17) % step).cast("double"))
+#: Lines that a raster of the world is made of for each of its cells, about; grids are cut finer as the table grows.
+LINES = 60_000
+ZOOM = "(SELECT z FROM zoom)"
+ZOOM_SQL = f"zoom AS (SELECT greatest(1, CAST(ceil(sqrt(count(*) / {LINES}e0)) AS INTEGER)) AS z FROM lineitem)"
+
+
+def grown(spark: SparkSession, sf_dir: str, *grids: GridDef) -> list[GridDef]:
+    """The grids, cut as finely as the number of lines calls for."""
+    n = spark.read.parquet(f"{sf_dir}/lineitem.parquet").count()
+    z = max(1, math.ceil(math.sqrt(n / LINES)))
+    return [g.zoom(z) for g in grids]
+
+
+def raster(spark: SparkSession, sf_dir: str, g: GridDef) -> DataFrame:
+    """Lines summed by cell; cells whose value is 0 are fill, and those without a line are missing."""
+    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    at = {"row": (F.col("l_orderkey") * 31 + F.col("l_linenumber") * 7) % g.rows, "col": (F.col("l_partkey") * 17 + F.col("l_suppkey") * 5) % g.cols}
+    return lines.groupBy(*(c.cast("int").alias(k) for k, c in at.items())).agg((F.sum(F.col("l_linenumber") * 37 + F.col("l_suppkey")) % 251).cast("double").alias("value"))
 
 
 def cells_sql(g: GridDef) -> str:
-    return f"(SELECT CAST(id // {g.cols} AS INTEGER) AS i, CAST(id % {g.cols} AS INTEGER) AS j, CAST(((id // {g.cols}) * 31 + (id % {g.cols}) * 17) % 251 AS DOUBLE) AS v FROM range({g.n_cells}) t(id))"
+    """i, j of all cells of the grid as it is cut."""
+    wide = f"({g.cols} * {ZOOM})"
+    return f"(SELECT CAST(id // {wide} AS INTEGER) AS i, CAST(id % {wide} AS INTEGER) AS j FROM (SELECT unnest(range({g.n_cells} * {ZOOM} * {ZOOM})) AS id))"
+
 
+def raster_sql(g: GridDef) -> str:
+    """i, j, v of the raster's cells."""
+    return f"(SELECT CAST((l_orderkey * 31 + l_linenumber * 7) % ({g.rows} * {ZOOM}) AS INTEGER) AS i, CAST((l_partkey * 17 + l_suppkey * 5) % ({g.cols} * {ZOOM}) AS INTEGER) AS j, CAST(sum(l_linenumber * 37 + l_suppkey) % 251 AS DOUBLE) AS v FROM lineitem GROUP BY ALL)"
 
-def looked_sql(source: GridDef, target: GridDef, both_maps: bool = False) -> list[str]:
-    """CTEs from target cells (i, j) to seen(i, j, r, s): the places on the source that they look at."""
-    s = Ctes("c0", [f"c0 AS (SELECT i, j, CAST(i AS DOUBLE) AS fi, CAST(j AS DOUBLE) AS fj, v FROM {cells_sql(target)})"])
+
+def coarse(c: str) -> str:
+    """A place on the grid before it was cut, and back."""
+    return f"(({c} + 0.5e0) / {ZOOM} - 0.5e0)"
+
+
+def fine(c) -> str:
+    return f"(({c.sql} + 0.5e0) * {ZOOM} - 0.5e0)"
+
+
+def looked_sql(source: GridDef, target: GridDef, both_maps: bool = False, rows: str | None = None) -> list[str]:
+    """CTEs from target cells (i, j, and what else rows has) to seen(i, j, r, s): the places on the source that they look at."""
+    s = Ctes("c0", [ZOOM_SQL, f"c0 AS (SELECT *, {coarse('CAST(i AS DOUBLE)')} AS fi, {coarse('CAST(j AS DOUBLE)')} AS fj FROM {rows or cells_sql(target)})"])
     lat, lon, ok = T.geo_of_place(target, s, Sql("fj"), Sql("fi"))
     if both_maps:
         ok = s.let(both(ok, T.within(source.map, lat, lon)))
     r, t, on = T.grid_place(source, s, lat, lon)
-    s.ctes.append(f"seen AS (SELECT i, j, v, {r.sql} AS r, {t.sql} AS s FROM {s.last} WHERE {ok.sql} AND {on.sql})")
+    s.ctes.append(f"seen AS (SELECT i, j, {'v, ' if rows else ''}{fine(r)} AS r, {fine(t)} AS s FROM {s.last} WHERE {ok.sql} AND {on.sql})")
     return s.ctes
 
 
 TRUNC = "CAST(trunc({}) AS INTEGER)"
-RASTER_SQL = f"src AS (SELECT i AS si, j AS sj, v AS sv FROM {cells_sql(WORLD)} WHERE v <> 0)"
+RASTER_SQL = f"src AS (SELECT i AS si, j AS sj, v AS sv FROM {raster_sql(WORLD)} WHERE v <> 0)"
 
 
 def stencil_sql(low: int, high: int, weight: str, agg: str, extra: str = "") -> str:
@@ -220,8 +252,8 @@ def cubic_sql(d: str, k: str) -> str:
 
 CUBIC_W = cubic_sql("(s - trunc(s))", "dr") + " * " + cubic_sql("(r - trunc(r))", "dc")
 MEAN_SQL = f"SELECT i AS cell_row, j AS cell_col, {qs('num / w', 1e-4)} AS value FROM sums WHERE w <> 0"
-SENT = [*looked_sql(NORTH, WORLD), f"dealt AS (SELECT i, j, v, r, s, {TRUNC.format('s + 0.5e0')} AS ti, {TRUNC.format('r + 0.5e0')} AS tj FROM seen WHERE v <> 0)"]
-SENT_BOTH = [*looked_sql(NORTH, WORLD, True), f"dealt AS (SELECT i, j, v, r, s, {TRUNC.format('s + 0.5e0')} AS ti, {TRUNC.format('r + 0.5e0')} AS tj FROM seen WHERE v <> 0)"]
+SENT = [*looked_sql(NORTH, WORLD, rows=raster_sql(WORLD)), f"dealt AS (SELECT i, j, v, r, s, {TRUNC.format('s + 0.5e0')} AS ti, {TRUNC.format('r + 0.5e0')} AS tj FROM seen WHERE v <> 0)"]
+SENT_BOTH = [*looked_sql(NORTH, WORLD, True, raster_sql(WORLD)), f"dealt AS (SELECT i, j, v, r, s, {TRUNC.format('s + 0.5e0')} AS ti, {TRUNC.format('r + 0.5e0')} AS tj FROM seen WHERE v <> 0)"]
 
 
 def with_sql(ctes: list[str], tail: str) -> str:
@@ -233,42 +265,75 @@ def out(df: DataFrame, unit: float = 1e-4) -> DataFrame:
 
 
 def _regrid(method: str, sql: str) -> None:
-    query(f"regrid_{method}", sql)(lambda spark, sf_dir: out(resample.regrid(raster(spark, WORLD), WORLD, NORTH, method, fill=0.0, kernel=(2, 2), whole=False)))
+    def run(spark, sf_dir):
+        world, north = grown(spark, sf_dir, WORLD, NORTH)
+        return out(resample.regrid(raster(spark, sf_dir, world), world, north, method, fill=0.0, kernel=(2, 2), whole=False))
+
+    query(f"regrid_{method}", sql)(run)
 
 
 NEAR_SQL = f"near AS (SELECT seen.i, seen.j, sv FROM seen JOIN src ON si = {TRUNC.format('s + 0.5e0')} AND sj = {TRUNC.format('r + 0.5e0')})"
 _regrid("nearest", with_sql([*looked_sql(WORLD, NORTH), RASTER_SQL, NEAR_SQL], f"SELECT i AS cell_row, j AS cell_col, {qs('sv', 1e-4)} AS value FROM near"))
 _regrid("bilinear", stencil_sql(0, 1, LINEAR_W, MEAN_SQL))
 _regrid("cubic", stencil_sql(-1, 2, CUBIC_W, MEAN_SQL))
-_regrid("bucket", with_sql(SENT, f"SELECT ti AS cell_row, tj AS cell_col, {qs('avg(v)', 1e-4)} AS value FROM dealt WHERE ti BETWEEN 0 AND 90 AND tj BETWEEN 0 AND 90 GROUP BY ti, tj"))
-_regrid("max", with_sql(SENT, f"SELECT ti AS cell_row, tj AS cell_col, {qs('max(v)', 1e-4)} AS value FROM dealt WHERE ti BETWEEN 0 AND 90 AND tj BETWEEN 0 AND 90 GROUP BY ti, tj HAVING max(v) > 0"))
+_regrid("bucket", with_sql(SENT, f"SELECT ti AS cell_row, tj AS cell_col, {qs('avg(v)', 1e-4)} AS value FROM dealt WHERE ti BETWEEN 0 AND 91 * {ZOOM} - 1 AND tj BETWEEN 0 AND 91 * {ZOOM} - 1 GROUP BY ti, tj"))
+_regrid("max", with_sql(SENT, f"SELECT ti AS cell_row, tj AS cell_col, {qs('max(v)', 1e-4)} AS value FROM dealt WHERE ti BETWEEN 0 AND 91 * {ZOOM} - 1 AND tj BETWEEN 0 AND 91 * {ZOOM} - 1 GROUP BY ti, tj HAVING max(v) > 0"))
 _KERNEL = [
     *SENT_BOTH,
     f"k1 AS (SELECT *, unnest(range({TRUNC.format('s - 1 + 0.5e0')}, {TRUNC.format('s + 1 + 0.5e0')} + 1)) AS ki FROM dealt)",
     f"k2 AS (SELECT *, unnest(range({TRUNC.format('r - 1 + 0.5e0')}, {TRUNC.format('r + 1 + 0.5e0')} + 1)) AS kj FROM k1)",
-    "k3 AS (SELECT ki, kj, v, pow((r - kj) * (r - kj) + (s - ki) * (s - ki), 1e0) AS d FROM k2 WHERE ki BETWEEN 0 AND 90 AND kj BETWEEN 0 AND 90)",
+    f"k3 AS (SELECT ki, kj, v, pow((r - kj) * (r - kj) + (s - ki) * (s - ki), 1e0) AS d FROM k2 WHERE ki BETWEEN 0 AND 91 * {ZOOM} - 1 AND kj BETWEEN 0 AND 91 * {ZOOM} - 1)",
     "k4 AS (SELECT ki, kj, v, CASE WHEN d > 0 THEN 1e0 / d ELSE 9e9 END AS w FROM k3)",
 ]
 _regrid("idw", with_sql(_KERNEL, f"SELECT CAST(ki AS INTEGER) AS cell_row, CAST(kj AS INTEGER) AS cell_col, {qs('sum(w * v) / sum(w)', 1e-4)} AS value FROM k4 GROUP BY ki, kj"))
 
 
-@query("regrid_merge", with_sql(SENT, f"SELECT ti AS cell_row, tj AS cell_col, {qs('sum(2 * v) / sum(2)', 1e-4)} AS value FROM dealt WHERE ti BETWEEN 0 AND 90 AND tj BETWEEN 0 AND 90 GROUP BY ti, tj"))
+@query("regrid_merge", with_sql(SENT, f"SELECT ti AS cell_row, tj AS cell_col, {qs('avg(v)', 1e-4)} AS value FROM dealt WHERE ti BETWEEN 0 AND 91 * {ZOOM} - 1 AND tj BETWEEN 0 AND 91 * {ZOOM} - 1 GROUP BY ti, tj"))
 def regrid_merge(spark, sf_dir):
-    """A state merged with itself: means stay, weights double."""
-    state = resample.regrid_state(raster(spark, WORLD), WORLD, NORTH, "bucket", fill=0.0)
-    return out(resample.regrid(raster(spark, WORLD), WORLD, NORTH, "bucket", fill=0.0, before=state, whole=False))
+    """Two halves of the raster's cells: the state of one is saved and the other is added."""
+    world, north = grown(spark, sf_dir, WORLD, NORTH)
+    odd, even = (raster(spark, sf_dir, world).filter((F.col("row") + F.col("col")) % 2 == k) for k in (1, 0))
+    state = resample.regrid_state(odd, world, north, "bucket", fill=0.0)
+    return out(resample.regrid(even, world, north, "bucket", fill=0.0, before=state, whole=False))
+
+
+_DISTANCE = f"sqrt(({TRUNC.format('r + 0.5e0')} - r) * ({TRUNC.format('r + 0.5e0')} - r) + ({TRUNC.format('s + 0.5e0')} - s) * ({TRUNC.format('s + 0.5e0')} - s))"
+
+@query(
+    "regrid_merge_nearest",
+    with_sql(
+        [
+            *looked_sql(WORLD, NORTH), RASTER_SQL, f"near AS (SELECT seen.i, seen.j, si + sj AS half, sv, {_DISTANCE} AS d FROM seen JOIN src ON si = {TRUNC.format('s + 0.5e0')} AND sj = {TRUNC.format('r + 0.5e0')})",
+            f"later AS (SELECT seen.i, seen.j, sv + 1000e0 AS sv, {_DISTANCE} AS d FROM seen JOIN src ON si = {TRUNC.format('s + 0.5e0')} AND sj = {TRUNC.format('r + 0.5e0')} WHERE (si + sj) % 3 = 0)",
+        ],
+        f"SELECT i AS cell_row, j AS cell_col, {qs('CASE WHEN l.d IS NOT NULL AND (n.d IS NULL OR l.d <= n.d + 1) THEN l.sv ELSE n.sv END', 1e-4)} AS value FROM (SELECT * FROM near WHERE half % 2 = 0) n FULL JOIN later l USING (i, j)",
+    ),
+)
+def regrid_merge_nearest(spark, sf_dir):
+    """Nearest's rule between runs: a later value counts if its distance is at most the earlier one and 1."""
+    world, north = grown(spark, sf_dir, WORLD, NORTH)
+    cells_ = raster(spark, sf_dir, world).filter("value <> 0")
+    state = resample.regrid_state(cells_.filter((F.col("row") + F.col("col")) % 2 == 0), world, north, "nearest")
+    later = cells_.filter((F.col("row") + F.col("col")) % 3 == 0).withColumn("value", F.col("value") + 1000)
+    return out(resample.regrid(later, world, north, "nearest", before=state, whole=False))
 
 
 @query("regrid_filled", with_sql([*looked_sql(WORLD, NORTH), RASTER_SQL, NEAR_SQL], f"SELECT c.i AS cell_row, c.j AS cell_col, {qs('coalesce(sv, -1e0)', 1e-4)} AS value FROM {cells_sql(NORTH)} c LEFT JOIN near USING (i, j)"))
 def regrid_filled(spark, sf_dir):
-    return out(resample.regrid(raster(spark, WORLD), WORLD, NORTH, "nearest", fill=0.0, whole=True).withColumn("value", F.coalesce(F.nullif("value", F.lit(0.0)), F.lit(-1.0))))
+    world, north = grown(spark, sf_dir, WORLD, NORTH)
+    whole = resample.regrid(raster(spark, sf_dir, world), world, north, "nearest", fill=0.0, whole=True)
+    return out(whole.withColumn("value", F.coalesce(F.nullif("value", F.lit(0.0)), F.lit(-1.0))))
 
 
 ROUND = "trunc({} + 0.5e0)"
 
 
-def _resamp(name: str, sql: str, **options) -> None:
-    query(f"resamp_{name}", sql)(lambda spark, sf_dir: out(resample.resamp(raster(spark, WORLD), WORLD, **options), 1.0))
+def _resamp(name: str, sql: str, target: GridDef | None = None, **options) -> None:
+    def run(spark, sf_dir):
+        world, *other = grown(spark, sf_dir, WORLD, *([target] if target else []))
+        return out(resample.resamp(raster(spark, sf_dir, world), world, *other, **options), 1.0)
+
+    query(f"resamp_{name}", sql)(run)
 
 
 def whole_sql(ctes: list[str], target: GridDef, rows: str, empty: str) -> str:
@@ -280,15 +345,15 @@ _BOTH = [*looked_sql(WORLD, NORTH, True), RASTER_SQL]
 _resamp("nearest", whole_sql([*_BOTH, NEAR_SQL], NORTH, "SELECT i, j, sv AS x FROM near", "0e0"), target=NORTH, method="nearest", fill=0.0)
 _resamp("nearest_mask", whole_sql([*_BOTH, NEAR_SQL], NORTH, "SELECT i, j, CASE WHEN sv = 7 THEN 100e0 ELSE 0e0 END AS x FROM near", "0e0"), target=NORTH, method="nearest", fill=0.0, mask=7.0)
 _resamp("bilinear", stencil_sql(0, 1, LINEAR_W, f", found AS (SELECT i, j, {ROUND.format('num / w')} AS x FROM sums WHERE w <> 0) SELECT c.i AS cell_row, c.j AS cell_col, {qs('coalesce(x, 0e0)', 1.0)} AS value FROM {cells_sql(NORTH)} c LEFT JOIN found USING (i, j)", "both"), target=NORTH, method="bilinear", fill=0.0)
-_IN_COARSE = [*looked_sql(COARSE, WORLD, True), f"dealt AS (SELECT i, j, v, {TRUNC.format('s + 0.5e0')} AS ti, {TRUNC.format('r + 0.5e0')} AS tj FROM seen WHERE v <> 0)"]
+_IN_COARSE = [*looked_sql(COARSE, WORLD, True, raster_sql(WORLD)), f"dealt AS (SELECT i, j, v, {TRUNC.format('s + 0.5e0')} AS ti, {TRUNC.format('r + 0.5e0')} AS tj FROM seen WHERE v <> 0)"]
 _resamp("bucket_fast", whole_sql(_IN_COARSE, COARSE, f"SELECT ti AS i, tj AS j, {ROUND.format('avg(v)')} AS x FROM dealt GROUP BY ti, tj", "0e0"), target=COARSE, method="bucket", fill=0.0, exact=False)
 #: The mean of a cell rounded after each value, in row-major order; n is the number of values so far and 1 (the start).
 _FOLD = "list_reduce(list_prepend(0e0, list(v ORDER BY i, j)), lambda m, x, n: trunc((m * (n - 2) + x) / (n - 1) + 0.5e0))"
 _resamp("bucket_exact", whole_sql(_IN_COARSE, COARSE, f"SELECT ti AS i, tj AS j, {_FOLD} AS x FROM dealt GROUP BY ti, tj", "0e0"), target=COARSE, method="bucket", fill=0.0, exact=True)
 _resamp("bucket_mask", whole_sql(_IN_COARSE, COARSE, f"SELECT ti AS i, tj AS j, {ROUND.format(ROUND.format('avg(CASE WHEN v = 7 THEN 10000e0 ELSE 0e0 END)') + ' / 100')} AS x FROM dealt GROUP BY ti, tj", "-1e0"), target=COARSE, method="bucket", fill=0.0, mask=7.0, exact=False)
-_SMALL = WORLD.shrink(3)
-_resamp("minification", with_sql([RASTER_SQL], f"SELECT c.i AS cell_row, c.j AS cell_col, {qs('coalesce(sv, 0e0)', 1.0)} AS value FROM {cells_sql(_SMALL)} c LEFT JOIN src ON si = CAST(trunc(3 * (c.i + 0.5e0) + 0.5e0) AS INTEGER) AND sj = CAST(trunc(3 * (c.j + 0.5e0) + 0.5e0) AS INTEGER)"), method="minification", fill=0.0, factor=3)
-_resamp("reduction", with_sql([RASTER_SQL], f"SELECT c.i AS cell_row, c.j AS cell_col, {qs('coalesce(x, 0e0)', 1.0)} AS value FROM {cells_sql(_SMALL)} c LEFT JOIN (SELECT si // 3 AS i, sj // 3 AS j, trunc(sum(sv) / count(*) + 0.5e0) AS x FROM src GROUP BY ALL) USING (i, j)"), method="reduction", fill=0.0, factor=3)
+_THIRD = f"(SELECT CAST(id // ({WORLD.cols} * {ZOOM} // 3) AS INTEGER) AS i, CAST(id % ({WORLD.cols} * {ZOOM} // 3) AS INTEGER) AS j FROM (SELECT unnest(range(({WORLD.cols} * {ZOOM} // 3) * ({WORLD.rows} * {ZOOM} // 3))) AS id))"
+_resamp("minification", with_sql([ZOOM_SQL, RASTER_SQL], f"SELECT c.i AS cell_row, c.j AS cell_col, {qs('coalesce(sv, 0e0)', 1.0)} AS value FROM {_THIRD} c LEFT JOIN src ON si = CAST(trunc(3 * (c.i + 0.5e0) + 0.5e0) AS INTEGER) AND sj = CAST(trunc(3 * (c.j + 0.5e0) + 0.5e0) AS INTEGER)"), method="minification", fill=0.0, factor=3)
+_resamp("reduction", with_sql([ZOOM_SQL, RASTER_SQL], f"SELECT c.i AS cell_row, c.j AS cell_col, {qs('coalesce(x, 0e0)', 1.0)} AS value FROM {_THIRD} c LEFT JOIN (SELECT si // 3 AS i, sj // 3 AS j, trunc(sum(sv) / count(*) + 0.5e0) AS x FROM src GROUP BY ALL) USING (i, j)"), method="reduction", fill=0.0, factor=3)
 
 
 @query(
@@ -299,7 +364,8 @@ _resamp("reduction", with_sql([RASTER_SQL], f"SELECT c.i AS cell_row, c.j AS cel
     ),
 )
 def resamp_distribution(spark, sf_dir):
-    d = resample.distribution(raster(spark, WORLD), WORLD, COARSE, 1, 40, fill=0.0, whole=False)
+    world, target = grown(spark, sf_dir, WORLD, COARSE)
+    d = resample.distribution(raster(spark, sf_dir, world), world, target, 1, 40, fill=0.0, whole=False)
     return d.select(F.col("row").alias("cell_row"), F.col("col").alias("cell_col"), "class", "percent")
 
 
@@ -356,9 +422,9 @@ def grid_merge(spark, sf_dir):
 
 
 def extract_sql(low: int, high: int, weight: str, tail: str, keep: str = "") -> str:
-    s = Ctes("p", [f"p AS (SELECT * FROM {POINTS})"])
+    s = Ctes("p", [ZOOM_SQL, f"p AS (SELECT * FROM {POINTS})"])
     r, t, on = T.grid_place(WORLD, s, Sql("lat"), Sql("lon"))
-    ctes = [*s.ctes, f"placed AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, {r.sql} AS r, {t.sql} AS s FROM {s.last} WHERE {on.sql})", f"src AS (SELECT i AS si, j AS sj, v AS sv FROM {cells_sql(WORLD)} WHERE v BETWEEN 1 AND 240)"]
+    ctes = [*s.ctes, f"placed AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, {fine(r)} AS r, {fine(t)} AS s FROM {s.last} WHERE {on.sql})", f"src AS (SELECT i AS si, j AS sj, v AS sv FROM {raster_sql(WORLD)} WHERE v BETWEEN 1 AND 240)"]
     ctes.append(f"around AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, r, s, dr, dc, {TRUNC.format('s')} + dr AS si, {TRUNC.format('r')} + dc AS sj FROM placed, (SELECT CAST(a AS INTEGER) AS dr FROM range({low}, {high + 1}) x(a)) CROSS JOIN (SELECT CAST(b AS INTEGER) AS dc FROM range({low}, {high + 1}) y(b)))")
     ctes.append(f"each AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, sv, {weight} AS w FROM around JOIN src USING (si, sj) {keep})")
     ctes.append(f"found AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, {tail} AS x, count(*) AS n FROM each GROUP BY l_orderkey, l_linenumber, l_partkey, l_suppkey)")
@@ -367,7 +433,8 @@ def extract_sql(low: int, high: int, weight: str, tail: str, keep: str = "") ->
 
 def _extract(method: str, sql: str, **options) -> None:
     def run(spark, sf_dir):
-        df = extract.extract(points(spark, sf_dir), raster(spark, WORLD), WORLD, ROW, method, low=1.0, high=240.0, **options)
+        (world,) = grown(spark, sf_dir, WORLD)
+        df = extract.extract(points(spark, sf_dir), raster(spark, sf_dir, world), world, ROW, method, low=1.0, high=240.0, **options)
         return df.select(*ROW, q(F.col("value"), 1e-4).alias("value"), "n")
 
     query(f"extract_{method}", sql)(run)
@@ -375,30 +442,35 @@ def _extract(method: str, sql: str, **options) -> None:
 
 _D2 = "((si - s) * (si - s) + (sj - r) * (sj - r))"
 _extract("bilinear", extract_sql(0, 1, LINEAR_W, "CASE WHEN sum(w) > 0 THEN sum(w * sv) / sum(w) END"))
-_extract("cubic", extract_sql(-1, 2, CUBIC_W, "sum(w * sv) / nullif(sum(w), 0)"))
+#: Where the weights of samples come to 0, the sum stands undivided.
+_SHARE = "CASE WHEN sum(w) <> 0 THEN sum(w * sv) / sum(w) ELSE sum(w * sv) END"
+_extract("cubic", extract_sql(-1, 2, CUBIC_W, _SHARE))
 _extract("average", extract_sql(-1, 2, "1e0", "avg(sv)", f"WHERE {_D2} <= 2.25e0"), radius=1.5)
-_extract("distance", extract_sql(-1, 2, f"CASE WHEN sqrt({_D2}) <= 1.5e0 THEN 1e0 / {_D2} ELSE 0e0 END", "sum(w * sv) / nullif(sum(w), 0)"), radius=1.5)
+_extract("distance", extract_sql(-1, 2, f"CASE WHEN sqrt({_D2}) <= 1.5e0 THEN 1e0 / {_D2} ELSE 0e0 END", _SHARE), radius=1.5)
 _extract("nearest", extract_sql(0, 1, "1e0", "max(sv)", f"WHERE si = {TRUNC.format('s + 0.5e0')} AND sj = {TRUNC.format('r + 0.5e0')}"))
 
-_CENTRE = Ctes("c0", [f"c0 AS (SELECT i, j, CAST(i AS DOUBLE) AS fi, CAST(j AS DOUBLE) AS fj, v FROM {cells_sql(NORTH)})"])
+_CENTRE = Ctes("c0", [ZOOM_SQL, f"c0 AS (SELECT i, j, {coarse('CAST(i AS DOUBLE)')} AS fi, {coarse('CAST(j AS DOUBLE)')} AS fj, v FROM {raster_sql(NORTH)})"])
 _lat, _lon, _ok = T.geo_of_place(NORTH, _CENTRE, Sql("fj"), Sql("fi"))
 _CENTRE_SQL = _CENTRE.query(f"i AS cell_row, j AS cell_col, {qs(_lat)} AS lat_q, {qs(_lon)} AS lon_q, {qs('CASE WHEN v BETWEEN 1 AND 240 THEN v END', 1e-4)} AS value") + f" WHERE {_ok.sql} AND {_lat.sql} BETWEEN 10 AND 80 AND {_lon.sql} BETWEEN -170 AND 100"
 
 
 @query("extract_centres", _CENTRE_SQL)
 def extract_centres(spark, sf_dir):
-    df = extract.centres(raster(spark, NORTH), NORTH, low=1.0, high=240.0, box=(10, 80, -170, 100))
+    (north,) = grown(spark, sf_dir, NORTH)
+    df = extract.centres(raster(spark, sf_dir, north), north, low=1.0, high=240.0, box=(10, 80, -170, 100))
     return df.select(F.col("row").alias("cell_row"), F.col("col").alias("cell_col"), q(F.col("lat")).alias("lat_q"), q(F.col("lon")).alias("lon_q"), q(F.col("value"), 1e-4).alias("value"))
 
 
-_LOC = Ctes("c0", [f"c0 AS (SELECT i, j, i - 0.5e0 AS fi, j - 0.5e0 AS fj FROM {cells_sql(NORTH)})"])
+_LOC = Ctes("c0", [ZOOM_SQL, f"c0 AS (SELECT i, j, v, {coarse('(i - 0.5e0)')} AS fi, {coarse('(j - 0.5e0)')} AS fj FROM {raster_sql(NORTH)})"])
 _lat, _lon, _ok = T.geo_of_place(NORTH, _LOC, Sql("fj"), Sql("fi"))
 
 
-@query("grid_locations", _LOC.query(f"i AS cell_row, j AS cell_col, {qs(f'CASE WHEN {_ok.sql} THEN {_lat.sql} ELSE -999e0 END')} AS lat_q, {qs(f'CASE WHEN {_ok.sql} THEN {_lon.sql} ELSE -999e0 END')} AS lon_q"))
+@query("grid_locations", _LOC.query(f"i AS cell_row, j AS cell_col, {qs(f'CASE WHEN {_ok.sql} THEN {_lat.sql} ELSE -999e0 END')} AS lat_q, {qs(f'CASE WHEN {_ok.sql} THEN {_lon.sql} ELSE -999e0 END')} AS lon_q, {qs('v', 1e-4)} AS value"))
 def grid_locations(spark, sf_dir):
-    df = cells.locations(spark, NORTH, (-0.5, -0.5), -999.0)
-    return df.select(F.col("row").alias("cell_row"), F.col("col").alias("cell_col"), q(F.col("lat")).alias("lat_q"), q(F.col("lon")).alias("lon_q"))
+    """The upper left corners of the raster's cells, beside their values."""
+    (north,) = grown(spark, sf_dir, NORTH)
+    df = cells.locations(spark, north, (-0.5, -0.5), -999.0).join(raster(spark, sf_dir, north), ["row", "col"])
+    return df.select(F.col("row").alias("cell_row"), F.col("col").alias("cell_col"), q(F.col("lat")).alias("lat_q"), q(F.col("lon")).alias("lon_q"), q(F.col("value"), 1e-4).alias("value"))
 
 
 # --- files: written to the shared folder and read again -------------------------------------------------------------
@@ -581,9 +653,20 @@ def points_in_regions(spark, sf_dir):
     return regions.points_in_regions(of(_PLACES, "customer"), quads, "s_suppkey").select("c_custkey", "s_suppkey")
 
 
-@query("graticule", f"WITH p AS (SELECT 'lat' || a AS seg, CAST(b AS INTEGER) AS pos, a * 30e0 AS lat, -180e0 + b AS lon FROM range(4) x(a), range(361) y(b)), m AS (SELECT 'lon' || a AS seg, CAST(b AS INTEGER) AS pos, CAST(b AS DOUBLE) AS lat, -180e0 + 30e0 * a AS lon FROM range(13) x(a), range(91) y(b)) SELECT seg, pos, {qs('lat')} AS lat_q, {qs('lon')} AS lon_q FROM (FROM p UNION ALL FROM m)")
+_SHEETS = "SELECT s_suppkey AS sheet, CAST(s_suppkey * 7 % 12 AS DOUBLE) * 5e0 AS south, CAST(s_suppkey * 7 % 12 AS DOUBLE) * 5e0 + 20e0 AS north, CAST(s_suppkey * 11 % 34 AS DOUBLE) * 10e0 - 180e0 AS west, CAST(s_suppkey * 11 % 34 AS DOUBLE) * 10e0 - 150e0 AS east, CAST(5 * (1 + s_suppkey % 2) AS DOUBLE) AS lat_interval, CAST(10 * (1 + s_suppkey % 3) AS DOUBLE) AS lon_interval FROM supplier"
+_GRATICULE_SQL = f"""WITH s AS ({_SHEETS}),
+p AS (SELECT sheet, 'lat' || a AS seg, south + a * lat_interval AS lat, west, east FROM (SELECT *, unnest(range(CAST(floor((north - south) / lat_interval) AS INTEGER) + 1)) AS a FROM s)),
+m AS (SELECT sheet, 'lon' || a AS seg, west + a * lon_interval AS lon, south, north FROM (SELECT *, unnest(range(CAST(floor((east - west) / lon_interval) AS INTEGER) + 1)) AS a FROM s)),
+g AS (SELECT sheet, seg, b AS pos, lat, west + b AS lon FROM (SELECT *, unnest(range(CAST(east - west AS INTEGER) + 1)) AS b FROM p) UNION ALL SELECT sheet, seg, b, south + b, lon FROM (SELECT *, unnest(range(CAST(north - south AS INTEGER) + 1)) AS b FROM m))
+SELECT sheet, seg, CAST(pos AS INTEGER) AS pos, {qs('lat')} AS lat_q, {qs('lon')} AS lon_q FROM g"""
+
+
+@query("graticule", _GRATICULE_SQL)
 def graticule(spark, sf_dir):
-    return vectors.graticule(spark, NORTH.map).select("seg", "pos", q(F.col("lat").cast("double")).alias("lat_q"), q(F.col("lon").cast("double")).alias("lon_q"))
+    """The graticule of a map sheet for each supplier."""
+    spark.read.parquet(f"{sf_dir}/supplier.parquet").createOrReplaceTempView("_tessera_supplier")
+    sheets = spark.sql(_SHEETS.replace("FROM supplier", "FROM _tessera_supplier").replace("e0", "D"))
+    return vectors.graticules(sheets, "sheet").select("sheet", "seg", "pos", q(F.col("lat")).alias("lat_q"), q(F.col("lon")).alias("lon_q"))
 
 
 # --- models and accuracy --------------------------------------------------------------------------------------------
@@ -611,41 +694,44 @@ def spline_value(spark, sf_dir):
     return points(spark, sf_dir).select(*KEY, q(CUBE.evaluate(F.col("v") / 50.0 * 9.0), 1e-4).alias("value"))
 
 
-@query("chebyshev_nodes", f"SELECT i, {qs('cos((2 * i + 1) * pi() / 64) * 2e0 + 1e0')} AS node FROM range(32) t(i)")
+@query("chebyshev_nodes", f"SELECT l_orderkey, l_linenumber, {qs('cos((2 * (l_linenumber - 1) + 1) * pi() / (2 * (l_suppkey % 9 + 7))) * (h - l) / 2 + (h + l) / 2')} AS node FROM (SELECT *, CAST(l_quantity AS DOUBLE) AS h, -CAST(l_partkey % 10 AS DOUBLE) AS l FROM lineitem)")
 def chebyshev_nodes(spark, sf_dir):
-    return models.chebyshev_nodes(spark.range(32).withColumnRenamed("id", "i"), "i", 32, -1.0, 3.0).select("i", q(F.col("node")).alias("node"))
+    """Each line is a node of an interval of its own."""
+    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet").withColumn("i", F.col("l_linenumber") - 1)
+    nodes = models.chebyshev_nodes(lines, "i", F.col("l_suppkey") % 9 + 7, -(F.col("l_partkey") % 10).cast("double"), F.col("l_quantity").cast("double"))
+    return nodes.select(*KEY, q(F.col("node")).alias("node"))
 
 
-def _map_accuracy_sql(m: MapDef, n: int) -> str:
-    lat, lon = (f"{low!r} + {(high - low) / n!r} * ({k} + 0.5e0)" for low, high, k in ((m.south, m.north, f"(id // {n})"), (m.west, m.east, f"(id % {n})")))
-    s = Ctes("p", [f"p AS (SELECT CAST({lat} AS DOUBLE) AS lat, CAST({lon} AS DOUBLE) AS lon FROM range({n * n}) t(id))"])
+def _map_accuracy_sql(m: MapDef) -> str:
+    s = Ctes("p", [f"p AS (SELECT lat, lon FROM {POINTS} WHERE {T.within(m, Sql('lat'), Sql('lon')).sql})"])
     back = T.geo_of_uv(m, s, *T.map_uv(m, s, Sql("lat"), Sql("lon")))
     e = s.let(geodesy.arc_length(s, Sql("lat"), Sql("lon"), *back))
     return s.query(f"CAST(count(*) AS INTEGER) AS points, CAST(count(*) FILTER ({e.sql} IS NULL) AS INTEGER) AS bad, max({e.sql}) < 1e-3 AS within_a_metre")
 
 
-@query("map_accuracy", _map_accuracy_sql(MAPS["polar_stereographic_ellipsoid"], accuracy.LATTICE))
+@query("map_accuracy", _map_accuracy_sql(MAPS["polar_stereographic_ellipsoid"]))
 def map_accuracy(spark, sf_dir):
-    r = accuracy.map_accuracy(spark, MAPS["polar_stereographic_ellipsoid"])
+    """Over the lines' places."""
+    r = accuracy.map_accuracy(spark, MAPS["polar_stereographic_ellipsoid"], points=points(spark, sf_dir))
     return r.select(F.col("points").cast("int").alias("points"), F.col("bad").cast("int").alias("bad"), (F.col("max") < 1e-3).alias("within_a_metre"))
 
 
 @query("map_accuracy_values")
 def map_accuracy_values(spark, sf_dir):
-    """Errors in kilometres; they are sums of last bits, which differ between engines."""
-    names = ("azimuthal_equal_area_polar", "mollweide", "polar_stereographic", "sinusoidal", "lambert_conic_conformal_ellipsoid", "transverse_mercator")
-    return reduce(DataFrame.unionByName, (accuracy.map_accuracy(spark, MAPS[n]).select(F.lit(n).alias("map"), "points", "bad", "avg", "sd", "max", "at.lat", "at.lon") for n in names))
+    """Errors in kilometres over the lines' places; they are sums of last bits, which differ between engines."""
+    names, p = ("azimuthal_equal_area_polar", "mollweide", "polar_stereographic", "sinusoidal", "lambert_conic_conformal_ellipsoid", "transverse_mercator"), points(spark, sf_dir)
+    return reduce(DataFrame.unionByName, (accuracy.map_accuracy(spark, MAPS[n], points=p).select(F.lit(n).alias("map"), "points", "bad", "avg", "sd", "max", "at.lat", "at.lon") for n in names))
 
 
 @query("grid_accuracy_values")
 def grid_accuracy_values(spark, sf_dir):
-    """Errors in cells."""
-    grids = {"north": NORTH, "coarse": COARSE, "world": WORLD}
-    return reduce(DataFrame.unionByName, (accuracy.grid_accuracy(spark, g).select(F.lit(n).alias("grid"), "points", "bad", "avg", "sd", "max", "at.row", "at.col") for n, g in grids.items()))
+    """Errors in cells, of the cells of rasters."""
+    grids = dict(zip(("north", "coarse", "world"), grown(spark, sf_dir, NORTH, COARSE, WORLD), strict=True))
+    return reduce(DataFrame.unionByName, (accuracy.grid_accuracy(spark, g, raster(spark, sf_dir, g)).select(F.lit(n).alias("grid"), "points", "bad", "avg", "sd", "max", "at.row", "at.col") for n, g in grids.items()))
 
 
 def _grid_accuracy_sql(g: GridDef) -> str:
-    s = Ctes("c0", [f"c0 AS (SELECT CAST(i AS DOUBLE) AS fi, CAST(j AS DOUBLE) AS fj FROM {cells_sql(g)})"])
+    s = Ctes("c0", [ZOOM_SQL, f"c0 AS (SELECT {coarse('CAST(i AS DOUBLE)')} AS fi, {coarse('CAST(j AS DOUBLE)')} AS fj FROM {raster_sql(g)})"])
     lat, lon, ok = T.geo_of_place(g, s, Sql("fj"), Sql("fi"))
     r, t, _ = T.grid_place(g, s, lat, lon)
     e = s.let(T.flat_distance(r, t, Sql("fj"), Sql("fi")))
@@ -654,7 +740,8 @@ def _grid_accuracy_sql(g: GridDef) -> str:
 
 @query("grid_accuracy", _grid_accuracy_sql(NORTH))
 def grid_accuracy(spark, sf_dir):
-    r = accuracy.grid_accuracy(spark, NORTH)
+    (north,) = grown(spark, sf_dir, NORTH)
+    r = accuracy.grid_accuracy(spark, north, raster(spark, sf_dir, north))
     return r.select(F.col("points").cast("int").alias("points"), F.col("bad").cast("int").alias("bad"), (F.col("max") < 1e-9).alias("exact"))
 
 

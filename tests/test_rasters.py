@@ -8,10 +8,12 @@ from tessera import queries as Q
 from tessera.functions import geodesy, scalar
 from tessera.functions.scalar import Now, Steps
 from tessera.functions.sql import register_grid, register_map
-from tessera.operators import cells, chains, extract, gridding, models, resample, vectors
+from tessera.operators import accuracy, cells, chains, extract, gridding, models, resample, vectors
 from tessera.operators import transform as T
 from tessera.plans.definitions import GridDef, MapDef
 
+SF = "/root/testdata/sf0.001"
+
 EAST = MapDef("Cylindrical Equidistant", lat0=0, lon0=0, equatorial_radius=180 / math.pi)
 FINE = GridDef(EAST, 24, 12, 1 / 15, None, 11.5, 5.5)
 WIDE = GridDef(EAST, 9, 5, 1 / 40, None, 4.1, 2.2)
@@ -222,12 +224,23 @@ def test_extract_with_repeated_keys(spark, values):
 
 def test_accuracy(spark):
     """Every map that is not cut comes back within 20 metres (the arc length's own error near 0), each cell exactly."""
-    from tessera import queries
-
-    for r in queries.map_accuracy_values(spark, "").collect():
+    for name in ("azimuthal_equal_area_polar", "mollweide", "polar_stereographic", "sinusoidal", "lambert_conic_conformal_ellipsoid", "transverse_mercator"):
+        r = accuracy.map_accuracy(spark, Q.MAPS[name]).first()
         assert r["points"] == 320 * 320 and r["bad"] == 0 and 0 <= r["avg"] <= r["max"] < 0.02 and r["sd"] < 0.002
-    for r in queries.grid_accuracy_values(spark, "").collect():
+    for g in (Q.NORTH, Q.COARSE, Q.WORLD.zoom(2)):
+        r = accuracy.grid_accuracy(spark, g).first()
         assert r["bad"] == 0 and 0 < r["avg"] <= r["max"] < 1e-12
+    assert all(r["bad"] == 0 and r["max"] < 0.02 for r in Q.map_accuracy_values(spark, SF).collect())
+    assert all(r["bad"] == 0 and r["max"] < 1e-12 for r in Q.grid_accuracy_values(spark, SF).collect())
+
+
+def test_zoom():
+    """A grid that is cut finer has its corners where they were."""
+    fine = Q.WORLD.zoom(4)
+    assert (fine.cols, fine.rows) == (1384, 588) and Q.WORLD.zoom(1) == Q.WORLD
+    for row, col in ((30.0, 40.0), (12.5, 99.5)):
+        at = T.point_place(Q.WORLD, *T.geo_of_place(Q.WORLD, Now(), col, row)[:2])[:2]
+        assert T.point_place(fine, *T.geo_of_place(Q.WORLD, Now(), col, row)[:2])[:2] == pytest.approx([(x + 0.5) * 4 - 0.5 for x in at], abs=1e-6)
 
 
 def test_cells_and_locations(spark):

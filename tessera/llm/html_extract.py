@@ -35,6 +35,8 @@ NAMES = re.compile(
     r"(?:^|[\s_-])(?:ad|ads|adv|advert|adverts|advertisement|advertising|adsense|banner|breadcrumbs?|comment|comments|commentlist|respond|replies|disqus|cookie|cookies|consent|gdpr|notice|notices|popup|modal|overlay|footer|header|masthead|menu|nav|navbar|navigation|newsletter|subscribe|signup|login|pager|pagination|promo|promoted|related|recommended|share|sharing|social|sidebar|sidenav|sponsor|sponsored|toolbar|widget|widgets)(?:$|[\s_-])",
     re.I,
 )
+#: Names that make a candidate of an article, too: readers' comments are often marked up as articles.
+COMMENTS = re.compile(r"(?:^|[\s_-])(?:comment|comments|commentlist|comment-body|reply|replies|respond|disqus)(?:$|[\s_-])", re.I)
 #: An attribute: a name, and a value in quotes or up to white space or the end of the tag. A tag, a comment, other markup.
 ATTRIBUTE = re.compile(r"""([^\s/>][^\s/>=]*+)(?:\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|((?!["'])[^\s>]*+)))?+""")
 TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*+)((?:[\s/]*+[^\s/>][^\s/>=]*+(?:\s*+=\s*+(?:"[^"]*+"|'[^']*+'|(?!["'])[^\s>]*+))?+)*+[\s/]*+)>""")
@@ -69,13 +71,16 @@ def _looks(tag: str, attributes: str) -> int:
     if tag in DROP and tag not in ("form", "header"):
         return UNWANTED
     found = CANDIDATE if tag in DROP else 0
-    if not attributes or tag in ("html", "body", "article", "main"):
+    if not attributes or tag in ("html", "body", "main"):
         return found
+    names = COMMENTS if tag == "article" else NAMES
     for m in ATTRIBUTE.finditer(attributes):
         name = m[1].lower()
         value = m[2] or m[3] or m[4] or ""
-        if name in ("class", "id") and NAMES.search(value) or name == "role" and value.lower() == "form":
+        if name in ("class", "id") and names.search(value) or name == "role" and value.lower() == "form" and tag != "article":
             found = CANDIDATE
+        elif tag == "article":
+            continue
         elif name == "role" and value.lower() in ROLES or name == "hidden" or (name == "aria-hidden" and value == "true"):
             return UNWANTED
         elif name == "style" and re.search(r"display\s*:\s*none", value, re.I):
@@ -191,7 +196,7 @@ def _choose(root: Node) -> bool:
         if n.tag in BLOCK or n is root:
             text += size if size >= LEAST and linked < size / 2 else 0
             size = linked = 0
-        if n.tag in ("article", "main") and said[n]:
+        if n.tag in ("article", "main") and said[n] and not n.looks:
             what |= ARTICLE
         inline[n], prose[n], holds[n] = (size, linked), text, what | (TITLE if n.tag == "h1" else 0)
     clean, todo = False, [root]  # whether an article is outside all candidates
@@ -237,25 +242,24 @@ def _score(nodes: list[Node]) -> None:
     for n in nodes:
         if n.own >= LEAST and (n.tag in PARAGRAPH or n.tag in ("div", "section", "article", "main", "body")):
             points = 1 + n.commas + min(n.own / 100, 3)
-            share, up = 1.0, n.parent if n.tag in PARAGRAPH else n
-            level = 0
+            up, size, level = n.parent if n.tag in PARAGRAPH else n, n.chars, -1
             while up is not None:
-                up.points += points * share
-                level += 1
-                share = 1 / 2 if level == 1 else 1 / (3 * level)
+                if up.chars > size:  # an element that holds the same text as the one in it is its wrapper, at its level
+                    size, level = up.chars, level + 1
+                up.points += points * (1 if level <= 0 else 1 / 2 if level == 1 else 1 / (3 * level))
                 up = up.parent
 
 
 def _joined(best: Node) -> list[Node]:
-    """The best container and the siblings that belong to it, in page order: those with a share of its score, headings
-    and prose. Inside an article (or else the main element) the siblings of each container on the way up to it are looked
-    at too, and of an article's a paragraph in them is enough."""
+    """The best container and the siblings that belong to it, in page order: those with a share of its score, headings and prose.
+    Siblings are looked at on each level up to the article around it (or else the main element), and of an article's a paragraph in
+    them is enough; without one, up to the first level at which there is other text and none of it belongs."""
     around, up = None, best.parent
     while up is not None:
         if up.tag == "article" or (up.tag == "main" and around is None):
             around = up
         up = up.parent
-    least, kept, at = max(10.0, SHARE * best.points * (1 - _density(best))), [best], best
+    least, kept, at = SHARE * best.points * (1 - _density(best)), [best], best
     while at.parent is not None and at is not around:
         article = around is not None and around.tag == "article"
         before, after, passed = [], [], False
@@ -265,11 +269,12 @@ def _joined(best: Node) -> list[Node]:
             elif type(x) is not str and not x.dropped and x.chars:
                 low = _density(x) < 0.25
                 prose = low and (x.tag in ("h1", "h2") or x.title or (x.tag == "p" and x.chars > 80) or (article and x.reads))
-                if prose or x.points * (1 - _density(x)) >= least:
+                if prose or x.points > 0 and x.points * (1 - _density(x)) >= least:
                     (after if passed else before).append(x)
-        kept, at = before + kept + after, at.parent
-        if around is None:
+        kept = before + kept + after
+        if around is None and at.parent.chars > at.chars and not before and not after:
             break
+        at = at.parent
     return kept
 
 
@@ -330,7 +335,8 @@ def main_text(page: str) -> str:
 
 def extract(pages: DataFrame, html_col: str = "html") -> DataFrame:
     """pages without html, with text (empty if there is none) and n_chars. A null html is empty; every row is parsed
-    whole, on its own; repeated rows each get a row, an empty table an empty result."""
+    whole, on its own; of containers with one score the first in the page is taken, an outer one before those in it; repeated rows
+    each get a row, an empty table an empty result."""
 
     @F.pandas_udf("string")
     def text(pages: pd.Series) -> pd.Series:

@@ -270,19 +270,59 @@ def texts_of(node):
 
 
 def scores_by_definition(nodes):
-    """Points of each container by their definition: from each paragraph a walk up to all its ancestors."""
-    points = dict.fromkeys(nodes, 0.0)
+    """Points of each container by their definition: from each paragraph to all its ancestors, whose level is the number of
+    different texts between: elements that hold the same text are on one level."""
+    points, text = dict.fromkeys(nodes, 0.0), {}
+    whole = lambda n: "".join(x.strip() if type(x) is str else "" if x.dropped else text.setdefault(x, None) or whole(x) for x in n.items)
+    for n in reversed(nodes):
+        text[n] = whole(n)
     for n in nodes:
         texts = texts_of(n)
         size = sum(len(x.strip()) for x in texts)
         if size >= 25 and (n.tag in html_extract.PARAGRAPH or n.tag in ("div", "section", "article", "main", "body")):
-            up, level = (n.parent if n.tag in html_extract.PARAGRAPH else n), 0
+            up, seen = (n.parent if n.tag in html_extract.PARAGRAPH else n), {len(text[n])}
             while up is not None:
+                seen.add(len(text[up]))
+                level = max(0, len(seen) - 2)
                 points[up] += (1 + sum(x.count(",") for x in texts) + min(size / 100, 3)) * (1.0 if level == 0 else 0.5 if level == 1 else 1 / (3 * level))
-                up, level = up.parent, level + 1
+                up = up.parent
     return points
 
 
+def prose(k):
+    return f"{PROSE}{k}."
+
+
+@pytest.mark.parametrize("outer", ["div id=c", "main", "section"])
+@pytest.mark.parametrize("inner", ["<p>{}</p><p>{}</p>", "<h2>Head</h2><p>{}</p><p>{}</p>", "<div><p>{}</p></div><div><div><p>{}</p></div></div>"])
+def test_whole_articles_in_wrappers(outer, inner):
+    """However many blocks there are and however deep they are wrapped, every paragraph comes back, and no menu or footer."""
+    for blocks in (1, 2, 3, 6, 12):
+        for depth in range(5):
+            body = "".join("<div>" * depth + inner.format(prose(2 * b), prose(2 * b + 1)) + "</div>" * depth for b in range(blocks))
+            page = f"<body><nav><a href=x>menu</a></nav><{outer}>{body}</{outer.split()[0]}><footer>Foot, and so on, and so on, and so on.</footer></body>"
+            found = html_extract.main_text(page).split("\n\n")
+            assert [x for x in found if x != "Head"] == [prose(k) for k in range(2 * blocks)], (blocks, depth)
+            assert found.count("Head") == blocks * ("Head" in inner)
+
+
+def test_whole_articles_of_page_builders():
+    """Sections of columns of widgets, and rows of columns, outside and inside a main element."""
+    widget = lambda k: f"<h2>Head</h2><p>{prose(2 * k)}</p><p>{prose(2 * k + 1)}</p>"
+    sections = "".join(f"<section class=s><div class=column><div class=widget-container>{widget(k)}</div></div></section>" for k in range(8))
+    grid = "".join("<div class=row>" + "".join(f"<div class=col><div>{widget(2 * r + c)}</div></div>" for c in (0, 1)) + "</div>" for r in range(2))
+    for body, n in ((sections, 16), (grid, 8)):
+        for page in (f"<body><div>{body}</div></body>", f"<body><main>{body}</main></body>"):
+            assert [x for x in html_extract.main_text(page).split("\n\n") if x != "Head"] == [prose(k) for k in range(n)]
+
+
+def test_comments_marked_up_as_articles():
+    said = "".join(f'<article class="comment">{ARTICLE.replace("Title", "Reply")}</article>' for _ in range(6))
+    assert html_extract.main_text(f"<main><article>{ARTICLE}</article><section class=discussion>{said}</section></main>") == TEXT
+    assert html_extract.main_text(f"<div><div class=post>{ARTICLE}</div><section>{said.replace('h1', 'h4')}</section></div>") == TEXT
+    assert html_extract.main_text(f'<body><article class="post comments-open">{ARTICLE}</article></body>') == TEXT
+
+
 def test_scores_are_brute_force(spark):
     """Of generated trees and of pages of the test data."""
     rng = np.random.default_rng(8)

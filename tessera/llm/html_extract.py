@@ -211,7 +211,7 @@ def _choose(root: Node) -> bool:
         for x in n.items:
             if type(x) is str or x.dropped:
                 continue
-            title = holds[x] & TITLE and (x.tag != "header" or inside)
+            title = holds[x] & TITLE and (x.tag != "header" or inside) and not (clean and x.tag == "article")
             if not x.looks or title or not clean and (holds[x] & ARTICLE or prose[x] > MOST * prose[root]):
                 todo.append((x, inside))
             else:
@@ -242,11 +242,12 @@ def _score(nodes: list[Node]) -> None:
     for n in nodes:
         if n.own >= LEAST and (n.tag in PARAGRAPH or n.tag in ("div", "section", "article", "main", "body")):
             points = 1 + n.commas + min(n.own / 100, 3)
-            up, size, level = n.parent if n.tag in PARAGRAPH else n, n.chars, -1
+            up = n.parent if n.tag in PARAGRAPH else n
+            size, level = up.chars, 0
             while up is not None:
-                if up.chars > size:  # an element that holds the same text as the one in it is its wrapper, at its level
+                if up.chars > size:  # an element that holds the same text as the one in it is its wrapper, on its level
                     size, level = up.chars, level + 1
-                up.points += points * (1 if level <= 0 else 1 / 2 if level == 1 else 1 / (3 * level))
+                up.points += points * (1 if level == 0 else 1 / 2 if level == 1 else 1 / (3 * level))
                 up = up.parent
 
 

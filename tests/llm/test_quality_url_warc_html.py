@@ -280,10 +280,10 @@ def scores_by_definition(nodes):
         texts = texts_of(n)
         size = sum(len(x.strip()) for x in texts)
         if size >= 25 and (n.tag in html_extract.PARAGRAPH or n.tag in ("div", "section", "article", "main", "body")):
-            up, seen = (n.parent if n.tag in html_extract.PARAGRAPH else n), {len(text[n])}
+            up, seen = (n.parent if n.tag in html_extract.PARAGRAPH else n), set()
             while up is not None:
                 seen.add(len(text[up]))
-                level = max(0, len(seen) - 2)
+                level = len(seen) - 1
                 points[up] += (1 + sum(x.count(",") for x in texts) + min(size / 100, 3)) * (1.0 if level == 0 else 0.5 if level == 1 else 1 / (3 * level))
                 up = up.parent
     return points

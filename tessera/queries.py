@@ -21,6 +21,8 @@ from .plans.definitions import GridDef, MapDef
 from .plans.state import new_folder
 from .sources import points as point_files
 from .sources import raster as raster_files
+from .sources import segments as segment_files
+from .sources.parts import joined
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -491,19 +493,37 @@ def file_point_binary(spark, sf_dir):
     return point_files.read_binary_points(spark, path, values=True)
 
 
-@query("file_raster", f"SELECT CAST((l_orderkey * 31 + l_linenumber) % {WORLD.rows} AS INTEGER) AS cell_row, CAST((l_partkey * 17 + l_suppkey) % {WORLD.cols} AS INTEGER) AS cell_col, CAST(sum(l_linenumber) AS DOUBLE) AS value FROM lineitem GROUP BY 1, 2")
+@query("file_raster", f"WITH {ZOOM_SQL} SELECT i AS cell_row, j AS cell_col, v AS value FROM {raster_sql(WORLD)}")
 def file_raster(spark, sf_dir):
     """Sums of lines by cell, in files of 64 rows."""
-    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
-    at = {"row": (F.col("l_orderkey") * 31 + F.col("l_linenumber")) % WORLD.rows, "col": (F.col("l_partkey") * 17 + F.col("l_suppkey")) % WORLD.cols}
-    table = lines.groupBy(*(c.cast("int").alias(n) for n, c in at.items())).agg(F.sum("l_linenumber").cast("double").alias("value"))
-    files = raster_files.write_flat(table, WORLD, new_folder(spark, "raster"), "f8", fill=-1.0, rows_per_file=64)
+    (world,) = grown(spark, sf_dir, WORLD)
+    path = new_folder(spark, "raster")
+    raster_files.write_flat(raster(spark, sf_dir, world), world, path, "f8", fill=-1.0, rows_per_file=64)
     spark.dataSource.register(raster_files.FlatRaster)
-    read = lambda f: spark.read.format("flat_raster").options(path=f, cols=WORLD.cols, dtype="f8", fill=-1.0).load()
-    whole = reduce(DataFrame.unionByName, (read(f).withColumn("row", F.col("row") + 64 * k) for k, f in enumerate(files)))
+    whole = spark.read.format("flat_raster").options(path=path, cols=world.cols, dtype="f8", fill=-1.0).load()
     return whole.filter("value is not null").select(F.col("row").alias("cell_row"), F.col("col").alias("cell_col"), "value")
 
 
+_BANDS = Ctes("c0", [ZOOM_SQL, f"c0 AS (SELECT i, j, {coarse('CAST(i AS DOUBLE)')} AS fi, {coarse('CAST(j AS DOUBLE)')} AS fj FROM {cells_sql(NORTH)})"])
+_lat, _lon, _ok = T.geo_of_place(NORTH, _BANDS, Sql("fj"), Sql("fi"))
+_BANDS_SQL = with_sql(
+    [*_BANDS.ctes, f"l AS (SELECT i, j, {_lat.sql} AS lat, {_lon.sql} AS lon FROM {_BANDS.last} WHERE {_ok.sql})", f"v AS (SELECT * FROM {raster_sql(NORTH)})"],
+    " UNION ALL ".join(f"SELECT CAST({k} AS INTEGER) AS band, i AS cell_row, j AS cell_col, {qs(c)} AS place, {qs('v', 1e-4)} AS value FROM l JOIN v USING (i, j)" for k, c in enumerate(("lat", "lon"))),
+)
+
+
+@query("file_locations", _BANDS_SQL)
+def file_locations(spark, sf_dir):
+    """Bands of latitudes and longitudes of the grid's cells, in one file, beside the raster of lines."""
+    (north,) = grown(spark, sf_dir, NORTH)
+    path = new_folder(spark, "bands")
+    raster_files.write_locations(spark, north, path, double=True, rows_per_file=32)
+    file = joined(spark, path, f"{path}.double")
+    bands = raster_files.read_bands(spark, file, north, "f8", fill=-999.0).filter("value is not null").withColumnRenamed("value", "place")
+    both_ = bands.join(raster(spark, sf_dir, north), ["row", "col"])
+    return both_.select("band", F.col("row").alias("cell_row"), F.col("col").alias("cell_col"), q(F.col("place")).alias("place"), q(F.col("value"), 1e-4).alias("value"))
+
+
 # --- segments -------------------------------------------------------------------------------------------------------
 
 #: A segment for each order: its lines are points, some 2^-10 degrees apart.
@@ -595,6 +615,20 @@ def segment_split(spark, sf_dir):
     return vectors.split_at_date_line(moved.withColumn("lon", F.when(F.col("lon") > 180, F.col("lon") - 360).otherwise(F.col("lon"))))
 
 
+_UNITS_SQL = f"u AS (SELECT seg, row_number() OVER (PARTITION BY seg ORDER BY pos) - 1 AS pos, ulat + CAST(ulat < 0 AS INTEGER) AS a, ulon + CAST(ulon < 0 AS INTEGER) AS b FROM {SEGMENTS})"
+
+
+@query("file_segments", with_sql([_UNITS_SQL], "SELECT CAST(seg AS INTEGER) AS seg, CAST(pos AS INTEGER) AS pos, a / 1024e0 AS lat, b / 1024e0 AS lon FROM u WHERE seg IN (SELECT seg FROM u GROUP BY seg HAVING min(b) >= -51200 AND min(b) < 71680 AND max(a) >= 0)"))
+def file_segments(spark, sf_dir):
+    """Segments in files whose indexes are sorted by western bound; the limits are looked up in the indexes. Whole negative units are
+    a unit larger when they come back: the format rounds halves up by truncation."""
+    path = new_folder(spark, "segments")
+    segment_files.write_segment_files(segments(spark, sf_dir), path, order="lon_min", most_bytes=2**18)
+    segment_files.register(spark)
+    found = spark.read.format("segment_file").load(path).filter((F.col("lon_min") >= -50) & (F.col("lon_min") < 70) & (F.col("lat_max") >= 0))
+    return vectors.decode(found)
+
+
 def _thin_sql(km: float) -> str:
     """The rule as a recursion along each segment: the last kept point and the next point judge the one between."""
     unit = km / 3

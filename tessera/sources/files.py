@@ -21,6 +21,11 @@ def file_size(path: str) -> int:
     return info.size
 
 
+def is_file(path: str) -> bool:
+    store, p = _at(path)
+    return store.get_file_info(p.rstrip("/")).type == fs.FileType.File
+
+
 def read_range(path: str, offset: int = 0, length: int | None = None) -> bytes:
     store, p = _at(path)
     with store.open_input_file(p) as f:

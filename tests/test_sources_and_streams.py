@@ -3,11 +3,12 @@ import struct
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.datasource import EqualTo, GreaterThan, GreaterThanOrEqual, In, LessThan, LessThanOrEqual
 
 from tessera.operators import cells, vectors
 from tessera.operators.gridding import grid_points
 from tessera.plans.definitions import GridDef, MapDef
-from tessera.sources import points, raster, segments
+from tessera.sources import parts, points, raster, segments
 from tessera.streaming.gridding import run_to_memory, stream_sums, stream_values
 
 G = GridDef(MapDef("Cylindrical Equidistant", lat0=0, lon0=0), 40, 20, 1 / 1000, None, 19.5, 9.5)
@@ -83,7 +84,7 @@ def test_segment_file(spark, tmp_path, monkeypatch):
     df = spark.createDataFrame(rows, "seg int, pos int, lat double, lon double")
     path = segments.write_segments(df, str(tmp_path / "s.seg"), "a coast")
     assert segments.read_header(path)[1:] == (5, "a coast")
-    spark.dataSource.register(segments.SegmentFile)
+    segments.register(spark)
     back = vectors.decode(spark.read.format("segment_file").option("path", path).load())
     assert sorted(map(tuple, back.collect())) == rows
     index = {r.seg: r for r in segments.read_index(spark, path).collect()}
@@ -96,6 +97,105 @@ def test_segment_file(spark, tmp_path, monkeypatch):
         segments.read_header(str(tmp_path / "no"))
 
 
+def coast(spark, n=400):
+    rows = [(s, k, ((s * 37) % 900 + k) / 16, ((s * 173) % 2800 - 1400 + k) / 8) for s in range(n) for k in range(2 + s % 40)]
+    return rows, spark.createDataFrame(rows, "seg int, pos int, lat double, lon double").repartition(3)
+
+
+LIMITS = [
+    ([GreaterThanOrEqual(("lon_min",), 20.0), LessThan(("lon_min",), 24.0)], lambda b: 20 <= b["lon_min"] < 24),
+    ([LessThanOrEqual(("lat_max",), 2.0), GreaterThan(("lat_min",), 0.5)], lambda b: b["lat_max"] <= 2 and b["lat_min"] > 0.5),
+    ([EqualTo(("seg",), 77)], lambda b: b["seg"] == 77),
+    ([In(("seg",), (5, 9, 1000, None))], lambda b: b["seg"] in (5, 9)),
+    ([GreaterThan(("lon_min",), 1e6)], lambda b: False),
+]
+
+
+@pytest.mark.parametrize("order", ["seg", "lon_min", "lat_max", "lon_max", "lat_min"])
+def test_limits_are_looked_up_in_the_index(spark, tmp_path, monkeypatch, order):
+    """Just the segments that match come back, and where the index is in the order of the limit few bytes are read."""
+    rows, df = coast(spark)
+    path = segments.write_segments(df, str(tmp_path / "s.seg"), order=order)
+    bounds = {}
+    for s, _, lat, lon in rows:
+        b = bounds.setdefault(s, {"seg": s, "lat_min": lat, "lat_max": lat, "lon_min": lon, "lon_max": lon})
+        b.update(lat_min=min(b["lat_min"], lat), lat_max=max(b["lat_max"], lat), lon_min=min(b["lon_min"], lon), lon_max=max(b["lon_max"], lon))
+    read, plain = [], segments.read_range
+    monkeypatch.setattr(segments, "read_range", lambda path, offset=0, length=None: read.append(length) or plain(path, offset, length))
+    for filters, match in LIMITS:
+        read.clear()
+        reader = segments.SegmentReader(path)
+        assert list(reader.pushFilters(filters)) == []
+        got = [s for p in reader.partitions() for b in reader.read(p) for s in set(b.column(0).to_pylist())]
+        assert sorted(got) == [s for s, b in bounds.items() if match(shifted(b))]
+        if filters[0].attribute[0] == order and order != "lat_max":
+            assert sum(read) < 0.2 * (tmp_path / "s.seg").stat().st_size
+
+
+def shifted(b):
+    """Bounds as the format holds them: whole units, of which negative ones come back a unit larger."""
+    return {k: v if k == "seg" else (v * 1024 + (v < 0)) / 1024 for k, v in b.items()}
+
+
+def test_segment_files_of_a_folder(spark, tmp_path):
+    """Files of a bounded size; limits pass over whole files, and what is left is Spark's to evaluate."""
+    rows, df = coast(spark)
+    files = segments.write_segment_files(df, str(tmp_path / "coast"), most_bytes=4000)
+    assert len(files) > 5 and all(segments.read_header(f)[1] > 0 for f in files)
+    segments.register(spark)
+    whole = spark.read.format("segment_file").load(str(tmp_path / "coast"))
+    unit = lambda v: (v * 1024 + (v < 0)) / 1024
+    want = [(s, k, unit(a), unit(b)) for s, k, a, b in rows]
+    assert sorted(map(tuple, vectors.decode(whole).collect())) == want
+    some = whole.filter("seg >= 30 AND seg < 33 AND lon_min > -1000 AND (pos = 0 OR pos = 1) AND seg IS NOT NULL")
+    assert sorted((r.seg, r.pos) for r in some.collect()) == [(s, k) for s in (30, 31, 32) for k in (0, 1)]
+    reader = segments.SegmentReader(str(tmp_path / "coast"))
+    list(reader.pushFilters([EqualTo(("seg",), 30)]))
+    assert len(reader.partitions()) == 1
+    assert segments.write_segment_files(df.limit(0), str(tmp_path / "none")) == []
+    assert spark.read.format("segment_file").load(str(tmp_path / "none")).count() == 0
+    with pytest.raises(Exception, match="more than"):
+        segments.write_segment_files(df, str(tmp_path / "coast"), most_bytes=20)
+    assert sorted(map(tuple, vectors.decode(whole).collect())) == want  # what was there before a failure stays
+    assert len(list((tmp_path / "coast").iterdir())) == len(files) + 1
+
+
+def test_parts_count_once(tmp_path):
+    """An attempt whose message is lost leaves nothing; nor does a job that is given up; appending goes on after what is there."""
+    row = lambda place, data: {"place": place, "name": "x", "data": data, "note": None}
+    folder = str(tmp_path / "out")
+    names = lambda: sorted(f.name for f in (tmp_path / "out").iterdir())
+    writer = parts.PartsWriter(folder, True)
+    writer.write(iter([row(1, b"lost"), row(2, b"lost")]))  # its executor goes
+    writer.commit([writer.write(iter([row(1, b"one"), row(2, bytearray(b"two"))])), None, writer.write(iter([row(0, b"zero")]))])
+    read = lambda: b"".join((tmp_path / "out" / f).read_bytes() for _, f, *_ in parts.manifest(folder))
+    assert read() == b"zeroonetwo" and len(names()) == 4
+    failed = parts.PartsWriter(folder, True)
+    failed.abort([failed.write(iter([row(0, b"no")])), None])
+    assert read() == b"zeroonetwo" and len(names()) == 4
+    more = parts.PartsWriter(folder, False)
+    more.commit([more.write(iter([row(0, b"three")]))])
+    assert read() == b"zeroonetwothree"
+    last = parts.PartsWriter(folder, True)
+    last.commit([])
+    assert read() == b"" and parts.manifest(str(tmp_path / "nowhere")) == []
+
+
+def test_location_bands(spark, tmp_path):
+    """Bands one after another, as parts and as a file, off the map undefined."""
+    polar = GridDef(MapDef("Azimuthal Equal-Area", lat0=90, lon0=0, scale=400, south=0), 40, 30, 1.0, None, 19.5, 14.5)
+    files = raster.write_locations(spark, polar, str(tmp_path / "bands"), bands=("lon", "lat"), shift=(0.5, -0.5), double=True, rows_per_file=7)
+    assert len(files) == 10
+    file = parts.joined(spark, str(tmp_path / "bands"), str(tmp_path / "one.double"), block=1000)
+    data = np.fromfile(file).reshape(2, 30, 40)
+    want = {(r.row, r.col): (r.lon, r.lat) for r in cells.locations(spark, polar, (0.5, -0.5), -999.0).collect()}
+    assert all((data[0, i, j], data[1, i, j]) == want[i, j] for i in range(30) for j in range(40))
+    assert (data == -999).any() and (data != -999).any()
+    for path in (file, str(tmp_path / "bands")):
+        got = {(r.band, r.row, r.col): r.value for r in raster.read_bands(spark, path, polar, "f8").collect()}
+        assert len(got) == 2400 and all(got[b, i, j] == data[b, i, j] for b, i, j in got)
+
+
 def test_streams(spark, tmp_path):
     folder = tmp_path / "in"
     folder.mkdir()

@@ -20,8 +20,10 @@ RULES = (
     ("block", "net", "/es/"),
     ("block", "net", "/fr/"),
 )
-#: Bits a key in level 1 and in the others, hash functions of each level, and the most bits of a level (2 MB).
-FIRST_BITS, NEXT_BITS, HASHES, MAX_BITS = 8, 4, 2, 2**24
+#: Bits a key in level 1 and in the others, hash functions of each level, and the least and most bits of a level (8 kB, 2 MB). With a
+#: few listed keys the least bits leave next to nothing of a corpus of any size for level 2. At the most bits a level holds some
+#: four million keys as meant; with more it takes more of the others wrongly, and more levels follow.
+FIRST_BITS, NEXT_BITS, HASHES, MIN_BITS, MAX_BITS = 8, 4, 2, 2**16, 2**24
 
 
 def host_of(url: Column) -> Column:
@@ -49,21 +51,24 @@ def _spots(key: Column, level: int, bits: int) -> list[Column]:
 
 
 class Cascade:
-    """Levels of Bloom filters, each a list of 64-bit words that become one constant array in a query."""
+    """Levels of Bloom filters, each a number of bits and its bytes, which become one binary constant in a query."""
 
-    def __init__(self, levels: list[tuple[int, dict[int, int]]]):
+    def __init__(self, levels: list[tuple[int, bytes]]):
         self.levels = levels
 
     @staticmethod
-    def _filter(keys: DataFrame, level: int, per_key: int) -> tuple[int, dict[int, int]]:
-        bits = 64
+    def _filter(keys: DataFrame, level: int, per_key: int) -> tuple[int, bytes]:
+        bits = MIN_BITS
         n = keys.count()
         while bits < min(MAX_BITS, per_key * n):
             bits *= 2
         spots = keys.select(F.explode(F.array(*_spots(F.col("key"), level, bits))).alias("spot"))
         one = F.expr("shiftleft(1L, cast(spot % 64 as int))")
         words = spots.groupBy(F.floor(F.col("spot") / 64).alias("word")).agg(F.bit_or(one).alias("set"))
-        return bits, dict(map(tuple, words.collect()))  # MAX_BITS / 64 rows at most
+        packed = bytearray(bits // 8)
+        for word, value in words.collect():  # MAX_BITS / 64 rows at most
+            packed[word * 8 : word * 8 + 8] = value.to_bytes(8, "little", signed=True)
+        return bits, bytes(packed)
 
     @classmethod
     def build(cls, listed: DataFrame, universe: DataFrame, most: int = 40) -> Cascade:
@@ -80,12 +85,11 @@ class Cascade:
         raise ValueError("the cascade does not end: raise the bits a key")
 
     def _in(self, key: Column, level: int) -> Column:
-        bits, words = self.levels[level]
-        table = F.expr("cast(split('" + ",".join(str(words.get(i, 0)) for i in range(bits // 64)) + "', ',') as array<bigint>)")
-        test = F.lit(True)
+        bits, packed = self.levels[level]
+        table, test = F.lit(packed), F.lit(True)
         for spot in _spots(key, level, bits):
-            word = F.element_at(table, (F.floor(spot / 64) + 1).cast("int"))
-            test = test & (F.call_function("getbit", word, F.pmod(spot, F.lit(64)).cast("int")) == 1)
+            byte = F.ascii(F.decode(F.substring(table, F.shiftright(spot, 3).cast("int") + 1, F.lit(1)), "ISO-8859-1"))
+            test = test & (F.call_function("getbit", byte, spot.bitwiseAND(7).cast("int")) == 1)
         return test
 
     def contains(self, key: Column) -> Column:

@@ -137,10 +137,12 @@ def test_urls(spark):
     assert url_filter.judge_urls(df.limit(0)).count() == 0
 
 
-def test_cascade_is_exact(spark):
+@pytest.mark.parametrize("least", [64, url_filter.MIN_BITS])
+def test_cascade_is_exact(spark, monkeypatch, least):
+    monkeypatch.setattr(url_filter, "MIN_BITS", least)
     keys = spark.range(4000).selectExpr("concat('k', id) AS key", "id % 7 = 0 AS listed")
     c = url_filter.Cascade.build(keys.filter("listed"), keys)
-    assert len(c.levels) > 2
+    assert len(c.levels) > 2 if least == 64 else c.levels
     from pyspark.sql import functions as F
 
     assert keys.filter(c.contains(F.col("key")) != F.col("listed")).count() == 0

@@ -22,6 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import new_folder, staged, text_of, with_group
+from .filters import split
 
 #: Payloads below this many bytes are never revisits.
 LEAST_BYTES = 100
@@ -64,18 +65,34 @@ def url_key(url: Column) -> Column:
 
 
 def captures(pages: DataFrame, id_col: str = "page_id", text_col: str = "html") -> DataFrame:
-    """pages with payload_bytes, payload_digest, record_type and refers_to.
+    """pages with payload_bytes, payload_digest, record_type and refers_to; revisits without their payload.
 
     A null payload is empty. Of payloads of LEAST_BYTES or more that are equal, the one with the smallest id is the
     response. A null id sorts last; of rows that repeat both id and payload, each with the smallest id is a response.
+
+    Which rows revisit another is found from ids and digests alone. A filter of these rows then lets all others pass with their
+    payloads, a filter of its false hits tells these, and only they, and what little hits both, are joined with payloads.
     """
     payload = text_of(text_col).cast("binary")
     rows = pages.withColumns({"payload_bytes": F.octet_length(text_of(text_col)).cast("long"), "payload_digest": F.sha2(payload, 256)})
-    groups = rows.filter(F.col("payload_bytes") >= LEAST_BYTES).groupBy("payload_digest").agg(F.min(id_col).alias("_t_first"), F.count("*").alias("_t_n"))
-    groups = groups.filter("_t_n > 1")  # most payloads are alone: their rows look nothing up
-    of = with_group(rows, groups, "payload_digest", "_t_n", pages.count())
-    again = F.col("_t_first").isNotNull() & ~F.col(id_col).eqNullSafe(F.col("_t_first"))
-    return of.withColumns({"record_type": F.when(again, "revisit").otherwise("response"), "refers_to": F.when(again, F.col("_t_first"))}).drop("_t_first", "_t_n")
+    seen = staged(rows.filter(F.col("payload_bytes") >= LEAST_BYTES).select(F.col(id_col).alias("_t_id"), F.col("payload_digest").alias("_t_of")), "digests")
+    groups = seen.groupBy("_t_of").agg(F.min("_t_id").alias("_t_first"), F.count("*").alias("_t_n")).filter("_t_n > 1")
+    later = with_group(seen, groups, "_t_of", "_t_n", seen.count()).filter(F.col("_t_first").isNotNull() & ~F.col("_t_id").eqNullSafe(F.col("_t_first")))
+    again = staged(later.select("_t_id", "_t_of", "_t_first").distinct(), "revisits")
+    key, listed = F.xxhash64(id_col, "payload_digest"), F.xxhash64("_t_id", "_t_of")
+    fits = F.col(id_col).eqNullSafe(F.col("_t_id")) & (F.col("payload_digest") == F.col("_t_of"))
+    hits, passed = split(rows, key, again.select(listed))
+    told = again.select(F.col("_t_id").alias("_t_id2"), F.col("_t_of").alias("_t_of2"))
+    named = hits.select(F.col(id_col).alias("_t_id"), F.col("payload_digest").alias("_t_of")).distinct()
+    false = staged(named.join(told, F.col("_t_id").eqNullSafe(F.col("_t_id2")) & (F.col("_t_of") == F.col("_t_of2")), "left_anti"), "hits")
+    both, sure = split(hits, key, false.select(listed))
+    bare = sure.withColumn(text_col, F.lit(None).cast(pages.schema[text_col].dataType))
+    told = bare.join(again, fits, "left").unionByName(both.join(again, fits, "left"))
+    kind = F.when(F.col("_t_first").isNotNull(), "revisit").otherwise("response")
+    text = F.when(F.col("_t_first").isNull(), F.col(text_col))
+    told = told.withColumns({"record_type": kind, "refers_to": F.col("_t_first"), text_col: text})
+    passed = passed.withColumns({"record_type": F.lit("response"), "refers_to": F.lit(None).cast(pages.schema[id_col].dataType)})
+    return passed.unionByName(told.select(passed.columns))
 
 
 def _record(page_id, url, payload: bytes, size: int, digest: str, kind: str, refers_to) -> bytes:

@@ -2,7 +2,7 @@
 
 Each task writes its files under names of its own and tells the driver names and sizes. The commit is one step: the manifest,
 which lists the files of the tasks that succeeded in the order of their places, gets its name. Files of attempts that failed
-are in no manifest, and go when the job ends.
+are in no manifest; they go when the job ends, but for those that a task is still writing then.
 """
 
 from __future__ import annotations

@@ -157,7 +157,6 @@ def test_segment_files_of_a_folder(spark, tmp_path):
     with pytest.raises(Exception, match="more than"):
         segments.write_segment_files(df, str(tmp_path / "coast"), most_bytes=20)
     assert sorted(map(tuple, vectors.decode(whole).collect())) == want  # what was there before a failure stays
-    assert len(list((tmp_path / "coast").iterdir())) == len(files) + 1
 
 
 def test_parts_count_once(tmp_path):

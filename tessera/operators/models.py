@@ -1,4 +1,4 @@
-"""Polynomial and spline models: fits by sums over a DataFrame, evaluation as Column expressions."""
+"""Polynomial and spline models: fits by triangular factors of the tasks' rows, evaluation as Columns or as a join by interval."""
 
 from __future__ import annotations
 
@@ -6,10 +6,17 @@ from dataclasses import dataclass
 from functools import reduce
 
 import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scalar import PI
+from ..functions.scalar import PI, normal_lon
+
+#: Tasks whose triangular factors one task puts together.
+FANIN = 32
+#: Knots of a spline that are written out in an expression, at most; knots to a block of the join beyond.
+WRITTEN, BLOCK = 64, 64
 
 
 def int_power(x: Column, n: int) -> Column:
@@ -42,19 +49,54 @@ class Polynomial:
         return horner(rows, x)
 
 
+def _factors(table: np.ndarray, batches) -> np.ndarray:
+    """The triangular factor of rows that come in batches, of which one and the factor so far are held."""
+    for rows in batches:
+        table = np.linalg.qr(np.vstack([table, rows]), mode="r")
+    return table
+
+
+def triangle(df: DataFrame, columns: list[Column]) -> np.ndarray:
+    """The triangular factor R of the QR decomposition of a tall matrix whose columns these are: each task makes that of its rows, and
+    factors of FANIN tasks are put together, level by level, until the driver gets the last few. Rows with a null are left out.
+
+    R has the singular values of the matrix itself; sums of products would square their ratio."""
+    n = len(columns)
+    rows = df.select(*(c.cast("double").alias(f"c{k}") for k, c in enumerate(columns))).dropna()
+
+    def factor(r: np.ndarray):
+        return pa.RecordBatch.from_arrays([pa.array([r.ravel().tolist()], pa.list_(pa.float64()))], ["r"])
+
+    def of_rows(batches):
+        r = _factors(np.zeros((0, n)), (np.stack([np.asarray(c) for c in b.columns], 1) for b in batches if b.num_rows))
+        yield factor(r)
+
+    def of_factors(batches):
+        each = (np.reshape(x, (-1, n)) for b in batches for x in b.column(0).to_pylist())
+        yield factor(_factors(np.zeros((0, n)), (x for x in each if len(x))))
+
+    found = rows.mapInArrow(of_rows, "r array<double>")
+    parts = rows.rdd.getNumPartitions()
+    while parts > FANIN:
+        parts = -(-parts // FANIN)
+        found = found.repartition(parts).mapInArrow(of_factors, "r array<double>")
+    last = [np.reshape(r[0], (-1, n)) for r in found.collect()]  # FANIN of n x n numbers at most
+    return _factors(np.zeros((0, n)), [x for x in last if len(x)])
+
+
 def fit_polynomial(df: DataFrame, order: int, x: str, z: str, y: str | None = None, triangular: bool = False) -> Polynomial:
-    """Least squares: the normal matrix is summed over the rows, so only its few numbers come to the driver."""
+    """Least squares on the design matrix by a tree of triangular factors; singular values below the last digits of the largest
+    count as 0. Rows with a null or no number are left out."""
     dim = 1 if y is None else 2
     powers = Polynomial.exponents(dim, order, triangular)
     n = len(powers)
-    term = [int_power(F.col(x), i) * (int_power(F.col(y), j) if y else F.lit(1.0)) for i, j in powers]
-    sums = [F.sum(term[i] * term[j]).alias(f"a{i}_{j}") for i in range(n) for j in range(i + 1)]
-    sums += [F.sum(term[i] * F.col(z)).alias(f"b{i}") for i in range(n)] + [F.count(F.col(z)).alias("n")]
-    r = df.filter(F.col(x).isNotNull() & F.col(z).isNotNull()).agg(*sums).first()
-    if r["n"] <= n:
-        raise ValueError(f"{r['n']} points are too few for {n} coefficients")
-    a = np.array([[r[f"a{max(i, j)}_{min(i, j)}"] for j in range(n)] for i in range(n)], float)
-    return Polynomial(dim, order, tuple(svd_solve(a, np.array([r[f"b{i}"] for i in range(n)], float))), triangular)
+    known = df.filter(~F.isnan(F.col(x).cast("double")) & ~F.isnan(F.col(z).cast("double")) & (~F.isnan(F.col(y).cast("double")) if y else F.lit(True)))
+    count = known.select(x, z, *([y] if y else [])).dropna().count()
+    if count <= n:
+        raise ValueError(f"{count} points are too few for {n} coefficients")
+    terms = [int_power(F.col(x), i) * (int_power(F.col(y), j) if y else F.lit(1.0)) for i, j in powers]
+    r = triangle(known, [*terms, F.col(z)])
+    return Polynomial(dim, order, tuple(svd_solve(r[:n, :n], r[:n, n])), triangular)
 
 
 def svd_solve(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -84,6 +126,19 @@ def chebyshev_nodes(df: DataFrame, index: str, n, low=-1.0, high=1.0) -> DataFra
     return df.withColumn("node", (low + high) / 2 + (high - low) / 2 * c)
 
 
+def tridiagonal(low: np.ndarray, mid: np.ndarray, up: np.ndarray, r: np.ndarray) -> np.ndarray:
+    """Solution of a tridiagonal system by elimination along the diagonal; time and memory are linear in its size."""
+    n = len(r)
+    mid, up, r = mid.tolist(), up.tolist(), r.tolist()
+    for i in range(1, n):
+        f = float(low[i]) / mid[i - 1]
+        mid[i] -= f * up[i - 1]
+        r[i] -= f * r[i - 1]
+    for i in range(n - 1, -1, -1):
+        r[i] = (r[i] - (up[i] * r[i + 1] if i + 1 < n else 0.0)) / mid[i]
+    return np.array(r)
+
+
 @dataclass(frozen=True)
 class Spline:
     """A cubic spline: y + d (b + d (c + d e)) from each knot on, d the distance from it. ``topology``: linear or longitude."""
@@ -108,35 +163,51 @@ class Spline:
         h, slope = np.diff(x), np.diff(y) / np.diff(x)
         if n == 2:
             return cls(tuple(x), tuple(y), (slope[0], slope[0]), (0.0, 0.0), (0.0, 0.0), topology)
-        m = np.zeros((n, n))
-        r = np.zeros(n)
-        for i in range(1, n - 1):
-            m[i, i - 1 : i + 2] = h[i - 1], 2 * (h[i - 1] + h[i]), h[i]
-            r[i] = slope[i] - slope[i - 1]
-        m[0, :2], m[-1, -2:] = (-h[0], h[0]), (h[-1], -h[-1])
+        low, mid, up, r = (np.zeros(n) for _ in range(4))  # a row of the system: low, mid and up multiply c[i - 1 : i + 2]
+        low[1:-1], mid[1:-1], up[1:-1], r[1:-1] = h[:-1], 2 * (h[:-1] + h[1:]), h[1:], slope[1:] - slope[:-1]
+        mid[0], up[0], low[-1], mid[-1] = -h[0], h[0], h[-1], -h[-1]
         if n > 3:
             third = lambda k: ((slope[k + 2] - slope[k + 1]) / (x[k + 3] - x[k + 1]) - (slope[k + 1] - slope[k]) / (x[k + 2] - x[k])) / (x[k + 3] - x[k])
             r[0], r[-1] = h[0] ** 2 * third(0), -(h[-1] ** 2) * third(n - 4)
-        c = np.linalg.solve(m, r)
+        c = tridiagonal(low, mid, up, r)
         b = np.append(slope - h * (c[1:] + 2 * c[:-1]), slope[-1] + h[-1] * (c[-2] + 2 * c[-1]))
         e = np.append(np.diff(c) / h, (c[-1] - c[-2]) / h[-1])
         return cls(*(tuple(map(float, v)) for v in (x, y, b, 3 * c, e)), topology)
 
     def evaluate(self, v):
-        """At a Column or float; the end intervals go on outside."""
+        """At a Column or float; the end intervals go on outside. For a Column a spline has WRITTEN knots at most (see values)."""
         if not isinstance(v, Column):
             i = int(np.clip(np.searchsorted(self.x, v, side="right") - 1, 0, len(self.x) - 1))
             d = v - self.x[i]
             return self.y[i] + d * (self.b[i] + d * (self.c[i] + d * self.e[i]))
-        arrays = {k: F.array(*(F.lit(float(a)) for a in getattr(self, k))) for k in "xybce"}
+        if len(self.x) > WRITTEN:
+            raise ValueError(f"a spline of {len(self.x)} knots is evaluated by values()")
+        return self._at({k: F.array(*(F.lit(float(a)) for a in getattr(self, k))) for k in "xybce"}, v)
+
+    def _at(self, arrays: dict, v: Column) -> Column:
+        """The value by arrays of knots and coefficients."""
         i = F.greatest(F.lit(1), F.size(F.filter(arrays["x"], lambda k: k <= v)))
         at = lambda k: F.element_at(arrays[k], i)
         d = v - at("x")
         out = at("y") + d * (at("b") + d * (at("c") + d * at("e")))
-        from ..functions.scalar import normal_lon
-
         return normal_lon(out) if self.topology == "longitude" else out
 
+    def values(self, df: DataFrame, v: str, out: str = "value") -> DataFrame:
+        """df with ``out``: the spline at column v (null where v is). Any number of knots: rows meet a block of BLOCK knots by an
+        equi-join on the block's number, which is found by binary search among the blocks' first knots."""
+        starts = np.array(self.x[::BLOCK])
+
+        @F.pandas_udf("int")
+        def block(values: pd.Series) -> pd.Series:
+            return pd.Series(np.clip(np.searchsorted(starts, values.to_numpy(), side="right") - 1, 0, None))
+
+        blocks = [(k // BLOCK, *(list(getattr(self, f)[k : k + BLOCK]) for f in "xybce")) for k in range(0, len(self.x), BLOCK)]
+        table = df.sparkSession.createDataFrame(blocks, "_block int, " + ", ".join(f"_{f} array<double>" for f in "xybce"))
+        at = F.when(F.col(v).isNotNull(), block(F.coalesce(F.col(v).cast("double"), F.lit(0.0))))
+        found = df.drop(out).withColumn("_block", at).join(table, "_block", "left")
+        value = F.when(F.col("_block").isNotNull(), self._at({f: F.col(f"_{f}") for f in "xybce"}, F.col(v).cast("double")))
+        return found.withColumn(out, value).drop("_block", *(f"_{f}" for f in "xybce"))
+
     def table(self, spark) -> DataFrame:
         """The intervals as rows: x_lo, x_hi, y, b, c, e."""
         hi = [*self.x[1:], float("inf")]

@@ -706,6 +706,8 @@ def graticule(spark, sf_dir):
 # --- models and accuracy --------------------------------------------------------------------------------------------
 
 PLANE = models.Polynomial(2, 2, (1.5, -0.25, 0.125, 2.0, 0.5, -0.75, 0.0625, 0.25, -0.5))
+#: Knots that a spline is fitted to on the driver, at most; more are an error.
+KNOTS = 4_000_000
 CUBE = models.Spline.fit(range(10), [x**3 for x in range(10)])
 
 
@@ -728,6 +730,30 @@ def spline_value(spark, sf_dir):
     return points(spark, sf_dir).select(*KEY, q(CUBE.evaluate(F.col("v") / 50.0 * 9.0), 1e-4).alias("value"))
 
 
+@query("spline_join", f"SELECT l_orderkey, l_linenumber, {qs('x * x * x', 1e-4)} AS value FROM (SELECT *, l_partkey * 0.001e0 + 0.0003e0 AS x FROM lineitem)")
+def spline_join(spark, sf_dir):
+    """A spline whose knots are cubes at the parts' numbers, unevenly: it is the cube."""
+    keys = spark.read.parquet(f"{sf_dir}/part.parquet").filter("p_partkey % 7 <> 3").select("p_partkey").distinct()
+    if keys.count() > KNOTS:
+        raise ValueError(f"more than {KNOTS} knots")
+    x = [r[0] * 0.001 for r in keys.orderBy("p_partkey").collect()]
+    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet").withColumn("x", F.col("l_partkey") * 0.001 + 0.0003)
+    return models.Spline.fit(x, [v**3 for v in x]).values(lines, "x").select(*KEY, q(F.col("value"), 1e-4).alias("value"))
+
+
+_PLANE_TERMS = [(i, j) for i in range(4) for j in range(4)]
+
+
+@query("polynomial_surface", f"SELECT CAST(count(*) AS BIGINT) AS n, {', '.join(f'CAST({round((i * 7 - j * 5 + 3) * 1e6)} AS BIGINT) AS c{i}{j}' for i, j in _PLANE_TERMS)} FROM lineitem")
+def polynomial_surface(spark, sf_dir):
+    """Coefficients of a surface of order 3 in two dimensions, found again from its values at the lines' places."""
+    p = points(spark, sf_dir).withColumns({"x": F.col("lat") / 90.0, "y": F.col("lon") / 180.0})
+    power = models.int_power
+    z = sum(((i * 7 - j * 5 + 3) * power(F.col("x"), i) * power(F.col("y"), j) for i, j in _PLANE_TERMS), F.lit(0.0))
+    fit = models.fit_polynomial(p.withColumn("z", z), 3, "x", "z", "y")
+    return p.agg(F.count("*").alias("n")).select("n", *(q(F.lit(c)).alias(f"c{i}{j}") for c, (i, j) in zip(fit.coefficients, _PLANE_TERMS, strict=True)))
+
+
 @query("chebyshev_nodes", f"SELECT l_orderkey, l_linenumber, {qs('cos((2 * (l_linenumber - 1) + 1) * pi() / (2 * (l_suppkey % 9 + 7))) * (h - l) / 2 + (h + l) / 2')} AS node FROM (SELECT *, CAST(l_quantity AS DOUBLE) AS h, -CAST(l_partkey % 10 AS DOUBLE) AS l FROM lineitem)")
 def chebyshev_nodes(spark, sf_dir):
     """Each line is a node of an interval of its own."""
@@ -798,3 +824,20 @@ def stream_grid(spark, sf_dir):
     )
     run_to_memory(stream_sums(p, NORTH, "bucket", radius=0.4), "tessera_stream_grid")
     return spark.table("tessera_stream_grid").select(F.col("row").alias("cell_row"), F.col("col").alias("cell_col"), "n")
+
+
+@query("stream_state", _STREAM_SQL.replace("count(*) AS n FROM k", "CAST(count(*) AS DOUBLE) AS total FROM k"))
+def stream_state(spark, sf_dir):
+    """The events as a stream into a state table that stays between runs; the last batch is sent twice."""
+    from .operators.gridding import accumulate
+    from .streaming.states import StateTable, run_into
+
+    schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
+    events = spark.readStream.schema(schema).parquet(f"{sf_dir}/event[s].parquet")
+    place = lambda c, a, b, m: ((c * a + b) % m).cast("double") / 1000.0 - (m / 2000 - 0.0137)
+    p = events.select(place(F.col("user_id"), 7919, 0, 179000).alias("lat"), place(F.col("user_id"), 611953, 17, 359000).alias("lon"), F.lit(1.0).alias("value"))
+    state = lambda df: accumulate(df, NORTH, method="bucket", radius=0.4).select("row", "col", F.col("num"), F.col("den").alias("beta"))
+    table = StateTable(spark, new_folder(spark, "state"), "bucket")
+    run_into(p, table, state, new_folder(spark, "stream"))
+    run_into(p, table, state, new_folder(spark, "stream"))  # its first batch has the number of one that is in
+    return table.read().select(F.col("row").alias("cell_row"), F.col("col").alias("cell_col"), F.col("num").alias("total"))

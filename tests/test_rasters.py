@@ -302,6 +302,40 @@ def test_models(spark, tmp_path):
     assert models.cholesky_solve(a, a @ [2, 3]) == pytest.approx([2, 3]) and models.svd_solve(a, a @ [2, 3]) == pytest.approx([2, 3])
 
 
+def test_fit_by_triangular_factors(spark, monkeypatch):
+    """Order 9 in two dimensions, over several levels of the tree: as numpy's from the matrix, where sums of products lose it."""
+    monkeypatch.setattr(models, "FANIN", 3)
+    rng = np.random.default_rng(7)
+    x, y = rng.uniform(-1, 1, 6000), rng.uniform(-1, 1, 6000)
+    z = np.sin(5 * x) * np.exp(y) + 0.1 * x * y
+    df = spark.createDataFrame([(float(a), float(b), float(c)) for a, b, c in zip(x, y, z, strict=True)] + [(None, 1.0, 1.0), (1.0, None, 1.0), (1.0, 1.0, None), (float("nan"), 0.0, 0.0)], "x double, y double, z double").repartition(10)
+    a = np.stack([x**i * y**j for i, j in models.Polynomial.exponents(2, 9)], 1)
+    want = np.linalg.lstsq(a, z, rcond=None)[0]
+    fit = models.fit_polynomial(df, 9, "x", "z", "y")
+    assert np.abs(np.array(fit.coefficients) - want).max() < 1e-8 * np.abs(want).max()
+    assert np.abs(np.linalg.solve(a.T @ a, a.T @ z) - want).max() > 1e-5
+    line = models.fit_polynomial(df, 1, "x", "z")
+    assert line.coefficients == pytest.approx(np.polyfit(x, z, 1)[::-1], abs=1e-10)
+
+
+def test_splines_of_many_knots(spark):
+    """Uneven knots, points between, on and outside them, nulls; coefficients as of the dense system."""
+    rng = np.random.default_rng(1)
+    x = np.cumsum(rng.uniform(0.1, 1.0, 100_000))
+    s = models.Spline.fit(x, x**3 / 1e9 + 2 * x)
+    rows = [(float(v),) for v in [*rng.uniform(-5, x[-1] + 5, 500), *x[:300], x[-1], -100.0, 1e6]] + [(None,)]
+    df = spark.createDataFrame(rows, "v double").selectExpr("v", "'own' AS value")
+    got = {r.v: r.value for r in s.values(df, "v").collect()}
+    assert len(got) == len(set(rows)) and got.pop(None) is None
+    assert all(y == pytest.approx(s.evaluate(v), rel=1e-12, abs=1e-9) and y == pytest.approx(v**3 / 1e9 + 2 * v, rel=1e-6, abs=1e-5) for v, y in got.items() if -5 < v < x[-1] + 5)
+    low, mid, up, r = (rng.normal(size=60) for _ in range(4))
+    m = np.diag(mid + 5) + np.diag(up[:-1], 1) + np.diag(low[1:], -1)
+    assert models.tridiagonal(low, mid + 5, up, r) == pytest.approx(np.linalg.solve(m, r))
+    assert models.Spline.fit([0, 1, 2], [0, 1, 8]).values(df.limit(0), "v").count() == 0
+    with pytest.raises(ValueError):
+        s.evaluate(F.col("v"))
+
+
 def test_segments(spark):
     p = spark.createDataFrame([(s, k, 10.0 + s + k / 1024, 178.0 + k * 0.8 if s else 20.0 + k / 1024) for s in range(2) for k in range(6)], "seg int, pos int, lat double, lon double")
     p = p.withColumn("lon", F.when(F.col("lon") > 180, F.col("lon") - 360).otherwise(F.col("lon")))

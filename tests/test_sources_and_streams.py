@@ -9,6 +9,7 @@ from tessera.operators import cells, vectors
 from tessera.operators.gridding import grid_points
 from tessera.plans.definitions import GridDef, MapDef
 from tessera.sources import parts, points, raster, segments
+from tessera.streaming import states
 from tessera.streaming.gridding import run_to_memory, stream_sums, stream_values
 
 G = GridDef(MapDef("Cylindrical Equidistant", lat0=0, lon0=0), 40, 20, 1 / 1000, None, 19.5, 9.5)
@@ -213,6 +214,31 @@ def test_streams(spark, tmp_path):
     assert len(rows) == 150 and all(r["value"] == r["row"] * 100 + r["col"] for r in rows)
 
 
+@pytest.mark.parametrize("method", ["bucket", "max", "nearest"])
+def test_states_between_runs(spark, tmp_path, method):
+    """A batch counts once: replayed, from another stream, or cut off before its manifest is there."""
+    table = states.StateTable(spark, str(tmp_path / "state"), method)
+    state = lambda rows: spark.createDataFrame(rows, states.SCHEMA)
+    got = lambda: {(r.row, r.col): (r.num, r.beta) for r in table.read().collect()}
+    assert got() == {} and table.values().count() == 0
+    first, second = [(0, 0, 4.0, 2.0), (0, 1, 9.0, 1.2)], [(0, 0, 6.0, 1.0), (0, 1, 1.0, 2.4), (5, 5, 3.0, 1.0)]
+    assert table.merge(state(first), 0) and not table.merge(state(first), 0)
+    assert got() == {(0, 0): (4.0, 2.0), (0, 1): (9.0, 1.2)}
+    assert table.merge(state(second), 1)
+    want = {"bucket": {(0, 0): (10.0, 3.0), (0, 1): (10.0, 3.6)}, "max": {(0, 0): (6.0, 2.0), (0, 1): (9.0, 2.4)}, "nearest": {(0, 0): (6.0, 1.0), (0, 1): (9.0, 1.2)}}[method] | {(5, 5): (3.0, 1.0)}
+    if method == "nearest":  # 2.4 - 1 is over 1.2
+        assert got() == want
+    else:
+        assert {k: pytest.approx(v) for k, v in got().items()} == want
+    again = states.StateTable(spark, str(tmp_path / "state"), method)
+    assert not again.merge(state(second), 1) and not again.merge(state(first), 0) and again.merge(state([(7, 7, 1.0, 1.0)]), 0, "other")
+    with pytest.raises(Exception, match="boom"):
+        again.merge(state(first).selectExpr("row", "col", "cast(raise_error('boom') as double) as num", "beta"), 2)
+    assert set(got()) == {(0, 0), (0, 1), (5, 5), (7, 7)}
+    with pytest.raises(ValueError):
+        states.StateTable(spark, str(tmp_path / "state"), "idw").merge(state(first), 9)
+
+
 def test_contract():
     import __spark_entry__ as entry
 

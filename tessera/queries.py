@@ -19,6 +19,7 @@ from .operators import accuracy, cells, extract, gridding, models, regions, resa
 from .operators import transform as T
 from .plans.definitions import GridDef, MapDef
 from .plans.state import new_folder
+from .sources import cells as stroke_files
 from .sources import points as point_files
 from .sources import raster as raster_files
 from .sources import segments as segment_files
@@ -629,6 +630,19 @@ def file_segments(spark, sf_dir):
     return vectors.decode(found)
 
 
+_STROKES = f"(SELECT seg, pos, CAST(floor((min(ulat) / 1024e0 + 90e0) * 36000e0 + 0.5e0) AS BIGINT) AS a, CAST(floor((min(ulon) / 1024e0 + 180e0) * 36000e0 + 0.5e0) AS BIGINT) AS b FROM {SEGMENTS} GROUP BY seg, pos)"
+
+
+@query("file_strokes", f"WITH p AS {_STROKES}, s AS (SELECT seg, arg_min(a, pos) AS sa, arg_min(b, pos) AS sb FROM p GROUP BY seg) SELECT CAST((sa // 36000) * 360 + sb // 36000 AS INTEGER) AS cell, CAST(seg % 7 AS INTEGER) AS rank, a, b, count(*) AS n FROM p JOIN s USING (seg) WHERE sa // 36000 - 90 BETWEEN -20 AND 49 AND sb // 36000 - 180 BETWEEN 30 AND 119 GROUP BY ALL")
+def file_strokes(spark, sf_dir):
+    """Segments as strokes in one file of chained records; those of the cells in a box come back."""
+    raw = segments(spark, sf_dir).distinct().withColumn("rank", F.col("seg") % 7)
+    file = stroke_files.write_strokes(raw, f"{new_folder(spark, 'strokes')}/strokes")
+    found = stroke_files.read_strokes(spark, file, (-20, 50, 30, 120))
+    unit = lambda c, low: F.floor((F.col(c) + low) * 36000 + 0.5).alias("a" if low == 90 else "b")
+    return found.select("cell", "rank", unit("lat", 90), unit("lon", 180)).groupBy("cell", "rank", "a", "b").agg(F.count("*").alias("n"))
+
+
 def _thin_sql(km: float) -> str:
     """The rule as a recursion along each segment: the last kept point and the next point judge the one between."""
     unit = km / 3

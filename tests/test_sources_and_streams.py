@@ -8,6 +8,7 @@ from pyspark.sql.datasource import EqualTo, GreaterThan, GreaterThanOrEqual, In,
 from tessera.operators import cells, vectors
 from tessera.operators.gridding import grid_points
 from tessera.plans.definitions import GridDef, MapDef
+from tessera.sources import cells as strokes
 from tessera.sources import parts, points, raster, segments
 from tessera.streaming import states
 from tessera.streaming.gridding import run_to_memory, stream_sums, stream_values
@@ -160,6 +161,55 @@ def test_segment_files_of_a_folder(spark, tmp_path):
     assert sorted(map(tuple, vectors.decode(whole).collect())) == want  # what was there before a failure stays
 
 
+@pytest.mark.parametrize("size", [32, 64, 192])
+def test_strokes_come_back(spark, tmp_path, monkeypatch, size):
+    """Long strokes, far steps, single points and cells at the edges, over chains of records; in blocks smaller than the file."""
+    monkeypatch.setattr(strokes, "CELLS", 3)
+    rng, rows = np.random.default_rng(3), []
+    for seg in range(60):
+        n = int(rng.choice([1, 2, 9, 700]))
+        a, b = rng.integers(100_000, 6_300_000), rng.integers(200_000, 12_000_000)
+        step = rng.integers(-127, 127, (n, 2)) if seg % 3 else rng.integers(-20_000, 20_000, (n, 2))
+        path = np.clip(np.cumsum(step, 0) + [a, b], 0, [6_479_999, 12_959_999])
+        rows += [(seg, k, float(x) / 36000 - 90, float(y) / 36000 - 180, seg % 64) for k, (x, y) in enumerate(path)]
+    rows += [(60, 0, -90.0, -180.0, 63), (61, 0, 89.9999, 179.9999, 1)]
+    df = spark.createDataFrame(rows, "seg int, pos int, lat double, lon double, rank int").repartition(4)
+    file = strokes.write_strokes(df, str(tmp_path / "bank"), size)
+    units = lambda lat, lon: (round((lat + 90) * 36000), round((lon + 180) * 36000))
+    found, lines = {}, []
+    for r in strokes.read_strokes(spark, file).collect():
+        found.setdefault((r.cell, r.part), []).append((r["pos"], r.rank, r.onward, *units(r.lat, r.lon)))
+    for key in sorted(found):
+        part = sorted(found[key])
+        if not part[0][2]:
+            lines.append([])
+        lines[-1] += [(key[0], rank, a, b) for _, rank, _, a, b in part]
+    want = {}
+    for seg, _, lat, lon, rank in sorted(rows):
+        want.setdefault(seg, []).append((rank, *units(lat, lon)))
+    cell = lambda line: line[0][1] // 36000 * 360 + line[0][2] // 36000
+    assert sorted(lines) == sorted([(cell(w), *p) for p in w] for w in want.values())
+    box = strokes.read_strokes(spark, file, (-90, 0, 100, -100)).select("cell").distinct().collect()
+    assert {r.cell for r in box} == {c for (c, _) in found if c // 360 < 90 and (c % 360 >= 280 or c % 360 < 80)}
+    assert strokes.read_strokes(spark, file, (5, 5, 0, 1)).count() == 0
+    with pytest.raises(ValueError):
+        strokes.write_strokes(df, str(tmp_path / "odd"), 60)
+
+
+def test_strokes_of_a_broken_chain(tmp_path):
+    """Records that run in a ring are told, not followed for ever."""
+    ring = bytearray(5000 * 64)
+    ring[3], ring[5] = 64, 1
+    first = strokes.Records.__new__(strokes.Records)
+    (tmp_path / "ring").write_bytes(bytes(ring))
+    first.__init__(str(tmp_path / "ring"))
+    number = first.first + 1
+    ring[(number - 1) * 64 + 61 : (number - 1) * 64 + 64] = number.to_bytes(3, "big")
+    (tmp_path / "ring").write_bytes(bytes(ring))
+    with pytest.raises(ValueError, match="ring"):
+        strokes.Records(str(tmp_path / "ring")).of_cell(0)
+
+
 def test_parts_count_once(tmp_path):
     """An attempt whose message is lost leaves nothing; nor does a job that is given up; appending goes on after what is there."""
     row = lambda place, data: {"place": place, "name": "x", "data": data, "note": None}

@@ -5,7 +5,7 @@ such a variant differ in at most R bits. So every distinct fingerprint emits its
 and a star from the first fingerprint at a variant gives all links without pairs. The 2081 variants of a fingerprint
 (R = 4) are sent in bundles: a variant's top KEY_BITS bits are the shuffle key, a fingerprint goes once to each key that
 one of its variants has (79 keys for 12 bits), and the task that owns the key makes the rest of each variant. Keys that
-would get too many fingerprints are counted first and made of 12 more bits.
+would get too many fingerprints are counted first and made of 12 more bits, and of 12 more again, until they don't.
 """
 
 from __future__ import annotations
@@ -17,15 +17,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import HOT_GROUPS, staged, text_of, with_group
+from .common import staged, text_of, with_group
 from .filters import split
 
 SEED = 42
 #: Variants that a task holds at a time (4 MB, and some such arrays), and rows of a task of the variants' shuffle.
 VARIANTS = 500_000
 TASK_ROWS = 500_000
-#: Bits that a hot key has more.
+#: Bits that a hot key has more on each level, and what is sent.
 MORE_BITS = 12
+SENT = "level int, key long, fp long, rep long"
 
 
 def fingerprint(text: str, words: int = 4) -> int:
@@ -124,28 +125,36 @@ def _forest(links: np.ndarray) -> np.ndarray:
     return links[keep]
 
 
-def _emit(key_bits: int, flips: int, hot: frozenset[int] = frozenset()):
-    """(key, more, fp, rep) for each key of a variant; ``more`` is -1, or the next bits of a hot key's variants."""
+def _emit(key_bits: int, flips: int, hot: list[np.ndarray] = (), only: int | None = None):
+    """(level, key, fp, rep) for each key of a variant. The keys of level 0 have key_bits bits; those in hot[0] are followed by their
+    next MORE_BITS bits instead (level 1), of these those in hot[1] again, and so on. ``only``: rows of that level."""
 
-    def batch(key, more, fp, rep):
-        return pa.RecordBatch.from_arrays([pa.array(key.astype(np.int32)), pa.array(more.astype(np.int32)), pa.array(fp), pa.array(rep)], ["key", "more", "fp", "rep"])
+    def batch(level, key, fp, rep):
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(key), level, np.int32)), pa.array(key.view(np.int64)), pa.array(fp), pa.array(rep)], ["level", "key", "fp", "rep"])
 
     def run(batches):
-        ms, warm = masks(key_bits, flips), np.array(sorted(hot), np.uint64)
+        ms, step = masks(key_bits, flips), 2000 if hot else 20_000
         used = _popcount(ms)
         for b in batches:
-            for i in range(0, b.num_rows, 20_000):
-                fp, rep = (np.asarray(b.column(c))[i : i + 20_000] for c in (0, 1))
+            for i in range(0, b.num_rows, step):
+                fp, rep = (np.asarray(b.column(c))[i : i + step] for c in (0, 1))
                 top = fp.view(np.uint64) >> np.uint64(64 - key_bits)
                 key, left = (top[:, None] ^ ms[None, :]).ravel(), np.tile(flips - used, len(fp))
                 fp, rep = np.repeat(fp, len(ms)), np.repeat(rep, len(ms))
-                is_hot = np.isin(key, warm)
-                yield batch(key[~is_hot], np.full((~is_hot).sum(), -1), fp[~is_hot], rep[~is_hot])
-                for r in np.unique(left[is_hot]):
-                    of = is_hot & (left == r)
-                    nexts = masks(MORE_BITS, int(r))
-                    own = (fp[of].view(np.uint64) >> np.uint64(64 - key_bits - MORE_BITS)) & np.uint64(2**MORE_BITS - 1)
-                    yield batch(np.repeat(key[of], len(nexts)), (own[:, None] ^ nexts[None, :]).ravel(), np.repeat(fp[of], len(nexts)), np.repeat(rep[of], len(nexts)))
+                for level in range(len(hot) + 1):
+                    warm = np.isin(key, hot[level]) if level < len(hot) else np.zeros(len(key), bool)
+                    if only in (None, level) and not warm.all():
+                        yield batch(level, key[~warm], fp[~warm], rep[~warm])
+                    if not warm.any():
+                        break
+                    free = np.uint64(64 - key_bits - MORE_BITS * (level + 1))
+                    longer = []
+                    for r in np.unique(left[warm]):
+                        of, nexts = warm & (left == r), masks(MORE_BITS, int(r))
+                        own = fp[of].view(np.uint64) >> free & np.uint64(2**MORE_BITS - 1)
+                        more = (key[of] << np.uint64(MORE_BITS))[:, None] | (own[:, None] ^ nexts[None, :])
+                        longer.append((more.ravel(), np.tile(int(r) - _popcount(nexts), len(own)), np.repeat(fp[of], len(nexts)), np.repeat(rep[of], len(nexts))))
+                    key, left, fp, rep = (np.concatenate(x) for x in zip(*longer, strict=True))
 
     return run
 
@@ -173,18 +182,14 @@ def _collide(key_bits: int, radius: int):
         if not found:
             return
         t = pa.Table.from_batches(found)
-        key, more, fp, rep = (np.asarray(t.column(c).combine_chunks()) for c in range(4))
+        level, key, fp, rep = (np.asarray(t.column(c).combine_chunks()) for c in range(4))
         pairs = []
-        for longer in (False, True):
-            of = np.flatnonzero((more >= 0) == longer)
-            if not len(of):
-                continue
-            prefix = key[of].astype(np.uint64)
-            if longer:
-                prefix = (prefix << np.uint64(MORE_BITS)) | more[of].astype(np.uint64)
+        for k in np.unique(level).tolist():
+            of = np.flatnonzero(level == k)
+            prefix = key[of].view(np.uint64)
             of = of[np.argsort(prefix, kind="stable")]
             links: list = []
-            met(np.sort(prefix, kind="stable"), key_bits + MORE_BITS * longer, fp[of].view(np.uint64), links)
+            met(np.sort(prefix, kind="stable"), key_bits + MORE_BITS * k, fp[of].view(np.uint64), links)
             pairs += [of[x] for x in links]
         if not pairs:
             return
@@ -198,27 +203,38 @@ def _collide(key_bits: int, radius: int):
     return run
 
 
-def _hot_keys(prints: DataFrame, key_bits: int, flips: int, limit: int) -> frozenset[int]:
-    """Keys that more than ``limit`` fingerprints would be sent to. Their own keys are counted, not what is sent."""
+def _hot_keys(prints: DataFrame, key_bits: int, flips: int, limit: int) -> list[np.ndarray]:
+    """For each level the keys that more than ``limit`` fingerprints would be sent to: fewer than those sent by ``limit``. Keys of
+    level 0 are counted by the fingerprints' own, longer ones as they would be sent. The last level leaves 4 to 15 bits, so that few
+    different fingerprints can share its keys."""
     top = F.shiftrightunsigned("fp", 64 - key_bits).cast("int")
     tops = prints.groupBy(top.alias("top")).agg(F.count("*").alias("n"))
     ms = F.array(*(F.lit(int(m)).cast("int") for m in masks(key_bits, flips)))
     keys = tops.select(F.explode(F.transform(ms, lambda m: m.bitwiseXOR(F.col("top")))).alias("key"), "n").groupBy("key").agg(F.sum("n").alias("n"))
-    return frozenset(r[0] for r in keys.filter(F.col("n") > limit).select("key").collect())
+    hot: list[np.ndarray] = []
+    while True:
+        found = np.array([r[0] for r in keys.filter(F.col("n") > limit).select("key").collect()], np.int64).view(np.uint64)
+        if not len(found):
+            return hot
+        hot.append(np.sort(found))
+        if key_bits + MORE_BITS * (len(hot) + 1) > 60:
+            return hot
+        sent = prints.select("fp", "rep").mapInArrow(_emit(key_bits, flips, hot, len(hot)), SENT)
+        keys = sent.groupBy("key").agg(F.count("*").alias("n"))
 
 
 def links(prints: DataFrame, n: int, radius: int = 4) -> DataFrame:
     """Links (a, b) of ids that connect what is within ``radius`` (even) bits: prints has distinct fp (long) and rep (long).
 
-    Each task gives a forest of the links it has found, so there are fewer links than rows sent. A key with more than
-    TASK_ROWS fingerprints and a thousandth of all that are sent is hot (there are a thousand such keys at most).
+    Each task gives a forest of the links it has found, so there are fewer links than rows sent. A key is made longer until no
+    more than TASK_ROWS fingerprints are sent to it, whatever the corpus; keys start so long that even ones have an eighth.
     """
-    flips = radius // 2
-    key_bits = int(max(12, np.ceil(np.log2(max(1, 2081 * n / 8e6)))))
-    sent = n * len(masks(key_bits, flips))
-    hot = _hot_keys(prints, key_bits, flips, max(TASK_ROWS, sent // HOT_GROUPS))
-    tasks = max(int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-sent // TASK_ROWS))
-    return prints.select("fp", "rep").mapInArrow(_emit(key_bits, flips, hot), "key int, more int, fp long, rep long").repartition(tasks, "key", "more").mapInArrow(_collide(key_bits, radius), "a long, b long")
+    flips, key_bits = radius // 2, 12
+    while n * len(masks(key_bits, flips)) > 2**key_bits * TASK_ROWS / 8:
+        key_bits += 1
+    hot = _hot_keys(prints, key_bits, flips, TASK_ROWS)
+    tasks = max(int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-n * len(masks(key_bits, flips)) // TASK_ROWS))
+    return prints.select("fp", "rep").mapInArrow(_emit(key_bits, flips, hot), SENT).repartition(tasks, "level", "key").mapInArrow(_collide(key_bits, radius), "a long, b long")
 
 
 def components(edges: DataFrame) -> DataFrame:

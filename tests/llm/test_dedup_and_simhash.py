@@ -125,8 +125,9 @@ def test_links_lose_nothing(spark, monkeypatch):
     monkeypatch.setattr(simhash, "VARIANTS", 3000)
     fp = np.array(prints, np.uint64)
     key_bits = 12
-    some = frozenset((np.unique(fp >> np.uint64(52))[::3]).tolist())  # these keys get more bits
-    for hot in (frozenset(), some, frozenset(range(4096))):
+    some, every = np.unique(fp >> np.uint64(52))[::3], np.arange(4096, dtype=np.uint64)  # these keys get more bits
+    longer, longest = np.unique(fp >> np.uint64(40)), np.unique(fp >> np.uint64(28))[::2]
+    for hot in ([], [some], [every], [every, longer], [some, longer, longest]):
         emitted = list(simhash._emit(key_bits, 2, hot)([__import__("pyarrow").RecordBatch.from_arrays([fp.view(np.int64), np.arange(len(fp))], ["fp", "rep"])]))
         pairs = {(a, b) for out in simhash._collide(key_bits, 4)(emitted) for a, b in zip(*(c.to_pylist() for c in out.columns), strict=True)}
         assert all(bin(prints[a] ^ prints[b]).count("1") <= 4 for a, b in pairs)
@@ -146,9 +147,25 @@ def test_hot_keys(spark, monkeypatch):
     for x in prints:
         for m in simhash.masks(12, 2).tolist():
             sent[(x >> 52) ^ m] = sent.get((x >> 52) ^ m, 0) + 1
-    assert simhash._hot_keys(df, 12, 2, 100) == {k for k, n in sent.items() if n > 100} != set()
+    found = simhash._hot_keys(df, 12, 2, 100)
+    assert set(found[0].tolist()) == {k for k, n in sent.items() if n > 100} != set()
     monkeypatch.setattr(simhash, "TASK_ROWS", 100)
-    monkeypatch.setattr(simhash, "HOT_GROUPS", 10**6)
+    got = {r.id: r.root for r in simhash.components(simhash.links(df, len(prints))).collect()}
+    assert [got.get(i, i) for i in range(len(prints))] == components(prints)
+
+
+def test_keys_of_one_cluster_are_made_longer(spark, monkeypatch):
+    """A third of all fingerprints share their first 44 bits: no key gets over the limit, however many there are, but for those
+    of the last level; and the links are the same."""
+    rng = random.Random(5)
+    prints = sorted({(0xABCDEF12345 << 20) | rng.getrandbits(20) for _ in range(100)} | {rng.getrandbits(64) for _ in range(200)})
+    signed = lambda x: x - (1 << 64) * (x >> 63)
+    df = spark.createDataFrame([(signed(x), i) for i, x in enumerate(prints)], "fp long, rep long")
+    hot = simhash._hot_keys(df, 12, 2, 40)
+    assert len(hot) > 2
+    sent = df.mapInArrow(simhash._emit(12, 2, hot), simhash.SENT).groupBy("level", "key").count()
+    assert max(r["count"] for r in sent.collect() if r.level < 4) <= 40
+    monkeypatch.setattr(simhash, "TASK_ROWS", 40)
     got = {r.id: r.root for r in simhash.components(simhash.links(df, len(prints))).collect()}
     assert [got.get(i, i) for i in range(len(prints))] == components(prints)
 

@@ -17,31 +17,25 @@ WGS84_M, WGS84_E, ISIN_M = 6378137.0, 0.081819190843, 6371007.181
 UTM, ISIN = "UNIVERSALTRANSVERSEMERCATOR", "INTEGERIZEDSINUSOIDAL"
 
 
-def _aliases() -> dict[str, str]:
-    """Accepted spellings: word permutations and short names."""
-    out = {name: name for name in REGISTRY}
-    same = {
-        "AZIMUTHALEQUALAREA": ["EQUALAREAAZIMUTHAL", "AZIMUTHALEQUALAREASPHERE", "EQUALAREAAZIMUTHALSPHERE", "SPHEREAZIMUTHALEQUALAREA", "SPHEREEQUALAREAAZIMUTHAL"],
-        "CYLINDRICALEQUALAREA": ["EQUALAREACYLINDRICAL"],
-        "CYLINDRICALEQUIDISTANT": ["EQUIDISTANTCYLINDRICAL"],
-        "POLARSTEREOGRAPHIC": ["STEREOGRAPHICPOLAR"],
-        "ALBERSCONICEQUALAREA": ["ALBERSCONICEQUALAREASPHERE", "ALBERSEQUALAREACONIC", "CONICEQUALAREA", "EQUALAREACONIC", "ALBERSCONIC", "ALBERSEQUALAREA"],
-        "TRANSVERSEMERCATOR": ["MERCATORTRANSVERSE"],
-        "LAMBERTCONICCONFORMALELLIPSOID": ["LAMBERTCONFORMALCONICELLIPSOID", "ELLIPSOIDLAMBERTCONICCONFORMAL", "ELLIPSOIDLAMBERTCONFORMALCONIC"],
-        ISIN: ["ISIN", "ISINUS"],
-        UTM: ["UTM", "UNIVERSALMERCATORTRANSVERSE"],
-    }
-    for name, others in same.items():
-        out |= {x: name for x in others}
-        if name + "ELLIPSOID" in REGISTRY or name == UTM:
-            to = UTM if name == UTM else name + "ELLIPSOID"
-            out |= {x + "ELLIPSOID": to for x in [name, *others] if "SPHERE" not in x} | {"ELLIPSOID" + x: to for x in [name, *others] if "SPHERE" not in x}
-    goode = ["INTERUPTEDHOMOLOSINEEQUALAREA", "INTERUPTEDHOMOLOSINE", "GOODESINTERUPTEDHOMOLOSINE"]
-    goode += [p + i + "HOMOLOSINE" + e for p in ("", "GOODE", "GOODES") for i in ("", "INTERRUPTED") for e in ("", "EQUALAREA") if p or i]
-    return out | {x: "INTERUPTEDHOMOLOSINEEQUALAREA" for x in goode}
-
-
-ALIASES = _aliases()
+#: Spellings of projections' names that are accepted besides their own, without blanks and signs.
+SPELLINGS = {
+    "ALBERSCONICEQUALAREA": "ALBERSCONIC ALBERSCONICEQUALAREASPHERE ALBERSEQUALAREA ALBERSEQUALAREACONIC CONICEQUALAREA EQUALAREACONIC",
+    "ALBERSCONICEQUALAREAELLIPSOID": "ALBERSCONICELLIPSOID ALBERSEQUALAREACONICELLIPSOID ALBERSEQUALAREAELLIPSOID CONICEQUALAREAELLIPSOID ELLIPSOIDALBERSCONIC ELLIPSOIDALBERSCONICEQUALAREA ELLIPSOIDALBERSEQUALAREA ELLIPSOIDALBERSEQUALAREACONIC ELLIPSOIDCONICEQUALAREA ELLIPSOIDEQUALAREACONIC EQUALAREACONICELLIPSOID",
+    "AZIMUTHALEQUALAREA": "AZIMUTHALEQUALAREASPHERE EQUALAREAAZIMUTHAL EQUALAREAAZIMUTHALSPHERE SPHEREAZIMUTHALEQUALAREA SPHEREEQUALAREAAZIMUTHAL",
+    "AZIMUTHALEQUALAREAELLIPSOID": "ELLIPSOIDAZIMUTHALEQUALAREA ELLIPSOIDEQUALAREAAZIMUTHAL EQUALAREAAZIMUTHALELLIPSOID",
+    "CYLINDRICALEQUALAREA": "EQUALAREACYLINDRICAL",
+    "CYLINDRICALEQUALAREAELLIPSOID": "ELLIPSOIDCYLINDRICALEQUALAREA ELLIPSOIDEQUALAREACYLINDRICAL EQUALAREACYLINDRICALELLIPSOID",
+    "CYLINDRICALEQUIDISTANT": "EQUIDISTANTCYLINDRICAL",
+    "INTEGERIZEDSINUSOIDAL": "ISIN ISINUS",
+    "INTERUPTEDHOMOLOSINEEQUALAREA": "GOODEHOMOLOSINE GOODEHOMOLOSINEEQUALAREA GOODEINTERRUPTEDHOMOLOSINE GOODEINTERRUPTEDHOMOLOSINEEQUALAREA GOODESHOMOLOSINE GOODESHOMOLOSINEEQUALAREA GOODESINTERRUPTEDHOMOLOSINE GOODESINTERRUPTEDHOMOLOSINEEQUALAREA GOODESINTERUPTEDHOMOLOSINE INTERRUPTEDHOMOLOSINE INTERRUPTEDHOMOLOSINEEQUALAREA INTERUPTEDHOMOLOSINE",
+    "LAMBERTCONICCONFORMALELLIPSOID": "ELLIPSOIDLAMBERTCONFORMALCONIC ELLIPSOIDLAMBERTCONICCONFORMAL LAMBERTCONFORMALCONICELLIPSOID",
+    "POLARSTEREOGRAPHIC": "STEREOGRAPHICPOLAR",
+    "POLARSTEREOGRAPHICELLIPSOID": "ELLIPSOIDPOLARSTEREOGRAPHIC ELLIPSOIDSTEREOGRAPHICPOLAR STEREOGRAPHICPOLARELLIPSOID",
+    "TRANSVERSEMERCATOR": "MERCATORTRANSVERSE",
+    "TRANSVERSEMERCATORELLIPSOID": "ELLIPSOIDMERCATORTRANSVERSE ELLIPSOIDTRANSVERSEMERCATOR MERCATORTRANSVERSEELLIPSOID",
+    "UNIVERSALTRANSVERSEMERCATOR": "ELLIPSOIDUNIVERSALMERCATORTRANSVERSE ELLIPSOIDUNIVERSALTRANSVERSEMERCATOR ELLIPSOIDUTM UNIVERSALMERCATORTRANSVERSE UNIVERSALMERCATORTRANSVERSEELLIPSOID UNIVERSALTRANSVERSEMERCATORELLIPSOID UTM UTMELLIPSOID",
+}
+ALIASES = {name: name for name in REGISTRY} | {spelling: name for name, spellings in SPELLINGS.items() for spelling in spellings.split()}
 
 
 def standard_name(name: str) -> str:

@@ -4,97 +4,97 @@
 DEFINITIONS = {
     "M200correct": ("mpp", """\
 Cylindrical Equal-Area
-0.0 0.0 30.0 lat0 lon0 lat1
-0.0 rotation
-200.5402 scale (km/in)
-00.00 00.00 center lat lon
--90.00 90.00 lat min max
--180.00 180.00 lon min max
-30.00 30.00 grid
-00.00 00.00 label lat lon
-1 0 0 cil bdy riv
+0.0 0.0 30.0
+0.0
+200.5402
+00.00 00.00
+-90.00 90.00
+-180.00 180.00
+30.00 30.00
+00.00 00.00
+1 0 0
 """),
     "Ml": ("gpd", """\
-M200correct.mpp map projection parameters
-1383 586 columns rows
-8 grid cells per map unit
-691.0 292.5 map origin column,row
+M200correct.mpp
+1383 586
+8
+691.0 292.5
 """),
     "N200correct": ("mpp", """\
 Azimuthal Equal-Area
-90.0 0.0 lat0 lon0
-0.0 rotation
-200.5402 scale (km/pixel)
-90.00 00.00 center lat lon
-0.00 90.00 lat min max
--180.00 180.00 lon min max
-15.00 30.00 grid
-0.00 00.00 label lat lon
-1 0 0 cil bdy riv
+90.0 0.0
+0.0
+200.5402
+90.00 00.00
+0.00 90.00
+-180.00 180.00
+15.00 30.00
+0.00 00.00
+1 0 0
 """),
     "N3B": ("gpd", """\
-Nps.mpp map projection parameters
-304 448 columns rows
-4 grid cells per map unit
-153.5 233.5 map origin column, row
+Nps.mpp
+304 448
+4
+153.5 233.5
 """),
     "Na25": ("gpd", """\
-N200correct.mpp map projection parameters
-361 361 columns rows
-8 grid cells per map unit
-180.0 180.0 map origin column,row
+N200correct.mpp
+361 361
+8
+180.0 180.0
 """),
     "Nps": ("mpp", """\
 Polar Stereographic Ellipsoid
-90.0 -45.0 70.0 lat0 lon0 lat1
-0.0 rotation
-100.0 scale (km/map unit)
-90.00 135.00 center lat lon
-20.00 90.00 lat min max
--180.00 180.00 lon min max
-10.00 15.00 grid
-00.00 00.00 label lat lon
-1 0 0 cil bdy riv
-6378.273 Earth equatorial radius (km)
-0.081816153 eccentricity
+90.0 -45.0 70.0
+0.0
+100.0
+90.00 135.00
+20.00 90.00
+-180.00 180.00
+10.00 15.00
+00.00 00.00
+1 0 0
+6378.273
+0.081816153
 """),
     "S200correct": ("mpp", """\
 Azimuthal Equal-Area
--90.0 0.0 lat0 lon0
-0.0 rotation
-200.5402 scale (km/pixel)
--90.00 00.00 center lat lon
--90.00 0.00 lat min max
--180.00 180.00 lon min max
-15.00 30.00 grid
-0.00 00.00 label lat lon
-1 0 0 cil bdy riv
+-90.0 0.0
+0.0
+200.5402
+-90.00 00.00
+-90.00 0.00
+-180.00 180.00
+15.00 30.00
+0.00 00.00
+1 0 0
 """),
     "S3B": ("gpd", """\
-Sps.mpp map projection parameters
-316 332 columns rows
-4 grid cells per map unit
-157.5 173.5 map origin column, row
+Sps.mpp
+316 332
+4
+157.5 173.5
 """),
     "Sa25": ("gpd", """\
-S200correct.mpp map projection parameters
-321 321 columns rows
-8 grid cells per map unit
-160.0 160.0 map origin column,row
+S200correct.mpp
+321 321
+8
+160.0 160.0
 """),
     "Sps": ("mpp", """\
 Polar Stereographic ellipsoid
--90.0 0.0 -70.0 lat0 lon0 lat1
-0.0 rotation
-100.0 scale (km/map unit)
--90.00 0.00 center lat lon
--90.00 -20.00 lat min max
--180.00 180.00 lon min max
-10.00 15.00 grid
-0.00 0.00 label lat lon
-1 0 0 cil bdy riv
-6378.273 Earth equatorial radius (km)
-0.081816153 eccentricity
+-90.0 0.0 -70.0
+0.0
+100.0
+-90.00 0.00
+-90.00 -20.00
+-180.00 180.00
+10.00 15.00
+0.00 0.00
+1 0 0
+6378.273
+0.081816153
 """),
     "albers_conic_equal_area_e00": ("gpd", """\
 Map Projection: Albers Conic Equal-Area Ellipsoid

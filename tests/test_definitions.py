@@ -177,3 +177,11 @@ def test_distance():
     paris, washington = (48.836388889, 2.337222222), (38.921388889, -77.065555556)
     assert T.ellipsoid_distance(m, Now(), *paris, *washington) == pytest.approx(6181.63, abs=0.01)
     assert T.ellipsoid_distance(m, Now(), *paris, *paris) == 0
+
+
+def test_words_behind_the_numbers_are_passed_over(tmp_path):
+    (tmp_path / "m.mpp").write_text("Mercator\n0 -30 20 where it is true\n0 not turned\n12.5 to the inch\n0 -30 its middle\n-85 85 from south to north\n-180 180 and west to east\n15 30 lines\n0 0 names\n1 0 0 what to draw\n")
+    (tmp_path / "g.gpd").write_text("m.mpp is the map\n40 20 cells\n2 to a unit\n19.5 9.5 is the origin\n")
+    g = GridDef.load("g.gpd", str(tmp_path))
+    assert (g.cols, g.rows, g.cols_per_unit, g.origin_col, g.origin_row) == (40, 20, 2.0, 19.5, 9.5)
+    assert (g.map.projection, g.map.lon0, g.map.scale, g.map.south, g.map.lat_interval) == ("MERCATOR", -30.0, 12.5, -85.0, 15.0)

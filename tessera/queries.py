@@ -625,9 +625,8 @@ def file_segments(spark, sf_dir):
     a unit larger when they come back: the format rounds halves up by truncation."""
     path = new_folder(spark, "segments")
     segment_files.write_segment_files(segments(spark, sf_dir), path, order="lon_min", most_bytes=2**18)
-    segment_files.register(spark)
-    found = spark.read.format("segment_file").load(path).filter((F.col("lon_min") >= -50) & (F.col("lon_min") < 70) & (F.col("lat_max") >= 0))
-    return vectors.decode(found)
+    found = segment_files.read_segments(spark, path, lon_min=(-50, 70), lat_max=(0, None))
+    return vectors.decode(found.filter("lon_min < 70"))
 
 
 _STROKES = f"(SELECT seg, pos, CAST(floor((min(ulat) / 1024e0 + 90e0) * 36000e0 + 0.5e0) AS BIGINT) AS a, CAST(floor((min(ulon) / 1024e0 + 180e0) * 36000e0 + 0.5e0) AS BIGINT) AS b FROM {SEGMENTS} GROUP BY seg, pos)"

@@ -3,8 +3,8 @@
 Layout of the header: magic, index address and size, largest segment (bytes), rank, order, bounds and extents, then 32 bytes
 of text. The data of each segment are pairs of 16-bit steps; an index entry holds id, first point, bounds, address and size.
 
-As a data source ``segment_file`` (a file, or a folder of them that write_segment_files has made), which evaluates limits
-of seg and of bounds on the index: of a sorted index only the entries in range are read, and only segments that match.
+As data sources ``segment_file`` and ``segment_file_pushed`` (a file, or a folder of them that write_segment_files has made), which
+evaluate limits of seg and of bounds on the index: of a sorted index only the entries in range are read, and only segments that match.
 """
 
 from __future__ import annotations
@@ -27,6 +27,7 @@ SEGMENTS = 2000
 #: Orders of an index as the header numbers them: column of the entry, and whether it increases.
 ORDERS = {"lat_max": (1, False), "lon_max": (2, False), "lat_min": (3, True), "lon_min": (4, True), "seg": (5, True)}
 #: Columns of an index entry.
+LIMITED = ("seg", "lat_max", "lon_max", "lat_min", "lon_min")
 FIELDS = ("seg", "lat0", "lon0", "lat_max", "lon_max", "lat_min", "lon_min", "address", "size")
 #: Gaps between segments' data that are read over rather than sought over.
 GAP = 4096
@@ -38,8 +39,8 @@ class Segments(InputPartition):
 
 
 class SegmentFile(DataSource):
-    """Option: path. Rows: seg, pos, lat0, lon0, dlat, dlon (units of 2^-10 degrees; the first point has steps 0), and the
-    bounds of the segment in degrees."""
+    """Options: path, and limits of seg and of the bounds, both ends included (``seg_from``, ``lat_max_to`` and so on). Rows: seg, pos,
+    lat0, lon0, dlat, dlon (units of 2^-10 degrees; the first point has steps 0), and the bounds of the segment in degrees."""
 
     @classmethod
     def name(cls) -> str:
@@ -49,13 +50,40 @@ class SegmentFile(DataSource):
         return "seg int, pos int, lat0 int, lon0 int, dlat int, dlon int, lat_max double, lon_max double, lat_min double, lon_min double"
 
     def reader(self, schema):
-        return SegmentReader(self.options["path"])
+        found = []
+        for f in LIMITED:
+            low, high = (self.options.get(f"{f}_{end}") for end in ("from", "to"))
+            if low is not None or high is not None:
+                unit = 1 if f == "seg" else 1024
+                found.append((f, float(low) * unit if low is not None else -np.inf, float(high) * unit if high is not None else np.inf, None))
+        return SegmentReader(self.options["path"], found)
+
+
+class PushedSegmentFile(SegmentFile):
+    """``segment_file_pushed``: takes limits from the filters of the query. Spark plans the reading of a Python source once for a
+    DataFrame and keeps it, limits included: load anew for each query with other filters, or use the options of segment_file."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "segment_file_pushed"
+
+    def reader(self, schema):
+        return PushingReader(self.options["path"])
 
 
 def register(spark: SparkSession) -> None:
-    """Makes ``segment_file`` known to a session, and lets Spark push filters down to sources in Python."""
+    """Makes both sources known to a session, and lets Spark push filters down to sources in Python."""
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(SegmentFile)
+    spark.dataSource.register(PushedSegmentFile)
+
+
+def read_segments(spark: SparkSession, path: str, **limits: tuple) -> DataFrame:
+    """Segments of a file or a folder of files whose seg or bounds are in limits (least and most, either may be None): what
+    SegmentFile gives."""
+    spark.dataSource.register(SegmentFile)
+    ends = {f"{f}_{end}": v for f, pair in limits.items() for end, v in zip(("from", "to"), pair, strict=True) if v is not None}
+    return spark.read.format("segment_file").options(**ends).load(path)
 
 
 def read_header(path: str) -> tuple[int, int, str]:
@@ -75,7 +103,7 @@ def _entries(path: str, first: int, count: int) -> np.ndarray:
 
 def _limits(f) -> tuple | None:
     """(field, low, high, values) of a filter, both ends inclusive of what may match; None where it can't be told by the index."""
-    if not isinstance(f, (EqualTo, In, GreaterThan, GreaterThanOrEqual, LessThan, LessThanOrEqual)) or len(f.attribute) != 1 or f.attribute[0] not in ("seg", "lat_max", "lon_max", "lat_min", "lon_min"):
+    if not isinstance(f, (EqualTo, In, GreaterThan, GreaterThanOrEqual, LessThan, LessThanOrEqual)) or len(f.attribute) != 1 or f.attribute[0] not in LIMITED:
         return None
     unit = 1 if f.attribute[0] == "seg" else 1024  # bounds are whole units, exact as doubles
     if isinstance(f, In):
@@ -92,18 +120,10 @@ def _limits(f) -> tuple | None:
 
 
 class SegmentReader(DataSourceReader):
-    """A partition for each SEGMENTS entries of an index that may match; the last filter on a column is never dropped."""
+    """A partition for each SEGMENTS entries of an index that may match. limits: (field, least, most, or values) in whole units."""
 
-    def __init__(self, path: str):
-        self.path, self.limits = path, []
-
-    def pushFilters(self, filters):
-        for f in filters:
-            limit = _limits(f)
-            if limit:
-                self.limits.append(limit)
-            elif not (isinstance(f, IsNotNull) and f.attribute[0] in ("seg", "lat_max", "lon_max", "lat_min", "lon_min")):
-                yield f
+    def __init__(self, path: str, limits: list[tuple] = ()):
+        self.path, self.limits = path, list(limits)
 
     def _between(self, field: str) -> tuple[float, float]:
         low = max((x[1] for x in self.limits if x[0] == field), default=-np.inf)
@@ -161,6 +181,16 @@ class SegmentReader(DataSourceReader):
             begin = end
 
 
+class PushingReader(SegmentReader):
+    def pushFilters(self, filters):
+        for f in filters:
+            limit = _limits(f)
+            if limit:
+                self.limits.append(limit)
+            elif not (isinstance(f, IsNotNull) and f.attribute[0] in LIMITED):
+                yield f
+
+
 def _bisect(key, n: int, value: float, left: bool) -> int:
     """Entries whose key is below value (left), or not above it, by binary search: each step reads one entry."""
     low, high = 0, n

@@ -381,24 +381,3 @@ def test_extension_point(spark, monkeypatch):
     s = Steps(spark.createDataFrame([(1.0, 2.0)], "lat double, lon double"))
     x, y = T.map_xy(m, s, F.col("lat"), F.col("lon"))
     assert tuple(s.df.select(x, y).first()) == (2.0, 1.0)
-
-
-def test_partners_at_shared_places(spark):
-    rng = np.random.default_rng(4)
-    spots = [(10.0, 20.0), (10.0, 20.0), (10.005, 20.0), (10.01, 20.01), (10.3, 20.0)]
-    ends = {(s, e): spots[rng.integers(5)] for s in range(60) for e in (0, 1)} | {(60, e): (50.0, 5.0) for e in (0, 1)} | {(61, 0): (50.0, 5.001), (61, 1): (50.5, 5.0)}
-    df = spark.createDataFrame([(s, e, *p) for (s, e), p in ends.items()], "seg int, pos int, lat double, lon double")
-
-    def nearest(a):
-        found = []
-        for b, (lat, lon) in ends.items():
-            dy, dx = (ends[a][0] - lat) * chains.DEGREE_KM, (ends[a][1] - lon) * np.cos(np.radians((ends[a][0] + lat) / 2)) * chains.DEGREE_KM
-            if a[0] != b[0] and (d := np.hypot(dx, dy)) <= 2:
-                found.append((round(d, 9), *b))
-        return min(found)[1:] if found else None
-
-    want = {(*a, *b) for a in ends if (b := nearest(a)) and nearest(b) == a}
-    assert {tuple(r) for r in chains.partners(df, 2.0).select("seg", "end", "seg2", "end2").collect()} == want and want
-    kept = chains.places(chains.ends_of(df))
-    assert kept.count() <= 2 * len(set(ends.values()))
-    assert "WindowGroupLimit" in kept._jdf.queryExecution().executedPlan().toString()

@@ -126,7 +126,7 @@ def test_limits_are_looked_up_in_the_index(spark, tmp_path, monkeypatch, order):
     monkeypatch.setattr(segments, "read_range", lambda path, offset=0, length=None: read.append(length) or plain(path, offset, length))
     for filters, match in LIMITS:
         read.clear()
-        reader = segments.SegmentReader(path)
+        reader = segments.PushingReader(path)
         assert list(reader.pushFilters(filters)) == []
         got = [s for p in reader.partitions() for b in reader.read(p) for s in set(b.column(0).to_pylist())]
         assert sorted(got) == [s for s, b in bounds.items() if match(shifted(b))]
@@ -149,11 +149,14 @@ def test_segment_files_of_a_folder(spark, tmp_path):
     unit = lambda v: (v * 1024 + (v < 0)) / 1024
     want = [(s, k, unit(a), unit(b)) for s, k, a, b in rows]
     assert sorted(map(tuple, vectors.decode(whole).collect())) == want
-    some = whole.filter("seg >= 30 AND seg < 33 AND lon_min > -1000 AND (pos = 0 OR pos = 1) AND seg IS NOT NULL")
+    pushed = spark.read.format("segment_file_pushed").load(str(tmp_path / "coast"))
+    some = pushed.filter("seg >= 30 AND seg < 33 AND lon_min > -1000 AND (pos = 0 OR pos = 1) AND seg IS NOT NULL")
     assert sorted((r.seg, r.pos) for r in some.collect()) == [(s, k) for s in (30, 31, 32) for k in (0, 1)]
-    reader = segments.SegmentReader(str(tmp_path / "coast"))
+    reader = segments.PushingReader(str(tmp_path / "coast"))
     list(reader.pushFilters([EqualTo(("seg",), 30)]))
     assert len(reader.partitions()) == 1
+    limited = segments.read_segments(spark, str(tmp_path / "coast"), seg=(30, 32), lon_min=(-1000, None))
+    assert limited.filter("seg <> 31").select("seg").distinct().count() == 2 and limited.select("seg").distinct().count() == 3
     assert segments.write_segment_files(df.limit(0), str(tmp_path / "none")) == []
     assert spark.read.format("segment_file").load(str(tmp_path / "none")).count() == 0
     with pytest.raises(Exception, match="more than"):

@@ -8,7 +8,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import staged, text_of
+from .common import new_folder, staged, text_of
 
 SHARDS = 24
 #: Bytes of text in a bucket, which one task holds; buckets whose counts are summed by one task.
@@ -33,17 +33,21 @@ def shuffled(docs: DataFrame, shards: int = SHARDS, seed: int = 11, id_col: str
     shuffles each bucket in memory. Buckets follow one another; the run of all rows is cut into shards whose row counts
     are at most one apart, and slot is the place in the shard, from 0. Reruns agree: a bucket is sorted by hash, id and
     text before its seeded permutation. A null text is none (size 8); null ids and repeated rows are records like any other;
-    an empty table gives an empty result. Input columns named as result columns are replaced.
+    an empty table gives an empty result. Input columns named as result columns are replaced. A text longer than bucket_bytes
+    makes its bucket that much larger.
 
-    A bucket's task is sent the number of rows before it; the driver holds no bucket.
+    Texts are read twice: for their sizes and hashes, and to scatter them. A bucket's task is sent the number of rows before
+    it; the driver holds no bucket.
     """
     docs = docs.drop("size", "shard", "slot")
     sized = docs.withColumn("size", F.octet_length(text_of(text_col)).cast("long") + 8)
-    total, n = sized.agg(F.coalesce(F.sum("size"), F.lit(0)), F.count("*")).first()
-    buckets = max(1, -(-total // bucket_bytes))
     own = F.xxhash64(text_of(text_col))
-    dealt = sized.withColumn("_t_hash", F.xxhash64(F.lit(seed), F.col(id_col), own)).withColumn("_t_text", own)
-    dealt = dealt.withColumn("_t_bucket", F.pmod(F.col("_t_hash"), F.lit(buckets)))
+    hashed = sized.withColumn("_t_hash", F.xxhash64(F.lit(seed), F.col(id_col), own))
+    hashes = staged(hashed.select("_t_hash", "size"), "hashes")  # sizes and counts of buckets come from these, not from texts
+    total, n = hashes.agg(F.coalesce(F.sum("size"), F.lit(0)), F.count("*")).first()
+    buckets = max(1, -(-total // bucket_bytes))
+    bucket = F.pmod(F.col("_t_hash"), F.lit(buckets))
+    dealt = hashed.withColumn("_t_text", own).withColumn("_t_bucket", bucket)
     each, more = divmod(n, shards)
     names = sized.columns
 
@@ -60,17 +64,21 @@ def shuffled(docs: DataFrame, shards: int = SHARDS, seed: int = 11, id_col: str
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in sized.schema.fields)
     tasks = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(buckets, 100_000))
-    begins = _begins(dealt.groupBy("_t_bucket").count())
+    begins = _begins(hashes.groupBy(bucket.alias("_t_bucket")).count())
     rows, starts = (x.repartition(tasks, "_t_bucket").groupBy("_t_bucket") for x in (dealt, begins))  # dealt alike: no second shuffle
     return rows.cogroup(starts).applyInArrow(permute, f"{fields}, shard int, slot long")
 
 
-def write_shards(docs: DataFrame, path: str, **options) -> None:
-    """Writes the shuffled records under ``path``, a folder for each shard, straight from the buckets: a file's records are
-    in the order of their slots, and a bucket's records are in one shard, or in two or more where it spans their ends."""
-    shuffled(docs, **options).sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
+def write_shards(docs: DataFrame, path: str, **options) -> DataFrame:
+    """Writes the shuffled records under ``path``, a folder for each shard, straight from the buckets, and returns what was
+    written, to be read from there: a file's records are in the order of their slots, and a bucket's records are in one shard,
+    or in two or more where it spans their ends. Cases are those of ``shuffled``; an empty table writes no shard."""
+    rows = shuffled(docs, **options)
+    rows.sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
+    return docs.sparkSession.read.schema(rows.schema).parquet(path)
 
 
 def op6_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = shuffled(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+    """The shards are written to the shared folder; the result is what their files hold."""
+    rows = write_shards(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), new_folder(spark, "shards"))
     return rows.select("doc_id", "size", F.crc32(text_of("text").cast("binary")).alias("text_crc32"), F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))

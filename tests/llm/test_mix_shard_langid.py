@@ -4,6 +4,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tessera.llm import langid, mixing, sharding
 
@@ -100,9 +101,19 @@ def test_shards_are_a_reference_permutation(spark, monkeypatch, tmp_path):
     want = {(s, k): order[cuts[s] + k] for s in range(shards) for k in range(cuts[s + 1] - cuts[s])}
     got = {(r.shard, r.slot): (r.doc_id, r.text) for r in sharding.shuffled(df, shards, seed, bucket_bytes=size).collect()}
     assert got == want
-    sharding.write_shards(df, str(tmp_path / "s"), shards=shards, seed=seed, bucket_bytes=size)
-    back = spark.read.parquet(str(tmp_path / "s"))
-    assert {(r.shard, r.slot): (r.doc_id, r.text) for r in back.collect()} == want
+    written = sharding.write_shards(df, str(tmp_path / "s"), shards=shards, seed=seed, bucket_bytes=size)
+    for back in (written, spark.read.parquet(str(tmp_path / "s"))):
+        assert {(r.shard, r.slot): (r.doc_id, r.text) for r in back.collect()} == want
+
+
+def test_shards_of_long_texts_and_of_nothing(spark, empty, tmp_path):
+    """A text 50 times a bucket, a null id, a null text and rows repeated come back whole from the files."""
+    rows = [(1, "word " * 50_000), (None, "a"), (2, None), (3, "b"), (3, "b"), (3, "b")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("shard", F.lit("own")).withColumn("_x", F.lit(1))
+    back = sharding.write_shards(df, str(tmp_path / "long"), shards=4, bucket_bytes=5000)
+    assert sorted(((r.doc_id, r.text) for r in back.collect()), key=str) == sorted(rows, key=str)
+    assert {r["count"] for r in back.groupBy("shard").count().collect()} == {1, 2}
+    assert sharding.write_shards(empty, str(tmp_path / "none")).count() == 0
 
 
 def test_shuffle_moves_rows(spark):

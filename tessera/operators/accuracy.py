@@ -15,11 +15,11 @@ LATTICE = 320
 
 
 def lattice(spark: SparkSession, m: MapDef, n: int = LATTICE) -> DataFrame:
-    """n x n points over the bounds of a map."""
+    """n x n points over the bounds of a map, from edge to edge: poles and seams are among them."""
     east = m.east + (360 if m.straddles else 0)
     ids = spark.range(n * n)
     i, j = F.expr(f"id div {n}"), F.col("id") % n
-    return ids.select("id", (m.south + (m.north - m.south) / n * (i + 0.5)).alias("lat"), (m.west + (east - m.west) / n * (j + 0.5)).alias("lon"))
+    return ids.select("id", (m.south + i / (n - 1) * (m.north - m.south)).alias("lat"), (m.west + j / (n - 1) * (east - m.west)).alias("lon"))
 
 
 def _summary(errors: DataFrame, where: list[str]) -> DataFrame:

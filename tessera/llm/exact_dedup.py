@@ -74,7 +74,8 @@ def possibly_repeated(hashed: DataFrame, n_rows: int) -> tuple[DataFrame, DataFr
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Every row of docs with text_sha256, keep_id (smallest id of its equal texts), group_size and kept.
 
-    A null text counts as empty. A null id sorts last. Where rows repeat both text and id, one of them is kept. An empty
+    A null text counts as empty; a text of any length is hashed whole in its own task, and only its hash goes on. A null id
+    sorts last. Where rows repeat both text and id, one of them is kept. An empty
     table gives an empty result. Other columns pass through; input columns named as result columns are replaced.
     """
     return judge(digests(docs.drop("keep_id", "group_size", "kept"), id_col, text_col), id_col)

@@ -217,7 +217,8 @@ def fit(docs: DataFrame, model_file: str, sample: int = SAMPLE, id_col: str = "d
 def predict(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """docs with lang_pred and score (the posterior of lang_pred at equal priors). A text without letters, or null, is
     ``und`` with score 0; so is every text if no language was learned. Whole texts of any length are scored; every row is
-    judged on its own, repeated ones alike, and an empty table gives an empty result. Columns named lang_pred or score
+    judged on its own, repeated ones alike, and an empty table gives an empty result. Of languages that are equally likely
+    the first by name is taken. Columns named lang_pred or score
     are replaced, others pass through."""
     sent = docs.sparkSession.sparkContext.broadcast(model)  # pieces of the vocabulary times languages
 

@@ -48,7 +48,7 @@ def mix_sources(docs: DataFrame, seed: int = 7, id_col: str = "doc_id", text_col
     order of their draws, up to the target: the one that reaches it is taken if at least half of it is below. No row is
     repeated more than ``epochs`` times. A null or empty text has size 0, a null source is a source of its own, a source
     without words has target 0, and repeated rows count each; an empty table gives an empty result. Extra columns pass
-    through; input columns named as result columns are replaced. Held are a row per source and 4096 bins of draws for
+    through; input columns named as result columns are replaced. A text is counted where it is read, at any length. Held are a row per source and 4096 bins of draws for
     each: their words are summed to find the bin in which a source's target falls, and only its rows are ordered.
     """
     docs = docs.drop(*RESULT)

@@ -262,7 +262,8 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """(id, fp, component_id) for each row of docs. component_id: smallest id reachable over links, its own included.
 
     A null text counts as empty (fingerprint 0, linked like any other). A row with a null id gets the component of its
-    fingerprint's other rows. Repeated rows each get a row. An empty table gives an empty result.
+    fingerprint's other rows. Repeated rows each get a row. An empty table gives an empty result. A text of any length is read
+    whole in its own task, which holds 8 bytes for each of its words; then only its fingerprint is used.
     """
     n_rows = docs.count()
     rows = staged(with_fingerprint(docs.select(id_col, text_col), text_col).select(id_col, "fp"), "simhash")

@@ -106,6 +106,7 @@ def judge_urls(pages: DataFrame, rules=RULES, url_col: str = "url", default: str
     The longest rule that fits decides; of rules of one length that with the longer host. Where none fits, the cascades
     say that no key of the url is listed, and the verdict is ``default``. A null url, or one without ``://``, has an
     empty host and path. Repeated rows, an empty table and extra columns are fine; columns named as results are replaced.
+    A url of any length is judged whole: its keys are made of the rules' lengths of path and of each suffix of the host.
     """
     spark = pages.sparkSession
     lengths = sorted({len(p) for _, _, p in rules})

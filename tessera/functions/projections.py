@@ -330,8 +330,8 @@ OFFSET = 0.0528035274542
 BANDS = ((0, 2), (1, 3), (4, 5, 8, 9), (6, 7, 10, 11))
 
 
-#: Nearer to a pole (radians) there is no result.
-POLE = 7e-9
+#: Cosine of the parametric latitude below which a place is the pole (0.1 mm away), and what sines may be above 1.
+POLE, ABOVE = 1e-7, 1 + 1e-14
 
 
 def _from_pole(s, delta):
@@ -369,7 +369,7 @@ class InterruptedHomolosine(Projection):
         theta = s.let(pi / 2 - _from_pole(s, s.let(pi / 2 - absolute(phi))) / 2) * sign(phi)
         x = where(middle, self.R * (lam0 + dlam * cos(phi)), self.R * (lam0 + 2 * 2**0.5 / pi * dlam * cos(theta)))
         y = where(middle, self.R * phi, self.R * (2**0.5 * sin(theta) - OFFSET * sign(phi)))
-        return x, y, either(middle, absolute(cos(phi)) > POLE)
+        return x, y, True
 
     def inverse(self, s, x, y):
         xr, yr = s.let(x / self.R), s.let(y / self.R)
@@ -380,9 +380,9 @@ class InterruptedHomolosine(Projection):
         a = s.let((yr + OFFSET * sign(yr)) / 2**0.5)
         theta = s.let(asinz(a))
         b = s.let((2 * theta + sin(2 * theta)) / pi)
-        lam = s.let(where(middle, normal_rad(lam0 + where(absolute(absolute(yr) - pi / 2) > 1e-8, div(dx, cos(yr)), 0.0)), lam0 + div(dx, 2 * 2**0.5 / pi * cos(theta))))
+        lam = s.let(where(middle, normal_rad(lam0 + where(absolute(absolute(yr) - pi / 2) > 1e-8, div(dx, cos(yr)), 0.0)), where(cos(theta) < POLE, lam0, lam0 + div(dx, 2 * 2**0.5 / pi * cos(theta)))))
         phi = where(middle, yr, asinz(b))
-        ok = both(either(middle, both(absolute(a) <= 1, absolute(b) <= 1)), both(lam >= west, lam <= east))
+        ok = both(either(middle, both(absolute(a) <= ABOVE, absolute(b) <= ABOVE)), both(lam >= west, lam <= east))
         return degrees(phi), normal_lon(degrees(lam)), ok
 
 
@@ -409,7 +409,8 @@ class AlbersConicEqualArea(Projection):
     def inverse(self, s, x, y):
         rho, lam = self._polar(s, x, y)
         chi = s.let(rho * self.n / self.R)
-        return degrees(asin((self.C - chi * chi) / (2 * self.n))), self.lon(lam), True
+        a = s.let((self.C - chi * chi) / (2 * self.n))
+        return where(absolute(a) <= ABOVE, degrees(asinz(a)), None), self.lon(lam), True
 
 
 class AlbersConicEqualAreaEllipsoid(AlbersConicEqualArea):

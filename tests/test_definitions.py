@@ -149,7 +149,10 @@ def test_homolosine_solves_its_equation():
         left = v - math.sin(v) if v > 0.05 else v**3 / 6 - v**5 / 120 + v**7 / 5040
         assert left == pytest.approx(size, rel=1e-9)
     goode = MapDef("Goode Homolosine", lat0=0, lon0=0)
-    assert math.isnan(T.map_xy(goode, Now(), 90.0, 20.0)[0]) and not math.isnan(T.map_xy(goode, Now(), 89.999999, 20.0)[0])
+    for lat, lon in ((90.0, 20.0), (-90.0, 20.0), (90.0, -180.0), (-90.0, 180.0), (89.999999, 20.0)):
+        x, y = T.map_xy(goode, Now(), lat, lon)
+        assert abs(y) == pytest.approx((2**0.5 - projections.OFFSET) * goode.Rg, rel=1e-9)  # one pole in each lobe
+        assert T.geo_of_xy(goode, Now(), x, y)[0] == pytest.approx(lat, abs=2e-6)
 
 
 def test_series_constants():

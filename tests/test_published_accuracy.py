@@ -87,9 +87,9 @@ GRIDS = {
     "universal_transverse_mercator_e01": (0, 0.00014576),
 }
 
-#: A pole that lies at infinity, or on a cut, has no result here and has one (no number, or far off) there.
+#: A pole that lies at infinity has no result here and has one (no number) there; poles and seams that rounding takes off the map are fewer.
 POLES = {
-    "albers_conic_equal_area_s00": 304, "albers_conic_equal_area_s01": 304, "homolosine_s00": 776, "integerized_sinusoidal_s00": 32, "lambert_conic_conformal_e00": 320,
+    "albers_conic_equal_area_s00": 0, "albers_conic_equal_area_s01": 0, "homolosine_s00": 136, "integerized_sinusoidal_s00": 32, "lambert_conic_conformal_e00": 320,
     "polar_stereographic_e00": 320, "polar_stereographic_e01": 320, "polar_stereographic_s00": 320, "polar_stereographic_s01": 320,
 }
 #: Last bits of cell numbers up to some thousands.

@@ -29,8 +29,8 @@ ORDERS = {"lat_max": (1, False), "lon_max": (2, False), "lat_min": (3, True), "l
 #: Columns of an index entry.
 LIMITED = ("seg", "lat_max", "lon_max", "lat_min", "lon_min")
 FIELDS = ("seg", "lat0", "lon0", "lat_max", "lon_max", "lat_min", "lon_min", "address", "size")
-#: Gaps between segments' data that are read over rather than sought over.
-GAP = 4096
+#: Gaps between segments' data that are read over rather than sought over, and bytes that are read at once (more for a longer segment).
+GAP, RUN = 4096, 2**20
 
 
 class Segments(InputPartition):
@@ -163,21 +163,24 @@ class SegmentReader(DataSourceReader):
             c = entries[:, FIELDS.index(field)]
             keep &= (c >= low) & (c <= high) & (np.isin(c, values) if values is not None else True)
         entries = entries[keep]
-        entries = entries[np.argsort(entries[:, 7], kind="stable")]
+        entries = entries[np.lexsort((entries[:, 8], entries[:, 7]))]  # a segment of one point has no data, and the address of the next one
         begin = 0
-        while begin < len(entries):  # segments whose data are near each other are read at once
+        while begin < len(entries):  # segments whose data are near each other are read at once, and are rows of one batch
             end = begin + 1
-            while end < len(entries) and entries[end, 7] - entries[end - 1, 7] - entries[end - 1, 8] <= GAP and entries[end, 7] + entries[end, 8] - entries[begin, 7] < 2**23:
+            while end < len(entries) and entries[end, 7] - entries[end - 1, 7] - entries[end - 1, 8] <= GAP and entries[end, 7] + entries[end, 8] - entries[begin, 7] < RUN:
                 end += 1
-            start = int(entries[begin, 7])
-            data = read_range(partition.path, start, int(entries[end - 1, 7] + entries[end - 1, 8]) - start)
-            for e in entries[begin:end].tolist():
-                steps = np.frombuffer(data, ">i2", e[8] // 2, e[7] - start).reshape(-1, 2).astype(np.int32)
-                steps = np.concatenate([np.zeros((1, 2), np.int32), steps])
-                n = len(steps)
-                whole = lambda v: pa.array(np.full(n, v, np.int32))  # noqa: B023, E731
-                bounds = [pa.array(np.full(n, e[k] / 1024)) for k in range(3, 7)]  # noqa: B023
-                yield pa.RecordBatch.from_arrays([whole(e[0]), pa.array(np.arange(n, dtype=np.int32)), whole(e[1]), whole(e[2]), pa.array(steps[:, 0]), pa.array(steps[:, 1]), *bounds], ["seg", "pos", "lat0", "lon0", "dlat", "dlon", *FIELDS[3:7]])
+            start, e = int(entries[begin, 7]), entries[begin:end]
+            data = np.frombuffer(read_range(partition.path, start, int(e[-1, 7] + e[-1, 8]) - start), np.uint8)
+            n = e[:, 8] // 4 + 1  # points; the first has no step
+            first = np.cumsum(n) - n
+            of = np.repeat(np.arange(len(e)), n)
+            pos = np.arange(len(of)) - first[of]
+            steps, after = np.zeros((len(of), 2), np.int32), pos > 0
+            at = (e[of, 7] - start + 4 * (pos - 1))[after]
+            steps[after] = data[at[:, None] + np.arange(4)].reshape(-1).view(">i2").reshape(-1, 2)
+            whole = [pa.array(e[of, k].astype(np.int32)) for k in range(3)]
+            bounds = [pa.array(e[of, k] / 1024) for k in range(3, 7)]
+            yield pa.RecordBatch.from_arrays([whole[0], pa.array(pos.astype(np.int32)), *whole[1:], pa.array(steps[:, 0]), pa.array(steps[:, 1]), *bounds], ["seg", "pos", "lat0", "lon0", "dlat", "dlon", *FIELDS[3:7]])
             begin = end
 
 

@@ -297,3 +297,13 @@ def test_contract():
 
     assert set(entry.oracle_sql()) <= set(entry.queries())
     assert len(entry.queries()) > 100
+
+
+def test_segments_of_one_point_share_an_address(spark, tmp_path):
+    """The one-point segment has no data and comes later in the index than the segment whose address it has."""
+    rows = [(1, 0, 5.0, 30.0), (2, 0, 1.0, 10.0), (2, 1, 2.0, 11.0), (3, 0, 6.0, 40.0), (4, 0, 7.0, 120.0), (4, 1, 7.5, 121.0), (4, 2, 8.0, 122.0)]
+    path = str(tmp_path / "shared")
+    segments.write_segment_files(spark.createDataFrame(rows, "seg int, pos int, lat double, lon double").coalesce(1), path, order="lon_min")
+    for limits, kept in (({}, {1, 2, 3, 4}), ({"lon_min": (0, 100)}, {1, 2, 3})):
+        got = vectors.decode(segments.read_segments(spark, path, **limits))
+        assert sorted(map(tuple, got.collect())) == [r for r in rows if r[0] in kept]

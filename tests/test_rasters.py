@@ -381,3 +381,24 @@ def test_extension_point(spark, monkeypatch):
     s = Steps(spark.createDataFrame([(1.0, 2.0)], "lat double, lon double"))
     x, y = T.map_xy(m, s, F.col("lat"), F.col("lon"))
     assert tuple(s.df.select(x, y).first()) == (2.0, 1.0)
+
+
+def test_stencils_send_a_place_once(spark, values):
+    """No broadcast of places times samples, whose size the planner takes for that of the places' numbers, and no sums by place."""
+    src = table(spark, values)
+    points_ = spark.createDataFrame([(1, 10.0, 20.0)], "id int, lat double, lon double")
+    for df in (resample.regrid(src, FINE, WIDE, "cubic", whole=False), resample.regrid(src, FINE, WIDE, "bilinear", whole=False), extract.extract(points_, src, FINE, ["id"], "distance"), extract.extract(points_, src, FINE, ["id"], "average")):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "Broadcast" not in plan and "keys=[id" not in plan and "keys=[i#" not in plan and plan.count("Exchange hashpartitioning") <= 3
+
+
+@pytest.mark.parametrize("low, high", [(0, 1), (-1, 2), (-2, 3)])
+def test_neighbourhoods_over_tiles(spark, low, high):
+    g, rng = GridDef(EAST, 150, 140, 1 / 2, None, 74.5, 69.5), np.random.default_rng(4)
+    cells_ = {(int(r), int(c)): float(v) for v, (r, c) in enumerate(zip(*np.nonzero(rng.random((140, 150)) < 0.3), strict=True))}
+    df = spark.createDataFrame([(r, c, v) for (r, c), v in cells_.items()], "row int, col int, value double")
+    square = [(dr, dc) for dr in range(low, high + 1) for dc in range(low, high + 1)]
+    want = {(r - dr, c - dc) for r, c in cells_ for dr, dc in square}
+    got = cells.neighbourhoods(df, g, low, high).collect()
+    assert len(got) == len(want) and {(x["_row"], x["_col"]) for x in got} == want
+    assert all(x[f"_v{k}"] == cells_.get((x["_row"] + dr, x["_col"] + dc)) for x in got for k, (dr, dc) in enumerate(square))

@@ -402,3 +402,12 @@ def test_neighbourhoods_over_tiles(spark, low, high):
     got = cells.neighbourhoods(df, g, low, high).collect()
     assert len(got) == len(want) and {(x["_row"], x["_col"]) for x in got} == want
     assert all(x[f"_v{k}"] == cells_.get((x["_row"] + dr, x["_col"] + dc)) for x in got for k, (dr, dc) in enumerate(square))
+
+
+def test_tall_factors_are_made_of_small_ones(monkeypatch):
+    qr, heights, rows = np.linalg.qr, [], np.random.default_rng(5).random((10_007, 17))
+    monkeypatch.setattr(models.np.linalg, "qr", lambda a, mode: heights.append(a.shape[-2]) or qr(a, mode=mode))
+    r = models._factors(np.zeros((0, 17)), [rows, rows[:1], rows[:700]])
+    assert max(heights) <= models.TALL
+    all_rows = np.vstack([rows, rows[:1], rows[:700]])
+    assert np.allclose(r.T @ r, all_rows.T @ all_rows, rtol=1e-12)

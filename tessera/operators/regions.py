@@ -42,7 +42,8 @@ def pieces(regions: DataFrame, id_col: str, corners_col: str) -> DataFrame:
     """region, pieces (each the normals of a convex polygon), cap (x, y, z, and rho: degrees from there to the furthest corner).
 
     corners_col: an array of (lat, lon), clockwise, of a convex polygon in less than a hemisphere, or of a quadrangle with one
-    reflex corner, which is cut there into two triangles. Regions of fewer than three corners, or with a null in one, are none.
+    reflex corner, which is cut there into two triangles; one that is turned the other way, as of edges that cross, holds nothing.
+    Regions of fewer than three corners, or with a null in one, are none.
     """
     given = regions.filter((F.size(corners_col) >= 3) & ~F.exists(corners_col, lambda c: c["lat"].isNull() | c["lon"].isNull()))
     df = given.select(F.col(id_col).alias("region"), F.transform(corners_col, lambda c: _vector(c["lat"], c["lon"])).alias("c"))
@@ -52,6 +53,7 @@ def pieces(regions: DataFrame, id_col: str, corners_col: str) -> DataFrame:
     df = df.withColumn("k", reflex)
     turned = lambda step: F.get("c", (F.col("k") + step) % 4)
     halves = F.array(F.array(turned(0), turned(1), turned(2)), F.array(turned(0), turned(2), turned(3)))
+    halves = F.filter(halves, lambda t: _dot(t[0], _cross(t[1], t[2])) < TINY)
     df = df.withColumn("parts", F.when(F.col("k").isNull(), F.array("c")).otherwise(halves))
     total = F.aggregate("c", F.struct(*(F.lit(0.0).alias(k) for k in "xyz")), lambda a, v: F.struct(*((a[k] + v[k]).alias(k) for k in "xyz")))
     df = df.withColumn("m", total)

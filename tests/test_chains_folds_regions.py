@@ -158,3 +158,25 @@ def test_points_in_regions_are_brute_force(spark):
     cells = regions.covering(regions.pieces(quads, "region", "corners")).groupBy("region").count().collect()
     assert max(r["count"] for r in cells) < 1500
     assert regions.points_in_regions(points.limit(0), quads).count() == 0 and regions.points_in_regions(points, quads.limit(0)).count() == 0
+
+
+def test_regions_whose_edges_cross_hold_nothing_on_the_far_side(spark, tmp_path):
+    """Quadrangles of suppliers near the poles, where a great circle runs beyond the fourth corner: the triangle that is turned the
+    other way has half-planes that meet opposite of it. The query and its SQL keep to the near side."""
+    import duckdb
+
+    from tessera import queries
+
+    keys = np.arange(3_000_000)
+    place = np.stack([keys * 104729 % 179000 / 1000 - 89.4863, keys * 7907 % 359000 / 1000 - 179.4863], 1)
+    supp = [3276, 1560, 48, 84, 5, 7]
+    lat, lon = (np.array([s * m % n / 1000 - o for s in supp]) for m, n, o in ((7919, 140000, 70), (611953, 320000, 160)))
+    near = [k for a, b in zip([*lat, *-lat], [*lon, *(lon + 180)], strict=True) for k in np.flatnonzero((abs(place[:, 0] - a) < 2) & (abs((place[:, 1] - b + 180) % 360 - 180) < 4))]
+    spark.createDataFrame([(s,) for s in supp], "s_suppkey long").write.parquet(f"{tmp_path}/supplier.parquet")
+    spark.createDataFrame([(int(k),) for k in near], "c_custkey long").write.parquet(f"{tmp_path}/customer.parquet")
+    got = sorted(map(tuple, queries.QUERIES["points_in_regions"](spark, str(tmp_path)).collect()))
+    con = duckdb.connect()
+    for t in ("supplier", "customer"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet/*.parquet'")
+    assert got == sorted(con.execute(queries.SQL["points_in_regions"]).fetchall())
+    assert all(abs(place[c, 0] - (s * 7919 % 140000 / 1000 - 70)) < 13 for c, s in got) and len(got) > 10

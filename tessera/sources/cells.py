@@ -17,13 +17,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-from .files import read_range
+from .files import file_size, read_range
 from .parts import joined, write_parts
 
 #: Fixed values of the format: bytes of a physical record, rows and columns of cells, biases of an offset and of a step.
 PHYSICAL, ROWS, COLS, FAR, NEAR = 3072, 180, 360, 262144, 128
-#: Bytes that a task reads at once, blocks that it keeps, and cells to a partition.
-BLOCK, KEPT, CELLS = 32 * PHYSICAL, 64, 2000
+#: Bytes that a task reads at once, blocks that it keeps, and cells and (on average) bytes to a partition.
+BLOCK, KEPT, CELLS, SHARE = 32 * PHYSICAL, 64, 2000, 4 * 2**20
+#: Points, and records, to an Arrow batch.
+POINTS = 10_000
 
 
 class CellRange(InputPartition):
@@ -81,26 +83,35 @@ class Records:
             number = int.from_bytes(record[self.full + 1 :], "big")
 
 
-def strokes(data: bytes, cell: int, units: float) -> list[tuple]:
-    """(rank, onward, latitudes, longitudes) of the strokes of a cell."""
-    out, at, rank, lat, lon = [], 0, 0, 0.0, 0.0
+def strokes(data: bytes, cell: int, units: float) -> tuple[np.ndarray, ...]:
+    """The points of a cell's strokes: part, rank, onward, pos, lat, lon. Heads are found one after the other, as each says where the
+    next is; the rest is done for all points at once, in whole units."""
+    heads, at = [], 0
     while at + 6 <= len(data):
-        onward, count = data[at] >= 128, (data[at] % 128) * 4 + data[at + 1] // 64 + 1
-        dlat, dlon = (int.from_bytes(data[k : k + 2], "big") for k in (at + 2, at + 4))
-        if onward:
-            lat += (dlat + (data[at + 1] % 64 // 8) * 65536 - FAR) / units
-            lon += (dlon + (data[at + 1] % 8) * 65536 - FAR) / units
-        else:
-            rank, lat, lon = data[at + 1] % 64, cell // COLS - 90 + dlat / units, cell % COLS - 180 + dlon / units
-        steps = np.frombuffer(data, np.uint8, 2 * min(count - 1, (len(data) - at - 6) // 2), at + 6).reshape(-1, 2).astype(float) - NEAR
-        lats, lons = np.cumsum(np.append(lat, steps[:, 0] / units)), np.cumsum(np.append(lon, steps[:, 1] / units))
-        out.append((rank, onward, lats, lons))
-        lat, lon, at = lats[-1], lons[-1], at + 6 + 2 * len(steps)
-    return out
+        heads.append(at)
+        at += 6 + 2 * min(data[at] % 128 * 4 + data[at + 1] // 64, (len(data) - at - 6) // 2)
+    raw, head = np.frombuffer(data, np.uint8), np.array(heads, np.int64)
+    count = (np.diff(np.append(head, at)) - 6) // 2 + 1
+    part = np.repeat(np.arange(len(head)), count)
+    pos = np.arange(len(part)) - np.repeat(np.cumsum(count) - count, count)
+    flags, low = raw[head].astype(np.int64), raw[head + 1].astype(np.int64) % 64
+    onward = flags >= 128
+    fresh = np.maximum.accumulate(np.where(onward, -1, np.arange(len(head)))) if len(head) else head  # the stroke that one goes on from
+    rank = np.where(fresh < 0, 0, low[fresh])
+    first, here, point = pos == 0, head[part], {}
+    own = np.cumsum(count) - count  # the first point of each stroke
+    for k, high, corner in ((0, low // 8, cell // COLS - 90), (1, low % 8, cell % COLS - 180)):
+        offset = raw[head + 2 + 2 * k].astype(np.int64) * 256 + raw[head + 3 + 2 * k]
+        step = raw[np.where(first, here, here + 4 + 2 * pos + k)].astype(np.int64) - NEAR
+        step[own] = np.where(onward, offset + high * 65536 - FAR, 0)
+        run = np.cumsum(step)
+        base = np.where(fresh < 0, 0, offset[fresh] - run[own[fresh]])
+        point[k] = np.where(fresh < 0, 0, corner)[part] + (run + base[part]) / units
+    return part, rank[part], onward[part], pos, point[0], point[1]
 
 
 class StrokesReader(DataSourceReader):
-    """A partition for each CELLS cells that the bitmap has; chains are followed wherever in the file they go."""
+    """A partition for each CELLS cells that the bitmap has, or for fewer where these have over SHARE bytes; chains are followed wherever in the file they go."""
 
     def __init__(self, options):
         self.path = options["path"]
@@ -109,41 +120,51 @@ class StrokesReader(DataSourceReader):
     def partitions(self):
         south, north, west, east = self.box
         cells = Records(self.path).bitmap()
+        self.cells = len(cells)
         lat, lon = cells // COLS - 90, cells % COLS - 180
         inside = (lon >= west) & (lon < east) if west <= east else (lon >= west) | (lon < east)
         cells = cells[(lat >= south) & (lat < north) & inside]
-        return [CellRange(cells[k : k + CELLS].tolist()) for k in range(0, len(cells), CELLS)]
+        some = max(1, min(CELLS, SHARE * self.cells // max(1, file_size(self.path))))
+        return [CellRange(cells[k : k + some].tolist()) for k in range(0, len(cells), some)]
 
     def read(self, partition):
         if partition is None:  # there are none
             return
         records = Records(self.path)
         for cell in partition.cells:
-            for part, (rank, onward, lat, lon) in enumerate(strokes(records.of_cell(cell), cell, records.units)):
-                n = len(lat)
-                columns = [np.full(n, cell, np.int32), np.full(n, part, np.int32), np.full(n, rank, np.int32), np.full(n, onward), np.arange(n, dtype=np.int32), lat, lon]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["cell", "part", "rank", "onward", "pos", "lat", "lon"])
-
-
-def packed(segs: list[tuple], cell: int, units: int) -> bytes:
-    """Strokes of (rank, latitudes, longitudes in whole units from the South Pole and the date line) as bytes: a new one wherever a
-    step doesn't fit in a byte or the points in the count."""
-    out = bytearray()
-    for rank, lat, lon in segs:
-        here, at = None, 0
-        while at < len(lat):
-            dlat, dlon = (int(lat[at]) - cell // COLS * units, int(lon[at]) - cell % COLS * units) if here is None else (int(lat[at]) - here[0] + FAR, int(lon[at]) - here[1] + FAR)
-            end = at + 1
-            while end < len(lat) and end - at < 512 and -NEAR <= lat[end] - lat[end - 1] < NEAR and -NEAR <= lon[end] - lon[end - 1] < NEAR:
-                end += 1
-            count, onward = end - at - 1, here is not None
-            if not (0 <= dlat < (2 * FAR if onward else 65536) and 0 <= dlon < (2 * FAR if onward else 65536)):
-                raise OverflowError("a stroke starts too far from its cell or from the point before")
-            low = (dlat // 65536 * 8 + dlon // 65536) if onward else int(rank) % 64
-            out += bytes([128 * onward + count // 4, count % 4 * 64 + low]) + (dlat % 65536).to_bytes(2, "big") + (dlon % 65536).to_bytes(2, "big")
-            out += (np.stack([np.diff(lat[at:end]), np.diff(lon[at:end])], 1) + NEAR).astype(np.uint8).tobytes()
-            here, at = (int(lat[end - 1]), int(lon[end - 1])), end
-    return bytes(out)
+            part, rank, onward, pos, lat, lon = strokes(records.of_cell(cell), cell, records.units)
+            whole = [np.full(len(part), cell), part, rank, onward, pos, lat, lon]
+            for at in range(0, len(part), POINTS):
+                columns = [c[at : at + POINTS] for c in whole]
+                yield pa.RecordBatch.from_arrays([pa.array(c.astype(np.int32) if c.dtype == np.int64 else c) for c in columns], ["cell", "part", "rank", "onward", "pos", "lat", "lon"])
+
+
+def packed(seg: np.ndarray, lat: np.ndarray, lon: np.ndarray, rank: np.ndarray, cell: int, units: int) -> bytes:
+    """The points of a cell, segment by segment and in whole units from the South Pole and the date line, as bytes of strokes: a new
+    one wherever a step doesn't fit in a byte or the points in the count."""
+    n, at = len(seg), np.arange(len(seg))
+    start = np.append(True, seg[1:] != seg[:-1])[:n]
+    dlat, dlon = (np.diff(v, prepend=v[:1]) for v in (lat, lon))
+    near = (-NEAR <= dlat) & (dlat < NEAR) & (-NEAR <= dlon) & (dlon < NEAR)
+    run = np.maximum.accumulate(np.where(start | ~near, at, 0))  # where steps that fit began
+    head = np.flatnonzero((at - run) % 512 == 0)
+    onward = ~start[head]
+    a = np.where(onward, dlat[head] + FAR, lat[head] - cell // COLS * units)
+    b = np.where(onward, dlon[head] + FAR, lon[head] - cell % COLS * units)
+    most = np.where(onward, 2 * FAR, 65536)
+    if not ((0 <= a) & (a < most) & (0 <= b) & (b < most)).all():
+        raise OverflowError("a stroke starts too far from its cell or from the point before")
+    size = np.full(n, 2)
+    size[head] = 6
+    end = np.cumsum(size)
+    out = np.zeros(int(size.sum()), np.uint8)
+    step = np.delete(at, head)
+    out[end[step] - 2], out[end[step] - 1] = dlat[step] + NEAR, dlon[step] + NEAR
+    count = np.diff(np.append(head, n)) - 1
+    low = np.where(onward, a // 65536 * 8 + b // 65536, rank[head] % 64)
+    for k, v in enumerate((128 * onward + count // 4, count % 4 * 64 + low, a // 256 % 256, a % 256, b // 256 % 256, b % 256)):
+        out[end[head] - 6 + k] = v
+    return out.tobytes()
 
 
 def write_strokes(points: DataFrame, path: str, size: int = 64, scale: int = 10) -> str:
@@ -162,9 +183,7 @@ def write_strokes(points: DataFrame, path: str, size: int = 64, scale: int = 10)
     def of_cell(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         t = table.sort_by([("seg", "ascending"), ("pos", "ascending")])
         seg, a, b, own = (np.asarray(t.column(c)) for c in ("seg", "a", "b", "own"))
-        cuts = np.flatnonzero(np.diff(seg)) + 1
-        segs = [(own[k[0]], a[k], b[k]) for k in np.split(np.arange(len(seg)), cuts)]
-        data = packed(segs, key[0].as_py(), units)
+        data = packed(seg, a, b, own, key[0].as_py(), units)
         return pa.table({"cell": pa.array([key[0].as_py()], pa.int32()), "data": pa.array([data], pa.binary()), "n": pa.array([-(-len(data) // full)], pa.int32())})
 
     from ..plans.state import settled
@@ -178,11 +197,16 @@ def write_strokes(points: DataFrame, path: str, size: int = 64, scale: int = 10)
     def records(batches):
         for batch in batches:
             for cell, data, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                for k in range(n):
-                    piece, last = data[k * full : (k + 1) * full], k == n - 1
-                    end = bytes([len(piece) + 1, 0, 0, 0]) if last else b"\0" + (more[cell] + k).to_bytes(3, "big")
-                    number = first + cell + 1 if k == 0 else more[cell] + k - 1
-                    yield pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([piece.ljust(full, b"\0") + end], pa.binary())], ["number", "record"])
+                last, follow = n - 1, np.arange(n) + more[cell]
+                whole = np.zeros((n, size), np.uint8)
+                whole[:, :full] = np.frombuffer(data.ljust(n * full, b"\0"), np.uint8).reshape(n, full)
+                whole[:last, full + 1 :] = np.stack([follow[:last] >> 16, follow[:last] >> 8, follow[:last]], 1) & 255
+                whole[last, full] = len(data) - last * full + 1
+                number = np.append(first + cell + 1, follow[:last])
+                for at in range(0, n, POINTS):
+                    piece = whole[at : at + POINTS]
+                    record = pa.FixedSizeBinaryArray.from_buffers(pa.binary(size), len(piece), [None, pa.py_buffer(piece.tobytes())])
+                    yield pa.RecordBatch.from_arrays([pa.array(number[at : at + POINTS], pa.int64()), record.cast(pa.binary())], ["number", "record"])
 
     bits = np.zeros(ROWS * COLS, np.uint8)
     bits[list(counts)] = 1
@@ -193,11 +217,10 @@ def write_strokes(points: DataFrame, path: str, size: int = 64, scale: int = 10)
     def pack(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         begin = key[0].as_py() * block
         n = -(-min(block, extra - 1 - begin) // per)
-        data = np.zeros((n, PHYSICAL), np.uint8)
-        for number, record in zip(table.column("number").to_pylist(), table.column("record").to_pylist(), strict=True):
-            if record:
-                k = number - 1 - begin
-                data[k // per, k % per * size : k % per * size + size] = np.frombuffer(record, np.uint8)
+        data = np.zeros((n * per, size), np.uint8)
+        known = table.filter(table.column("record").is_valid())
+        if len(known):
+            data[known.column("number").to_numpy() - 1 - begin] = np.frombuffer(b"".join(known.column("record").to_pylist()), np.uint8).reshape(-1, size)
         return pa.table({"place": pa.array([key[0].as_py()], pa.int64()), "name": ["records"], "data": pa.array([data.tobytes()], pa.binary()), "note": pa.array([None], pa.string())})
 
     spine = spark.range(-(-(extra - 1) // block)).select((F.col("id") * block + 1).alias("number"), F.lit(None).cast("binary").alias("record"))

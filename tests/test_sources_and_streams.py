@@ -199,6 +199,17 @@ def test_strokes_come_back(spark, tmp_path, monkeypatch, size):
         strokes.write_strokes(df, str(tmp_path / "odd"), 60)
 
 
+def test_strokes_of_a_cell_come_in_one_batch(spark, tmp_path):
+    """Steps too far for a byte make a stroke of every point; the reader gives them together, and the records come so as well."""
+    rows = [(1, k, 10.0 + k % 7 / 10, 20.0 + k % 11 / 20, 3) for k in range(300)]
+    file = strokes.write_strokes(spark.createDataFrame(rows, "seg int, pos int, lat double, lon double, rank int"), str(tmp_path / "bank"))
+    reader = strokes.StrokesReader({"path": file})
+    (part,) = reader.partitions()
+    (batch,) = reader.read(part)
+    assert batch.column("part").to_pylist() == list(range(300)) and set(batch.column("pos").to_pylist()) == {0} and set(batch.column("rank").to_pylist()) == {3}
+    assert all(abs(a - r[2]) < 1e-9 and abs(b - r[3]) < 1e-9 for r, a, b in zip(rows, batch.column("lat").to_pylist(), batch.column("lon").to_pylist(), strict=True))
+
+
 def test_strokes_of_a_broken_chain(tmp_path):
     """Records that run in a ring are told, not followed for ever."""
     ring = bytearray(5000 * 64)

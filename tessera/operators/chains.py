@@ -9,7 +9,9 @@ task each, larger ones all together in rounds of which each takes the next step
 from __future__ import annotations
 
 import math
+from itertools import chain as chain_
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -20,6 +22,8 @@ from ..plans.state import settled
 DEGREE_KM = 111.1989
 #: Segments of a component that one task holds (some 100 bytes each).
 LIMIT = 1_000_000
+#: Degrees of a tile whose links are looked at together, and links that a task holds (16 bytes each).
+TILE, SOME = 2, 1_000_000
 
 
 def ends_of(points: DataFrame) -> DataFrame:
@@ -35,10 +39,42 @@ def _cell(lat: Column, lon: Column, row: Column, km: float) -> Column:
     return F.shiftleft(row.cast("long"), 32) + F.floor((lon + 180) * wide * DEGREE_KM / km)
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """node, root (the least node of its component) of edges (a, b), both directions of a node without others included as
-    (a, a). Large and small stars in turn: every node's neighbours link to the least one, until nothing changes."""
-    now = settled(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+def starred(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Links (node, the least node of its component) in place of links (a, b): as many components of the same nodes, and no link more
+    than they need."""
+    nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    x, y, label = at[: len(a)], at[len(a) :], np.arange(len(nodes))
+    while (open_ := label[x] != label[y]).any():
+        x, y = x[open_], y[open_]
+        high, low = np.maximum(label[x], label[y]), np.minimum(label[x], label[y])
+        np.minimum.at(label, high, low)
+        while (next_ := label[label]).tobytes() != label.tobytes():
+            label = next_
+    other = label != np.arange(len(nodes))
+    return nodes[other], nodes[label[other]]
+
+
+def fewer(edges: DataFrame) -> DataFrame:
+    """Edges (a, b) that link the same nodes as those of edges (a, b, tile): SOME at a time, mostly of one tile, become stars."""
+
+    def run(batches):
+        held, n = [], 0
+        for batch in chain_(batches, [None]):
+            if batch is not None:
+                held.append(batch)
+                n += batch.num_rows
+            if n and (batch is None or n >= SOME):
+                a, b = (np.concatenate([h.column(c).to_numpy() for h in held]) for c in (0, 1))
+                yield pa.RecordBatch.from_arrays([pa.array(v) for v in starred(a, b)], ["a", "b"])
+                held, n = [], 0
+
+    return edges.repartition("tile").select("a", "b").mapInArrow(run, "a long, b long")
+
+
+def roots(edges: DataFrame) -> DataFrame:
+    """node, root (the least node of its component) of nodes that edges (a > b) link. Large and small stars in turn: every node's
+    neighbours link to the least one, until nothing changes."""
+    now = settled(edges.distinct())
     while True:
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
@@ -49,23 +85,22 @@ def components(edges: DataFrame) -> DataFrame:
         same = after.count() == now.count() and after.join(now, ["a", "b"], "left_anti").isEmpty()
         now = after
         if same:
-            break
-    nodes = edges.select(F.col("a").alias("node")).union(edges.select("b")).distinct()
-    return nodes.join(now.withColumnsRenamed({"a": "node", "b": "root"}), "node", "left").select("node", F.coalesce("root", "node").alias("root"))
+            return now.withColumnsRenamed({"a": "node", "b": "root"})
 
 
 def grouped(ends: DataFrame, km: float) -> DataFrame:
     """ends with comp: segments with ends in one cell or in cells beside each other are in one component, so that no two ends
-    within reach are in different ones. Cells are linked, never pairs of ends: a crowded cell costs its rows only."""
-    each = ends.select("seg", F.explode(F.array(F.struct(F.col("alat").alias("lat"), F.col("alon").alias("lon")), F.struct(F.col("blat").alias("lat"), F.col("blon").alias("lon")))).alias("p"))
-    row = F.floor((F.col("p.lat") + 90) * DEGREE_KM / km)
-    own = settled(each.select("seg", _cell(F.col("p.lat"), F.col("p.lon"), row, km).alias("cell"), F.explode(F.array(*(row + d for d in (-1, 0, 1)))).alias("_r"), "p").select("seg", "cell", _cell(F.col("p.lat"), F.col("p.lon"), F.col("_r"), km).alias("beside")))
-    cells = own.select("cell").distinct()
-    beside = own.select("cell", F.explode(F.array(*(F.col("beside") + d for d in (-1, 0, 1)))).alias("other")).distinct()
-    links = beside.join(cells.withColumnRenamed("cell", "other"), "other")
-    ways = own.groupBy("seg").agg(F.min("cell").alias("a"), F.max("cell").alias("b"))
-    found = components(links.select(F.col("cell").alias("a"), F.col("other").alias("b")).unionByName(ways.select("a", "b")))
-    of = ways.select("seg", F.col("a").alias("node")).join(found, "node").select("seg", F.col("root").alias("comp"))
+    within reach are in different ones. Cells are linked, never pairs of ends: a crowded cell costs its rows only. A cell looks at the
+    next one in its row and at three in the row above; the others look at it."""
+    row = lambda e: F.floor((F.col(f"{e}lat") + 90) * DEGREE_KM / km)
+    cell = lambda e, d=0: _cell(F.col(f"{e}lat"), F.col(f"{e}lon"), row(e) + d, km)
+    tile = lambda e: (F.floor((F.col(f"{e}lat") + 90) / TILE) * 1000 + F.floor((F.col(f"{e}lon") + 180) / TILE)).cast("int")
+    own = ends.select(F.explode(F.array(*(F.struct(cell(e).alias("cell"), cell(e, 1).alias("above"), tile(e).alias("tile")) for e in "ab"))).alias("p")).select("p.*").distinct()
+    cells = ends.select(F.explode(F.array(cell("a"), cell("b"))).alias("b")).distinct()
+    links = own.select(F.col("cell").alias("a"), "tile", F.explode(F.array(F.col("cell") + 1, *(F.col("above") + d for d in (-1, 0, 1)))).alias("b")).join(cells, "b")
+    ways = ends.select("seg", F.least(cell("a"), cell("b")).alias("a"), F.greatest(cell("a"), cell("b")).alias("b"), F.coalesce(tile("a"), tile("b")).alias("tile"))
+    found = roots(fewer(links.select("a", "b", "tile").unionByName(ways.filter("a <> b").select("a", "b", "tile"))))
+    of = ways.select("seg", F.col("a").alias("node")).filter("node is not null").join(found, "node", "left").select("seg", F.coalesce("root", "node").alias("comp"))
     return ends.join(of, "seg")
 
 
@@ -78,7 +113,7 @@ def distance(lat: float, lon: float, lat2: float, lon2: float, km: float) -> flo
 
 #: Ways to join in the order in which ties are told: which end of the chain (0: start), which of the candidate.
 WAYS = ((0, 0), (0, 1), (1, 0), (1, 1))
-LINKS = "seg long, head long, place long, back boolean"
+LINKS = "seg long, head long, place long, back boolean, n long"
 
 
 def greedy(seg: list, ends: list[tuple], km: float) -> list[tuple]:
@@ -138,14 +173,15 @@ def _in_tasks(rows: DataFrame, km: float) -> DataFrame:
         t = table.sort_by("seg")
         ends = list(zip(*(t.column(c).to_pylist() for c in ("alat", "alon", "blat", "blon")), strict=True))
         found = greedy(t.column("seg").to_pylist(), ends, km)
-        kinds = {"seg": pa.int64(), "head": pa.int64(), "place": pa.int64(), "back": pa.bool_()}
-        return pa.table({name: pa.array([f[k] for f in found], kind) for k, (name, kind) in enumerate(kinds.items())})
+        size = dict(zip(t.column("seg").to_pylist(), t.column("n").to_pylist(), strict=True))
+        kinds = {"seg": pa.int64(), "head": pa.int64(), "place": pa.int64(), "back": pa.bool_(), "n": pa.int64()}
+        return pa.table({name: pa.array([(*f, size[f[0]])[k] for f in found], kind) for k, (name, kind) in enumerate(kinds.items())})
 
     return rows.groupBy("comp").applyInArrow(run, LINKS)
 
 
 def _in_rounds(rows: DataFrame, km: float) -> DataFrame | None:
-    """LINKS of the segments of larger components: a round finds the next segment for the chain of each component (a row each,
+    """LINKS, but for n, of the segments of larger components: a round finds the next segment for the chain of each component (a row each,
     of which there are fewer than rows / LIMIT, so they are broadcast) in one pass over the segments that are left."""
     left = settled(rows)
     heads, done = None, []
@@ -212,8 +248,9 @@ def links(points: DataFrame, km: float, limit: int = LIMIT) -> DataFrame:
     large = settled(sizes.select("comp"))  # fewer than rows / limit
     found = _in_tasks(rows.join(F.broadcast(large), "comp", "left_anti"), km)
     if not large.isEmpty():
-        found = found.unionByName(_in_rounds(rows.join(F.broadcast(large), "comp").select("seg", "comp", "alat", "alon", "blat", "blon"), km))
-    return found.join(ends.select("seg", "n"), "seg")
+        most = rows.join(F.broadcast(large), "comp")
+        found = found.unionByName(_in_rounds(most.select("seg", "comp", "alat", "alon", "blat", "blon"), km).join(most.select("seg", "n"), "seg"))
+    return found
 
 
 def chain(points: DataFrame, km: float, limit: int = LIMIT) -> DataFrame:
@@ -221,7 +258,8 @@ def chain(points: DataFrame, km: float, limit: int = LIMIT) -> DataFrame:
 
     An end reaches another where neither the differences in latitude nor in longitude, in kilometres, are over ``km``; the
     nearest counts, then the earlier segment, then the start of the chain before its end. Each segment is in one chain, a
-    lone one in its own; the last one too. Nothing joins across the date line. A segment's points are ordered by pos.
+    lone one in its own; the last one too. Nothing joins across the date line. A segment's points are ordered by pos; points that are
+    partitioned by seg are not shuffled for it.
     """
     found = links(points, km, limit)
     before = Window.partitionBy("head").orderBy("place").rowsBetween(Window.unboundedPreceding, -1)  # a row for each segment

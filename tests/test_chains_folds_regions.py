@@ -63,6 +63,23 @@ def test_join_of_crowded_ends_in_tasks_and_in_rounds(spark, limit):
     assert got == greedy(segs, 4.0) and len(got) < len(segs)
 
 
+def test_links_become_stars_before_they_are_shuffled(spark):
+    """Crowded ends: what goes into the rounds is a link for each cell at most, and components are those of the links."""
+    rng = random.Random(5)
+    edges = [(rng.randrange(400), rng.randrange(400) if k % 4 else k % 400, k % 3) for k in range(3000)]
+    edges = [(int(c) * 7 + 1, int(d) * 7 + 1, t) for c, d, t in edges if c % 20 == d % 20]
+    a, b = chains.starred(np.array([e[0] for e in edges]), np.array([e[1] for e in edges]))
+    root = {n: n for e in edges for n in e[:2]}
+    for _ in range(len(root)):
+        for c, d, _ in edges:
+            root[c] = root[d] = min(root[c], root[d])
+    assert dict(zip(a.tolist(), b.tolist(), strict=True)) == {n: r for n, r in root.items() if n != r}
+    df = spark.createDataFrame([(max(c, d), min(c, d), t) for c, d, t in edges], "a long, b long, tile int")
+    fewer = chains.fewer(df)
+    assert fewer.count() < min(3 * len(root), len(edges))
+    assert {r.node: r.root for r in chains.roots(fewer).collect()} == {n: r for n, r in root.items() if n != r}
+
+
 def test_join_of_nothing(spark):
     assert chains.chain(spark.createDataFrame([], "seg int, pos int, lat double, lon double"), 5.0).count() == 0
 

@@ -108,20 +108,21 @@ def reverse(points: DataFrame) -> DataFrame:
 
 
 def split_at_date_line(points: DataFrame) -> DataFrame:
-    """Segments cut where they cross 180 degrees, with interpolated points at both ends of the cut: seg, part, pos, lat, lon."""
+    """Segments cut where they cross 180 degrees, with interpolated points at both ends of the cut: seg, part, pos, lat, lon. One shuffle
+    and one sort of the points: places in a part are counted from the row in which it begins."""
     w = by_segment()
-    p = points.withColumns({"_plat": F.lag("lat").over(w), "_plon": F.lag("lon").over(w)})
+    run = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    p = points.select("seg", "pos", "lat", "lon").withColumns({"_plat": F.lag("lat").over(w), "_plon": F.lag("lon").over(w), "_n": F.row_number().over(w)})
     p = p.withColumn("_cut", F.coalesce((F.abs(F.col("lon") - F.col("_plon")) > 180).cast("int"), F.lit(0)))
-    p = p.withColumn("part", F.sum("_cut").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    p = p.withColumns({"part": F.sum("_cut").over(run), "_begin": F.max(F.when(F.col("_cut") == 1, F.col("_n"))).over(run)})
+    p = p.withColumn("_own", F.coalesce(F.col("_n") - F.col("_begin") + 1, F.col("_n") - 1)).withColumn("_last", F.lag("_own").over(w))
     side = F.when(F.col("_plon") > 0, 180.0).otherwise(-180.0)
     f = F.try_divide(side - F.col("_plon"), F.col("lon") + 2 * side - F.col("_plon"))
     lat = F.col("_plat") + f * (F.col("lat") - F.col("_plat"))
-    own = p.select("seg", "part", (3 * F.col("pos") + 2).alias("pos"), "lat", "lon")
-    ends = p.filter("_cut = 1")
-    before = ends.select("seg", (F.col("part") - 1).alias("part"), (3 * F.col("pos")).alias("pos"), lat.alias("lat"), side.alias("lon"))
-    after = ends.select("seg", "part", (3 * F.col("pos") + 1).alias("pos"), lat.alias("lat"), (-side).alias("lon"))
-    whole = own.unionByName(before).unionByName(after)
-    return whole.withColumn("pos", F.row_number().over(Window.partitionBy("seg", "part").orderBy("pos")) - 1)
+    row = lambda part, pos, lat, lon: F.struct(part.alias("part"), pos.cast("int").alias("pos"), lat.alias("lat"), lon.alias("lon"))
+    own = row(F.col("part"), F.col("_own"), F.col("lat"), F.col("lon"))
+    ends = row(F.col("part") - 1, F.col("_last") + 1, lat, side), row(F.col("part"), F.lit(0), lat, -side)
+    return p.select("seg", F.explode(F.when(F.col("_cut") == 1, F.array(*ends, own)).otherwise(F.array(own))).alias("_p")).select("seg", "_p.*")
 
 
 def every_nth(points: DataFrame, n: int, least: int = 10) -> DataFrame:

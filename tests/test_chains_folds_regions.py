@@ -116,6 +116,22 @@ def test_thinning_streams_a_segment_longer_than_its_batches(spark):
     assert vectors.thin(df, 0.01) is df and vectors.thin(df.limit(0), 3.0).count() == 0
 
 
+def test_the_date_line_cuts_in_one_sort(spark):
+    """Cuts back and forth, at the first step and the last, and a repeated point; points are shuffled and sorted once."""
+    lons = {1: [179.0, -179.0, -178.0, 179.0], 2: [-179.5, 179.5], 3: [10.0], 4: [170.0, 175.0, 175.0, -175.0]}
+    rows = [(s, k - (s == 4 and k > 1), float(10 * k if k < 2 or s != 4 else 10 * (k - 1)), lon) for s, path in lons.items() for k, lon in enumerate(path)]
+    df = vectors.split_at_date_line(spark.createDataFrame(rows, "seg int, pos int, lat double, lon double").repartition(3))
+    got = sorted(map(tuple, df.collect()))
+    want = [(1, 0, 0, 0.0, 179.0), (1, 0, 1, 5.0, 180.0), (1, 1, 0, 5.0, -180.0), (1, 1, 1, 10.0, -179.0), (1, 1, 2, 20.0, -178.0), (1, 1, 3, 20.0 + 10 * 2 / 3, -180.0)]
+    want += [(1, 2, 0, 20.0 + 10 * 2 / 3, 180.0), (1, 2, 1, 30.0, 179.0), (2, 0, 0, 0.0, -179.5), (2, 0, 1, 5.0, -180.0), (2, 1, 0, 5.0, 180.0), (2, 1, 1, 10.0, 179.5), (3, 0, 0, 0.0, 10.0)]
+    want += [(4, 0, 0, 0.0, 170.0), (4, 0, 1, 10.0, 175.0), (4, 0, 2, 10.0, 175.0), (4, 0, 3, 15.0, 180.0), (4, 1, 0, 15.0, -180.0), (4, 1, 1, 20.0, -175.0)]
+    assert [g[:3] for g in got] == [v[:3] for v in want] and np.allclose([g[3:] for g in got], [v[3:] for v in want], atol=1e-12)
+    plan = df._jdf.queryExecution().sparkPlan().toString()
+    assert "Union" not in plan
+    plan = df._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1]
+    assert plan.count("Exchange hashpartitioning") == 1 and plan.count("Sort [") == 1
+
+
 def test_running_mean_over_a_long_group(spark):
     from tessera.plans.definitions import GridDef, MapDef
 

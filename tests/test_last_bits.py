@@ -7,8 +7,11 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tessera import queries as Q
 from tessera.functions.scalar import Ctes, Sql, Steps
 
+from .test_rasters import SF
+
 N = 200_000
 #: x of each function from a number u of 0 to 1, as SQL of either engine.
 RANGES = {"sin": "u * 14 - 7", "cos": "u * 14 - 7", "tan": "u * 3 - 1.5", "atan": "(u - 0.5) / (1.0001 - u)", "asin": "u * 2 - 1", "acos": "u * 2 - 1", "exp": "u * 40 - 20", "ln": "u * u * u * 20 + 1e-9", "ln1": "0.9 + u * 0.2", "power": "u * 3", "atan2": "u * 2 - 1"}
@@ -51,3 +54,10 @@ def test_poles_and_limits(spark):
     bits = lambda v: v if v is None else struct.pack(">d", v + 0.0)
     theirs = duckdb.sql("WITH given AS (SELECT unnest([" + ", ".join(f"{v!r}e0" if "e" not in repr(v) else repr(v) for v in at) + "]) AS x), " + c.query(", ".join(v.sql for v in sql))[5:]).fetchall()
     assert [tuple(map(bits, r)) for r in ours] == [tuple(map(bits, r)) for r in theirs]
+
+
+@pytest.mark.parametrize("name", ["inverse_azimuthal_equal_area", "inverse_mollweide", "inverse_interrupted_homolosine"])
+def test_methods_are_short_enough_to_be_compiled(spark, name):
+    """The JVM interprets methods of over 8,000 bytes."""
+    stages = Q.QUERIES[name](spark, SF)._jdf.queryExecution().debug().codegenToSeq()
+    assert max(stages.apply(i)._3().maxMethodCodeSize() for i in range(stages.size())) < 8000

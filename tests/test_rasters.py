@@ -1,5 +1,7 @@
 import math
+from fractions import Fraction
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -336,6 +338,19 @@ def test_splines_of_many_knots(spark):
         s.evaluate(F.col("v"))
 
 
+def test_spline_of_large_part_numbers_is_the_cube(spark, tmp_path):
+    """Up to a last digit of the unit, as many as the parts are: against the query's SQL, and against cubes in whole numbers."""
+    spark.range(1_000_000, 1_200_000, 1, 8).toDF("p_partkey").write.parquet(f"{tmp_path}/part.parquet")
+    spark.range(1_000_000, 1_200_000, 1, 8).selectExpr("id AS l_orderkey", "1 AS l_linenumber", "id AS l_partkey").write.parquet(f"{tmp_path}/lineitem.parquet")
+    got = Q.spline_join(spark, str(tmp_path)).toPandas().sort_values("l_orderkey").value.tolist()
+    db = duckdb.connect()
+    for name in ("part", "lineitem"):
+        db.execute(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet/*.parquet'")
+    assert got == [r[0] for r in db.execute(f"SELECT value FROM ({Q.SQL['spline_join']}) ORDER BY l_orderkey").fetchall()]
+    z = Fraction(1_199_999, Q.PARTS)
+    assert got == [math.floor((Fraction(10 * k + 3, 10_000) / z) ** 3 * 10_000 + Fraction(1, 2)) for k in range(1_000_000, 1_200_000)]
+
+
 def test_segments(spark):
     p = spark.createDataFrame([(s, k, 10.0 + s + k / 1024, 178.0 + k * 0.8 if s else 20.0 + k / 1024) for s in range(2) for k in range(6)], "seg int, pos int, lat double, lon double")
     p = p.withColumn("lon", F.when(F.col("lon") > 180, F.col("lon") - 360).otherwise(F.col("lon")))

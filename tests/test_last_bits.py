@@ -1,6 +1,7 @@
 """Elementary functions give the same doubles in Spark and DuckDB, to the last bit."""
 
 import struct
+from dataclasses import replace
 
 import duckdb
 import numpy as np
@@ -9,6 +10,8 @@ from pyspark.sql import functions as F
 
 from tessera import queries as Q
 from tessera.functions.scalar import Ctes, Sql, Steps
+from tessera.operators import transform as T
+from tessera.plans.definitions import GridDef
 
 from .test_rasters import SF
 
@@ -61,3 +64,25 @@ def test_methods_are_short_enough_to_be_compiled(spark, name):
     """The JVM interprets methods of over 8,000 bytes."""
     stages = Q.QUERIES[name](spark, SF)._jdf.queryExecution().debug().codegenToSeq()
     assert max(stages.apply(i)._3().maxMethodCodeSize() for i in range(stages.size())) < 8000
+
+
+def test_places_on_cut_grids(spark):
+    """A grid that is cut finer has the places of its SQL, forth and back, whatever it is cut by."""
+    df = spark.range(N).selectExpr("CAST(id AS INTEGER) AS i", "CAST((id * 7919) % 170000 AS DOUBLE) / 1000D - 85D AS lat", "CAST((id * 104729) % 359000 AS DOUBLE) / 1000D - 179.4863D AS lon")
+    given = df.toPandas()
+    for z in (1, 8, 25):
+        fine = T.with_place(df, Q.WORLD.zoom(z), "lat", "lon", ("r", "s", "on"))
+        ours = T.with_geo(fine, Q.NORTH.zoom(z), "i", "i", ("a", "b", "in_map")).select("r", "s", "on", "a", "b", "in_map", "i").toPandas().sort_values("i")
+        c = Ctes("given")
+        r, s, on = T.grid_place(Q.WORLD, c, Sql("lat"), Sql("lon"))
+        a, b, ok = T.geo_of_place(Q.NORTH, c, Sql(Q.coarse("CAST(i AS DOUBLE)")), Sql(Q.coarse("CAST(i AS DOUBLE)")))
+        db = duckdb.connect()
+        db.register("given", given)
+        db.execute(f"CREATE TABLE zoom AS SELECT {z} AS z")
+        theirs = db.sql(c.query(f"i, {Q.fine(r)} AS r, {Q.fine(s)} AS s, {on.sql} AS on, {a.sql} AS a, {b.sql} AS b, {ok.sql} AS in_map") + " ORDER BY i").df()
+        for k in ("r", "s", "a", "b"):
+            x, y = ours[k].to_numpy(float), theirs[k].to_numpy(float)
+            assert ((x.view("i8") == y.view("i8")) | (np.isnan(x) & np.isnan(y))).all(), (z, k)
+        assert (ours.on.to_numpy(bool) == theirs.on.to_numpy(bool)).all() and ours.in_map.fillna(False).to_numpy(bool).sum() == theirs.in_map.fillna(False).to_numpy(bool).sum() > 40
+    other = replace(Q.WORLD.zoom(25), origin_col=3.0)
+    assert T.point_place(other, 10.0, 20.0) == T.point_place(GridDef(other.map, other.cols, other.rows, other.cols_per_unit, other.rows_per_unit, 3.0, other.origin_row), 10.0, 20.0)

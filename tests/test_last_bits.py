@@ -1,5 +1,6 @@
 """Elementary functions give the same doubles in Spark and DuckDB, to the last bit."""
 
+import math
 import struct
 from dataclasses import replace
 
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 
 from tessera import queries as Q
 from tessera.functions.scalar import Ctes, Sql, Steps
+from tessera.operators import cells
 from tessera.operators import transform as T
 from tessera.plans.definitions import GridDef
 
@@ -86,3 +88,19 @@ def test_places_on_cut_grids(spark):
         assert (ours.on.to_numpy(bool) == theirs.on.to_numpy(bool)).all() and ours.in_map.fillna(False).to_numpy(bool).sum() == theirs.in_map.fillna(False).to_numpy(bool).sum() > 40
     other = replace(Q.WORLD.zoom(25), origin_col=3.0)
     assert T.point_place(other, 10.0, 20.0) == T.point_place(GridDef(other.map, other.cols, other.rows, other.cols_per_unit, other.rows_per_unit, 3.0, other.origin_row), 10.0, 20.0)
+
+
+def test_weights_of_distance(spark):
+    """The weight of extract's distance method is 1 / d^2, rounded as the SQL rounds it: no root and power in between."""
+    rng = np.random.default_rng(5)
+    places = [(k, float(r), float(s)) for k, (r, s) in enumerate(rng.uniform(20, 90, (3000, 2)))]
+    raster = spark.range(100 * 100).selectExpr("CAST(id div 100 AS INT) AS row", "CAST(id % 100 AS INT) AS col", "CAST(1 AS DOUBLE) AS value")
+    grid = GridDef(Q.WORLD.map, 100, 100)
+    got = {x["k"]: x["_w"] for x in cells.gathered(spark.createDataFrame(places, "k int, r double, s double"), raster, grid, "distance", 2, 1.5).collect()}
+    for k, r, s in places:
+        want = 0.0
+        for i in range(int(s) - 1, int(s) + 3):
+            for j in range(int(r) - 1, int(r) + 3):
+                d2 = (i - s) * (i - s) + (j - r) * (j - r)
+                want += 1.0 / d2 if math.sqrt(d2) <= 1.5 else 0.0
+        assert got[k] == want

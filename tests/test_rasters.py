@@ -339,7 +339,7 @@ def test_splines_of_many_knots(spark):
 
 
 def test_spline_of_large_part_numbers_is_the_cube(spark, tmp_path):
-    """Up to a last digit of the unit, as many as the parts are: against the query's SQL, and against cubes in whole numbers."""
+    """As many as the parts are: against the query's SQL, which has the places of all parts 0.001 apart."""
     spark.range(1_000_000, 1_200_000, 1, 8).toDF("p_partkey").write.parquet(f"{tmp_path}/part.parquet")
     spark.range(1_000_000, 1_200_000, 1, 8).selectExpr("id AS l_orderkey", "1 AS l_linenumber", "id AS l_partkey").write.parquet(f"{tmp_path}/lineitem.parquet")
     got = Q.spline_join(spark, str(tmp_path)).toPandas().sort_values("l_orderkey").value.tolist()
@@ -347,8 +347,26 @@ def test_spline_of_large_part_numbers_is_the_cube(spark, tmp_path):
     for name in ("part", "lineitem"):
         db.execute(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet/*.parquet'")
     assert got == [r[0] for r in db.execute(f"SELECT value FROM ({Q.SQL['spline_join']}) ORDER BY l_orderkey").fetchall()]
-    z = Fraction(1_199_999, Q.PARTS)
-    assert got == [math.floor((Fraction(10 * k + 3, 10_000) / z) ** 3 * 10_000 + Fraction(1, 2)) for k in range(1_000_000, 1_200_000)]
+    x = [k * 0.001 + 0.0003 for k in range(1_000_000, 1_200_000)]
+    assert got == [math.floor(v * v * v * (1 / 1e-4) + 0.5) for v in x] and got[-1] > 1.7e13
+
+
+def test_spline_with_a_trend(spark, tmp_path):
+    """The same spline as without, of values that are no cubic; a cubic comes out as it is, and both are saved and loaded."""
+    x = [0.0, 0.5, 0.75, 2.0, 2.25, 3.0, 4.5, 5.0]
+    plain, taken = models.Spline.fit(x, np.sin(x)), models.Spline.fit(x, lambda v: Fraction(math.sin(v)), trend=True)
+    at = np.linspace(-0.5, 5.5, 200).tolist()
+    assert max(abs(c) for c in taken.y) > 0.01 and [taken.evaluate(v) for v in at] == pytest.approx([plain.evaluate(v) for v in at], abs=1e-13)
+    df = spark.createDataFrame([(v,) for v in at], "v double")
+    taken.save(spark, str(tmp_path / "s"))
+    assert models.Spline.load(spark, str(tmp_path / "s")) == taken
+    assert {r.v: r.value for r in taken.values(df, "v").collect()} == {v: taken.evaluate(v) for v in at}
+    assert {r.v: r.value for r in df.select("v", taken.evaluate(F.col("v")).alias("value")).collect()} == {v: taken.evaluate(v) for v in at}
+    cube = models.Spline.fit(x, lambda v: Fraction(v) ** 3 - 2, trend=True)
+    assert cube.trend == (-2.0, 0.0, 0.0, 1.0) and not any(cube.y) and cube.evaluate(0.3) == 0.3 * 0.3 * 0.3 - 2
+    assert models.Spline.fit(x[:3], math.sin, trend=True) == models.Spline.fit(x[:3], [math.sin(v) for v in x[:3]])
+    with pytest.raises(ValueError):
+        models.Spline.fit(x, math.sin, "longitude", trend=True)
 
 
 def test_segments(spark):

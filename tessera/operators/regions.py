@@ -83,10 +83,16 @@ def _cell(level: Column, row: Column, col: Column) -> Column:
     return F.shiftleft(level.cast("long"), 56) + F.shiftleft(row.cast("long"), 28) + col.cast("long")
 
 
+def _level() -> Column:
+    """The level of a region's cells."""
+    return F.greatest(F.lit(0), F.least(F.lit(LEVELS), F.floor(F.log2(180 * ACROSS / (2 * (F.col("cap.rho") + 1e-9)))))).cast("int")
+
+
 def covering(found: DataFrame) -> DataFrame:
-    """region, level, cell, whole (it lies in one piece) of the cells that regions (of pieces) meet; a cell may only just miss."""
+    """region, level, cell, whole (it lies in one piece) and pieces (null where it does) of the cells that regions (of pieces) meet; a
+    cell may only just miss."""
     rho = F.col("cap.rho") + 1e-9
-    df = found.withColumn("level", F.greatest(F.lit(0), F.least(F.lit(LEVELS), F.floor(F.log2(180 * ACROSS / (2 * rho))))).cast("int"))
+    df = found.withColumn("level", _level())
     lat, lon = F.degrees(F.asin(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.col("cap.z"))))), F.degrees(F.atan2("cap.y", "cap.x"))
     df = df.withColumns({"_lat": lat, "_lon": lon, "_row": F.explode(F.sequence(_row(F.col("level"), lat - rho), _row(F.col("level"), lat + rho)))})
     polar = F.abs("_lat") + rho >= 90
@@ -102,7 +108,7 @@ def covering(found: DataFrame) -> DataFrame:
     off = lambda n: _dot(F.col("_mid"), n) / F.greatest(F.sqrt(_dot(n, n)), F.lit(1e-300))
     whole = F.exists("pieces", lambda p: F.forall(p, lambda n: (off(n) < -F.col("_reach")) | (_dot(n, n) == 0)))
     some = F.exists("pieces", lambda p: F.forall(p, lambda n: off(n) <= F.col("_reach")))
-    return df.filter(some).select("region", "level", _cell(F.col("level"), F.col("_row"), F.col("_col")).alias("cell"), whole.alias("whole"))
+    return df.filter(some).select("region", "level", _cell(F.col("level"), F.col("_row"), F.col("_col")).alias("cell"), whole.alias("whole"), F.when(~whole, F.col("pieces")).alias("pieces"))
 
 
 def inside(position: Column, pieces_: Column) -> Column:
@@ -115,10 +121,13 @@ def points_in_regions(points: DataFrame, regions: DataFrame, region: str = "regi
 
     Points with a null or an impossible position are in none; longitudes may be of any turn. Repeated points and regions
     (told apart by their ids) give a row each. A column of points that is named as ``region`` is replaced.
+
+    Points and cells are shuffled once, by cell; border cells bring the edges along, so pairs are not shuffled again. A broadcast is no
+    choice of the planner's: it takes all cells of the regions for as few bytes as the regions' numbers have.
     """
-    found = pieces(regions, region, corners)
-    cells = covering(found)
-    levels = sorted(r[0] for r in cells.select("level").distinct().collect())  # LEVELS + 1 at most
+    n = int(regions.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    found = pieces(regions.repartition(n, region), region, corners)  # few bytes, and a hundred cells of each
+    levels = sorted(r[0] for r in found.select(_level().alias("level")).distinct().collect())  # LEVELS + 1 at most
     points = points.drop(region)
     known = F.col(lat).between(-90, 90) & F.col(lon).isNotNull() & ~F.isnan(F.col(lon).cast("double"))
     level = F.explode(F.array(*map(F.lit, levels)).cast("array<int>"))
@@ -126,8 +135,7 @@ def points_in_regions(points: DataFrame, regions: DataFrame, region: str = "regi
     row = _row(F.col("_level"), F.col(lat))
     n = _columns(F.col("_level"), row)
     placed = placed.withColumn("_cell", _cell(F.col("_level"), row, F.least(n - 1, F.floor(_turns(F.col(lon)) * n))))
-    met = placed.join(cells.select(F.col("cell").alias("_cell"), F.col("region").alias("_region"), "whole"), "_cell").drop("_cell", "_level")
-    done = met.filter("whole").select(*points.columns, F.col("_region").alias(region))
-    border = met.filter("not whole").join(found.select(F.col("region").alias("_region"), "pieces"), "_region")
-    exact = border.filter(inside(_vector(F.col(lat), F.col(lon)), F.col("pieces"))).select(*points.columns, F.col("_region").alias(region))
-    return done.unionByName(exact)
+    cells = covering(found).select(F.col("cell").alias("_cell"), F.col("region").alias("_region"), "whole", "pieces")
+    met = placed.hint("merge").join(cells, "_cell")
+    exact = met.filter(F.col("whole") | inside(_vector(F.col(lat), F.col(lon)), F.col("pieces")))
+    return exact.select(*points.columns, F.col("_region").alias(region))

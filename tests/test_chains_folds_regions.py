@@ -193,6 +193,17 @@ def test_points_in_regions_are_brute_force(spark):
     assert regions.points_in_regions(points.limit(0), quads).count() == 0 and regions.points_in_regions(points, quads.limit(0)).count() == 0
 
 
+def test_cells_of_regions_are_not_broadcast(spark):
+    """The planner takes the cells of regions, a hundred and more of each, for as few bytes as the regions' numbers: the driver would hold
+    them all. One join, and pairs of points and regions are not shuffled again."""
+    points = spark.createDataFrame([(1, 0.5, 0.5)], "id int, lat double, lon double")
+    quads = spark.range(3).selectExpr("id AS region", "array(named_struct('lat', 1D, 'lon', 0D), named_struct('lat', 1D, 'lon', 1D), named_struct('lat', 0D, 'lon', 1D), named_struct('lat', 0D, 'lon', 0D)) AS corners")
+    found = regions.points_in_regions(points, quads)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan and plan.count("Join ") == 1
+    assert found.count() == 3
+
+
 def test_regions_whose_edges_cross_hold_nothing_on_the_far_side(spark, tmp_path):
     """Quadrangles of suppliers near the poles, where a great circle runs beyond the fourth corner: the triangle that is turned the
     other way has half-planes that meet opposite of it. The query and its SQL keep to the near side."""
